@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from idiolect.llm import bpe, pii, quality, secrets, simhash
+from idiolect.llm import bpe, pii, quality, secrets, simhash, warc
 from idiolect.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -24,6 +24,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -34,5 +39,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(table(spark, sf_dir, "documents"), secrets.train(secrets.bundled(spark)))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op3_pii, op4_simhash, op7_byte_bpe, op10_secrets)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op3_pii, op4_simhash, op5_warc, op7_byte_bpe, op10_secrets)}
 ORACLE_SQL: dict[str, str] = {}
