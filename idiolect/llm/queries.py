@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from idiolect.llm import bpe, pii, quality, secrets, simhash, warc
+from idiolect.llm import bpe, chat, classifier, decontam, pii, quality, secrets, simhash, warc
 from idiolect.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -16,6 +16,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"))
 
 
+def op2_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(table(spark, sf_dir, "documents"))
 
@@ -35,9 +39,19 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.flags(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = classifier.fit(classifier.sample(classifier.labelled(docs, table(spark, sf_dir, "labels"))))
+    return classifier.scores(docs, model)
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(table(spark, sf_dir, "documents"), secrets.train(secrets.bundled(spark)))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op3_pii, op4_simhash, op5_warc, op7_byte_bpe, op10_secrets)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_chat_rotation, op3_pii, op4_simhash, op5_warc, op7_byte_bpe, op8_decontamination, op9_quality_classifier, op10_secrets)}
+ORACLE_SQL: dict[str, str] = {"op2_chat_rotation": chat.ORACLE}
