@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from idiolect.llm import bpe, chat, classifier, decontam, pii, quality, secrets, simhash, warc
+from idiolect.llm import bpe, bpr, chat, classifier, decontam, pii, quality, secrets, simhash, warc
 from idiolect.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -33,6 +33,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpr.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -53,5 +57,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(table(spark, sf_dir, "documents"), secrets.train(secrets.bundled(spark)))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_chat_rotation, op3_pii, op4_simhash, op5_warc, op7_byte_bpe, op8_decontamination, op9_quality_classifier, op10_secrets)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_chat_rotation, op3_pii, op4_simhash, op5_warc, op6_suffix_dedup, op7_byte_bpe, op8_decontamination, op9_quality_classifier, op10_secrets)}
 ORACLE_SQL: dict[str, str] = {"op2_chat_rotation": chat.ORACLE}
