@@ -157,14 +157,12 @@ def key_of(fp, bits: list[int]):
 
 def probes(nodes: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame:
     """(bucket, fp, exact): the keys of every node, and those within the part's threshold of it."""
-    each = []
-    for p, (bits, t) in enumerate(parts):
+    def keys(p: int, bits: list[int], t: int):
         flips = [sum(1 << b for b in c) for k in range(t + 1) for c in combinations(range(len(bits)), k)]
-        key = key_of(F.col("fp"), bits)
-        if len(flips) == 1:
-            each.append(F.array(F.struct(F.lit(p).alias("part"), key.alias("key"), F.lit(True).alias("exact"))))
-        else:
-            each.append(F.transform(F.array(*map(F.lit, [int(f) for f in flips])).cast("array<long>"), lambda f, p=p, key=key: F.struct(F.lit(p).alias("part"), key.bitwiseXOR(f).alias("key"), (f == 0).alias("exact"))))
+        own = key_of(F.col("fp"), bits)
+        return F.transform(F.array(*map(F.lit, flips)).cast("array<long>"), lambda f: F.struct(F.lit(p).alias("part"), own.bitwiseXOR(f).alias("key"), (f == 0).alias("exact")))
+
+    each = [keys(p, bits, t) for p, (bits, t) in enumerate(parts)]
     return nodes.select("fp", F.inline(F.concat(*each))).select("part", "key", "fp", "exact")
 
 
