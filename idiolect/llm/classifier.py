@@ -6,8 +6,8 @@ hashed words and shape with shared weights. Expected grade: the sum of P(grade >
 Grades come from labels: 0 toxic, 1 of low quality, 2 good. The fit is on at most FIT_ROWS labelled documents, the
 first by a hash of their ids, whole texts (the bound is a parameter); every document is scored, whole.
 
-Words are lower-cased in A-Z and hashed into 2**BITS buckets, a document's words weighing 1 / sqrt(distinct) each.
-The rarest kind of evidence, one word in hundreds, has to count, so repeated words count once.
+Words are lower-cased in A-Z and hashed into 2**BITS buckets. The rarest kind of evidence, one word in hundreds, has
+to count, so a document's distinct words count once each, and alike in long and short documents.
 
 Defined cases: null text counts as empty; labels with a null grade are left out; several labels of a document all
 count; without labels the score is 0 and the grades are equally likely.
@@ -26,7 +26,11 @@ from pyspark.sql import functions as F
 from idiolect.llm.common import as_bytes
 
 BITS, GRADES, LEAST_GRADE = 16, 3, 2
-FIT_ROWS, ROUNDS, RATE, DECAY = 6_000, 60, 1.0, 1e-4
+FIT_ROWS, ROUNDS, RATE, DECAY = 6_000, 150, 1.0, 1e-4
+#: Buckets in fewer fitted documents than this, or in over a half of them, say nothing.
+LEAST_DOCS = 3
+#: Standard errors by which the mean grade of a bucket's documents has to differ from the mean of all.
+LEAST_Z = 4.0
 #: Words whose buckets a worker remembers.
 REMEMBERED = 1_000_000
 SHAPES = 8
@@ -70,29 +74,31 @@ class Model:
         return [1 / (1 + math.exp(-max(-30.0, min(30.0, score - c)))) for c in self.cuts]
 
 
-def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, grade) of the documents that labels (id, quality, toxic) rate."""
+def grades(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, grade) of labels (id, quality, toxic) that rate a document."""
     grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 2)
-    rated = labels.select(F.col(id_col), grade.alias("grade")).where("grade is not null")
-    return docs.select(id_col, text_col).join(rated, id_col).select(id_col, text_col, "grade")
+    return labels.select(F.col(id_col), grade.cast("int").alias("grade")).where(F.col("grade").isNotNull() & F.col(id_col).isNotNull())
 
 
-def sample(rated: DataFrame, rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text") -> list:
-    """At most `rows` rated documents as (buckets, shape, grade), the first by a hash of their ids."""
-    ordered = rated.orderBy(F.xxhash64(id_col), id_col, "grade", F.xxhash64(text_col)).limit(rows)
+def sample(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text"):
+    """(id, ids, shape, grade) of the documents of at most `rows` labels, the first by a hash of their ids, as an Arrow
+    table. The labels are few by that bound, so they are broadcast and no text is shuffled."""
+    chosen = grades(labels, id_col).orderBy(F.xxhash64(id_col), id_col, "grade").limit(rows)
+    rated = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).select(id_col, text_col, "grade")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            found = [features(raw) for raw in as_bytes(batch.column(0))]
-            yield pa.RecordBatch.from_arrays([pa.array([f[0].astype("i4") for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.list_(pa.float64())), batch.column(1)], names=["ids", "shape", "grade"])
+            found = [features(raw) for raw in as_bytes(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0].astype("i4") for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.list_(pa.float64())), batch.column(2)], names=[id_col, "ids", "shape", "grade"])
 
-    return ordered.select(text_col, F.col("grade").cast("int").alias("grade")).mapInArrow(run, "ids array<int>, shape array<double>, grade int").toArrow()
+    kind = docs.schema[id_col].dataType.simpleString()
+    return rated.mapInArrow(run, f"{id_col} {kind}, ids array<int>, shape array<double>, grade int").toArrow().sort_by([(id_col, "ascending"), ("grade", "ascending")])
 
 
 def fit(rows, rounds: int = ROUNDS, rate: float = RATE, decay: float = DECAY, grades: int = GRADES) -> Model:
-    """Full-batch AdaGrad on the cumulative-link likelihood of rows (an Arrow table of sample()), grades weighed alike."""
+    """Full-batch AdaGrad on the cumulative-link likelihood of rows (an Arrow table of sample())."""
     import numpy as np
 
     words, shape, cuts = np.zeros(1 << BITS), np.zeros(SHAPES), np.linspace(-1, 1, grades - 1)
@@ -105,8 +111,10 @@ def fit(rows, rounds: int = ROUNDS, rate: float = RATE, decay: float = DECAY, gr
     ids, doc = lists.flatten().to_numpy(), np.repeat(np.arange(len(y)), n_ids)
     shapes = np.array(rows["shape"].to_pylist())
     freq = np.bincount(ids, minlength=1 << BITS)
-    weight = len(y) / np.maximum(1, np.bincount(y, minlength=grades))[y] / grades
-    common = np.sqrt(np.log((1 + len(y)) / (1 + freq)))  # rare words start with larger steps
+    weight = np.ones(len(y))
+    off = (y - y.mean()) / max(float(y.std()), 1e-9)
+    z = np.abs(np.bincount(ids, off[doc], minlength=1 << BITS)) / np.sqrt(np.maximum(freq, 1))
+    common = ((freq >= LEAST_DOCS) & (2 * freq <= len(y)) & (z >= LEAST_Z)).astype(float)  # the others keep weight 0
     seen = [np.full(1 << BITS, 1e-8), np.full(SHAPES, 1e-8), np.full(grades - 1, 1e-8)]
     for _ in range(rounds):
         s = np.bincount(doc, words[ids], minlength=len(y)) + shapes @ shape
@@ -121,7 +129,7 @@ def fit(rows, rounds: int = ROUNDS, rate: float = RATE, decay: float = DECAY, gr
         for k in range(grades - 1):
             slope = p[:, k] * (1 - p[:, k])
             g_cuts[k] = np.sum(weight * slope / mass * ((y == k + 1).astype(float) - (y == k))) / len(y)
-        for x, g, v, step in ((words, g_words, seen[0], 0.3 * rate * common), (shape, g_shape, seen[1], 0.3 * rate), (cuts, g_cuts, seen[2], 0.1 * rate)):
+        for x, g, v, step in ((words, g_words, seen[0], 0.3 * rate * common), (shape, g_shape, seen[1], rate), (cuts, g_cuts, seen[2], 0.1 * rate)):
             v += g * g
             x -= step * g / np.sqrt(v)
         cuts.sort()

@@ -49,7 +49,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = classifier.fit(classifier.sample(classifier.labelled(docs, table(spark, sf_dir, "labels"))))
+    model = classifier.fit(classifier.sample(docs, table(spark, sf_dir, "labels")))
     return classifier.scores(docs, model)
 
 
