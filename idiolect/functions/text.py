@@ -125,6 +125,18 @@ def phrase_count(lower: Column, phrase: str) -> Column:
     return F.when(F.contains(lower, F.lit(rarest)), F.regexp_count(lower, F.lit(phrase_pattern(phrase)))).otherwise(0)
 
 
+def phrase_table(phrases: tuple[str, ...]) -> Column:
+    """The phrases as one array literal (term, rarest word, pattern): plans stay small however many there are."""
+    return F.array(*(F.struct(F.lit(p).alias("term"), F.lit(max(p.split(), key=len)).alias("word"), F.lit(phrase_pattern(p)).alias("pattern")) for p in phrases))
+
+
+def phrases_found(lower: Column, phrases: tuple[str, ...]) -> Column:
+    """array of (term, n) of the phrases that occur; patterns run only where their longest word is."""
+    near = F.filter(phrase_table(phrases), lambda p: F.contains(lower, p["word"]))
+    counted = F.transform(near, lambda p: F.struct(p["term"].alias("term"), F.regexp_count(lower, p["pattern"]).cast("long").alias("n")))
+    return F.filter(counted, lambda p: p["n"] > 0)
+
+
 def sample_argument(value: Column) -> Column:
     """FILE[:CONTEXT]: struct of path and label; a tail with a path separator is part of the path."""
     tail = F.regexp_extract(value, r"^(.+):([^/:\\]+)$", 2)

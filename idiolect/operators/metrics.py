@@ -257,7 +257,7 @@ def shape_hits(norm: Column, words: lex.Lexicons = lex.DEFAULT) -> Column:
 
 
 def phrases_in(lower: Column, phrases: tuple[str, ...]) -> Column:
-    return sum((tx.phrase_count(lower, p) for p in phrases[1:]), tx.phrase_count(lower, phrases[0])).cast("long") if phrases else F.lit(0).cast("long")
+    return F.aggregate(tx.phrases_found(lower, phrases), F.lit(0).cast("long"), lambda acc, p: acc + p["n"]) if phrases else F.lit(0).cast("long")
 
 
 def vocabulary_counts(norm: Column, words: lex.Lexicons = lex.DEFAULT, tokens: str = "tokens", lower: Column | None = None) -> dict[str, Column]:

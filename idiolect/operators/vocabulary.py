@@ -55,10 +55,10 @@ LISTS = ("common_words", "unusual_words", "repeated_words", "technical_terms", "
 def phrase_rows(measured: DataFrame, keys: list[str], words: lex.Lexicons = lex.DEFAULT) -> DataFrame:
     """(keys, list, term, n) of the phrases and shapes that count towards a list."""
     by_list = (("hedging_terms", words.hedge_phrases), ("style_phrases", words.hedge_phrases), ("colloquialisms", words.colloquial_phrases), ("style_phrases", words.colloquial_phrases), ("buzzwords", words.buzz_phrases))
-    lower = F.col("lower")
-    found = [F.struct(F.lit(name).alias("list"), F.lit(p).alias("term"), tx.phrase_count(lower, p).cast("long").alias("n")) for name, phrases in by_list for p in phrases]
+    row = lambda name, x: F.struct(F.lit(name).alias("list"), x["term"].alias("term"), x["n"].alias("n"))
+    listed = lambda name, phrases: F.transform(tx.phrases_found(F.col("lower"), phrases), lambda x: row(name, x))
     shapes = F.transform(metrics.shape_hits(F.col("norm"), words), lambda x: F.struct(F.lit("technical_terms").alias("list"), x.alias("term"), F.lit(1).cast("long").alias("n")))
-    both = F.concat(F.filter(F.array(*found), lambda x: x["n"] > 0), shapes)
+    both = F.concat(*(listed(name, phrases) for name, phrases in by_list), shapes)
     return measured.select(*keys, F.inline(both)).groupBy(*keys, "list", "term").agg(F.sum("n").alias("n"))
 
 

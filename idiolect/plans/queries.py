@@ -230,7 +230,8 @@ def technical_shapes(spark, sf_dir):
     found = {k: F.transform(F.regexp_extract_all("norm", F.lit(p), F.lit(0)), F.lower) for k, p in m.SHAPES.items()}
     found["acronym"] = F.filter(found["acronym"], lambda x: ~x.isin(*lex.STOPWORDS))
     found["code"] = F.array_distinct(found["code"])
-    every = F.concat(*(F.transform(x, lambda t, k=k: F.struct(F.lit(k).alias("shape"), t.alias("term"))) for k, x in found.items()))
+    named = lambda k, x: F.transform(x, lambda t: F.struct(F.lit(k).alias("shape"), t.alias("term")))
+    every = F.concat(*(named(k, x) for k, x in found.items()))
     return tx.normalised(texts(spark, sf_dir)).select(F.inline(every)).groupBy("shape", "term").agg(F.count(F.lit(1)).alias("n"))
 
 
