@@ -11,12 +11,17 @@ def half_up(x: Column, digits: int) -> Column:
     return F.floor(x.cast("double") * scale + 0.5).cast("double") / F.lit(scale)
 
 
-def rate(count: Column, total: Column, per: int) -> Column:
-    """count occurrences per `per` of total, 4 places; 0.0 without a total."""
+def rate(count: Column | str, total: Column | str, per: int) -> Column:
+    """count occurrences per `per` of total, 4 places; 0.0 without a total. Strings are SQL expressions: a plan with
+    hundreds of rates is built in one call for each."""
+    if isinstance(count, str) and isinstance(total, str):
+        return F.expr(f"case when {total} > 0 then floor(cast({count} as double) * {per}D / cast({total} as double) * 10000D + 0.5D) / 10000D else 0D end")
     return F.when(total > 0, half_up(count.cast("double") * float(per) / total.cast("double"), 4)).otherwise(F.lit(0.0))
 
 
-def ratio(a: Column, b: Column, digits: int = 2) -> Column:
+def ratio(a: Column | str, b: Column | str, digits: int = 2) -> Column:
+    if isinstance(a, str) and isinstance(b, str):
+        return F.expr(f"case when {b} > 0 then floor(cast({a} as double) / cast({b} as double) * {10**digits}D + 0.5D) / {10**digits}D else 0D end")
     return F.when(b > 0, half_up(a.cast("double") / b.cast("double"), digits)).otherwise(F.lit(0.0))
 
 

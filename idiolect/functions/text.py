@@ -5,8 +5,10 @@ Regular expressions carry (?U) where blanks, digits or word characters beyond AS
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Iterable, Iterator
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,15 @@ _ABBREVIATED = "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS)
 COMPOSABLE = r"[\p{M}ᄀ-ᇿ  ΩKÅ〈〉̀-̈́ʹ;·ά-´豈-﫿יִ-פֿ]"
 
 
+def one_of(x: Column, words: Iterable[str]) -> Column:
+    """x is one of the words. isin() makes a call to the JVM for each of them; hundreds are sent as one here."""
+    words = list(words)
+    jvm = SparkContext._active_spark_context._jvm
+    if not words or any("," in w or w != w.strip() for w in words):
+        return x.isin(*words)
+    return Column(x._jc.isInCollection(jvm.org.apache.spark.util.Utils.stringToSeq(",".join(words))))
+
+
 def strip(x: Column) -> Column:
     return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
 
@@ -127,7 +138,8 @@ def phrase_count(lower: Column, phrase: str) -> Column:
 
 def phrase_table(phrases: tuple[str, ...]) -> Column:
     """The phrases as one array literal (term, rarest word, pattern): plans stay small however many there are."""
-    return F.array(*(F.struct(F.lit(p).alias("term"), F.lit(max(p.split(), key=len)).alias("word"), F.lit(phrase_pattern(p)).alias("pattern")) for p in phrases))
+    rows = [{"term": p, "word": max(p.split(), key=len), "pattern": phrase_pattern(p)} for p in phrases]
+    return F.from_json(F.lit(json.dumps(rows)), "array<struct<term:string,word:string,pattern:string>>")  # folded to a literal
 
 
 def phrases_found(lower: Column, phrases: tuple[str, ...]) -> Column:

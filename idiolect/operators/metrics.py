@@ -71,7 +71,7 @@ def measured(df: DataFrame, norm: str = "norm") -> DataFrame:
 
 
 def hits(tokens: Column, terms: tuple[str, ...]) -> Column:
-    return F.size(F.filter(tokens, lambda t: t.isin(*terms))).cast("long")
+    return F.size(F.filter(tokens, lambda t: tx.one_of(t, terms))).cast("long")
 
 
 def total(values: Column) -> Column:
@@ -185,26 +185,28 @@ def punctuation_counts(norm: Column, bare_text: Column | None = None) -> dict[st
     return {mark: counts[mark] if mark in counts else tx.literal_count(rest, MARKS[mark][0]) for mark in MARKS}
 
 
-def band(mark: str, mark_rate: Column, count: Column) -> Column:
+def band(mark: str, mark_rate: Column | str, count: Column | str) -> Column:
     rare, occasional = BANDS.get(mark, OTHER_BANDS)
+    if isinstance(mark_rate, str) and isinstance(count, str):
+        return F.expr(f"case when {count} = 0 then 'never' when {mark_rate} <= {rare}D then 'rare' when {mark_rate} <= {occasional}D then 'occasional' else 'frequent' end")
     return F.when(count == 0, "never").when(mark_rate <= rare, "rare").when(mark_rate <= occasional, "occasional").otherwise("frequent")
 
 
 def punctuation(df: DataFrame, norm: str = "norm", words: str = "word_count") -> DataFrame:
     """df and, for each mark, n_, rate_ (per 1000 words) and band_ columns."""
     out = df.withColumns({f"n_{m}": c for m, c in punctuation_counts(F.col(norm), F.col("bare") if "bare" in df.columns else None).items()})
-    out = out.withColumns({f"rate_{m}": rate(F.col(f"n_{m}"), F.col(words), 1000) for m in MARKS})
-    return out.withColumns({f"band_{m}": band(m, F.col(f"rate_{m}"), F.col(f"n_{m}")) for m in MARKS})
+    out = out.withColumns({f"rate_{m}": rate(f"n_{m}", words, 1000) for m in MARKS})
+    return out.withColumns({f"band_{m}": band(m, f"rate_{m}", f"n_{m}") for m in MARKS})
 
 
 def contraction_count(norm: Column, words: lex.Lexicons = lex.DEFAULT) -> Column:
     found = F.transform(F.regexp_extract_all(norm, F.lit(CONTRACTION), F.lit(0)), F.lower)
-    return F.size(F.filter(found, lambda m: m.isin(*words.contractions) | ~m.endswith("'s"))).cast("long")
+    return F.size(F.filter(found, lambda m: tx.one_of(m, words.contractions) | ~m.endswith("'s"))).cast("long")
 
 
 def contraction_chances(tokens: Column) -> Column:
     """Neighbouring words that could have been contracted."""
-    pairs = F.zip_with(F.slice(tokens, F.lit(1), F.greatest(F.size(tokens) - 1, F.lit(0))), F.slice(tokens, F.lit(2), F.greatest(F.size(tokens) - 1, F.lit(0))), lambda a, b: (a.isin(*lex.CONTRACTABLE_SUBJECTS) & b.isin(*lex.CONTRACTABLE_FOLLOWERS)) | (a.isin(*lex.NEGATABLE) & (b == "not")))
+    pairs = F.zip_with(F.slice(tokens, F.lit(1), F.greatest(F.size(tokens) - 1, F.lit(0))), F.slice(tokens, F.lit(2), F.greatest(F.size(tokens) - 1, F.lit(0))), lambda a, b: (tx.one_of(a, lex.CONTRACTABLE_SUBJECTS) & tx.one_of(b, lex.CONTRACTABLE_FOLLOWERS)) | (tx.one_of(a, lex.NEGATABLE) & (b == "not")))
     return F.size(F.filter(pairs, lambda x: x)).cast("long")
 
 
@@ -217,7 +219,7 @@ def syntax_counts(norm: Column, words: lex.Lexicons = lex.DEFAULT, tokens: str =
     both = F.arrays_zip(F.col(sentences).alias("s"), F.col(sentence_tokens).alias("t"))
     first = lambda x: F.try_element_at(x["t"], F.lit(1))
     n = lambda keep: F.size(F.filter(both, keep)).cast("long")
-    finite = lambda x: F.exists(x["t"], lambda w: w.isin(*words.finite_verbs)) | x["s"].rlike(VERB_ENDING)
+    finite = lambda x: F.exists(x["t"], lambda w: tx.one_of(w, words.finite_verbs)) | x["s"].rlike(VERB_ENDING)
     return {
         "contraction_count": contraction_count(norm, words),
         "contraction_chances": contraction_chances(t),
@@ -228,8 +230,8 @@ def syntax_counts(norm: Column, words: lex.Lexicons = lex.DEFAULT, tokens: str =
         "fragment_count": n(lambda x: (F.size(x["t"]) > 0) & ~finite(x)),
         "conjunction_count": hits(t, words.conjunctions),
         "subordinate_count": hits(t, words.subordinators),
-        "initial_conjunction_count": n(lambda x: F.coalesce(first(x).isin(*words.initial_conjunctions), F.lit(False))),
-        "imperative_count": n(lambda x: F.coalesce(first(x).isin(*words.imperative_openers), F.lit(False)) & ~is_question(x["s"])),
+        "initial_conjunction_count": n(lambda x: F.coalesce(tx.one_of(first(x), words.initial_conjunctions), F.lit(False))),
+        "imperative_count": n(lambda x: F.coalesce(tx.one_of(first(x), words.imperative_openers), F.lit(False)) & ~is_question(x["s"])),
         "strong_modal_count": hits(t, words.strong_modals),
         "weak_modal_count": hits(t, words.weak_modals),
     }
@@ -242,17 +244,15 @@ PER_WORD = ("contraction", "first_person", "second_person", "conjunction", "stro
 def syntax(df: DataFrame, norm: str = "norm", words: lex.Lexicons = lex.DEFAULT) -> DataFrame:
     """measured() and the counts and rates of syntax. Sentences without a word count as sentences here."""
     out = df.withColumns(syntax_counts(F.col(norm), words))
-    n_words, n_sentences = F.size("tokens"), F.greatest(F.size("sentences"), F.lit(1))
-    rates = {f"{k}_rate": rate(F.col(f"{k}_count"), n_words, 100) for k in PER_WORD} | {f"{k}_rate": rate(F.col(f"{k}_count"), n_sentences, 100) for k in PER_SENTENCE}
-    chances = F.col("contraction_count") + F.col("contraction_chances")
-    return out.withColumns(rates | {"contraction_preference": ratio(F.col("contraction_count"), chances, 3)})
+    rates = {f"{k}_rate": rate(f"{k}_count", "size(tokens)", 100) for k in PER_WORD} | {f"{k}_rate": rate(f"{k}_count", "greatest(size(sentences), 1)", 100) for k in PER_SENTENCE}
+    return out.withColumns(rates | {"contraction_preference": ratio("contraction_count", "(contraction_count + contraction_chances)", 3)})
 
 
 def shape_hits(norm: Column, words: lex.Lexicons = lex.DEFAULT) -> Column:
     """Lower-cased technical shapes, one for each occurrence; of code only distinct ones."""
     found = {k: F.regexp_extract_all(norm, F.lit(p), F.lit(0)) for k, p in SHAPES.items()}
     lowered = {k: F.transform(x, F.lower) for k, x in found.items()}
-    acronyms = F.filter(lowered["acronym"], lambda x: ~x.isin(*words.stopwords))
+    acronyms = F.filter(lowered["acronym"], lambda x: ~tx.one_of(x, words.stopwords))
     return F.concat(lowered["camel"], lowered["snake"], lowered["filename"], lowered["flag"], acronyms, F.array_distinct(lowered["code"]))
 
 
@@ -262,7 +262,7 @@ def phrases_in(lower: Column, phrases: tuple[str, ...]) -> Column:
 
 def vocabulary_counts(norm: Column, words: lex.Lexicons = lex.DEFAULT, tokens: str = "tokens", lower: Column | None = None) -> dict[str, Column]:
     lower = F.col("lower") if lower is None else lower
-    marked = F.filter(tokens, lambda t: t.isin(*words.counted()))  # one pass over all tokens; the rest look at few
+    marked = F.filter(tokens, lambda t: tx.one_of(t, words.counted()))  # one pass over all tokens; the rest look at few
     smiles = sum((tx.literal_count(lower, p) for p in words.humour_punctuation), F.lit(0).cast("long"))
     return {
         "hedge_count": hits(marked, words.hedge_words) + phrases_in(lower, words.hedge_phrases),
@@ -283,4 +283,4 @@ VOCABULARY = ("hedge", "filler", "buzzword", "formal_vocab", "colloquial", "inte
 def vocabulary(df: DataFrame, norm: str = "norm", words: lex.Lexicons = lex.DEFAULT) -> DataFrame:
     """measured() and the counts and rates per 100 words of vocabulary."""
     out = df.withColumns(vocabulary_counts(F.col(norm), words))
-    return out.withColumns({f"{k}_rate": rate(F.col(f"{k}_count"), F.size("tokens"), 100) for k in VOCABULARY})
+    return out.withColumns({f"{k}_rate": rate(f"{k}_count", "size(tokens)", 100) for k in VOCABULARY})

@@ -58,12 +58,12 @@ def additive(analysed: DataFrame, keys: list[str]) -> DataFrame:
         F.sum(F.when(F.col("vocabulary_diversity") > 0, F.col("word_count"))).alias("__measured"),
     ]
     s = analysed.groupBy(*keys).agg(*sums)
-    words, n = F.col("word_count"), F.greatest(F.col("__sentences"), F.lit(1))
+    words = F.col("word_count")
     v = F.when(F.col("sentence_count") >= 2, (F.col("sentence_count").cast("double") * F.col("__q") - F.col("__s").cast("double") * F.col("__s")) / (F.col("sentence_count").cast("double") * F.col("sentence_count"))).otherwise(0.0)
-    s = s.withColumns({f"rate_{m}": rate(F.col(f"n_{m}"), words, 1000) for m in metrics.MARKS})
-    made = {f"band_{m}": metrics.band(m, F.col(f"rate_{m}"), F.col(f"n_{m}")) for m in metrics.MARKS}
-    made |= {f"{k}_rate": rate(F.col(f"{k}_count"), words, 100) for k in (*metrics.PER_WORD, *metrics.VOCABULARY)}
-    made |= {f"{k}_rate": rate(F.col(f"{k}_count"), n, 100) for k in metrics.PER_SENTENCE}
+    s = s.withColumns({f"rate_{m}": rate(f"n_{m}", "word_count", 1000) for m in metrics.MARKS})
+    made = {f"band_{m}": metrics.band(m, f"rate_{m}", f"n_{m}") for m in metrics.MARKS}
+    made |= {f"{k}_rate": rate(f"{k}_count", "word_count", 100) for k in (*metrics.PER_WORD, *metrics.VOCABULARY)}
+    made |= {f"{k}_rate": rate(f"{k}_count", "greatest(__sentences, 1)", 100) for k in metrics.PER_SENTENCE}
     made |= {
         "avg_sentence_length": ratio(F.col("__s"), F.col("sentence_count")), "sentence_length_variance": half_up(v, 2), "avg_paragraph_length": ratio(words, F.col("paragraph_count")),
         "avg_word_length": ratio(F.col("__chars"), words), "long_word_rate": rate(F.col("__long"), words, 100), "vocabulary_diversity": F.coalesce(half_up(F.col("__measured") / F.col("__factors"), 2), F.lit(0.0)),

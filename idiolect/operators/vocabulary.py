@@ -22,29 +22,29 @@ def frequencies(measured: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def content(token: Column, words: lex.Lexicons = lex.DEFAULT) -> Column:
-    return ~token.isin(*words.stopwords) & (F.length(token) > 2)
+    return ~tx.one_of(token, words.stopwords) & (F.length(token) > 2)
 
 
 def distinctive(token: Column, words: lex.Lexicons = lex.DEFAULT) -> Column:
-    return ~(token.isin(*lex.NUMBER_WORDS, *lex.VAGUE_WORDS, *words.contractions) | token.contains("'") | token.rlike("[0-9]"))
+    return ~(tx.one_of(token, lex.NUMBER_WORDS + lex.VAGUE_WORDS + words.contractions) | token.contains("'") | token.rlike("[0-9]"))
 
 
 def style_word(token: Column, words: lex.Lexicons = lex.DEFAULT) -> Column:
-    return token.isin(*words.hedge_words, *words.fillers, *words.colloquialisms, *words.intensifiers, *words.humour_markers) & distinctive(token, words)
+    return tx.one_of(token, words.hedge_words + words.fillers + words.colloquialisms + words.intensifiers + words.humour_markers) & distinctive(token, words)
 
 
 def word_lists(token: Column, n: Column, words: lex.Lexicons = lex.DEFAULT) -> dict[str, Column]:
     """Which lists a word with its count belongs to."""
     return {
         "common_words": content(token, words),
-        "unusual_words": content(token, words) & (F.length(token) >= 8) & (n <= 2) & ~token.isin(*words.technical_terms),
+        "unusual_words": content(token, words) & (F.length(token) >= 8) & (n <= 2) & ~tx.one_of(token, words.technical_terms),
         "repeated_words": content(token, words) & (n >= 3),
-        "technical_terms": token.isin(*words.technical_terms),
-        "colloquialisms": token.isin(*words.colloquialisms),
-        "filler_words": token.isin(*words.fillers),
-        "hedging_terms": token.isin(*words.hedge_words),
-        "buzzwords": token.isin(*words.buzzwords),
-        "formal_words": token.isin(*words.formal_vocab),
+        "technical_terms": tx.one_of(token, words.technical_terms),
+        "colloquialisms": tx.one_of(token, words.colloquialisms),
+        "filler_words": tx.one_of(token, words.fillers),
+        "hedging_terms": tx.one_of(token, words.hedge_words),
+        "buzzwords": tx.one_of(token, words.buzzwords),
+        "formal_words": tx.one_of(token, words.formal_vocab),
         "style_words": style_word(token, words),
     }
 
@@ -96,7 +96,7 @@ def avoid(measured: DataFrame, keys: list[str], words: lex.Lexicons = lex.DEFAUL
     """(keys, avoid): formal words that a group of 200 words or more never uses, though it uses their plain ones
     where they have any, at most eight; then unused phrases, twelve in all. Each input row is a whole group."""
     t, lower = F.col("tokens"), F.col("lower")
-    used = F.array_distinct(F.filter(t, lambda x: x.isin(*words.avoid_candidates, *(p.split()[0] for p in words.formal_to_plain.values()))))
+    used = F.array_distinct(F.filter(t, lambda x: tx.one_of(x, [*words.avoid_candidates, *(p.split()[0] for p in words.formal_to_plain.values())])))
     marked = measured.select(*keys, F.size(t).alias("__n"), used.alias("__used"), lower.alias("__lower"))
     single = []
     for c in words.avoid_candidates:

@@ -228,7 +228,7 @@ def vocabulary_rates(spark, sf_dir):
 @query(f"with {o.base(o.TEXTS)} " + " union all ".join(f"select '{k}' as shape, lower(x) as term, count(*) as n from b, unnest({v}) as u(x) group by 2" for k, v in o.SHAPES.items()))
 def technical_shapes(spark, sf_dir):
     found = {k: F.transform(F.regexp_extract_all("norm", F.lit(p), F.lit(0)), F.lower) for k, p in m.SHAPES.items()}
-    found["acronym"] = F.filter(found["acronym"], lambda x: ~x.isin(*lex.STOPWORDS))
+    found["acronym"] = F.filter(found["acronym"], lambda x: ~tx.one_of(x, lex.STOPWORDS))
     found["code"] = F.array_distinct(found["code"])
     named = lambda k, x: F.transform(x, lambda t: F.struct(F.lit(k).alias("shape"), t.alias("term")))
     every = F.concat(*(named(k, x) for k, x in found.items()))
