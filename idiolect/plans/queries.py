@@ -42,14 +42,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A table of fewer splits than cores is dealt over them; a large one is left as it is, without a shuffle."""
+    """A table of fewer splits than cores is dealt over them; a large one is left as it is, without a shuffle. To be
+    called on the table itself: a union with fixtures has the fixtures' partitions too."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = fx.frame(spark, [(fx.BASE_ID + i, t) for i, t in enumerate(fx.TEXTS)], "doc_id long, text string")
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(own))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).unionByName(own)
 
 
 def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +60,7 @@ def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """writer, seq, context, text: documents by source, and the fixtures' writers."""
     docs = table(spark, sf_dir, "documents").select(F.col("source").alias("writer"), F.col("doc_id").alias("seq"), F.col("lang").alias("context"), "text")
-    return spread(docs.unionByName(fx.frame(spark, fx.SAMPLES, "writer string, seq long, context string, text string")))
+    return spread(docs).unionByName(fx.frame(spark, fx.SAMPLES, "writer string, seq long, context string, text string"))
 
 
 FIXTURE_SAMPLES = fx.values(fx.SAMPLES, "writer, seq, context, text")
