@@ -248,12 +248,16 @@ def syntax(df: DataFrame, norm: str = "norm", words: lex.Lexicons = lex.DEFAULT)
     return out.withColumns(rates | {"contraction_preference": ratio("contraction_count", "(contraction_count + contraction_chances)", 3)})
 
 
-def shape_hits(norm: Column, words: lex.Lexicons = lex.DEFAULT) -> Column:
-    """Lower-cased technical shapes, one for each occurrence; of code only distinct ones."""
-    found = {k: F.regexp_extract_all(norm, F.lit(p), F.lit(0)) for k, p in SHAPES.items()}
+def code_shapes(norm: Column) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(norm, F.lit(SHAPES["code"]), F.lit(0)), F.lower))
+
+
+def shape_hits(norm: Column, words: lex.Lexicons = lex.DEFAULT, code: bool = True) -> Column:
+    """Lower-cased technical shapes, one for each occurrence; of code only distinct ones, or none."""
+    found = {k: F.regexp_extract_all(norm, F.lit(p), F.lit(0)) for k, p in SHAPES.items() if k != "code"}
     lowered = {k: F.transform(x, F.lower) for k, x in found.items()}
     acronyms = F.filter(lowered["acronym"], lambda x: ~tx.one_of(x, words.stopwords))
-    return F.concat(lowered["camel"], lowered["snake"], lowered["filename"], lowered["flag"], acronyms, F.array_distinct(lowered["code"]))
+    return F.concat(lowered["camel"], lowered["snake"], lowered["filename"], lowered["flag"], acronyms, *([code_shapes(norm)] if code else []))
 
 
 def phrases_in(lower: Column, phrases: tuple[str, ...]) -> Column:

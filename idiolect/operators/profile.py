@@ -2,8 +2,8 @@
 
 samples: writer, seq, context (a label or null), text. A writer's corpus is their samples in order with a blank line
 between, analysed by the same function as a single sample; a context's is its samples'. Writers (or contexts) of more
-than `most_chars` are not brought together in one row: their counts are summed with map-side combine instead, which
-gives the same features but for what spans two samples (see additive()).
+than `most_chars` are not brought together in one row: their counts are summed with map-side combine instead, and what
+spans two samples is added (see additive()), which gives the same features.
 """
 
 from __future__ import annotations
@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 from idiolect.functions import lexicons as lex
 from idiolect.functions import text as tx
 from idiolect.functions.numbers import half_up, rate, ratio
-from idiolect.operators import metrics, scoring, vocabulary
+from idiolect.operators import metrics, scoring, spanning, vocabulary
 from idiolect.operators.features import FEATURES, analyse
 
 VERSION, GENERATOR = "1.0", "idiolect"
-SEPARATOR = "\n\n"
+SEPARATOR = spanning.SEPARATOR
 CONTEXT_WORDS = 200
 #: Characters of a corpus that is analysed as one text.
 MOST_CHARS = 16_000_000
@@ -41,11 +41,27 @@ def corpora(samples: DataFrame, keys: list[str], order: str = "seq") -> DataFram
     return samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("sample_count"), F.array_join(rows, SEPARATOR).alias("text"))
 
 
-def additive(analysed: DataFrame, keys: list[str]) -> DataFrame:
+def crossing(samples: DataFrame, keys: list[str], words: lex.Lexicons = lex.DEFAULT) -> list[DataFrame]:
+    """Counts of what spans samples, a row a group and frame: to be added to the sums over the samples."""
+    rows = tx.normalised(samples.select(*keys, "seq", "text"))
+    lower = F.col("lower")
+    phrases = {"hedge": words.hedge_phrases, "buzzword": words.buzz_phrases, "colloquial": words.colloquial_phrases}
+    counts = {"passive": F.regexp_count("norm", F.lit(metrics.PASSIVE)).cast("long")} | {k: metrics.phrases_in(lower, p) for k, p in phrases.items()}
+    edges = spanning.text_edges(rows, keys).withColumn("lower", F.lower("norm"))
+    pairs = spanning.token_edges(rows.withColumn("tokens", tx.tokens(F.col("norm"))), keys)
+    return [
+        edges.groupBy(*keys).agg(*(F.sum(F.col("sign") * c).alias(f"{k}_count") for k, c in counts.items())),
+        pairs.groupBy(*keys).agg(F.sum(F.col("sign") * metrics.contraction_chances(F.col("tokens"))).alias("contraction_chances")),
+        spanning.code_terms(rows, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("technical_count")),
+        spanning.diversity(rows, keys),
+    ]
+
+
+def additive(analysed: DataFrame, keys: list[str], words: lex.Lexicons = lex.DEFAULT, samples: DataFrame | None = None) -> DataFrame:
     """(keys, sample_count, exact, and what analyse() gives a corpus that profiles need) from its samples' metrics.
 
-    Sums of counts, so no group is ever in one place. It differs from the whole where something spans two samples
-    (phrases, contractible pairs), and its lexical diversity is words over the samples' summed factors."""
+    Sums of counts, and what spans samples: the same values as of the whole. exact says only that the corpus was one
+    text. analysed: analyse(samples), with keys, seq and text; samples spares its analysis where only texts are needed."""
     counts = [f"{k}_count" for k in (*metrics.PER_WORD, *metrics.PER_SENTENCE, *metrics.VOCABULARY)]
     marks = [f"n_{m}" for m in metrics.MARKS]
     n_sentences = F.size("sentences").cast("long")
@@ -54,19 +70,23 @@ def additive(analysed: DataFrame, keys: list[str]) -> DataFrame:
     sums += [
         F.count(F.lit(1)).alias("sample_count"), F.sum(n_sentences).alias("__sentences"), F.sum(metrics.total(lengths)).alias("__s"),
         F.sum(metrics.total(F.transform(lengths, lambda x: x.cast("long") * x))).alias("__q"), F.sum(metrics.total(F.transform("tokens", F.length))).alias("__chars"),
-        F.sum(F.size(F.filter("tokens", lambda t: F.length(t) >= 7))).alias("__long"), F.sum(F.when(F.col("vocabulary_diversity") > 0, F.col("word_count") / F.col("vocabulary_diversity"))).alias("__factors"),
-        F.sum(F.when(F.col("vocabulary_diversity") > 0, F.col("word_count"))).alias("__measured"),
+        F.sum(F.size(F.filter("tokens", lambda t: F.length(t) >= 7))).alias("__long"),
     ]
-    s = analysed.groupBy(*keys).agg(*sums)
-    words = F.col("word_count")
-    v = F.when(F.col("sentence_count") >= 2, (F.col("sentence_count").cast("double") * F.col("__q") - F.col("__s").cast("double") * F.col("__s")) / (F.col("sentence_count").cast("double") * F.col("sentence_count"))).otherwise(0.0)
+    s = analysed.withColumn("technical_count", F.col("technical_count") - F.size(metrics.code_shapes(F.col("norm")))).groupBy(*keys).agg(*sums)
+    summed = [c for c in s.columns if c not in keys]
+    for more in crossing(analysed if samples is None else samples, keys, words):
+        s = s.unionByName(more, allowMissingColumns=True)
+    s = s.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in summed), F.max("vocabulary_diversity").alias("vocabulary_diversity"))
+    whole = lambda c: F.col(c).cast("decimal(19,0)")
+    v = F.when(F.col("sentence_count") >= 2, (whole("sentence_count") * whole("__q") - whole("__s") * whole("__s")).cast("double") / (whole("sentence_count") * whole("sentence_count")).cast("double")).otherwise(0.0)
+    n_words = F.col("word_count")
     s = s.withColumns({f"rate_{m}": rate(f"n_{m}", "word_count", 1000) for m in metrics.MARKS})
     made = {f"band_{m}": metrics.band(m, f"rate_{m}", f"n_{m}") for m in metrics.MARKS}
     made |= {f"{k}_rate": rate(f"{k}_count", "word_count", 100) for k in (*metrics.PER_WORD, *metrics.VOCABULARY)}
     made |= {f"{k}_rate": rate(f"{k}_count", "greatest(__sentences, 1)", 100) for k in metrics.PER_SENTENCE}
     made |= {
-        "avg_sentence_length": ratio(F.col("__s"), F.col("sentence_count")), "sentence_length_variance": half_up(v, 2), "avg_paragraph_length": ratio(words, F.col("paragraph_count")),
-        "avg_word_length": ratio(F.col("__chars"), words), "long_word_rate": rate(F.col("__long"), words, 100), "vocabulary_diversity": F.coalesce(half_up(F.col("__measured") / F.col("__factors"), 2), F.lit(0.0)),
+        "avg_sentence_length": ratio(F.col("__s"), F.col("sentence_count")), "sentence_length_variance": half_up(v, 2), "avg_paragraph_length": ratio(n_words, F.col("paragraph_count")),
+        "avg_word_length": ratio(F.col("__chars"), n_words), "long_word_rate": rate(F.col("__long"), n_words, 100),
         "contraction_preference": ratio(F.col("contraction_count"), F.col("contraction_count") + F.col("contraction_chances"), 3),
         "exclamation_rate": half_up(F.col("n_exclamation") * 100.0 / F.greatest(F.col("sentence_count"), F.lit(1)), 4),
         "comma_rate": half_up(F.col("rate_comma") / 10.0, 4), "semicolon_rate": F.col("rate_semicolon"), "parenthesis_rate": F.col("rate_parentheses"), "em_dash_rate": F.col("rate_em_dash"), "exact": F.lit(False),
@@ -78,11 +98,12 @@ CORPUS = ("sample_count", "exact", "word_count", "sentence_count", "paragraph_co
 
 
 def corpus_metrics(samples: DataFrame, analysed: DataFrame, keys: list[str], words: lex.Lexicons = lex.DEFAULT, most_chars: int = MOST_CHARS) -> DataFrame:
-    """(keys, CORPUS): the whole corpus as one text where it is small enough, sums where not. analysed: analyse(samples)."""
+    """(keys, CORPUS): the whole corpus as one text where it is small enough, sums where not, with equal values.
+    analysed: analyse(samples)."""
     size = samples.groupBy(*keys).agg(F.sum(F.length("text")).alias("__size"))
     small, large = (size.where(F.col("__size") <= most_chars).drop("__size"), size.where(F.col("__size") > most_chars).drop("__size"))
     whole = analyse(corpora(samples.join(small, keys, "left_semi"), keys), words=words).withColumn("exact", F.lit(True))
-    return whole.select(*keys, *CORPUS).unionByName(additive(analysed.join(large, keys, "left_semi"), keys).select(*keys, *CORPUS))
+    return whole.select(*keys, *CORPUS).unionByName(additive(analysed.join(large, keys, "left_semi"), keys, words, samples.join(large, keys, "left_semi")).select(*keys, *CORPUS))
 
 
 def score_groups(samples: DataFrame, keys: list[str], words: lex.Lexicons = lex.DEFAULT, most_chars: int = MOST_CHARS) -> tuple[DataFrame, DataFrame]:
