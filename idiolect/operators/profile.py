@@ -166,11 +166,11 @@ def build(samples: DataFrame, verdicts: DataFrame | None = None, created_at: str
     keys = ["writer"]
     rows = usable(samples)
     corpus, results = score_groups(rows, keys, words, most_chars)
-    lists_of = metrics.measured(tx.normalised(corpora(rows.select("writer", "seq", "text"), keys)))
-    counted = vocabulary.terms(lists_of, keys, words)
+    lists_of = metrics.measured(tx.normalised(rows.select("writer", "seq", "text")))
+    counted = vocabulary.terms(lists_of, keys, words, "seq")
     tops = vocabulary.top_lists(counted, keys).select("writer", "technical_terms", "colloquialisms")
     out = corpus.join(style(results, keys), keys).join(tops, keys, "left").join(vocabulary.prefer(counted, keys), keys, "left")
-    out = out.join(vocabulary.avoid(lists_of, keys, words), keys, "left").join(vocabulary.recurring_phrases(lists_of, keys, words), keys, "left")
+    out = out.join(vocabulary.avoid(lists_of, keys, words), keys, "left").join(vocabulary.recurring_phrases(lists_of, keys, words, "seq"), keys, "left")
     varied = scoring.contradictions(results, keys).groupBy("writer").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "dimension", "low", "high", "scatter"))), lambda x: F.struct(x["dimension"].alias("dimension"), x["low"].alias("low"), x["high"].alias("high"), x["scatter"].alias("scatter"))).alias("varies"))
     contexts = context_profiles(samples, words, most_chars).groupBy("writer").agg(F.array_sort(F.collect_list(F.struct("context", "style", F.struct("sample_count", "word_count").alias("metadata")))).alias("contexts"))
     out = out.join(varied, keys, "left").join(contexts, keys, "left")

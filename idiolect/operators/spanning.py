@@ -62,7 +62,10 @@ def code_terms(rows: DataFrame, keys: list[str], order: str = "seq") -> DataFram
 
     A backtick opens a span if another follows, but not at once: a single one opens or closes, and after several in
     a row a span is open. So the state at the start of a sample follows from running sums, and a span from one sample
-    into another is put together from the pieces of those that it crosses."""
+    into another is put together from the pieces of those that it crosses. A CR at the end of a sample makes one line
+    end with the blank line after it."""
+    ends_in_cr = F.translate("text", "\ufeff", "").endswith("\r")
+    rows = rows.withColumn("norm", F.when(ends_in_cr, F.substr("norm", F.lit(1), F.length("norm") - 1)).otherwise(F.col("norm")))
     runs = F.regexp_extract_all("norm", F.lit("`+"), F.lit(0))
     r = rows.select(*keys, order, "text", "norm", runs.alias("runs")).select(
         *keys, order, "text", "norm", (F.size("runs") > 0).alias("any"), F.exists("runs", lambda x: F.length(x) > 1).alias("several"),

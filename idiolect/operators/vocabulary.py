@@ -1,6 +1,8 @@
 """Word and phrase lists of a group of texts (a text, a writer): one token shuffle with map-side counts, then ranks.
 
-Groups are keyed by `keys`; each input row is one text of a group, and a group's rows are counted together.
+Groups are keyed by `keys`; each input row is one text of a group, and a group's rows are counted together. With
+`order`, the rows are samples of a corpus in that order (they need `text`, too), and what spans them is counted as well;
+without, they are texts of their own.
 """
 
 from __future__ import annotations
@@ -10,10 +12,11 @@ from pyspark.sql import functions as F
 
 from idiolect.functions import lexicons as lex
 from idiolect.functions import text as tx
-from idiolect.operators import metrics
+from idiolect.operators import metrics, spanning
 
 LIMIT, AVOID_WORDS, AVOID_FROM, AVOID_SINGLE, PREFER_PHRASES = 12, 200, 2, 8, 6
 PHRASE_LIMIT, PHRASE_MIN = 10, 2
+FIRST_PHRASES = 1_000
 
 
 def frequencies(measured: DataFrame, keys: list[str]) -> DataFrame:
@@ -52,22 +55,27 @@ def word_lists(token: Column, n: Column, words: lex.Lexicons = lex.DEFAULT) -> d
 LISTS = ("common_words", "unusual_words", "repeated_words", "technical_terms", "colloquialisms", "filler_words", "hedging_terms", "buzzwords", "formal_words", "style_words", "style_phrases")
 
 
-def phrase_rows(measured: DataFrame, keys: list[str], words: lex.Lexicons = lex.DEFAULT) -> DataFrame:
+def phrase_rows(measured: DataFrame, keys: list[str], words: lex.Lexicons = lex.DEFAULT, order: str | None = None) -> DataFrame:
     """(keys, list, term, n) of the phrases and shapes that count towards a list."""
     by_list = (("hedging_terms", words.hedge_phrases), ("style_phrases", words.hedge_phrases), ("colloquialisms", words.colloquial_phrases), ("style_phrases", words.colloquial_phrases), ("buzzwords", words.buzz_phrases))
     row = lambda name, x: F.struct(F.lit(name).alias("list"), x["term"].alias("term"), x["n"].alias("n"))
     listed = lambda name, phrases: F.transform(tx.phrases_found(F.col("lower"), phrases), lambda x: row(name, x))
-    shapes = F.transform(metrics.shape_hits(F.col("norm"), words), lambda x: F.struct(F.lit("technical_terms").alias("list"), x.alias("term"), F.lit(1).cast("long").alias("n")))
-    both = F.concat(*(listed(name, phrases) for name, phrases in by_list), shapes)
-    return measured.select(*keys, F.inline(both)).groupBy(*keys, "list", "term").agg(F.sum("n").alias("n"))
+    phrases = [listed(name, p) for name, p in by_list]
+    shapes = F.transform(metrics.shape_hits(F.col("norm"), words, order is None), lambda x: F.struct(F.lit("technical_terms").alias("list"), x.alias("term"), F.lit(1).cast("long").alias("n")))
+    rows = measured.select(*keys, F.inline(F.concat(*phrases, shapes)))
+    if order is not None:
+        edges = spanning.text_edges(measured, keys, order).withColumn("lower", F.lower("norm"))
+        rows = rows.unionByName(edges.select(*keys, "sign", F.inline(F.concat(*phrases))).withColumn("n", F.col("n") * F.col("sign")).drop("sign"))
+        rows = rows.unionByName(spanning.code_terms(measured, keys, order).select(*keys, F.lit("technical_terms").alias("list"), "term", F.lit(1).cast("long").alias("n")))
+    return rows.groupBy(*keys, "list", "term").agg(F.sum("n").alias("n")).where("n > 0")
 
 
-def terms(measured: DataFrame, keys: list[str], words: lex.Lexicons = lex.DEFAULT) -> DataFrame:
+def terms(measured: DataFrame, keys: list[str], words: lex.Lexicons = lex.DEFAULT, order: str | None = None) -> DataFrame:
     """(keys, list, term, n): every list's terms with their counts, words and phrases together."""
     counted = frequencies(measured, keys)
     lists = F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in word_lists(F.col("token"), F.col("n"), words).items())))
     single = counted.select(*keys, F.explode(lists).alias("list"), F.col("token").alias("term"), "n")
-    return single.unionByName(phrase_rows(measured, keys, words)).groupBy(*keys, "list", "term").agg(F.sum("n").alias("n"))
+    return single.unionByName(phrase_rows(measured, keys, words, order)).groupBy(*keys, "list", "term").agg(F.sum("n").alias("n"))
 
 
 def ranked(counted: DataFrame, keys: list[str], limit: int = LIMIT) -> DataFrame:
@@ -94,22 +102,31 @@ def prefer(counted: DataFrame, keys: list[str]) -> DataFrame:
 
 def avoid(measured: DataFrame, keys: list[str], words: lex.Lexicons = lex.DEFAULT) -> DataFrame:
     """(keys, avoid): formal words that a group of 200 words or more never uses, though it uses their plain ones
-    where they have any, at most eight; then unused phrases, twelve in all. Each input row is a whole group."""
-    t, lower = F.col("tokens"), F.col("lower")
-    used = F.array_distinct(F.filter(t, lambda x: tx.one_of(x, [*words.avoid_candidates, *(p.split()[0] for p in words.formal_to_plain.values())])))
-    marked = measured.select(*keys, F.size(t).alias("__n"), used.alias("__used"), lower.alias("__lower"))
+    where they have any, at most eight; then unused phrases, twelve in all. Such a phrase has plain blanks, so none
+    spans two samples."""
+    plain = {c: p.split()[0] for c, p in words.formal_to_plain.items() if p}
+    looked_for = list(dict.fromkeys([*words.avoid_candidates, *plain.values()]))
+    used = F.array_distinct(F.filter("tokens", lambda x: tx.one_of(x, looked_for)))
+    held = F.filter(F.array(*map(F.lit, words.avoid_phrases)), lambda p: F.contains("lower", p))
+    rows = measured.select(*keys, F.size("tokens").cast("long").alias("__n"), used.alias("__used"), held.alias("__held"))
+    found = rows.select(*keys, F.explode_outer(F.concat("__used", held_as(F.col("__held")))).alias("__term")).distinct().groupBy(*keys).agg(F.collect_list("__term").alias("__terms"))
+    marked = rows.groupBy(*keys).agg(F.sum("__n").alias("__n")).join(found, keys)
     single = []
     for c in words.avoid_candidates:
-        plain = words.formal_to_plain.get(c)
-        good = ~F.array_contains("__used", c)
-        single.append(F.when(good & F.array_contains("__used", plain.split()[0]) if plain else good, F.lit(c)))
+        good = ~F.array_contains("__terms", c)
+        single.append(F.when(good & F.array_contains("__terms", plain[c]) if c in plain else good, F.lit(c)))
     first = F.slice(F.array_compact(F.array(*single)), 1, AVOID_SINGLE)
-    more = F.array_compact(F.array(*(F.when(~F.contains("__lower", F.lit(p)), F.lit(p)) for p in words.avoid_phrases)))
+    more = F.array_compact(F.array(*(F.when(~F.array_contains("__terms", f" {p}"), F.lit(p)) for p in words.avoid_phrases)))
     both = F.slice(F.concat(first, more), 1, LIMIT)
     return marked.select(*keys, F.when(F.col("__n") >= AVOID_WORDS, both).otherwise(F.array().cast("array<string>")).alias("avoid"))
 
 
-def phrase_counts(measured: DataFrame, keys: list[str], words: lex.Lexicons = lex.DEFAULT) -> DataFrame:
+def held_as(phrases: Column) -> Column:
+    """Phrases with a blank before them, which no token has."""
+    return F.transform(phrases, lambda p: F.concat(F.lit(" "), p))
+
+
+def phrase_counts(measured: DataFrame, keys: list[str], words: lex.Lexicons = lex.DEFAULT, order: str | None = None) -> DataFrame:
     """(keys, phrase, n) of the two to four word runs that start with a seed word."""
     t = F.col("tokens")
 
@@ -117,15 +134,28 @@ def phrase_counts(measured: DataFrame, keys: list[str], words: lex.Lexicons = le
         starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(t) - size + 1, F.lit(1))), lambda i: (i <= F.size(t) - size + 1) & F.try_element_at(t, i).isin(*words.phrase_seeds))
         return F.transform(starts, lambda i: F.array_join(F.slice(t, i, F.lit(size)), " "))
 
-    return measured.select(*keys, F.explode(F.concat(grams(4), grams(3), grams(2))).alias("phrase")).groupBy(*keys, "phrase").agg(F.count(F.lit(1)).alias("n"))
+    runs = F.explode(F.concat(grams(4), grams(3), grams(2))).alias("phrase")
+    if order is None:
+        return measured.select(*keys, runs).groupBy(*keys, "phrase").agg(F.count(F.lit(1)).alias("n"))
+    rows = measured.select(*keys, F.lit(1).cast("long").alias("sign"), runs).unionByName(spanning.token_edges(measured, keys, order).select(*keys, "sign", runs))
+    return rows.groupBy(*keys, "phrase").agg(F.sum("sign").alias("n")).where("n > 0")
 
 
-def recurring_phrases(measured: DataFrame, keys: list[str], words: lex.Lexicons = lex.DEFAULT) -> DataFrame:
-    """(keys, phrases): those found twice or more, most frequent first, without what a kept one contains, at most ten."""
-    rows = phrase_counts(measured, keys, words).where(F.col("n") >= PHRASE_MIN)
+def recurring_phrases(measured: DataFrame, keys: list[str], words: lex.Lexicons = lex.DEFAULT, order: str | None = None, first: int = FIRST_PHRASES) -> DataFrame:
+    """(keys, phrases): those found twice or more, most frequent first, without what a kept one contains, at most ten.
+    They are sought among a group's `first` most frequent; all of its phrases are looked through only if those do not
+    give ten."""
+    rows = phrase_counts(measured, keys, words, order).where(F.col("n") >= PHRASE_MIN)
     ordered = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "phrase"))), lambda x: x["phrase"])
 
     def step(kept: Column, p: Column) -> Column:
         return F.when((F.size(kept) >= PHRASE_LIMIT) | F.exists(kept, lambda k: F.contains(k, p)), kept).otherwise(F.concat(kept, F.array(p)))
 
-    return rows.groupBy(*keys).agg(F.aggregate(ordered, F.array().cast("array<string>"), step).alias("phrases"))
+    def kept(of: DataFrame) -> DataFrame:
+        return of.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.aggregate(ordered, F.array().cast("array<string>"), step).alias("phrases"))
+
+    w = Window.partitionBy(*keys).orderBy(F.desc("n"), "phrase")
+    top = kept(rows.withColumn("__rank", F.row_number().over(w)).where(F.col("__rank") <= first))
+    short = (F.col("__n") == first) & (F.size("phrases") < PHRASE_LIMIT)
+    rest = kept(rows.join(top.where(short).select(*keys), keys, "left_semi"))
+    return top.where(~short).unionByName(rest).select(*keys, "phrases")

@@ -283,21 +283,20 @@ CORPORA = f"select writer, string_agg(text, chr(10) || chr(10) order by seq) as
 TERMS = f"{o.base(CORPORA, 'writer')}, freq as (select writer, token, count(*) as n from b, unnest(tokens) as u(token) group by 1, 2), terms as (select writer, list, term, sum(n)::bigint as n from ({_lists()}) where n > 0 group by 1, 2, 3)"
 
 
-def corpora_measured(spark, sf_dir):
-    rows = profile.usable(samples(spark, sf_dir)).select("writer", "seq", "text")
-    return m.measured(tx.normalised(profile.corpora(rows, ["writer"])))
+def samples_measured(spark, sf_dir):
+    return m.measured(tx.normalised(profile.usable(samples(spark, sf_dir)).select("writer", "seq", "text")))
 
 
 @query(f"with {TERMS} select writer, list, term, n, rank from (select *, row_number() over (partition by writer, list order by n desc, term)::integer as rank from terms) where rank <= 12")
 def top_lists(spark, sf_dir):
-    return vocabulary.ranked(vocabulary.terms(corpora_measured(spark, sf_dir), ["writer"]), ["writer"]).select("writer", "list", "term", "n", "rank")
+    return vocabulary.ranked(vocabulary.terms(samples_measured(spark, sf_dir), ["writer"], order="seq"), ["writer"]).select("writer", "list", "term", "n", "rank")
 
 
 @query(f"""with {TERMS}, k as (select writer, term, n, (list = 'style_words')::integer as kind, row_number() over (partition by writer, list order by n desc, term) as rank from terms where list in ('style_words', 'style_phrases')),
 s as (select writer, term, row_number() over (partition by writer order by kind, rank) as place from k where n >= 2 and rank <= case when kind = 0 then 6 else 12 end)
 select writer, array_to_string(list(term order by place), '|') as prefer from s where place <= 12 group by writer""")
 def prefer_list(spark, sf_dir):
-    found = vocabulary.prefer(vocabulary.terms(corpora_measured(spark, sf_dir), ["writer"]), ["writer"])
+    found = vocabulary.prefer(vocabulary.terms(samples_measured(spark, sf_dir), ["writer"], order="seq"), ["writer"])
     return found.select("writer", F.array_join("prefer", "|").alias("prefer"))
 
 
@@ -312,18 +311,18 @@ select b.writer, coalesce(array_to_string(list(c order by i) filter (where k <=
 
 @query(_avoid())
 def avoid_list(spark, sf_dir):
-    return vocabulary.avoid(corpora_measured(spark, sf_dir), ["writer"]).select("writer", F.array_join("avoid", "|").alias("avoid"))
+    return vocabulary.avoid(samples_measured(spark, sf_dir), ["writer"]).select("writer", F.array_join("avoid", "|").alias("avoid"))
 
 
 @query(f"""with {o.base(CORPORA, 'writer')}, g as (select writer, array_to_string(tokens[i:i + k - 1], ' ') as phrase from b, unnest(range(1, words + 1)) as u(i), (values (2), (3), (4)) as v(k) where i + k - 1 <= words and tokens[i] in {o.lit(lex.PHRASE_SEEDS)})
 select writer, phrase, count(*) as n from g group by 1, 2""")
 def phrase_counts(spark, sf_dir):
-    return vocabulary.phrase_counts(corpora_measured(spark, sf_dir), ["writer"])
+    return vocabulary.phrase_counts(samples_measured(spark, sf_dir), ["writer"], order="seq")
 
 
 @query()
 def recurring_phrases(spark, sf_dir):
-    found = vocabulary.recurring_phrases(corpora_measured(spark, sf_dir), ["writer"])
+    found = vocabulary.recurring_phrases(samples_measured(spark, sf_dir), ["writer"], order="seq")
     return found.select("writer", F.array_join("phrases", "|").alias("phrases"))
 
 

@@ -2,8 +2,10 @@
 
 import random
 
-from idiolect.operators import profile
+from idiolect.functions import text as tx
+from idiolect.operators import metrics, profile, vocabulary
 from idiolect.plans import fixtures as fx
+from idiolect.plans import queries
 
 SCHEMA = "writer string, seq long, context string, text string"
 PIECES = (
@@ -29,3 +31,23 @@ def test_sums_equal_the_whole_where_samples_are_spanned(spark):
     for c in profile.CORPUS:
         if c != "exact":
             assert {w: r[c] for w, r in whole.items()} == {w: r[c] for w, r in sums.items()}, c
+
+
+def test_lists_of_samples_are_those_of_the_whole(spark):
+    rows = profile.usable(fx.frame(spark, scattered(5) + scattered(6, 3, 200), SCHEMA)).select("writer", "seq", "text")
+    parts = metrics.measured(tx.normalised(rows)).cache()
+    whole = metrics.measured(tx.normalised(profile.corpora(rows, ["writer"]))).cache()
+    got = lambda df: sorted(map(str, df.select(sorted(df.columns)).collect()))
+    for f in (vocabulary.terms, vocabulary.phrase_counts, vocabulary.recurring_phrases):
+        assert got(f(parts, ["writer"], order="seq")) == got(f(whole, ["writer"])), f.__name__
+    assert got(vocabulary.avoid(parts, ["writer"])) == got(vocabulary.avoid(whole, ["writer"]))
+    assert got(vocabulary.recurring_phrases(parts, ["writer"], order="seq", first=3)) == got(vocabulary.recurring_phrases(whole, ["writer"]))
+
+
+def test_no_list_brings_a_corpus_together(spark, monkeypatch):
+    def refused(*args, **more):
+        raise AssertionError("a corpus in one row")
+
+    monkeypatch.setattr(queries.profile, "corpora", refused)
+    for name in ("top_lists", "prefer_list", "avoid_list", "phrase_counts", "recurring_phrases"):
+        queries.QUERIES[name](spark, "/root/testdata/sf0.001")
