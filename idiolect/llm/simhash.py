@@ -56,19 +56,20 @@ def fingerprint(raw: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     return int(np.packbits(2 * counts > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp) per row, fp as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
+    """(id, also, fp) per row, fp as a signed long."""
+    kept = [id_col, *also]
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            fps = np.array([fingerprint(raw) for raw in as_bytes(batch.column(1))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=[id_col, "fp"])
+            fps = np.array([fingerprint(raw) for raw in as_bytes(batch.column(len(kept)))], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(fps)], names=[*kept, "fp"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, fp long")
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in kept)
+    return docs.select(*kept, text_col).mapInArrow(run, f"{kinds}, fp long")
 
 
 def bit_counts(nodes: DataFrame):
@@ -234,22 +235,32 @@ def links(rows: DataFrame, most: int = MOST) -> DataFrame:
     return ordered.mapInArrow(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST, tile: int = TILE) -> DataFrame:
-    """Per row of docs: id, fingerprint (16 hex digits), component_id (the smallest id that links reach)."""
-    prints = cut(fingerprints(docs, id_col, text_col), "prints")
+def grouped_rows(docs: DataFrame, id_col: str, text_col: str, most: int, tile: int, also: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """The rows' fingerprints (id, also, fp), and of each fingerprint (fp, low, root): its smallest id and the
+    component that links reach."""
+    prints = cut(fingerprints(docs, id_col, text_col, also), "prints")
     nodes = cut(prints.groupBy("fp").agg(F.min(id_col).alias("low")), "nodes")
     n, both = bit_counts(nodes)
     parts = allocate(n, both, most)
     roots = components(links(tiled(probes(nodes, parts), tile), most))
     lows = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lows = cut(lows, "roots")
+    return prints, cut(lows, "roots")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST, tile: int = TILE) -> DataFrame:
+    """Per row of docs: id, fingerprint (16 hex digits), component_id (the smallest id that links reach)."""
+    prints, lows = grouped_rows(docs, id_col, text_col, most, tile)
     least = lows.groupBy("root").agg(F.min("low").alias("component_id"))
     reps = lows.join(least, "root").select("fp", "component_id")
     return prints.join(reps, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST) -> DataFrame:
-    """The rows of docs whose id is their component's smallest, all columns as they are."""
-    found = near_duplicates(docs, id_col, text_col, most)
-    chosen = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__kept")).distinct()
-    return docs.join(chosen, docs[id_col].eqNullSafe(F.col("__kept")), "left_semi")
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST, tile: int = TILE) -> DataFrame:
+    """One row of docs for each component, all columns as they are: that of the smallest id, of equal or null ids the
+    first in the scan, so docs must give the same rows in the same order when read again."""
+    placed = docs.withColumn("__row", F.monotonically_increasing_id())
+    prints, lows = grouped_rows(placed, id_col, text_col, most, tile, ("__row",))
+    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "__row"))
+    of_print = prints.groupBy("fp").agg(first.alias("first"))
+    chosen = of_print.join(lows.select("fp", "root"), "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.__row").alias("__row"))
+    return placed.join(chosen, "__row", "left_semi").select(docs.columns)

@@ -1,0 +1,13 @@
+"""Rows, spans and tables that an operator once left out or let through."""
+
+from idiolect.llm import simhash
+
+
+def test_one_row_of_each_component_whatever_the_ids(spark):
+    a, b, c = ("the quick brown fox jumps over the lazy dog again and again", "entirely different words stand here for another group of rows", "third text about rivers and mountains in the far north of it")
+    rows = [(1, a, 0), (1, a, 1), (2, a, 2), (None, a, 3), (2, b, 4), (None, b, 5), (None, c, 6), (None, c, 7), (1, c, 8), (5, c, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int").coalesce(1)
+    assert sorted(r.n for r in simhash.representatives(df).collect()) == [0, 4, 8]
+    nulls = spark.createDataFrame([(None, a, 0), (None, a, 1), (None, b, 2)], "doc_id long, text string, n int").coalesce(1)
+    assert sorted(r.n for r in simhash.representatives(nulls).collect()) == [0, 2]
+    assert simhash.representatives(df.limit(0)).count() == 0
