@@ -3,7 +3,9 @@
 Both models are first-order chains over the characters of a token, with add-half smoothing, trained from
 labelled samples (a DataFrame of text and label, 1 for random). A token's score is its log-likelihood ratio a
 transition; it is a secret above a threshold halfway between the identifiers' high and the random strings' low
-scores on the training sample. Scored are runs of 20 or more of [A-Za-z0-9+/_=-] that have a letter and a digit.
+scores on the training sample. Scored are all runs of 20 or more of [A-Za-z0-9+/_=-], but for rules and fillers of
+fewer than DISTINCT characters, as -----: of random digits less than one in 10^8 is such a run. A span of the model is
+kept unless the patterns' spans cover all of it, so spans of both can overlap.
 
 Everything runs in SQL functions; the driver sees the two transition tables, of a fixed size.
 
@@ -27,7 +29,7 @@ ACCESS = r"AKIA[A-Z0-9]{16,}+"
 HEX = r"[0-9a-f]{24,}+"
 TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 KINDS = ("assign", "access", "hex", "random")
-SIDE = 128
+SIDE, DISTINCT = 128, 4
 #: Words of which the ordinary identifiers of the bundled sample are made.
 WORDS = """get set user name list item count index value key data file path load save read write open close start stop
 create delete update insert select order group table column row query result error message request response client
@@ -112,9 +114,13 @@ def scan(docs: DataFrame, model: Model, text_col: str = "text", base_col: str =
     base = docs.withColumn(base_col, base_spans(text))
 
     def likely(m: Column) -> Column:
-        return m.rlike("[0-9]") & m.rlike("[A-Za-z]") & (model.score(m) > model.threshold)
+        return (F.size(F.array_distinct(F.split(m, ""))) >= DISTINCT) & (model.score(m) > model.threshold)
 
-    added = F.filter(spans.matches(text, "random", TOKEN, likely), lambda x: ~spans.overlaps(F.col(base_col), x))
+    def beyond(x: Column) -> Column:
+        reached = F.aggregate(in_order(F.col(base_col)), x["start"], lambda at, y: F.when(y["start"] <= at, F.greatest(at, y["end"])).otherwise(at))
+        return reached < x["end"]
+
+    added = F.filter(spans.matches(text, "random", TOKEN, likely), beyond)
     both = base.withColumn(all_col, in_order(F.concat(base_col, added)))
     return both.withColumn(base_col, in_order(F.col(base_col)))
 
