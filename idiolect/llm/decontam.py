@@ -5,7 +5,8 @@ Each edit spoils at most q of the passage's m - q + 1 q-grams, so an occurrence
 T = m - q + 1 - q * e of them, all within e diagonals of each other (e is lowered until T is at least `least`).
 Diagonals are counted in bands of width 2 * span that overlap by half, span >= 2 * e + 1, so one band holds
 all the q-grams of an occurrence. Bands with T distinct q-grams of the passage or more are kept and verified
-by banded alignment, which gives the least number of edits.
+by banded alignment, which gives the least number of edits. Only whole passages are found: a document that quotes
+a part of a passage, so that more than e edits are missing from the rest, has no hit.
 
 Both sides are lower-cased, and runs of blanks count as one space. Passages of fewer than q characters are
 compared as they are (e = 0, containment). The passages are shared with every task in blocks of a checked

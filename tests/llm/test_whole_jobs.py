@@ -1,6 +1,6 @@
 """Rows, spans and tables that an operator once left out or let through."""
 
-from idiolect.llm import secrets, simhash
+from idiolect.llm import decontam, secrets, simhash
 
 
 def test_one_row_of_each_component_whatever_the_ids(spark):
@@ -22,3 +22,11 @@ def test_the_ratio_alone_decides_and_long_keys_are_taken_whole(spark):
     assert [hidden[i] for i in range(6)] == ["a [SECRET] b"] * 3 + ["[SECRET]", *texts[4:]]
     found = {r.doc_id: r.spans for r in secrets.digests(df, model).collect()}
     assert found[2] == f"random:2:{2 + len(key)},access:6:26" and found[3] == "access:0:20"
+
+
+def test_only_whole_items_are_found(spark):
+    """States the bound that the README names."""
+    item = " ".join(f"word{i} of the long item" for i in range(30))
+    df = spark.createDataFrame([(0, f"so it goes: {item} and on"), (1, f"so it goes: {item[: len(item) * 2 // 3]}"), (2, item[: len(item) * 19 // 20])], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert {r.doc_id: r.contaminated for r in decontam.flags(df, bench).collect()} == {0: True, 1: False, 2: True}
