@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from idiolect.functions import text as tx
 from idiolect.operators import metrics, profile, vocabulary
 from idiolect.plans import fixtures as fx
@@ -51,3 +53,11 @@ def test_no_list_brings_a_corpus_together(spark, monkeypatch):
     monkeypatch.setattr(queries.profile, "corpora", refused)
     for name in ("top_lists", "prefer_list", "avoid_list", "phrase_counts", "recurring_phrases"):
         queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+
+
+def test_mtld_in_sql_over_whole_tables(spark):
+    """The SQL-function fold equals the Arrow pass on all documents, not on the fixture texts alone."""
+    rows = tx.normalised(queries.texts(spark, "/root/testdata/sf0.001"))
+    folded = rows.select("doc_id", metrics.mtld_expression(tx.tokens(F.col("norm"))).alias("folded"))
+    both = folded.join(queries.mtld(spark, "/root/testdata/sf0.001"), "doc_id").where("folded <> vocabulary_diversity or folded is null or vocabulary_diversity is null")
+    assert folded.count() > len(fx.TEXTS) and both.count() == 0
