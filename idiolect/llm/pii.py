@@ -4,14 +4,18 @@
    and from looser ones (local phone numbers, SSN, IBAN, spelt-out e-mail addresses).
 2. Three labelers vote yes, no or abstain on each: a strict pattern or check sum, a gazetteer (top-level
    domains, calling codes, issuer prefixes, countries) and cue words in the 40 characters before it.
-3. Expectation-maximisation over the counts of (kind, votes, length class), a table of a fixed size, estimates
-   each labeler's chance of each vote on true and on false candidates and each kind's share of true ones.
-4. A logistic classifier over kind, votes and length class is fitted to EM's posteriors. A looser candidate
-   becomes a span if the classifier gives it over one half and it overlaps no base span or earlier looser one.
-
-All of it is SQL functions over the documents; the driver fits on the table of step 3.
-
-Null text counts as empty: no spans. Repeated rows give repeated rows.
+3. Expectation-maximisation over the counts of (kind, votes), a table of a fixed size, estimates each labeler's
+   chance of each vote on true and on false candidates and each kind's share of true ones.
+4. A logistic classifier is fitted to EM's posteriors. It sees kind and votes, and what no labeler does of the span
+   itself: its length, its share of digits, how many separators it has, and what stands right before it. A looser
+   candidate becomes a span if the classifier gives it over one half and it overlaps no base span or looser span
+   of a kind listed before.
+
+All of it is SQL functions over the documents; the driver fits on the table of step 3, split by the classes of step 4.
+
+Defined cases: null text counts as empty: no spans. Repeated rows give repeated rows, and count as evidence each. An
+empty table gives no rows. Spans of different kinds can tie or overlap where both are base ones; all of them stay. The
+work is linear in a text, however long, but for sorting its spans. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -41,6 +45,8 @@ LOOSE_KINDS = ("local_phone", "ssn", "iban", "spelt_email")
 KINDS = BASE_KINDS + LOOSE_KINDS
 LABELERS = ("pattern", "gazetteer", "context")
 NO, YES, ABSTAIN = 0, 1, 2
+#: Classes of a span that only the classifier sees, each 0 to 3.
+SHAPES = ("size", "digits", "separators", "lead")
 
 #: Gazetteers.
 DOMAINS = "com org net edu gov int io co info biz de fr es uk us ca au ch at nl be it pl se eu".split()
@@ -121,15 +127,23 @@ def voted(x: Column, base: Column) -> Column:
     for k, words in CUES.items():
         cue = F.when(kind == k, before.rlike(words)).otherwise(cue)
     context = F.when(before.rlike(AGAINST), NO).when(cue, YES).otherwise(ABSTAIN)
-    return F.struct(kind.alias("kind"), x["start"].alias("start"), x["end"].alias("end"), base.alias("base"), pattern.alias("pattern"), gazetteer.alias("gazetteer"), context.alias("context"), F.least(F.floor(F.length(m) / 8), F.lit(3)).cast("int").alias("size"))
+    separators = F.length(F.regexp_replace(m, r"[^\x20().\-/]", ""))
+    lead = F.substring(x["before"], -1, 1)
+    return F.struct(
+        kind.alias("kind"), x["start"].alias("start"), x["end"].alias("end"), base.alias("base"), pattern.alias("pattern"), gazetteer.alias("gazetteer"), context.alias("context"),
+        F.least(F.floor(F.length(m) / 8), F.lit(3)).cast("int").alias("size"),
+        F.floor(F.length(n) * 3 / F.length(m)).cast("int").alias("digits"),
+        F.least(separators, F.lit(3)).cast("int").alias("separators"),
+        F.when(lead == "", 0).when(lead.rlike(r"\s"), 1).when(lead.rlike(r"[:=#]"), 2).otherwise(3).alias("lead"),
+    )
 
 
 def labelled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, spans) with votes, for every row."""
     base, loose = candidates(F.col(text_col))
-    found = docs.select(F.col(id_col), base.alias("__base"), loose.alias("__loose"))
-    apart = F.filter("__loose", lambda x: ~spans.overlaps(F.col("__base"), x))
-    return found.select(id_col, F.concat(F.transform("__base", lambda x: voted(x, F.lit(True))), F.transform(apart, lambda x: voted(x, F.lit(False)))).alias("spans"))
+    found = docs.select(F.col(id_col), base.alias("base_found"), loose.alias("loose_found"))
+    apart = spans.apart(F.col("loose_found"), F.col("base_found"))
+    return found.select(F.col(id_col), F.concat(F.transform("base_found", lambda x: voted(x, F.lit(True))), F.transform(apart, lambda x: voted(x, F.lit(False)))).alias("spans"))
 
 
 @dataclass(frozen=True)
@@ -140,15 +154,16 @@ class Fit:
 
     def logit(self, x: Column) -> Column:
         total = F.lit(self.weights["bias", 0])
-        for name in ("kind", *LABELERS, "size"):
+        for name in ("kind", *LABELERS, *SHAPES):
             table = F.create_map(*(F.lit(y) for (f, v), w in sorted(self.weights.items(), key=str) if f == name for y in (v, w)))
             total = total + F.coalesce(table[x[name]], F.lit(0.0))
         return total
 
 
 def expectation_maximisation(rows: list[dict], rounds: int = 60) -> tuple[dict, dict, list[float]]:
-    """rows: kind, the votes, n. Votes are independent given the truth; labelers' chances are shared by the kinds."""
-    truth = {(name, t, v): 0.6 if v == t else (0.2 if v == ABSTAIN else 0.2) for name in LABELERS for t in (0, 1) for v in (0, 1, 2)}
+    """rows: kind, the votes, n. Votes are independent given the truth, and abstaining says nothing about it; labelers'
+    chances are shared by the kinds."""
+    truth = {(name, t, v): 1.0 if v == ABSTAIN else 0.75 if v == t else 0.25 for name in LABELERS for t in (0, 1) for v in (NO, YES, ABSTAIN)}
     share = {k: 0.9 if k in BASE_KINDS else 0.4 for k in KINDS}
     posterior = [0.0] * len(rows)
     for _ in range(rounds):
@@ -161,16 +176,16 @@ def expectation_maximisation(rows: list[dict], rounds: int = 60) -> tuple[dict,
             share[k] = (sum(p * n for p, n in own) + prior) / (sum(n for _, n in own) + 10.0)
         for name in LABELERS:
             for t in (0, 1):
-                mass = {v: sum((p if t else 1 - p) * r["n"] for p, r in zip(posterior, rows) if r[name] == v) + (6.0 if v == t else 2.0) for v in (0, 1, 2)}
+                mass = {v: sum((p if t else 1 - p) * r["n"] for p, r in zip(posterior, rows) if r[name] == v) + (6.0 if v == t else 2.0) for v in (NO, YES)}
                 for v in mass:
                     truth[name, t, v] = mass[v] / sum(mass.values())
     return truth, share, posterior
 
 
 def logistic(rows: list[dict], target: list[float], rounds: int = 300, rate: float = 0.5, decay: float = 1e-3) -> dict:
-    names = [("bias", 0), *(("kind", k) for k in KINDS), *((name, v) for name in LABELERS for v in (0, 1, 2)), *(("size", s) for s in range(4))]
+    names = [("bias", 0), *(("kind", k) for k in KINDS), *((name, v) for name in LABELERS for v in (0, 1, 2)), *((name, v) for name in SHAPES for v in range(4))]
     place = {f: i for i, f in enumerate(names)}
-    ones = [[0, place["kind", r["kind"]], *(place[name, r[name]] for name in LABELERS), place["size", r["size"]]] for r in rows]
+    ones = [[0, place["kind", r["kind"]], *(place[name, r[name]] for name in (*LABELERS, *SHAPES))] for r in rows]
     mass = [math.sqrt(r["n"]) for r in rows]  # rare patterns count too
     total, w = sum(mass) or 1.0, [0.0] * len(names)
     for _ in range(rounds):
@@ -186,8 +201,8 @@ def logistic(rows: list[dict], target: list[float], rounds: int = 300, rate: flo
 
 def fit(found: DataFrame) -> Fit:
     """From (id, spans) of labelled()."""
-    keys = ["kind", *LABELERS, "size"]
-    counts = found.select(F.inline("spans")).groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).orderBy(*keys).collect()  # at most 8 * 3 ** 3 * 4 rows
+    keys = ["kind", *LABELERS, *SHAPES]
+    counts = found.select(F.inline("spans")).groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).orderBy(*keys).collect()  # at most 8 * 3 ** 3 * 4 ** 4 rows
     rows = [r.asDict() for r in counts]
     truth, share, posterior = expectation_maximisation(rows)
     return Fit(truth, share, logistic(rows, posterior))
@@ -195,15 +210,19 @@ def fit(found: DataFrame) -> Fit:
 
 def spans_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, base_spans, all_spans) for every row."""
-    found = cut(labelled(docs.select(id_col, text_col), id_col, text_col), "votes")
+    found = cut(labelled(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text"), "votes")
     model = fit(found)
-    likely = F.filter("spans", lambda x: x["base"] | (model.logit(x) > 0))
+    likely = F.filter("spans", lambda x: ~x["base"] & (model.logit(x) > 0))
+    split = found.select("id", F.filter("spans", lambda x: x["base"]).alias("base_spans"), likely.alias("likely"))
+    split = split.withColumn("added", F.filter("likely", lambda x: F.lit(False)))
+    for kind in LOOSE_KINDS:  # spans of one kind never overlap
+        own = F.filter("likely", of_kind(kind))
+        split = split.withColumn("added", F.concat("added", spans.apart(own, F.col("added"))))
+    return split.select(F.col("id").alias(id_col), "base_spans", F.concat("base_spans", "added").alias("all_spans"))
 
-    def step(acc: Column, x: Column) -> Column:
-        return F.when(x["base"] | ~spans.overlaps(acc, x), F.concat(acc, F.array(x))).otherwise(acc)
 
-    kept = F.aggregate(likely, F.filter("spans", lambda x: F.lit(False)), step)
-    return found.select(id_col, F.filter("spans", lambda x: x["base"]).alias("base_spans"), kept.alias("all_spans"))
+def of_kind(kind: str):
+    return lambda x: x["kind"] == kind
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

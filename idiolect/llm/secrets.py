@@ -7,9 +7,12 @@ scores on the training sample. Scored are all runs of 20 or more of [A-Za-z0-9+/
 fewer than DISTINCT characters, as -----: of random digits less than one in 10^8 is such a run. A span of the model is
 kept unless the patterns' spans cover all of it, so spans of both can overlap.
 
-Everything runs in SQL functions; the driver sees the two transition tables, of a fixed size.
+Everything runs in SQL functions; the driver sees the two transition tables, of a fixed size. A token of any length is
+scored by blocks of STEP transitions, so the work is linear in it.
 
-Null text counts as empty: no spans. Repeated rows give repeated rows.
+Defined cases: null text counts as empty: no spans (redact leaves it null). Repeated rows give repeated rows, an empty
+table none. Spans that start together come in the order of their kinds; in redact what overlaps or touches is replaced
+once. Further columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,13 +26,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from idiolect.llm import spans
+from idiolect.llm.common import free
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}+"
 HEX = r"[0-9a-f]{24,}+"
 TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 KINDS = ("assign", "access", "hex", "random")
-SIDE, DISTINCT = 128, 4
+SIDE, DISTINCT, STEP = 128, 4, 1_024
 #: Words of which the ordinary identifiers of the bundled sample are made.
 WORDS = """get set user name list item count index value key data file path load save read write open close start stop
 create delete update insert select order group table column row query result error message request response client
@@ -66,6 +70,15 @@ def code(text: Column, i: Column) -> Column:
     return F.least(F.ascii(F.substr(text, i, F.lit(1))), F.lit(SIDE - 1))
 
 
+def blocks(token: Column) -> Column:
+    """The token in blocks of STEP characters."""
+    return F.regexp_extract_all(token, F.lit(f"(?s).{{1,{STEP}}}"), F.lit(0))
+
+
+def n_distinct(token: Column) -> Column:
+    return F.size(F.array_distinct(F.flatten(F.transform(blocks(token), lambda b: F.array_distinct(F.split(b, ""))))))
+
+
 @dataclass(frozen=True)
 class Model:
     ratios: tuple[float, ...]
@@ -74,9 +87,21 @@ class Model:
     def score(self, token: Column) -> Column:
         """The mean log-likelihood ratio of the token's transitions; positive speaks for random."""
         table = F.split(F.lit(",".join(f"{x:.6g}" for x in self.ratios)), ",").cast("array<double>")
-        steps = F.sequence(F.lit(1), F.greatest(F.length(token) - 1, F.lit(1)))
-        total = F.aggregate(steps, F.lit(0.0), lambda acc, i: acc + F.element_at(table, code(token, i) * SIDE + code(token, i + 1) + 1))
-        return total / F.greatest(F.length(token) - 1, F.lit(1))
+
+        def part(block: Column) -> Column:
+            start = F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("sum"))
+
+            def step(acc: Column, c: Column) -> Column:
+                now = F.least(F.ascii(c), F.lit(SIDE - 1))
+                return F.struct(now.alias("last"), F.when(acc["last"] < 0, acc["sum"]).otherwise(acc["sum"] + F.get(table, acc["last"] * SIDE + now)).alias("sum"))
+
+            return F.aggregate(F.split(block, ""), start, step, lambda acc: acc["sum"])
+
+        def total(bs: Column) -> Column:
+            overlapping = F.transform(bs, lambda b, k: F.concat(b, F.coalesce(F.substring(F.get(bs, k + 1), 1, 1), F.lit(""))))
+            return F.aggregate(overlapping, F.lit(0.0), lambda acc, b: acc + part(b))
+
+        return spans.let(blocks(token), total) / F.greatest(F.length(token) - 1, F.lit(1))
 
 
 def train(samples: DataFrame, smooth: float = 0.5) -> Model:
@@ -114,24 +139,22 @@ def scan(docs: DataFrame, model: Model, text_col: str = "text", base_col: str =
     base = docs.withColumn(base_col, base_spans(text))
 
     def likely(m: Column) -> Column:
-        return (F.size(F.array_distinct(F.split(m, ""))) >= DISTINCT) & (model.score(m) > model.threshold)
-
-    def beyond(x: Column) -> Column:
-        reached = F.aggregate(in_order(F.col(base_col)), x["start"], lambda at, y: F.when(y["start"] <= at, F.greatest(at, y["end"])).otherwise(at))
-        return reached < x["end"]
+        return (n_distinct(m) >= DISTINCT) & (model.score(m) > model.threshold)
 
-    added = F.filter(spans.matches(text, "random", TOKEN, likely), beyond)
+    covered = spans.runs(in_order(F.col(base_col)))
+    added = spans.beyond(spans.matches(text, "random", TOKEN, likely), covered)
     both = base.withColumn(all_col, in_order(F.concat(base_col, added)))
     return both.withColumn(base_col, in_order(F.col(base_col)))
 
 
 def digests(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    found = scan(docs.select(id_col, text_col), model, text_col)
+    found = scan(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), model)
     b, a = F.col("base_spans"), F.col("all_spans")
-    return found.select(id_col, *(spans.count(b, k).alias(f"n_{k}") for k in KINDS[:3]), F.sha2(spans.joined(b), 256).alias("base_sha256"), spans.joined(a).alias("spans"))
+    return found.select(F.col("id").alias(id_col), *(spans.count(b, k).alias(f"n_{k}") for k in KINDS[:3]), F.sha2(spans.joined(b), 256).alias("base_sha256"), spans.joined(a).alias("spans"))
 
 
 def redact(docs: DataFrame, model: Model, text_col: str = "text", by: str = "[SECRET]") -> DataFrame:
     """The rows of docs with the secrets in their texts replaced, all columns as they are; null texts stay null."""
-    found = scan(docs, model, text_col, "__base", "__all")
-    return found.withColumn(text_col, spans.replaced(F.col(text_col), F.col("__all"), by)).select(docs.columns)
+    base, every = free(docs, "base"), free(docs, "all")
+    found = scan(docs, model, text_col, base, every)
+    return found.withColumn(text_col, spans.replaced(F.col(text_col), F.col(every), by)).select(docs.columns)
