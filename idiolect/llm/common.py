@@ -35,12 +35,15 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/idiolect-{label}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """df, written to the shared folder and read back: its lineage ends there."""
-    spark = df.sparkSession
-    path = scratch(spark, label)
+def cut_at(df: DataFrame, path: str) -> DataFrame:
+    """df, written to path and read back: its lineage ends there."""
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cut(df: DataFrame, label: str) -> DataFrame:
+    """df, written to a new path of the shared folder and read back."""
+    return cut_at(df, scratch(df.sparkSession, label))
 
 
 def free(df: DataFrame, name: str) -> str:
@@ -51,8 +54,8 @@ def free(df: DataFrame, name: str) -> str:
     return name
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a scratch path on whatever file system it is."""
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a scratch path, on whatever file system it is, that nothing reads any more."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(conf).delete(at, True)

@@ -2,6 +2,9 @@
 
 No edge list, label or component reaches the driver: it sees a count and a checksum of each round. Every
 round's edges are written to the shared folder, so a lost executor costs at most one round.
+
+Hubs. What a key's rows share is joined back to them, and one key may have a large part of all rows. Keys of more
+than a HEAVY-th of the rows, at most HEAVY of them, are broadcast with their value; the rows of the others are shuffled.
 """
 
 from __future__ import annotations
@@ -11,9 +14,24 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from idiolect.llm.common import cut
+from idiolect.llm.common import cut_at, removed, scratch
 
 MOST_ROUNDS = 60
+#: Keys that are broadcast at most, and rows that a key may have at least before it is.
+HEAVY, LIGHT = 10_000, 64
+
+
+def joined(rows: DataFrame, table: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """rows with the columns of table, one row a key. n: table's column with the rows of each key; total: of all."""
+    limit = max(LIGHT, total // HEAVY)
+    heavy = F.broadcast(table.where(F.col(n) > limit).drop(n))
+    light = table.where(F.col(n) <= limit).drop(n)
+    return rows.join(heavy, key).unionByName(rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key))
+
+
+def with_least(rows: DataFrame, key: str, value: str, to: str, total: int) -> DataFrame:
+    """rows and the least value of their key's rows."""
+    return joined(rows, rows.groupBy(key).agg(F.min(value).alias(to), F.count(F.lit(1)).alias("__n")), key, "__n", total)
 
 
 class Forest:
@@ -66,16 +84,20 @@ def mark(edges: DataFrame) -> tuple:
 def components(edges: DataFrame) -> DataFrame:
     """edges (u, v) of longs, in any direction, repeated or not; loops are ignored. Gives (node, root) of every
     node that has an edge to another, root the smallest node of its component. No edges give no rows."""
+    spark = edges.sparkSession
     e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    e = cut(contracted(e), "stars")
+    path = scratch(spark, "stars")
+    e = cut_at(contracted(e), path)
     before = mark(e)
     for _ in range(MOST_ROUNDS):
-        both = e.union(e.select("v", "u").toDF("u", "v"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(small.union(low.toDF("u", "v")).where("u <> v").distinct(), "stars")
+        n = 2 * before[0]
+        both = with_least(e.union(e.select("v", "u").toDF("u", "v")), "u", "v", "m", n)
+        large = both.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        small = with_least(large, "u", "v", "m", n)
+        linked = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(large.groupBy("u").agg(F.min("v").alias("v")))
+        old, path = path, scratch(spark, "stars")
+        e = cut_at(linked.where("u <> v").distinct(), path)
+        removed(spark, old)
         after = mark(e)
         if after == before:
             break

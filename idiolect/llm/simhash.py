@@ -8,7 +8,8 @@ Candidates: the 64 bits are grouped into m parts, correlated bits together, and
 differ in at most t_p bits of some part p: otherwise they would differ in at least sum(t_p + 1) = most + 1.
 m and the thresholds come from a dynamic program over the estimated cost: rows probed, n times the keys
 within t_p of a key, and candidate pairs, n * (n - 1) / 2 times the chance that a part differs in at most t_p
-bits, from each bit's share over all fingerprints.
+bits. That chance comes from how often all fingerprints have each bit and each two neighbouring bits of the part: a
+chain, so that correlated bits count as such.
 
 Probing: each node sends its key of a part, and with t_p > 0 every key within t_p of it. Nodes with equal
 keys meet in a task, sorted, and are compared with each other; buckets beyond TILE rows are first dealt into
@@ -16,7 +17,9 @@ tiles, every pair of tiles in a task of its own, so that no task holds a bucket
 returns links as a spanning forest, at most one row a node, never all pairs.
 
 Defined cases: null or blank text has the zero fingerprint and links like any other; a null id keeps its row
-and never is the smallest id (a component of null ids alone has a null component_id); repeated ids are rows.
+and never is the smallest id (a component of null ids alone has a null component_id); repeated ids are rows;
+an empty table gives no rows. A very long text costs 8 bytes a shingle while its fingerprint is made. Keys that a large
+part of all rows share, a fingerprint or a component, are not shuffled (see graph.joined).
 """
 
 from __future__ import annotations
@@ -28,8 +31,8 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from idiolect.llm.common import as_bytes, cut
-from idiolect.llm.graph import Forest, components
+from idiolect.llm.common import as_bytes, cut, free
+from idiolect.llm.graph import Forest, components, joined, with_least
 
 BITS, SHINGLE, SEED, MOST = 64, 3, 42, 3
 #: Rows of a bucket that a task compares at once; larger buckets are dealt out in pairs of tiles.
@@ -110,29 +113,45 @@ def grouped(n: int, both, m: int) -> list[list[int]]:
         while len(group) < width:
             group.append(max(free, key=lambda b: (corr[b][group].sum(), -b)))
             free.remove(group[-1])
-        groups.append(sorted(group))
+        groups.append(group)
     return groups
 
 
-def within(agree: list[float], t: int) -> float:
-    """The chance that at most t of independent bits differ, each agreeing with its own chance."""
-    ways = [1.0] + [0.0] * (t + 1)
-    for a in agree:
-        for k in range(t, -1, -1):
-            ways[k] = ways[k] * a + (ways[k - 1] * (1 - a) if k else 0)
-    return sum(ways[: t + 1])
+def within(n: int, both, group: list[int], most: int) -> list[float]:
+    """The chances that two fingerprints differ in at most 0, 1 .. most bits of a group, from how often they have each
+    bit and each two neighbouring bits of it: whether they agree in a bit depends on whether they do in the one before."""
+    chance: dict[tuple[bool, int], float] = {}
+    for k, j in enumerate(group):
+        q = both[j][j] / max(1, n)
+        if k == 0:
+            chance = {(True, 0): q * q + (1 - q) * (1 - q), (False, 1): 2 * q * (1 - q)}
+            continue
+        i = group[k - 1]
+        p, p11 = both[i][i] / max(1, n), both[i][j] / max(1, n)
+        p10, p01 = max(0.0, p - p11), max(0.0, q - p11)
+        p00 = max(0.0, 1 - p11 - p10 - p01)
+        same = {True: p11**2 + p10**2 + p01**2 + p00**2, False: 2 * (p11 * p01 + p10 * p00)}  # agree in j, and in i or not
+        other = {True: 2 * (p11 * p10 + p01 * p00), False: 2 * (p11 * p00 + p10 * p01)}
+        new: dict[tuple[bool, int], float] = {}
+        for (agreed, d), c in chance.items():
+            total = same[agreed] + other[agreed]
+            for now, share in ((True, same[agreed]), (False, other[agreed])):
+                at = (now, d + (not now))
+                if at[1] <= most:
+                    new[at] = new.get(at, 0.0) + c * (share / total if total else float(now))
+        chance = new
+    return [sum(c for (_, d), c in chance.items() if d <= t) for t in range(most + 1)]
 
 
 def thresholds(n: int, both, groups: list[list[int]], most: int, probe: float = 8.0, pair: float = 0.05) -> tuple[float, list[int]]:
     """The cheapest thresholds of the groups that add up to most - len(groups) + 1, and their cost.
     probe, pair: relative costs of shuffling a key and of comparing a candidate pair."""
-    p = [both[b][b] / max(1, n) for b in range(BITS)]
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
     for group in groups:
-        agree, options = [p[b] ** 2 + (1 - p[b]) ** 2 for b in group], [(-1, 0.0)]
+        near, options = within(n, both, group, most), [(-1, 0.0)]
         for t in range(most + 1):
             keys = sum(math.comb(len(group), k) for k in range(t + 1))
-            options.append((t, probe * n * keys + pair * n * max(0, n - 1) / 2 * within(agree, t)))
+            options.append((t, probe * n * keys + pair * n * max(0, n - 1) / 2 * near[t]))
         new: dict[int, tuple[float, list[int]]] = {}
         for total, (cost, chosen) in best.items():
             for t, more in options:
@@ -235,32 +254,34 @@ def links(rows: DataFrame, most: int = MOST) -> DataFrame:
     return ordered.mapInArrow(run, "u long, v long")
 
 
-def grouped_rows(docs: DataFrame, id_col: str, text_col: str, most: int, tile: int, also: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """The rows' fingerprints (id, also, fp), and of each fingerprint (fp, low, root): its smallest id and the
-    component that links reach."""
-    prints = cut(fingerprints(docs, id_col, text_col, also), "prints")
-    nodes = cut(prints.groupBy("fp").agg(F.min(id_col).alias("low")), "nodes")
+def grouped_rows(docs: DataFrame, most: int, tile: int, also: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, int, int]:
+    """Of docs (id, also, text) the rows' fingerprints (id, also, fp), and of each fingerprint (fp, low, n, root): its
+    smallest id, how many rows have it, and the component that links reach; and the numbers of both."""
+    prints = cut(fingerprints(docs, "id", "text", also), "prints")
+    nodes = cut(prints.groupBy("fp").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")), "nodes")
     n, both = bit_counts(nodes)
     parts = allocate(n, both, most)
     roots = components(links(tiled(probes(nodes, parts), tile), most))
-    lows = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    return prints, cut(lows, "roots")
+    lows = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "low", "n", F.coalesce("root", "fp").alias("root"))
+    return prints, cut(lows, "roots"), prints.count(), n
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST, tile: int = TILE) -> DataFrame:
     """Per row of docs: id, fingerprint (16 hex digits), component_id (the smallest id that links reach)."""
-    prints, lows = grouped_rows(docs, id_col, text_col, most, tile)
-    least = lows.groupBy("root").agg(F.min("low").alias("component_id"))
-    reps = lows.join(least, "root").select("fp", "component_id")
-    return prints.join(reps, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    prints, lows, n_rows, n_nodes = grouped_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), most, tile)
+    reps = with_least(lows, "root", "low", "component_id", n_nodes).select("fp", "n", "component_id")
+    found = joined(prints, reps, "fp", "n", n_rows)
+    return found.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST, tile: int = TILE) -> DataFrame:
     """One row of docs for each component, all columns as they are: that of the smallest id, of equal or null ids the
     first in the scan, so docs must give the same rows in the same order when read again."""
-    placed = docs.withColumn("__row", F.monotonically_increasing_id())
-    prints, lows = grouped_rows(placed, id_col, text_col, most, tile, ("__row",))
-    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "__row"))
+    row = free(docs, "row")
+    placed = docs.withColumn(row, F.monotonically_increasing_id())
+    narrow = placed.select(F.col(id_col).alias("id"), F.col(row).alias("row"), F.col(text_col).alias("text"))
+    prints, lows, _, _ = grouped_rows(narrow, most, tile, ("row",))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
     of_print = prints.groupBy("fp").agg(first.alias("first"))
-    chosen = of_print.join(lows.select("fp", "root"), "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.__row").alias("__row"))
-    return placed.join(chosen, "__row", "left_semi").select(docs.columns)
+    chosen = of_print.join(lows.select("fp", "root"), "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
+    return placed.join(chosen, row, "left_semi").select(docs.columns)

@@ -6,6 +6,7 @@ import random
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from idiolect.llm import bpr, classifier, decontam, graph, quality, secrets, simhash, warc
 from idiolect.llm.queries import VOCABULARY
@@ -57,7 +58,7 @@ def near_texts():
 def test_simhash_matches_brute_force(spark, tile):
     texts = near_texts()
     ids = [None if i == 7 else 1000 - i for i in range(len(texts))]
-    df = spark.createDataFrame(list(zip(ids, texts, texts)), "doc_id long, text string, fp string")
+    df = spark.createDataFrame(list(zip(ids, texts, texts)), "doc_id long, text string, fp string").withColumn("row", F.lit(1))
     got = sorted(simhash.near_duplicates(df, tile=tile).collect(), key=str)
     fps = [plain_fingerprint(t) for t in texts]
     want = sorted(zip(ids, (f"{f:016x}" for f in fps), plain_components(ids, fps)), key=lambda r: str(r))
@@ -106,6 +107,31 @@ def test_components_of_chains_and_stars(spark):
     assert graph.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_hubs_are_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(graph, "LIGHT", 5)
+    edges = [(0, x) for x in range(1, 400)] + [(x, 1000 + x) for x in range(1, 300)] + [(5000, 5001 + x) for x in range(90)] + [(5000, 399)]
+    got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "u long, v long").repartition(9)).collect()}
+    assert len(got) == 400 + 299 + 91 and set(got.values()) == {0}
+    rows = spark.createDataFrame([(k % 7 if k < 50 else 9, k) for k in range(300)], "k long, v long")
+    assert all(r.low == (r.k if r.k < 7 else 50) for r in graph.with_least(rows, "k", "v", "low", 300).collect())
+    docs = spark.createDataFrame([(k, "a b c d" if k % 3 else f"x{k} y{k} z") for k in range(120)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    assert all(got[k] == (1 if k % 3 else k) for k in range(120))
+
+
+def test_chance_of_few_differences_follows_the_chain():
+    import numpy as np
+
+    draw = np.random.default_rng(1)
+    bits = draw.random((4000, 3)) < 0.4
+    bits[:, 1] = np.where(draw.random(4000) < 0.9, bits[:, 0], bits[:, 1])
+    both = np.zeros((64, 64))
+    both[:3, :3] = bits.T.astype(float) @ bits
+    a, b = draw.integers(0, 4000, 200_000), draw.integers(0, 4000, 200_000)
+    differ = (bits[a] != bits[b]).sum(axis=1)
+    assert np.allclose(simhash.within(4000, both, [0, 1, 2], 3), [(differ <= t).mean() for t in range(4)], atol=0.01)
+
+
 def test_warc_round_trip_in_segments(spark):
     pages = [(1, "http://a", "x" * 5000), (2, "http://b", "x" * 5000), (3, None, "é" * 999), (4, "u\r\nv", None), (5, "e", ""), (5, "e", ""), (6, "f", "WARC/1.1\r\n\r\n0\r\n\r\n"), (None, "n", "x" * 5000), (7, "g", "unique")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(1)
