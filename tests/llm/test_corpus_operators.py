@@ -208,19 +208,61 @@ def test_decontamination_matches_alignment(spark):
             docs.append(" ".join(word() for _ in range(draw.randint(0, 40))) + "  " + "".join(x).upper() + "\n" + word())
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    index = decontam.Passages(items)
     got = {r.doc_id: dict(zip(r["items"], r["edits"])) for r in decontam.flags(df, bench).collect()}
+    passages = [(i, decontam.normal(p)) for i, p in items if p and p.split()]
     for d, t in enumerate(docs):
-        want = {}
-        for k, (i, p) in enumerate(index.rows):
-            least = edits(p, decontam.normal(t or ""))
-            if least <= index.edits[k]:
-                want[i] = least
-        assert got[d] == want, (d, t)
+        least = {i: edits(p, decontam.normal(t or "")) for i, p in passages}
+        assert got[d] == {i: n for (i, n), (_, p) in zip(least.items(), passages) if n <= len(p) // 10}, (d, t)
     assert {r.doc_id for r in decontam.clean(df, bench).collect()} == {d for d in got if not got[d]}
     assert decontam.flags(df.limit(0), bench).count() == 0 and not any(r.contaminated for r in decontam.flags(df, bench.limit(0)).collect())
 
 
+def edited(draw, text, n):
+    x = list(text)
+    for _ in range(n):
+        k = draw.randrange(len(x))
+        x[k : k + 1] = draw.choice(["", "#", x[k] + "#"])
+    return "".join(x)
+
+
+@pytest.mark.parametrize("segment", [50, 1 << 17])
+def test_recall_is_whole_at_the_declared_budget(monkeypatch, segment):
+    monkeypatch.setattr(decontam, "SEGMENT", segment)
+    draw = random.Random(11)
+    text = lambda n: "".join(draw.choice("abcdefgh ") for _ in range(n - 2)).join("xy")
+    expected = 0
+    for m in [*range(8, 90), *range(95, 201, 15)]:
+        items = [(k, decontam.normal(text(m))) for k in range(4)]
+        index = decontam.Passages(items)
+        for k, t in items[:2]:
+            whole = decontam.normal(text(draw.randint(2, 80)) + edited(draw, t, decontam.budget(len(t))) + text(draw.randint(2, 80)))
+            found = {i: n for i, n, _ in index.hits(whole.encode())}
+            for i, p in (items[k], items[3]):
+                least = edits(p, whole)
+                assert found.get(i) == (least if least <= len(p) // 10 else None), (m, p, whole)
+                expected += least <= len(p) // 10
+    assert expected > 150
+
+
+def test_every_length_has_a_gram_size():
+    for m in range(10, 3000):
+        e = decontam.budget(m)
+        q = decontam.size_for(m, e)
+        assert m - q + 1 - q * e >= 1 and q >= 3
+
+
+def test_blocks_one_by_one_give_the_same(spark):
+    draw = random.Random(4)
+    items = [(i, "".join(draw.choice("abcdefgh ") for _ in range(60)) + "z") for i in range(12)] + [(2, "again the same id with another text")]
+    docs = [None, "", *(f"so {edited(draw, t, 3)} and {items[draw.randrange(12)][1]} on" for _, t in items)]
+    df = spark.createDataFrame([(i // 2, t, 1, "k") for i, t in enumerate(docs)], "doc_id long, text string, row int, HITS string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    one, many = (sorted(map(str, decontam.flags(df, bench, block_chars=n).collect())) for n in (1 << 20, 100))
+    assert one == many and len(one) == len(docs)
+    assert sorted(map(str, decontam.clean(df, bench, block_chars=100).collect())) == sorted(map(str, decontam.clean(df, bench).collect()))
+    assert decontam.clean(df, bench).columns == df.columns
+
+
 def test_benchmark_blocks_cover_all_items(spark):
     bench = spark.createDataFrame([(i, "p" * 30 + str(i)) for i in range(9)], "item_id long, text string")
     found = list(decontam.blocks(bench, "item_id", "text", most=70))
