@@ -300,7 +300,7 @@ def test_pipeline_matches_brute_force(spark):
     items = [decontam.normal(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     docs = [(d, t) for d, t in docs if not any(p in decontam.normal(t) for p in items)]  # the table has whole copies
     hidden = secrets.redact(spark.createDataFrame(docs, "doc_id long, text string"), secrets.train(secrets.bundled(spark))).collect()
-    coder = bpe.encoder(bpe.read_ranks(public_tokenizers.path(VOCABULARY)), public_tokenizers.PATTERN)
+    coder = bpe.coder(bpe.read_ranks(public_tokenizers.path(VOCABULARY)), public_tokenizers.PATTERN)
     want = {r.doc_id: (len(ids := coder.core.encode_ordinary(r.text)), hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in ids)).hexdigest()) for r in hidden}
     got = {r.doc_id: (r.n_tokens, r.ids_sha256) for r in corpus_pipeline.run(spark, SF).collect()}
     assert got == want and 0 < len(got) < 200

@@ -26,13 +26,51 @@ def rows(spark, texts=TEXTS, more=""):
     return spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, kept string")
 
 
+def cut_up(own, text, chunk, overlap):
+    """The pieces of a text as the operator makes them."""
+    parts = bpe.parts_of(text, chunk, overlap)
+    bounds = ((k, *own.bounds(p, k == len(parts) - 1, chunk, overlap)) for k, p in enumerate(parts))
+    pieces = {}
+    for k, piece, a, b in bpe.stitched(bounds, chunk):
+        pieces[piece] = pieces.get(piece, "") + parts[k][a : None if b < 0 else b]
+    return [pieces[k] for k in sorted(pieces)]
+
+
+ATOMS = ["a", "bc", " ", "  ", "\n", "\n\n", "1", "234", ".", "'s", "'", "'re", "'r", "é", "　", "x" * 60, "don't ", "文字", "文字化" * 9, "!?", "\t ", "e\u0301"]
+
+
 def test_bpe_chunks_equal_the_whole():
-    coder = bpe.ChunkEncoder(bpe.read_ranks(PATH), public_tokenizers.PATTERN, chunk=40, overlap=3)
+    own = bpe.coder(bpe.read_ranks(PATH), public_tokenizers.PATTERN)
     draw = random.Random(1)
-    for _ in range(400):
-        text = "".join(draw.choice(["a", "bc", " ", "  ", "\n", "\n\n", "1", ".", "'s", "é", "　", "x" * 60, "don't "]) for _ in range(draw.randint(0, 120)))
-        assert coder.encode(text) == coder.core.encode_ordinary(text)
-        assert coder.decode(coder.encode(text)) == text.encode()
+    n_cut = 0
+    for i in range(3000):
+        atoms = draw.sample(ATOMS, draw.randint(1, len(ATOMS)))
+        text = "".join(draw.choice(atoms) for _ in range(draw.randint(0, 150)))
+        pieces = cut_up(own, text, chunk=draw.choice((40, 61)), overlap=draw.choice((10, 25)))
+        assert "".join(pieces) == text
+        assert [x for p in pieces for x in own.encode(p)] == own.encode(text)
+        assert own.decode(own.encode(text)) == text.encode()
+        n_cut += len(pieces) > 1
+    assert n_cut > 1000
+
+
+def test_bpe_cuts_texts_of_every_script():
+    own = bpe.coder(bpe.read_ranks(PATH), public_tokenizers.PATTERN)
+    chinese = "".join(chr(0x4E00 + i * 37 % 5000) + ("。" if i % 11 == 0 else "") for i in range(300_000))
+    for text, least in ((chinese, 15), ("word, " * 50_000, 15), ("x" * 100_000, 1), ("\n" * 100_000, 1), ("1a!" * 60_000, 8)):
+        pieces = cut_up(own, text, bpe.CHUNK, bpe.OVERLAP)
+        assert len(pieces) >= least and [x for p in pieces for x in own.encode(p)] == own.encode(text)
+
+
+def test_bpe_long_texts_are_rows_of_chunks(spark):
+    draw = random.Random(2)
+    texts = ["".join(draw.choice(ATOMS) for _ in range(draw.randint(0, 300))) for _ in range(40)] + ["x" * 500, "文" * 900, None]
+    df = spark.createDataFrame([(None if i % 9 == 0 else i // 2, t, i) for i, t in enumerate(texts)], "id long, text string, uid long").repartition(5)
+    got = bpe.encode(df, PATH, public_tokenizers.PATTERN, "id", with_ids=True, chunk=64, overlap=20).collect()
+    own = bpe.coder(bpe.read_ranks(PATH), public_tokenizers.PATTERN)
+    ids = [own.encode(t or "") for t in texts]
+    want = sorted(str((None if i % 9 == 0 else i // 2, len(x), hashlib.sha256(b"".join(y.to_bytes(4, "little") for y in x)).hexdigest(), hashlib.sha256((texts[i] or "").encode()).hexdigest(), x)) for i, x in enumerate(ids))
+    assert sorted(str(tuple(r)) for r in got) == want
 
 
 def test_bpe_rows(spark):
