@@ -10,20 +10,22 @@ suffixes would shuffle many times the input, so suffixes are first thinned witho
 2. Contexts. An anchor whose hash is in two documents or more is cut out of its text with the bytes on both sides
    that a string with this anchor can reach. Equal contexts form a class; those in a larger document than the
    class's least one are covered whole. Again each task sends the least document's alone.
-3. Bucket-pointer refinement, within a hash bucket over the contexts of hashes that have several classes: suffixes
-   get the bucket of their first 8 bytes; a suffix's bucket is then refined by the bucket of the suffix 8 bytes
-   later, giving buckets for 16 bytes, those by their own at 16 for 32, and those at LENGTH - 32 for LENGTH. Each
-   step reuses the pointers that the step before updated; what is alone in its bucket drops out. Suffixes that end
-   in one bucket start the same string, and the least document of the bucket covers the others.
-   All strings with one anchor contain it, so what they cover in a document is one interval around it.
-4. Intervals go back to their documents, which are joined, cut and digested.
-
-Texts are shuffled once, packed and compressed, by document bucket; steps 2 and 4 read the same shuffle.
-Numbers of buckets grow with the input, so no task's share does.
+3. Bucket-pointer refinement, within a hash bucket over the contexts of hashes that have several classes, whose
+   anchors are aligned: rows get the bucket of their anchor; the bucket of a start 8 bytes before is that of the
+   8 bytes there refined by the bucket of the later offset, and so on to the farthest start, each step reusing the
+   pointers that the steps before updated; likewise for the ends after the anchor. Strings are equal if start and end
+   are in equal buckets; what is alone in a bucket drops out of all that build on it. The least document of a
+   bucket covers the others. All strings with one anchor contain it, so what they cover in a document is one
+   interval around it.
+4. Intervals go back to their documents, where they are merged, cut and digested.
+
+Texts are written once to the shared folder, packed and compressed, with the number that names each row, then shuffled
+once by document bucket; steps 2 and 4 read the same shuffle. Buckets and the tasks that read them grow with the
+input, so no task's share does. Classes are found by hashes and then compared byte by byte. A long text is looked
+through in blocks; a task holds the bytes of its bucket and some ten bytes for each anchor or interval, not for each byte.
 
 Defined cases: null text counts as empty; a null id counts as larger than any; rows with equal ids do not cover
-each other. A row's key is its place in the scan, so docs must give the same rows in the same order when read
-again, as a table does.
+each other, so repeated rows stay; an empty table gives no rows. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -35,11 +37,13 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from idiolect.llm.common import as_bytes
+from idiolect.llm.common import as_bytes, cut
 
 LENGTH, Q = 50, 16
 #: Bytes of text for each bucket, and of those that a task gathers before it sends them on.
 BUCKET_BYTES, FLUSH_BYTES, CHUNK_BYTES = 12 << 20, 32 << 20, 1 << 20
+#: Bytes of contexts that a task keeps; beyond that they are cut out of the texts again when needed.
+KEPT_BYTES = 64 << 20
 LAST = (1 << 63) - 1
 ROWS = "b int, known boolean, blob binary"
 
@@ -105,6 +109,20 @@ def anchors(data, ends, length: int = LENGTH, q: int = Q):
     return at, h[at]
 
 
+def anchors_of(raw: bytes, length: int, q: int, block: int):
+    """anchors() of one text, by blocks that share length - 1 bytes, so that each string is inside one of them."""
+    import numpy as np
+
+    data, found = np.frombuffer(raw, np.uint8), []
+    for k in range(0, max(1, len(data) - length + 1), block):
+        part = data[k : k + block + length - 1]
+        at, h = anchors(part, np.array([len(part)]), length, q)
+        found.append((at + k, h))
+    at, h = (np.concatenate(x) for x in zip(*found))
+    at, first = np.unique(at, return_index=True)
+    return at, h[first]
+
+
 def groups(*keys):
     """The order that sorts by keys, and the number of each sorted row's group."""
     import numpy as np
@@ -163,18 +181,48 @@ def texts_of(batches: Iterator, most: int) -> Iterator[tuple]:
         yield uids, ids, raws
 
 
+def stored_texts(batches: Iterator, most: int) -> Iterator[tuple]:
+    """(uids, ids, raw texts) of some rows of stored(), about `most` bytes at once."""
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor()
+    uids, ids, raws, total = [], [], [], 0
+    for batch in batches:
+        for head, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            new, own, size = unpacked(head)
+            text, at = unpack.decompress(blob), 0
+            for u, i, n in zip(new.tolist(), own.tolist(), size.tolist()):
+                uids.append(u)
+                ids.append(i)
+                raws.append(text[at : at + n])
+                at += n
+            total += at
+            if total >= most:
+                yield uids, ids, raws
+                uids, ids, raws, total = [], [], [], 0
+    if uids:
+        yield uids, ids, raws
+
+
 def asked(n_buckets: int, drop: int, length: int, q: int):
     """Step 1, on the documents' side."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
 
-        for uids, ids, raws in texts_of(batches, FLUSH_BYTES):
+        for uids, ids, raws in stored_texts(batches, FLUSH_BYTES):
             uids, ids = np.array(uids), np.array(ids)
             hashes, owners, places, k = [], [], [], 0
             while k < len(raws):
+                if len(raws[k]) > CHUNK_BYTES:
+                    at, h = anchors_of(raws[k], length, q, CHUNK_BYTES)
+                    hashes.append(h >> np.uint64(drop))
+                    owners.append(np.full(len(at), k))
+                    places.append(at)
+                    k += 1
+                    continue
                 first, size = k, 0
-                while k < len(raws) and (k == first or size + len(raws[k]) <= CHUNK_BYTES):
+                while k < len(raws) and size + len(raws[k]) <= CHUNK_BYTES:
                     size += len(raws[k])
                     k += 1
                 ends = np.cumsum([len(x) for x in raws[first:k]])
@@ -280,6 +328,54 @@ def width_of(length: int, q: int) -> int:
     return -(-(2 * length - q + 2) // 8) * 8
 
 
+class Contexts:
+    """The contexts of anchors (own, at): rows of bytes cut out of a bucket's texts, kept if they are few."""
+
+    def __init__(self, starts, data, own, at, length: int, q: int):
+        import numpy as np
+
+        self.data, self.place, self.length, self.q = data, starts[own] + at, length, q
+        side = length - q
+        self.before, self.after = np.minimum(at, side), np.minimum(starts[own + 1] - starts[own] - at - q, side)
+        self.kept = None
+        if len(at) * width_of(length, q) <= KEPT_BYTES:
+            self.kept = self.rows(np.arange(len(at)))
+
+    def rows(self, pick):
+        import numpy as np
+
+        if self.kept is not None:
+            return self.kept[pick]
+        side, span = self.length - self.q, 2 * self.length - self.q
+        out, offsets = np.zeros((len(pick), width_of(self.length, self.q)), np.uint8), np.arange(-side, self.length)
+        for k in range(0, len(pick), 100_000):
+            i = pick[k : k + 100_000]
+            before, after = self.before[i], self.after[i]
+            inside = (offsets >= -before[:, None]) & (offsets < after[:, None] + self.q)
+            out[k : k + len(i), :span] = np.where(inside, self.data[np.clip(self.place[i][:, None] + offsets, 0, len(self.data) - 1)], 0)
+            out[k : k + len(i), span], out[k : k + len(i), span + 1] = before, after
+        return out
+
+    def slices(self, order, step: int = 100_000) -> Iterator:
+        for k in range(0, len(order), step):
+            yield order[k : k + step]
+
+
+def classes_of(rows_at, n: int, one, two, *first):
+    """The order of n rows by `first` and class, and the number of each sorted row's class. one, two: the rows' hashes;
+    rows_at gives rows, so that equal hashes are checked byte by byte."""
+    import numpy as np
+
+    order, group = groups(*first, one, two)
+    twin = np.flatnonzero(np.diff(group) == 0)
+    for k in range(0, len(twin), 100_000):
+        i = twin[k : k + 100_000]
+        if not np.array_equal(rows_at(order[i]), rows_at(order[i + 1])):
+            exact = np.unique(rows_at(np.arange(n)), axis=0, return_inverse=True)[1].ravel()
+            return groups(*first, exact)
+    return order, group
+
+
 def contexts(n_buckets: int, length: int, q: int):
     """Step 2, in a document bucket."""
     side = length - q
@@ -296,30 +392,25 @@ def contexts(n_buckets: int, length: int, q: int):
             keep = order[np.diff(group, prepend=-1) > 0]
             by = np.argsort(uids)
             own, at = by[np.searchsorted(uids[by], uid[keep])], at[keep]
-            before, after = np.minimum(at, side), np.minimum(starts[own + 1] - starts[own] - at - q, side)
-            context = np.zeros((len(at), width_of(length, q)), np.uint8)
-            span, offsets = 2 * length - q, np.arange(-side, length)
-            for k in range(0, len(at), 100_000):
-                part = slice(k, k + 100_000)
-                place = (starts[own[part]] + at[part])[:, None] + offsets
-                inside = (offsets >= -before[part, None]) & (offsets < after[part, None] + q)
-                context[part, :span] = np.where(inside, data[np.clip(place, 0, len(data) - 1)], 0)
-            context[:, span], context[:, span + 1] = before, after
+            context = Contexts(starts, data, own, at, length, q)
+            n, keys = len(at), []
+            for pick in context.slices(np.arange(n)):
+                part = context.rows(pick)
+                keys.append((*class_keys(part), mixed(gram_rows(part[:, side : side + q]))))
+            one, two, h = (np.concatenate(x) for x in zip(*keys))
             doc = ids[own]
-            one, two = class_keys(context)
-            order, group = groups(one, two)
-            least = np.empty(len(doc), np.int64)
+            order, group = classes_of(context.rows, n, one, two)
+            least = np.empty(n, np.int64)
             least[order] = per_group(np.minimum, doc[order], group)
-            more = doc > least
+            more = np.flatnonzero(doc > least)
             for b, pick in by_bucket(doc_bucket(uids[own[more]], n_buckets), n_buckets):
-                i = np.flatnonzero(more)[pick]
-                rows.append((b, True, packed(uids[own[i]], at[i] - before[i], at[i] + q + after[i])))
-            send = np.flatnonzero(~more)
-            h = mixed(gram_rows(context[send, side : side + q]))
-            for b, pick in by_bucket((h % np.uint64(n_buckets)).astype(np.int64), n_buckets):
+                i = more[pick]
+                rows.append((b, True, packed(uids[own[i]], at[i] - context.before[i], at[i] + q + context.after[i])))
+            send = np.flatnonzero(doc == least)
+            for b, pick in by_bucket((h[send] % np.uint64(n_buckets)).astype(np.int64), n_buckets):
                 i = send[pick]
                 head = packed(doc[i], uids[own[i]], at[i])
-                rows.append((b, False, len(head).to_bytes(8, "little") + head + squeezed(context[i])))
+                rows.append((b, False, len(head).to_bytes(8, "little") + head + squeezed(context.rows(i))))
         return pa.Table.from_batches([batch_of(rows)])
 
     return run
@@ -341,50 +432,60 @@ def squeezed(context) -> bytes:
     return zstandard.ZstdCompressor(level=3).compress(context.tobytes())
 
 
-def refined(first, later):
-    """Bucket pointers by (first, later)."""
+def gram(rows, at: int, n: int):
+    """The n bytes (8 at most) at offset `at` of each row, as numbers."""
+    import numpy as np
+
+    out = np.zeros((len(rows), 8), np.uint8)
+    out[:, :n] = rows[:, at : at + n]
+    return out.view(np.uint64).ravel()
+
+
+def refined(alive, grams, pointers):
+    """Bucket pointers of the rows `alive` by (grams, pointers), -1 for the others and for those alone in a bucket, and
+    the rows that are left."""
     import numpy as np
 
-    order, group = groups(first, later)
-    out = np.empty(len(first), np.int64)
-    out[order] = group
-    return out
+    out = np.full(len(grams), -1, np.int32)
+    order, group = groups(pointers[alive], grams[alive])
+    several = np.bincount(group)[group] > 1 if len(group) else np.zeros(0, bool)
+    left = alive[order[several]]
+    out[left] = group[several]
+    return out, left
 
 
-def refine(rows, lengths, most: int, length: int):
-    """rows: byte strings of one width, each with its own length. For each row and each offset 0..most: the bucket of
-    the string of `length` bytes there, -1 where it would not fit or where no other row's starts with the same bytes."""
+def covered_ends(rows, group, before, after, least, length: int, q: int):
+    """rows: contexts with their anchors aligned, group: of equal anchor hashes, least: the document of each. For each
+    row the first start and the last end of the strings that a row of a smaller document has at the same place; -1, -1
+    where there is none."""
     import numpy as np
 
-    n, width = rows.shape
-    reach = length - 8
-    # level 0: buckets of the first 8 bytes, at every offset that some string needs
-    offsets = most + reach + 1
-    grams = np.zeros((n, offsets), np.uint64)
-    for i in range(8):
-        grams |= rows[:, i : i + offsets].astype(np.uint64) << np.uint64(8 * i)
-    pointers = np.unique(grams, return_inverse=True)[1].reshape(n, offsets)
-    i, j = np.nonzero(np.arange(most + 1) + length <= lengths[:, None])
-    depth, table = 8, pointers
-    alive = np.arange(len(i))
-    while depth < length:
-        step = min(depth, length - depth)
-        if depth + step < length:  # the next step reads pointers at later offsets too
-            ii, jj = np.nonzero(np.ones((n, table.shape[1] - step), bool))
-            table = refined(table[ii, jj], table[ii, jj + step]).reshape(n, -1)
-        else:
-            new = refined(table[i[alive], j[alive]], table[i[alive], j[alive] + step])
-            break
-        found = table[i[alive], j[alive]]
-        count = np.bincount(found)
-        alive = alive[count[found] > 1]
-        depth += step
-        if not len(alive):
-            new = np.empty(0, np.int64)
-            break
-    out = np.full((n, most + 1), -1, np.int64)
-    out[i[alive], j[alive]] = new
-    return out
+    n, side = len(rows), length - q
+    pointers, alive = group.astype(np.int32), np.arange(n)
+    for k in range(0, q, 8):
+        pointers, alive = refined(alive, gram(rows, side + k, min(8, q - k)), pointers)
+    ends = {0: (pointers, alive)}  # of the bytes after the anchor, by how many
+    for j in range(1, side + 1):
+        known, left = ends[max(0, j - 8)]
+        ends[j] = refined(left, gram(rows, side + q + max(0, j - 8), min(8, j)), known)
+    starts = {side: (pointers, alive)}  # of the bytes before it, by where they start
+    first, last = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
+    for j in range(side, -1, -1):
+        if j < side:
+            known, left = starts[min(side, j + 8)]
+            starts[j] = refined(left, gram(rows, j, min(8, side - j)), known)
+            starts.pop(j + 9, None) if j + 9 < side else None
+        head, left = starts[j]
+        tail = ends[j][0]
+        i = left[(tail[left] >= 0) & (j >= side - before[left]) & (j + length <= side + q + after[left])]
+        if len(i) < 2:
+            continue
+        order, bucket = groups(head[i], tail[i])
+        i = i[order]
+        hit = i[per_group(np.minimum, least[i], bucket) < least[i]]
+        first[hit] = j
+        last[hit] = np.maximum(last[hit], j + length)
+    return first, last
 
 
 def covered(n_buckets: int, length: int, q: int):
@@ -408,9 +509,10 @@ def covered(n_buckets: int, length: int, q: int):
         if heads:
             doc, uid, at = (np.concatenate(x) for x in zip(*heads))
             context = np.concatenate(parts)
+            del heads, parts
             h = gram_rows(context[:, side : side + q])
             one, two = class_keys(context)
-            order, cls = groups(h, one, two)
+            order, cls = classes_of(lambda i: context[i], len(doc), one, two, h)
             doc, uid, at, context, h = doc[order], uid[order], at[order], context[order], h[order]
             before, after = context[:, span].astype(np.int64), context[:, span + 1].astype(np.int64)
             least = per_group(np.minimum, doc, cls)
@@ -419,10 +521,9 @@ def covered(n_buckets: int, length: int, q: int):
             rep = np.flatnonzero(np.diff(cls, prepend=-1) > 0)  # a row of each class
             _, hash_group = groups(h[rep])
             many = np.bincount(hash_group)[hash_group] > 1
-            rep = rep[many]
+            rep, own = rep[many], hash_group[many]
             if len(rep):
                 # a slice of hashes at a time: classes of one hash stay together
-                own = hash_group[many]
                 edges = [0, *(np.flatnonzero(np.diff(own)) + 1), len(rep)]
                 start = np.full(cls[-1] + 1, -1, np.int64)
                 end = np.full(cls[-1] + 1, -1, np.int64)
@@ -431,29 +532,12 @@ def covered(n_buckets: int, length: int, q: int):
                     m = k + 1
                     while m < len(edges) - 1 and edges[m + 1] - edges[k] <= 20_000:
                         m += 1
-                    part = rep[edges[k] : edges[m]]
+                    part, slice_of = rep[edges[k] : edges[m]], own[edges[k] : edges[m]]
                     k = m
-                    shift = side - before[part]  # contexts moved left, so that each starts at offset 0
-                    take = np.minimum(np.arange(span) + shift[:, None], span - 1)
-                    moved = np.take_along_axis(context[part, :span], take, axis=1)
-                    moved = np.concatenate([moved, np.zeros((len(part), 8), np.uint8)], axis=1)
-                    bucket = refine(moved, before[part] + q + after[part], side, length)
-                    i, j = np.nonzero(bucket >= 0)
-                    if not len(i):
-                        continue
-                    found, d = bucket[i, j], least[part][i]
-                    o, g = groups(found)
-                    smaller = np.empty(len(i), bool)
-                    smaller[o] = per_group(np.minimum, d[o], g) < d[o]
-                    i, j = i[smaller], j[smaller]
-                    if len(i):
-                        c = cls[part][i]
-                        edge = np.flatnonzero(np.diff(c, prepend=-1) > 0)
-                        start[c[edge]] = np.minimum.reduceat(j, edge)
-                        end[c[edge]] = np.maximum.reduceat(j, edge) + length
+                    start[cls[part]], end[cls[part]] = covered_ends(context[part], slice_of - slice_of[0], before[part], after[part], least[part], length, q)
                 some = ~hit & (start[cls] >= 0)
-                low = np.where(some, at - before + start[cls], low)
-                high = np.where(some, at - before + end[cls], high)
+                low = np.where(some, at - side + start[cls], low)
+                high = np.where(some, at - side + end[cls], high)
                 hit |= some
             uid, low, high = uid[hit], low[hit], high[hit]
             for b, pick in by_bucket(doc_bucket(uid, n_buckets), n_buckets):
@@ -475,22 +559,32 @@ def finished(kind, with_text: bool):
         if not left.num_rows:
             return pa.Table.from_arrays([pa.array([], k) for k in kinds], names=names)
         uids, ids, starts, data = opened(left)
-        change = np.zeros(len(data) + 1, np.int64)
+        n = len(uids)
+        lost, spans, gone = np.zeros(n, np.int64), np.zeros(n, np.int64), {}
         if right.num_rows:
             uid, low, high = (np.concatenate(x) for x in zip(*(unpacked(x) for x in right["blob"].to_pylist())))
             by = np.argsort(uids)
-            at = starts[by[np.searchsorted(uids[by], uid)]]
-            np.add.at(change, at + low, 1)
-            np.add.at(change, at + high, -1)
-        gone = np.cumsum(change)[:-1] > 0
-        rise = gone & ~np.concatenate([[False], gone[:-1]])
-        opens = starts[:-1][starts[:-1] < len(data)]
-        rise[opens] = gone[opens]  # a run ends with its document
-        lost, spans = np.concatenate([[0], np.cumsum(gone)]), np.concatenate([[0], np.cumsum(rise)])
-        kept = data[~gone].tobytes()
-        edges = starts - lost[starts]
-        left_over = [kept[a:b] for a, b in zip(edges[:-1], edges[1:])]
-        columns = [[None if i == LAST else i for i in ids.tolist()], np.diff(starts), np.diff(lost[starts]), np.diff(spans[starts]), [hashlib.sha256(x).hexdigest() for x in left_over]]
+            own = by[np.searchsorted(uids[by], uid)]
+            order = np.lexsort((low, own))
+            own, low, high = own[order], starts[own[order]] + low[order], starts[own[order]] + high[order]
+            reach = np.maximum.accumulate(high)  # documents come in order, and so do their bytes
+            fresh = np.concatenate([[True], (own[1:] != own[:-1]) | (low[1:] > reach[:-1])]) if len(own) else np.zeros(0, bool)
+            first = np.flatnonzero(fresh)
+            own, low, high = own[first], low[first], reach[np.concatenate([first[1:], [len(reach)]]) - 1] if len(first) else high
+            lost, spans = np.bincount(own, high - low, n).astype(np.int64), np.bincount(own, minlength=n)
+            for k, a, b in zip(own.tolist(), low.tolist(), high.tolist()):
+                gone.setdefault(k, []).append((a, b))
+        digests, left_over = [], []
+        for k in range(n):
+            sha, kept, at = hashlib.sha256(), [], int(starts[k])
+            for a, b in [*gone.get(k, ()), (int(starts[k + 1]), 0)]:
+                sha.update(data[at:a])
+                if with_text:
+                    kept.append(data[at:a].tobytes())
+                at = b
+            digests.append(sha.hexdigest())
+            left_over.append(b"".join(kept))
+        columns = [[None if i == LAST else i for i in ids.tolist()], np.diff(starts), lost, spans, digests]
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns + [left_over] * with_text, kinds)], names=names)
 
     return run
@@ -498,16 +592,18 @@ def finished(kind, with_text: bool):
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, q: int = Q, bucket_bytes: int = BUCKET_BYTES, with_text: bool = False) -> DataFrame:
     """Per row of docs: id, n_bytes, n_removed, n_spans, kept_sha256, and the kept bytes if asked for.
-    length is 33 to 64; q, a power of two, at most length - 8."""
+    length is 33 to 64; q, a power of two, 8 or more, at most length - 8."""
     import pyarrow as pa
 
-    total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(4, math.ceil(total / bucket_bytes))
     bits = min(64, math.ceil(math.log2(total + 2)) + 14)  # of a hash: false meetings cost work, not results
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    texts = rows.mapInArrow(stored(n), "b int, head binary, texts binary")
-    shared = rows.mapInArrow(asked(n, 64 - bits, length, q), ROWS).groupBy("b").applyInArrow(answered(n), ROWS)
-    asks = texts.groupBy("b").cogroup(shared.groupBy("b")).applyInArrow(contexts(n, length, q), ROWS)
-    found = asks.groupBy("b").applyInArrow(covered(n, length, q), ROWS)
-    schema = f"{id_col} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return texts.groupBy("b").cogroup(found.groupBy("b")).applyInArrow(finished(pa.int64(), with_text), schema)
+    written = cut(rows.mapInArrow(stored(n), "b int, head binary, texts binary"), "texts")
+    texts = written.repartition(n, "b").groupBy("b")
+    by_bucket_of = lambda df: df.repartition(n, "b").groupBy("b")
+    shared = by_bucket_of(written.select("head", "texts").mapInArrow(asked(n, 64 - bits, length, q), ROWS)).applyInArrow(answered(n), ROWS)
+    asks = texts.cogroup(by_bucket_of(shared)).applyInArrow(contexts(n, length, q), ROWS)
+    found = by_bucket_of(asks).applyInArrow(covered(n, length, q), ROWS)
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
+    return texts.cogroup(by_bucket_of(found)).applyInArrow(finished(pa.int64(), with_text), schema).withColumnRenamed("doc_id", id_col)

@@ -181,6 +181,54 @@ def test_suffix_dedup_matches_brute_force(spark, seed):
     got = bpr.remove_repeats(df, bucket_bytes=3_000)
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, plain_repeats(rows)))
     assert bpr.remove_repeats(df.limit(0)).count() == 0
+    texts = bpr.remove_repeats(df.withColumnRenamed("doc_id", "b").withColumn("uid", F.lit(1)), "b", bucket_bytes=3_000, with_text=True).collect()
+    assert all(hashlib.sha256(bytes(r.kept)).hexdigest() == r.kept_sha256 and len(r.kept) == r.n_bytes - r.n_removed for r in texts)
+
+
+def test_anchors_by_blocks_are_those_of_the_whole():
+    import numpy as np
+
+    draw = random.Random(3)
+    for n in (0, 10, 49, 50, 51, 300, 5_000):
+        raw = bytes(draw.choice(b"ab") if draw.random() < 0.9 else draw.randrange(256) for _ in range(n))
+        at, h = bpr.anchors(np.frombuffer(raw, np.uint8), np.array([n]))
+        for block in (1, 64, 700):
+            got_at, got_h = bpr.anchors_of(raw, bpr.LENGTH, bpr.Q, block)
+            assert got_at.tolist() == at.tolist() and got_h.tolist() == h.tolist()
+
+
+def test_contexts_cut_again_and_classes_checked_by_bytes(monkeypatch):
+    import numpy as np
+
+    draw = np.random.default_rng(4)
+    data = draw.integers(97, 99, 4_000).astype(np.uint8)
+    starts, own = np.array([0, 1_500, 1_500, 4_000]), draw.choice([0, 2], 900)
+    at = draw.integers(0, np.diff(starts)[own] - bpr.Q)
+    kept = bpr.Contexts(starts, data, own, at, bpr.LENGTH, bpr.Q)
+    monkeypatch.setattr(bpr, "KEPT_BYTES", 0)
+    again = bpr.Contexts(starts, data, own, at, bpr.LENGTH, bpr.Q)
+    every = np.arange(len(at))
+    assert again.kept is None and np.array_equal(kept.rows(every), again.rows(every))
+    rows = np.concatenate([kept.rows(every)] * 2)
+    exact = np.unique(rows, axis=0, return_inverse=True)[1].ravel()
+    for one in (np.zeros(len(rows), np.uint64), bpr.class_keys(rows)[0]):  # hashes that clash, and good ones
+        order, group = bpr.classes_of(lambda i: rows[i], len(rows), one, one)
+        found = np.empty(len(rows), np.int64)
+        found[order] = group
+        assert len({(a, b) for a, b in zip(found.tolist(), exact.tolist())}) == len(set(exact.tolist())) == len(set(found.tolist()))
+
+
+def test_a_long_text_costs_little_memory_beside_itself():
+    import tracemalloc
+
+    import numpy as np
+
+    raw = np.random.default_rng(1).integers(97, 123, 20 << 20).astype(np.uint8).tobytes()
+    tracemalloc.start()
+    at, h = bpr.anchors_of(raw, bpr.LENGTH, bpr.Q, bpr.CHUNK_BYTES)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(at) > len(raw) // 30 and peak < 10 * len(raw)
 
 
 def edits(p, t):
