@@ -109,10 +109,22 @@ def test_quality_measures_and_cascade(spark):
     assert quality.keep(rows(spark, [])).count() == 0
 
 
-def test_quality_order_is_rejections_per_cost():
+def test_quality_order_is_rejections_per_marginal_cost():
+    rules = tuple(quality.Rule(str(i), bool, needs) for i, needs in enumerate(((), (), ())))
     # rule 1 rejects most for its cost; among what it leaves, rule 0 rejects nothing more, rule 2 does
-    assert quality.order({0b000: 50, 0b011: 40, 0b100: 10}, [1.0, 0.5, 5.0]) == [1, 2, 0]
-    assert quality.order({}, [2.0, 1.0]) == [1, 0]
+    assert quality.order(rules, {0b000: 50, 0b011: 40, 0b100: 10}, [1.0, 0.5, 5.0], {}) == [1, 2, 0]
+    assert quality.order(rules[:2], {}, [2.0, 1.0], {}) == [1, 0]
+    # words are dear: once a rule has made them, the other that needs them is cheap; or they are there anyway
+    rules = tuple(quality.Rule(str(i), bool, needs) for i, needs in enumerate((("n_words",), ("n_upper",), ("most_used",))))
+    masks, own, made = {0b001: 10, 0b010: 8, 0b100: 9}, [0.1, 0.1, 0.1], {"words": 10.0, "n_words": 0.1, "n_upper": 9.0, "counts": 0.5, "most_used": 0.1}
+    assert quality.order(rules, masks, own, made) == [0, 2, 1]
+    assert quality.order(rules, {0b001: 1, 0b010: 8, 0b100: 1}, own, made) == [1, 0, 2]
+    assert quality.order(rules, {0b001: 1, 0b010: 8, 0b100: 1}, own, made, ("words",)) == [0, 2, 1]
+    assert quality.RULES[-1].measures() == {"counts", "words", "n_words"}
+    for rule in quality.RULES:  # the measures a rule makes are those it names
+        t = quality.Text("one two Three 4".encode())
+        rule.rejects(t)
+        assert set(vars(t)) - {"raw"} == rule.measures()
 
 
 def test_chat_rotation_matches_sql(spark):
