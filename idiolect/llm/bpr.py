@@ -607,3 +607,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = by_bucket_of(asks).applyInArrow(covered(n, length, q), ROWS)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
     return texts.cogroup(by_bucket_of(found)).applyInArrow(finished(pa.int64(), with_text), schema).withColumnRenamed("doc_id", id_col)
+
+
+#: DuckDB SQL for remove_repeats() over documents, which have no null or repeated ids there.
+ORACLE = f"""
+with d as (select doc_id, encode(coalesce(text, '')) as raw from documents),
+w as (select doc_id, i, md5(raw[i:i + {LENGTH - 1}]) as s from d, unnest(range(1, octet_length(raw) - {LENGTH - 2})) as u(i)),
+c as (select doc_id, i from (select doc_id, i, min(doc_id) over (partition by s) as least from w) where least < doc_id),
+r as (select doc_id, i, sum((i > coalesce(prev, -1) + {LENGTH})::integer) over (partition by doc_id order by i) as run from (select doc_id, i, lag(i) over (partition by doc_id order by i) as prev from c)),
+g as (select doc_id, run, min(i) as low, max(i) + {LENGTH} as high from r group by 1, 2),
+k as (select doc_id, low, high, coalesce(lag(high) over (partition by doc_id order by low), 1) as back from g),
+p as (select k.doc_id, count(*) as n_spans, sum(high - low) as n_removed, max(high) as last, string_agg(hex(raw[back:low - 1]), '' order by low) as kept from k join d on k.doc_id = d.doc_id group by k.doc_id)
+select d.doc_id, octet_length(raw)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans,
+       sha256(case when n_spans is null then raw else unhex(kept || hex(raw[last:octet_length(raw)])) end) as kept_sha256
+from d left join p on d.doc_id = p.doc_id
+"""

@@ -21,12 +21,13 @@ MOST_ROUNDS = 60
 HEAVY, LIGHT = 10_000, 64
 
 
-def joined(rows: DataFrame, table: DataFrame, key: str, n: str, total: int) -> DataFrame:
-    """rows with the columns of table, one row a key. n: table's column with the rows of each key; total: of all."""
+def joined(rows: DataFrame, table: DataFrame, key: str, n: str, total: int, how: str = "inner") -> DataFrame:
+    """rows with the columns of table, one row a key. n: table's column with the rows of each key; total: of all.
+    how: inner, or left to keep rows of keys that table has not."""
     limit = max(LIGHT, total // HEAVY)
     heavy = F.broadcast(table.where(F.col(n) > limit).drop(n))
     light = table.where(F.col(n) <= limit).drop(n)
-    return rows.join(heavy, key).unionByName(rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key))
+    return rows.join(heavy, key).unionByName(rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key, how))
 
 
 def with_least(rows: DataFrame, key: str, value: str, to: str, total: int) -> DataFrame:

@@ -58,4 +58,4 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_chat_rotation, op3_pii, op4_simhash, op5_warc, op6_suffix_dedup, op7_byte_bpe, op8_decontamination, op9_quality_classifier, op10_secrets)}
-ORACLE_SQL: dict[str, str] = {"op2_chat_rotation": chat.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": quality.ORACLE, "op2_chat_rotation": chat.ORACLE, "op5_warc": warc.ORACLE, "op6_suffix_dedup": bpr.ORACLE}

@@ -7,16 +7,18 @@ longer than `segment` bytes is split: its first part keeps the type response, th
 with WARC-Segment-Number and the first part's id in WARC-Segment-Origin-ID; the last has
 WARC-Segment-Total-Length. Continuations are dealt over other files than their first part, as an archive's size
 limit would do. Spark's own text writer makes the gzip files, with CR LF CR LF after each record, so they go to
-whatever file system the shared folder is on. A row's record id is its place in the scan, so pages must give the
-same rows in the same order when read again, as a table does.
+whatever file system the shared folder is on. A row's record id is made in the pass that writes it and in no other; a
+revisit names its response by payload digest and target, so nothing depends on the order of rows in another pass.
 
 Reading. Files are read whole, each of a bounded size, and parsed by Content-Length. Records that are whole
 pass on; segments are grouped by origin and ordered by number, a group being one record. Numbers that are not
 1..n, or a length other than the total, raise an error. The chunk framing is then decoded and the digest taken
-of the payload that comes out; a revisit gets length and digest from the response that it refers to, and they
-must agree with its own header.
+of the payload that comes out; a revisit gets length and digest from the response with its digest, and they
+must agree with its own header. A payload that a large part of all revisits refers to is not shuffled to one task.
 
-Null payload counts as empty. A repeated row is a record of its own.
+Defined cases: a null payload counts as empty, a null target as blank; a null id is written as blank and read as null. A
+repeated row is a record of its own. An empty table makes an empty archive and no rows. A very long payload is one
+value, as in its table, and as many segments as it needs. Other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,15 +31,27 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from idiolect.llm.common import as_bytes, cut, scratch
-
+from idiolect.llm.common import as_bytes, cut, removed, scratch
+from idiolect.llm.graph import joined
+
+#: DuckDB SQL for the columns of op5 over pages.
+ORACLE = """
+with p as (select page_id, encode(coalesce(html, '')) as raw, sha1(coalesce(html, '')) as hex from pages),
+d as (
+  select page_id, octet_length(raw) as n, max(page_id) over (partition by hex, octet_length(raw)) as last,
+         array_to_string(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((('0x' || substr(hex, 5 * (i // 4)::integer + 1, 5))::bigint >> (15 - 5 * (i % 4)::integer)) & 31)::integer + 1]), '') as digest
+  from p)
+select page_id, n::bigint as payload_bytes, digest as payload_digest, case when page_id is not distinct from last then 'response' else 'revisit' end as record_type,
+       case when page_id is not distinct from last then null else last end as refers_to
+from d
+"""
 #: Bytes of a segment, of a chunk in the transfer framing, and about how many of a file.
 SEGMENT, CHUNK, FILE = 32_768, 8_192, 8 << 20
 SMALLEST = 0
 _RECORD = re.compile(rb"WARC/1\.1\r\n((?:[^\r\n]+\r\n)+)\r\n")
 _STATUS = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 _END = b"\r\n\r\n"
-ROW = "uid string, id_text string, refers string, type string, target string, digest string, total long, number int, origin string, body binary"
+ROW = "uid string, id_text string, type string, target string, digest string, total long, number int, origin string, body binary"
 
 
 def sha1(data: bytes) -> str:
@@ -69,10 +83,11 @@ def record(headers: list[tuple[str, str]], body: bytes) -> bytes:
 
 
 def records(uid: str, page: str, url: str, digest: str, total: int, refers: str | None, refers_id: str | None, payload: bytes, segment: int = SEGMENT) -> list[tuple[int, bytes]]:
-    """Segment number (0: whole) and bytes of a row's records, without the closing blank lines."""
+    """Segment number (0: whole) and bytes of a row's records, without the closing blank lines. refers: the target of
+    the response that a revisit refers to."""
     common = [("WARC-Target-URI", url), ("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Row-ID", page)]
     if refers is not None:
-        more = [("WARC-Type", "revisit"), ("WARC-Record-ID", f"<urn:row:{uid}>"), ("WARC-Refers-To", f"<urn:row:{refers}>"), ("X-Refers-To-Row", str(refers_id)), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("X-Payload-Length", str(total))]
+        more = [("WARC-Type", "revisit"), ("WARC-Record-ID", f"<urn:row:{uid}>"), ("WARC-Refers-To-Target-URI", refers), ("X-Refers-To-Row", str(refers_id)), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("X-Payload-Length", str(total))]
         return [(0, record(more + common, b""))]
     message = _STATUS + chunked(payload)
     kind = ("Content-Type", "application/http; msgtype=response")
@@ -119,10 +134,10 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
 
     rows = seen.mapInArrow(digested, "id long, url string, payload binary, digest string, uid string")
     size = F.length("payload").cast("long")
-    heads = rows.select("digest", size.alias("total"), "id", "uid").where(F.col("total") >= smallest)
-    first = heads.groupBy("digest", "total").agg(F.max(F.struct("id", "uid")).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    chosen = cut(first.select("digest", "total", F.col("first.id").alias("first_id"), F.col("first.uid").alias("first_uid")), "copies")  # its size is known then: payloads are shuffled only if it is large
-    dealt = rows.withColumn("total", size).join(chosen, ["digest", "total"], "left").select("uid", "id", "url", "digest", "total", "payload", "first_id", "first_uid", (F.col("first_uid").isNotNull() & ~F.col("id").eqNullSafe(F.col("first_id"))).alias("again"))
+    heads = rows.select("digest", size.alias("total"), "id", F.coalesce("url", F.lit("")).alias("url")).where(F.col("total") >= smallest)
+    first = heads.groupBy("digest", "total").agg(F.max(F.struct("id", "url")).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    chosen = cut(first.select("digest", "total", F.col("first.id").alias("first_id"), F.col("first.url").alias("first_url")), "copies")  # its size is known then: payloads are shuffled only if it is large
+    dealt = rows.withColumn("total", size).join(chosen, ["digest", "total"], "left").select("uid", "id", "url", "digest", "total", "payload", "first_id", "first_url", (F.col("first_url").isNotNull() & ~F.col("id").eqNullSafe(F.col("first_id"))).alias("again"))
 
     def written(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -130,9 +145,9 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
         for batch in batches:
             cols = [c.to_pylist() for c in batch.columns]
             numbers, out, size = [], [], 0
-            for uid, i, url, digest, total, payload, first_id, first_uid, again in zip(*cols):
-                url = re.sub(r"[\r\n]", " ", url or "")
-                for k, one in records(uid, "" if i is None else str(i), url, digest, total, first_uid if again else None, "" if first_id is None else str(first_id), payload, segment):
+            for uid, i, url, digest, total, payload, first_id, first_url, again in zip(*cols):
+                url, first_url = (re.sub(r"[\r\n]", " ", x or "") for x in (url, first_url))
+                for k, one in records(uid, "" if i is None else str(i), url, digest, total, first_url if again else None, "" if first_id is None else str(first_id), payload, segment):
                     numbers.append(f"{uid}-{k}" if k > 1 else uid)
                     out.append(one)
                     size += len(one)
@@ -157,8 +172,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
         import pyarrow as pa
 
-        names = ["uid", "id_text", "refers", "type", "target", "digest", "total", "number", "origin", "body"]
-        kinds = [pa.string()] * 6 + [pa.int64(), pa.int32(), pa.string(), pa.binary()]
+        names = ["uid", "id_text", "type", "target", "digest", "total", "number", "origin", "body"]
+        kinds = [pa.string()] * 5 + [pa.int64(), pa.int32(), pa.string(), pa.binary()]
         for batch in batches:
             for content in batch.column(0):
                 rows, size = [], 0
@@ -172,7 +187,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                         got, total, body = sha1(payload), len(payload), None
                         if got != digest:
                             raise ValueError(f"payload digest of {h['WARC-Record-ID']} differs")
-                    rows.append((_urn(h["WARC-Record-ID"]), h.get("X-Row-ID"), _urn(h["WARC-Refers-To"]) if revisit else None, h["WARC-Type"], h.get("X-Refers-To-Row") if revisit else None, digest, int(total) if total is not None else None, number, _urn(h.get("WARC-Segment-Origin-ID", h["WARC-Record-ID"])), body))
+                    rows.append((_urn(h["WARC-Record-ID"]), h.get("X-Row-ID"), h["WARC-Type"], h.get("X-Refers-To-Row") if revisit else None, digest, int(total) if total is not None else None, number, _urn(h.get("WARC-Segment-Origin-ID", h["WARC-Record-ID"])), body))
                     size += len(body or b"")
                     if size > 4 << 20 or len(rows) > 5_000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
@@ -183,7 +198,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     found = cut(files.mapInArrow(opened, ROW), "records")
     parts = found.where("number > 0").groupBy("origin").agg(F.sort_array(F.collect_list(F.struct("number", "uid", "id_text", "digest", "total", "body"))).alias("parts"))
 
-    def joined(batches: Iterator) -> Iterator:
+    def assembled(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
@@ -201,19 +216,24 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.string()))], names=["uid", "id_text", "total", "digest"])
 
     whole = found.where("number = 0 and type = 'response'").select("uid", "id_text", "total", "digest")
-    responses = whole.union(parts.mapInArrow(joined, "uid string, id_text string, total long, digest string"))
+    responses = cut(whole.union(parts.mapInArrow(assembled, "uid string, id_text string, total long, digest string")), "responses")
     number = F.when(F.col("id_text") == "", None).otherwise(F.col("id_text").cast("long"))
     target = F.when(F.col("target") == "", None).otherwise(F.col("target").cast("long"))
     out = responses.select(number.alias("id"), F.col("total").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
-    again = found.where("type = 'revisit'").select("refers", "id_text", "target", F.col("digest").alias("own"), F.col("total").alias("own_total"))
-    resolved = again.join(responses.select(F.col("uid").alias("refers"), "total", "digest"), "refers", "left")
-    same = (F.col("own") == F.col("digest")) & (F.col("own_total") == F.col("total"))
-    checked = F.when(F.coalesce(same, F.lit(False)), F.col("digest")).otherwise(F.raise_error(F.concat(F.lit("a revisit differs from or lacks what it refers to: "), F.col("refers"))))
+    again = found.where("type = 'revisit'").select("id_text", "target", "digest", F.col("total").alias("own_total"))
+    copies = again.groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
+    referred = copies.join(responses.groupBy("digest").agg(F.max("total").alias("total")), "digest")
+    resolved = joined(again, referred, "digest", "n", again.count(), "left")
+    same = F.col("own_total") == F.col("total")
+    checked = F.when(F.coalesce(same, F.lit(False)), F.col("digest")).otherwise(F.raise_error(F.concat(F.lit("a revisit differs from or lacks what it refers to: "), F.col("digest"))))
     return out.union(resolved.select(number, "total", checked, F.lit("revisit"), target))
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", smallest: int = SMALLEST, segment: int = SEGMENT) -> DataFrame:
     """pages written as an archive in the shared folder and read back."""
-    path = scratch(pages.sparkSession, "warc")
+    spark = pages.sparkSession
+    path = scratch(spark, "warc")
     write(pages, path, id_col, url_col, html_col, smallest, segment)
-    return read(pages.sparkSession, path).withColumnRenamed("id", id_col)
+    found = read(spark, path)  # its records are written down
+    removed(spark, path)
+    return found.withColumnRenamed("id", id_col)
