@@ -10,7 +10,9 @@ Words are lower-cased in A-Z and hashed into 2**BITS buckets. The rarest kind of
 to count, so a document's distinct words count once each, and alike in long and short documents.
 
 Defined cases: null text counts as empty; labels with a null grade are left out; several labels of a document all
-count; without labels the score is 0 and the grades are equally likely.
+count, as do several documents of an id, but no more than FIT_ROWS rows are fitted on (ties by grade, then by a hash of the
+text's words); without labels the score is 0 and the grades are equally likely; an empty table gives no rows. Texts of any
+length are read whole, in memory of some times their length. Other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -84,17 +86,34 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, id_col: str
     """(id, ids, shape, grade) of the documents of at most `rows` labels, the first by a hash of their ids, as an Arrow
     table. The labels are few by that bound, so they are broadcast and no text is shuffled."""
     chosen = grades(labels, id_col).orderBy(F.xxhash64(id_col), id_col, "grade").limit(rows)
-    rated = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).select(id_col, text_col, "grade")
+    rated = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen.withColumnRenamed(id_col, "id")), "id").select("id", "text", "grade")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
             found = [features(raw) for raw in as_bytes(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0].astype("i4") for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.list_(pa.float64())), batch.column(2)], names=[id_col, "ids", "shape", "grade"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0].astype("i4") for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.list_(pa.float64())), batch.column(2)], names=["id", "ids", "shape", "grade"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return rated.mapInArrow(run, f"{id_col} {kind}, ids array<int>, shape array<double>, grade int").toArrow().sort_by([(id_col, "ascending"), ("grade", "ascending")])
+    made = rated.mapInArrow(run, f"id {kind}, ids array<int>, shape array<double>, grade int")
+    first = made.orderBy(F.xxhash64("id"), "id", "grade", F.xxhash64("ids", "shape")).limit(rows)  # an id may be many documents
+    return first.toArrow().sort_by([("id", "ascending"), ("grade", "ascending")])
+
+
+def loss(s, y, cuts):
+    """Minus the mean log-likelihood of grades y at scores s, and its gradients by each score and by the cuts."""
+    import numpy as np
+
+    n, k = len(y), np.arange(len(y))
+    p = 1 / (1 + np.exp(-np.clip(s[:, None] - cuts, -30, 30)))
+    upper = np.hstack([np.ones((n, 1)), p])[k, y]
+    lower = np.hstack([p, np.zeros((n, 1))])[k, y]
+    mass = np.maximum(upper - lower, 1e-9)
+    slope = p * (1 - p)
+    is_above, is_below = y[:, None] == np.arange(1, len(cuts) + 1), y[:, None] == np.arange(len(cuts))
+    by_cut = np.sum(slope / mass[:, None] * (is_above.astype(float) - is_below), axis=0) / n
+    return -np.log(mass).sum() / n, -(1 - upper - lower) / n, by_cut
 
 
 def fit(rows, rounds: int = ROUNDS, rate: float = RATE, decay: float = DECAY, grades: int = GRADES) -> Model:
@@ -111,24 +130,15 @@ def fit(rows, rounds: int = ROUNDS, rate: float = RATE, decay: float = DECAY, gr
     ids, doc = lists.flatten().to_numpy(), np.repeat(np.arange(len(y)), n_ids)
     shapes = np.array(rows["shape"].to_pylist())
     freq = np.bincount(ids, minlength=1 << BITS)
-    weight = np.ones(len(y))
     off = (y - y.mean()) / max(float(y.std()), 1e-9)
     z = np.abs(np.bincount(ids, off[doc], minlength=1 << BITS)) / np.sqrt(np.maximum(freq, 1))
     common = ((freq >= LEAST_DOCS) & (2 * freq <= len(y)) & (z >= LEAST_Z)).astype(float)  # the others keep weight 0
     seen = [np.full(1 << BITS, 1e-8), np.full(SHAPES, 1e-8), np.full(grades - 1, 1e-8)]
     for _ in range(rounds):
         s = np.bincount(doc, words[ids], minlength=len(y)) + shapes @ shape
-        p = 1 / (1 + np.exp(-np.clip(s[:, None] - cuts, -30, 30)))
-        upper = np.hstack([np.ones((len(y), 1)), p])[np.arange(len(y)), y]
-        lower = np.hstack([p, np.zeros((len(y), 1))])[np.arange(len(y)), y]
-        d_s = -(1 - upper - lower) * weight  # of minus the log-likelihood, by the score
-        g_words = np.bincount(ids, d_s[doc], minlength=1 << BITS) / len(y) + decay * words
-        g_shape = shapes.T @ d_s / len(y) + decay * shape
-        mass = np.maximum(upper - lower, 1e-9)
-        g_cuts = np.zeros(grades - 1)
-        for k in range(grades - 1):
-            slope = p[:, k] * (1 - p[:, k])
-            g_cuts[k] = np.sum(weight * slope / mass * ((y == k + 1).astype(float) - (y == k))) / len(y)
+        _, by_score, g_cuts = loss(s, y, cuts)
+        g_words = np.bincount(ids, by_score[doc], minlength=1 << BITS) + decay * words
+        g_shape = shapes.T @ by_score + decay * shape
         for x, g, v, step in ((words, g_words, seen[0], 0.3 * rate * common), (shape, g_shape, seen[1], rate), (cuts, g_cuts, seen[2], 0.1 * rate)):
             v += g * g
             x -= step * g / np.sqrt(v)
@@ -149,4 +159,4 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([round(sum(t), 6) for t in tails], pa.float64()), pa.array(tail, pa.float64()), pa.array([t >= 0.5 for t in tail], pa.bool_())], names=[id_col, "expected_grade", "tail", "selected"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, expected_grade double, tail double, selected boolean")
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, expected_grade double, tail double, selected boolean")

@@ -1,6 +1,7 @@
 """SimHash, components, WARC, suffix dedup, decontamination, classifier and the pipeline."""
 
 import hashlib
+import math
 import random
 
 import public_tokenizers
@@ -327,6 +328,56 @@ def test_classifier_on_held_out_labels(spark):
     assert model.cuts[0] <= model.cuts[1]
 
 
+def test_gradients_are_those_of_the_likelihood():
+    import numpy as np
+
+    draw = np.random.default_rng(3)
+    s, y, cuts = draw.normal(0, 2, 40), draw.integers(0, 3, 40), np.array([-0.7, 0.9])
+    value, by_score, by_cut = classifier.loss(s, y, cuts)
+    sig = lambda x: 1 / (1 + math.exp(-x))
+    chance = lambda x, g: (sig(x - cuts[0]) if g else 1.0) * 1 - (0 if g else sig(x - cuts[0])) if g != 1 else sig(x - cuts[0]) - sig(x - cuts[1])
+    plain = -sum(math.log(sig(x - cuts[1]) if g == 2 else chance(x, g)) for x, g in zip(s, y)) / 40
+    assert abs(value - plain) < 1e-9
+    step = 1e-6
+    for k in range(40):
+        up, down = s.copy(), s.copy()
+        up[k] += step
+        down[k] -= step
+        assert abs((classifier.loss(up, y, cuts)[0] - classifier.loss(down, y, cuts)[0]) / (2 * step) - by_score[k]) < 1e-6
+    for k in range(2):
+        up, down = cuts.copy(), cuts.copy()
+        up[k] += step
+        down[k] -= step
+        assert abs((classifier.loss(s, y, up)[0] - classifier.loss(s, y, down)[0]) / (2 * step) - by_cut[k]) < 1e-6
+
+
+def test_scores_are_the_plain_formula_and_the_fit_is_good(spark):
+    import numpy as np
+    import zlib
+
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    rows = classifier.sample(docs, labels)
+    model = classifier.fit(rows)
+    got = {r.doc_id: r for r in classifier.scores(docs, model).collect()}
+    for r in docs.collect():
+        words = {w.strip(b".,;:!?\"'()[]") for w in r.text.encode().lower().split()}
+        buckets = {zlib.crc32(w) >> (32 - classifier.BITS) for w in words}
+        s = sum(model.words[b] for b in buckets) + sum(a * b for a, b in zip(classifier.features(r.text.encode())[1], model.shape))
+        tails = [1 / (1 + math.exp(-(s - c))) for c in model.cuts]
+        assert abs(got[r.doc_id].tail - tails[1]) < 2e-6 and abs(got[r.doc_id].expected_grade - sum(tails)) < 4e-6
+        assert got[r.doc_id].selected == (round(tails[1], 6) >= 0.5)
+    y = rows["grade"].to_numpy()
+    s = np.array([sum(model.words[b] for b in ids) + np.dot(shape, model.shape) for ids, shape in zip(rows["ids"].to_pylist(), rows["shape"].to_pylist())])
+    assert classifier.loss(s, y, model.cuts)[0] < 0.6 * classifier.loss(np.zeros(len(y)), y, np.linspace(-1, 1, 2))[0]
+
+
+def test_sample_is_bounded_whatever_the_ids(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(2, "b")], "doc_id long, text string").withColumn("grade", F.lit("x"))
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    assert classifier.sample(docs, labels, rows=10).num_rows == 10
+    assert classifier.sample(docs, labels, rows=10) == classifier.sample(docs.repartition(7), labels, rows=10)
+
+
 def test_classifier_edges(spark):
     docs = spark.createDataFrame([(1, None, 0.5), (2, "", 0.5), (2, "a b", None)], "doc_id long, text string, tail double")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
