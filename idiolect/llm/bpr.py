@@ -41,9 +41,9 @@ from idiolect.llm.common import as_bytes, cut
 
 LENGTH, Q = 50, 16
 #: Bytes of text for each bucket, and of those that a task gathers before it sends them on.
-BUCKET_BYTES, FLUSH_BYTES, CHUNK_BYTES = 12 << 20, 32 << 20, 1 << 20
+BUCKET_BYTES, FLUSH_BYTES, CHUNK_BYTES = 12 << 20, 8 << 20, 1 << 20
 #: Bytes of contexts that a task keeps; beyond that they are cut out of the texts again when needed.
-KEPT_BYTES = 64 << 20
+KEPT_BYTES = 16 << 20
 LAST = (1 << 63) - 1
 ROWS = "b int, known boolean, blob binary"
 
@@ -509,7 +509,7 @@ def covered(n_buckets: int, length: int, q: int):
         if heads:
             doc, uid, at = (np.concatenate(x) for x in zip(*heads))
             context = np.concatenate(parts)
-            del heads, parts
+            del heads, parts  # as many bytes again
             h = gram_rows(context[:, side : side + q])
             one, two = class_keys(context)
             order, cls = classes_of(lambda i: context[i], len(doc), one, two, h)
@@ -530,7 +530,7 @@ def covered(n_buckets: int, length: int, q: int):
                 k = 0
                 while k < len(edges) - 1:
                     m = k + 1
-                    while m < len(edges) - 1 and edges[m + 1] - edges[k] <= 20_000:
+                    while m < len(edges) - 1 and edges[m + 1] - edges[k] <= 10_000:
                         m += 1
                     part, slice_of = rep[edges[k] : edges[m]], own[edges[k] : edges[m]]
                     k = m
