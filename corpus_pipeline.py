@@ -1,4 +1,4 @@
-"""The corpus pipeline: documents through five operators, each stage written and read again by the next.
+"""The corpus pipeline: documents through five operators, each stage written and read again by the next, then removed.
 
 A stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. Quality rules drop what they
 reject, near-dedup keeps the smallest id of each group, decontamination drops documents with benchmark passages,
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from idiolect.llm import bpe, decontam, quality, secrets, simhash
-from idiolect.llm.common import cut, table
+from idiolect.llm.common import cut_at, removed, scratch, table
 from idiolect.llm.queries import VOCABULARY
 
 
@@ -55,7 +55,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, read = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), name)
+        path = scratch(spark, name)
+        docs = cut_at(stage(spark, docs, sf_dir), path)
+        if read:
+            removed(spark, read)  # the stage before this one: nothing reads it any more
+        read = path
     return docs
