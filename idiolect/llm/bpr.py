@@ -600,8 +600,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n = max(4, math.ceil(total / bucket_bytes))
     bits = min(64, math.ceil(math.log2(total + 2)) + 14)  # of a hash: false meetings cost work, not results
     written = cut(rows.mapInArrow(stored(n), "b int, head binary, texts binary"), "texts")
-    texts = written.repartition(n, "b").groupBy("b")
-    by_bucket_of = lambda df: df.repartition(n, "b").groupBy("b")
+    by_bucket_of = lambda df: df.repartitionById(n, F.col("b")).groupBy("b")  # noqa: E731  # a task for each bucket
+    texts = by_bucket_of(written)
     shared = by_bucket_of(written.select("head", "texts").mapInArrow(asked(n, 64 - bits, length, q), ROWS)).applyInArrow(answered(n), ROWS)
     asks = texts.cogroup(by_bucket_of(shared)).applyInArrow(contexts(n, length, q), ROWS)
     found = by_bucket_of(asks).applyInArrow(covered(n, length, q), ROWS)

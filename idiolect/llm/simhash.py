@@ -36,7 +36,7 @@ from idiolect.llm.graph import Forest, components, joined, with_least
 
 BITS, SHINGLE, SEED, MOST = 64, 3, 42, 3
 #: Rows of a bucket that a task compares at once; larger buckets are dealt out in pairs of tiles.
-TILE = 2_048
+TILE = 1_024
 
 
 def fingerprint(raw: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:

@@ -55,7 +55,7 @@ def near_texts():
     return texts
 
 
-@pytest.mark.parametrize("tile", [3, 2048])
+@pytest.mark.parametrize("tile", [3, 1024])
 def test_simhash_matches_brute_force(spark, tile):
     texts = near_texts()
     ids = [None if i == 7 else 1000 - i for i in range(len(texts))]
