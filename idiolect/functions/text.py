@@ -1,6 +1,8 @@
 """Normalising and segmenting text with column expressions.
 
-Regular expressions carry (?U) where blanks, digits or word characters beyond ASCII matter.
+Regular expressions carry (?U) where blanks, digits or word characters beyond ASCII matter. Repeated groups are possessive
+(++, *+), which Java matches in a loop and not by recursion, and what starts with blanks is tried from the first of them
+alone, so very long words and runs of blanks take linear time and no stack.
 """
 
 from __future__ import annotations
@@ -14,25 +16,24 @@ from pyspark.sql import functions as F
 
 from idiolect.functions.lexicons import ABBREVIATIONS
 
-WORD = r"[0-9A-Za-z]+(?:['\-][0-9A-Za-z]+)*"
+WORD = r"[0-9A-Za-z]++(?:['\-][0-9A-Za-z]++)*+"
 BREAK, GUARD = "\x01", "\x02"
 BULLET = r"(?:[-*•‣◦]|\d+[.)])"
 _ABBREVIATED = "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS)
-#: Texts that NFC can change have one of these.
-COMPOSABLE = r"[\p{M}ᄀ-ᇿ  ΩKÅ〈〉̀-̈́ʹ;·ά-´豈-﫿יִ-פֿ]"
 
 
 def one_of(x: Column, words: Iterable[str]) -> Column:
-    """x is one of the words. isin() makes a call to the JVM for each of them; hundreds are sent as one here."""
+    """x is one of the words. isin() makes a call to the JVM for each of them; hundreds are sent as one here, where there
+    is a JVM to call."""
     words = list(words)
-    jvm = SparkContext._active_spark_context._jvm
-    if not words or any("," in w or w != w.strip() for w in words):
+    if not hasattr(x, "_jc") or not words or any("," in w or w != w.strip() for w in words):
         return x.isin(*words)
+    jvm = SparkContext._active_spark_context._jvm
     return Column(x._jc.isInCollection(jvm.org.apache.spark.util.Utils.stringToSeq(",".join(words))))
 
 
 def strip(x: Column) -> Column:
-    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(x, r"(?U)^\s+|(?<!\s)\s+$", "")
 
 
 def plain_marks(text: Column) -> Column:
@@ -85,8 +86,8 @@ def paragraphs(norm: Column) -> Column:
 
 def segments(norm: Column) -> Column:
     """Paragraphs and list items, with BREAK between them."""
-    t = F.regexp_replace(strip(F.translate(norm, BREAK + GUARD, "  ")), r"(?U)\s*\n[ \t]*\n\s*", BREAK)
-    return F.regexp_replace(t, rf"(?U)\s*\n(?=[^\S\n]*{BULLET}[^\S\n]+)", BREAK)
+    t = F.regexp_replace(strip(F.translate(norm, BREAK + GUARD, "  ")), r"(?U)(?<!\s)\s*\n[ \t]*\n\s*", BREAK)
+    return F.regexp_replace(t, rf"(?U)(?<!\s)\s*\n(?=[^\S\n]*{BULLET}[^\S\n]+)", BREAK)
 
 
 def sentences(norm: Column) -> Column:
@@ -130,12 +131,6 @@ def phrase_pattern(phrase: str) -> str:
     return rf"(?U)\b{escaped}\b"
 
 
-def phrase_count(lower: Column, phrase: str) -> Column:
-    """Occurrences of the phrase as whole words. The pattern only runs on texts that hold its longest word."""
-    rarest = max(phrase.split(), key=len)
-    return F.when(F.contains(lower, F.lit(rarest)), F.regexp_count(lower, F.lit(phrase_pattern(phrase)))).otherwise(0)
-
-
 def phrase_table(phrases: tuple[str, ...]) -> Column:
     """The phrases as one array literal (term, rarest word, pattern): plans stay small however many there are."""
     rows = [{"term": p, "word": max(p.split(), key=len), "pattern": phrase_pattern(p)} for p in phrases]

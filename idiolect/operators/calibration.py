@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from idiolect.functions import lexicons as lex
-from idiolect.functions.numbers import half_up
+from idiolect.functions.numbers import rounded
 from idiolect.operators import scoring
 
 DECAY, ROUND, ASKED, NEITHER = 0.6, 3, 1.0, "neither"
@@ -25,42 +25,33 @@ class Question:
     text: str
 
 
-def _bank(lines: str) -> tuple[Question, ...]:
-    out = []
-    for line in lines.strip().splitlines():
-        head, text = line.split(" | ")
-        name, *targets = head.split()
-        out.append(Question(name, tuple(targets), text))
-    return tuple(out)
-
-
 #: Ids and targets are fixed values; the wording is ours and may be replaced.
-ONBOARDING = _bank("""
-onboarding_work technicality formality conciseness | Explain your job to a stranger.
-onboarding_interest warmth humour conversationality | What could you talk about for hours, and why?
-onboarding_disagreement directness hedging formality | A colleague proposes a plan that you think will fail. Answer them.
-onboarding_annoyance humour conversationality warmth | What got on your nerves lately?
-onboarding_explanation technicality conciseness directness | Teach a clever friend something that you are good at.
-""")
-CALIBRATION = _bank("""
-calib_bad_news directness hedging formality | Tell a customer that their delivery will be a fortnight late.
-calib_thanks warmth conversationality humour | Thank a teammate who cleaned up after somebody else.
-calib_handover conciseness technicality directness | Leave notes for the person who stands in for you next week.
-calib_recommendation conversationality warmth humour | Talk a friend into something that you love.
-calib_pushback hedging directness formality | Your boss wants it far too soon. Reply.
-calib_meeting_summary conciseness formality technicality | Sum up a recent meeting for somebody who was away.
-calib_complaint directness formality warmth | You paid for something and it does not work. Write to the seller.
-calib_rough_week warmth conversationality hedging | A friend has had an awful week. Answer them.
-calib_went_wrong humour conversationality warmth | Tell how something failed and how it ended.
-calib_teach technicality warmth conciseness | A beginner in your field asks how a part of it works.
-calib_estimate hedging conversationality directness | How long will it take? You cannot know yet. Answer.
-calib_introduction formality warmth humour | Say hello to a group that you have just joined.
-calib_decision_note formality conciseness hedging | Explain a decision to people who had no part in it.
-calib_no_time conversationality conciseness directness | Somebody needs you today and you have no time. Reply.
-calib_unpopular_view directness technicality hedging | Argue against something that your field takes for granted.
-calib_jargon technicality humour directness | Explain a term of your trade and judge whether it deserves to live.
-calib_bad_writing humour warmth conversationality | Describe the worst memo that you had to read.
-""")
+ONBOARDING = (
+    Question("onboarding_work", ("technicality", "formality", "conciseness"), "Explain your job to a stranger."),
+    Question("onboarding_interest", ("warmth", "humour", "conversationality"), "What could you talk about for hours, and why?"),
+    Question("onboarding_disagreement", ("directness", "hedging", "formality"), "A colleague proposes a plan that you think will fail. Answer them."),
+    Question("onboarding_annoyance", ("humour", "conversationality", "warmth"), "What got on your nerves lately?"),
+    Question("onboarding_explanation", ("technicality", "conciseness", "directness"), "Teach a clever friend something that you are good at."),
+)
+CALIBRATION = (
+    Question("calib_bad_news", ("directness", "hedging", "formality"), "Tell a customer that their delivery will be a fortnight late."),
+    Question("calib_thanks", ("warmth", "conversationality", "humour"), "Thank a teammate who cleaned up after somebody else."),
+    Question("calib_handover", ("conciseness", "technicality", "directness"), "Leave notes for the person who stands in for you next week."),
+    Question("calib_recommendation", ("conversationality", "warmth", "humour"), "Talk a friend into something that you love."),
+    Question("calib_pushback", ("hedging", "directness", "formality"), "Your boss wants it far too soon. Reply."),
+    Question("calib_meeting_summary", ("conciseness", "formality", "technicality"), "Sum up a recent meeting for somebody who was away."),
+    Question("calib_complaint", ("directness", "formality", "warmth"), "You paid for something and it does not work. Write to the seller."),
+    Question("calib_rough_week", ("warmth", "conversationality", "hedging"), "A friend has had an awful week. Answer them."),
+    Question("calib_went_wrong", ("humour", "conversationality", "warmth"), "Tell how something failed and how it ended."),
+    Question("calib_teach", ("technicality", "warmth", "conciseness"), "A beginner in your field asks how a part of it works."),
+    Question("calib_estimate", ("hedging", "conversationality", "directness"), "How long will it take? You cannot know yet. Answer."),
+    Question("calib_introduction", ("formality", "warmth", "humour"), "Say hello to a group that you have just joined."),
+    Question("calib_decision_note", ("formality", "conciseness", "hedging"), "Explain a decision to people who had no part in it."),
+    Question("calib_no_time", ("conversationality", "conciseness", "directness"), "Somebody needs you today and you have no time. Reply."),
+    Question("calib_unpopular_view", ("directness", "technicality", "hedging"), "Argue against something that your field takes for granted."),
+    Question("calib_jargon", ("technicality", "humour", "directness"), "Explain a term of your trade and judge whether it deserves to live."),
+    Question("calib_bad_writing", ("humour", "warmth", "conversationality"), "Describe the worst memo that you had to read."),
+)
 PAIRS = tuple((f"choice_{c.replace(' ', '_').replace('-', '_')}", c, lex.FORMAL_TO_PLAIN[c]) for c in lex.AVOID_CANDIDATES if c in lex.FORMAL_TO_PLAIN)
 
 
@@ -98,7 +89,7 @@ def uncertainty(styles: DataFrame, writers: DataFrame) -> DataFrame:
     every = writers.select("writer").distinct().join(F.broadcast(dimension_table(spark)))  # eight rows a writer
     known = every.join(styles.select("writer", "dimension", "confidence"), ["writer", "dimension"], "left")
     gap = (F.col("ceiling") - F.coalesce("confidence", F.lit(0.0))) / F.col("ceiling")
-    return known.select("writer", "place", "dimension", half_up(F.greatest(F.lit(0.0), F.least(F.lit(1.0), gap)), 4).alias("uncertainty"), "importance")
+    return known.select("writer", "place", "dimension", rounded(F.greatest(F.lit(0.0), F.least(F.lit(1.0), gap)), 4).alias("uncertainty"), "importance")
 
 
 def saturation(asked: DataFrame, bank: DataFrame) -> DataFrame:
@@ -117,7 +108,7 @@ def worth(styles: DataFrame, asked: DataFrame, writers: DataFrame) -> DataFrame:
     spark = writers.sparkSession
     full = question_bank(spark, ONBOARDING + CALIBRATION)
     both = uncertainty(styles, writers).join(saturation(asked, full), ["writer", "dimension"], "left").withColumn("saturation", F.coalesce("saturation", F.lit(0.0)))
-    return both.withColumn("priority", half_up(F.col("uncertainty") * F.col("importance") / (1.0 + F.col("saturation")), 6))
+    return both.withColumn("priority", rounded(F.col("uncertainty") * F.col("importance") / (1.0 + F.col("saturation")), 6))
 
 
 def weakest(styles: DataFrame, asked: DataFrame, writers: DataFrame, limit: int = 3) -> DataFrame:
@@ -128,7 +119,7 @@ def weakest(styles: DataFrame, asked: DataFrame, writers: DataFrame, limit: int
 
 def per_target(unc: Column, importance: Column, sat: Column, position: Column) -> Column:
     decay = F.element_at(F.array(*(F.lit(DECAY**p) for p in range(4))), position + 1)
-    return half_up(unc * importance * decay / (1.0 + sat), 6)
+    return rounded(unc * importance * decay / (1.0 + sat), 6)
 
 
 def rank_questions(styles: DataFrame, asked: DataFrame, writers: DataFrame, bank: tuple[Question, ...] = CALIBRATION) -> DataFrame:
@@ -138,7 +129,7 @@ def rank_questions(styles: DataFrame, asked: DataFrame, writers: DataFrame, bank
     valued = scored.withColumn("value", per_target(F.col("uncertainty"), F.col("importance"), F.col("saturation"), F.col("position")))
     named = F.filter(F.array_sort(F.collect_list(F.struct((-F.col("value")).alias("v"), "target"))), lambda x: x["v"] < 0)
     by_place = F.transform(F.array_sort(F.collect_list(F.struct("position", "value"))), lambda x: x["value"])
-    total = half_up(F.aggregate(by_place, F.lit(0.0), lambda a, x: a + x), 6)
+    total = rounded(F.aggregate(by_place, F.lit(0.0), lambda a, x: a + x), 6)
     each = valued.groupBy("writer", "question_id").agg(total.alias("priority"), F.array_join(F.transform(named, lambda x: x["target"]), ", ").alias("reason"))
     fresh = each.join(asked.select("writer", "question_id").distinct(), ["writer", "question_id"], "left_anti")
     w = Window.partitionBy("writer").orderBy(F.desc("priority"), "question_id")

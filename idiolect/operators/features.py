@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from idiolect.functions import lexicons as lex
 from idiolect.functions import text as tx
-from idiolect.functions.numbers import half_up
+from idiolect.functions.numbers import rounded
 from idiolect.operators import metrics
 
 #: Names, in order. Fixed values.
@@ -30,8 +30,8 @@ def analyse(df: DataFrame, text_col: str = "text", words: lex.Lexicons = lex.DEF
     out = metrics.measured(prepared).withColumns({"text_length": F.length("norm").cast("long")} | metrics.basic())
     out = metrics.punctuation(metrics.vocabulary(metrics.syntax(out, words=words), words=words))
     made: dict[str, Column] = {new: F.col(old) for new, old in RENAMED.items()}
-    made["exclamation_rate"] = half_up(F.col("n_exclamation") * 100.0 / F.greatest(F.col("sentence_count"), F.lit(1)), 4)
-    made["comma_rate"] = half_up(F.col("rate_comma") / 10.0, 4)
+    made["exclamation_rate"] = rounded(F.col("n_exclamation") * 100.0 / F.greatest(F.col("sentence_count"), F.lit(1)), 4)
+    made["comma_rate"] = rounded(F.col("rate_comma") / 10.0, 4)
     return out.withColumns(made)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from idiolect.functions import lexicons as lex
 from idiolect.functions import text as tx
-from idiolect.functions.numbers import half_up, rate, ratio
+from idiolect.functions.numbers import rounded, rate, ratio
 
 #: Punctuation marks in the order of their counting, with their literals. Fixed values.
 MARKS = {
@@ -48,20 +48,26 @@ BANDS = {
 OTHER_BANDS = (1.0, 5.0)
 APPROXIMATE = ("passive_voice", "fragments", "subordinate_clauses")
 MTLD_THRESHOLD = 0.72
-#: Regular expressions of the syntax and vocabulary metrics. Fixed values, but for the flags of Java's dialect.
+#: Regular expressions of the syntax and vocabulary metrics. Fixed values, but for the flags of Java's dialect; a file name
+#: is group 1 of its match, as each run of its characters is tried from its first word character alone.
 CONTRACTION = r"(?Ui)\b\w+'(?:t|s|re|ve|ll|d|m)\b"
 PASSIVE = r"(?Ui)\b(?:am|is|are|was|were|be|been|being|get|gets|got)\b(?:\s+\w+ly)?\s+(?:\w+(?:ed|en)\b|(?:" + "|".join(lex.IRREGULAR_PARTICIPLES) + r")\b)"
 VERB_ENDING = r"(?Ui)\b\w{3,}(?:ed|ing|es|s)\b"
 SHAPES = {
     "camel": r"(?U)\b[a-z]+[A-Z][A-Za-z]*\b",
     "snake": r"(?U)\b[a-z][a-z0-9]*_[a-z0-9_]+\b",
-    "filename": r"(?U)\b[\w.-]+\.(?:" + "|".join(lex.FILE_ENDINGS) + r")\b",
+    "filename": r"(?U)(?<![\w.-])[.-]*+(\b[\w.-]+\.(?:" + "|".join(lex.FILE_ENDINGS) + r")\b)",
     "flag": r"(?U)(?<!\w)--[a-z][\w-]+",
     "acronym": r"(?U)\b[A-Z]{2,6}s?\b",
     "code": r"(?U)`[^`]+`|\b\w+\(\)",
 }
 
 
+def shapes_found(norm: Column, kind: str) -> Column:
+    """The occurrences of a technical shape, as they are written."""
+    return F.regexp_extract_all(norm, F.lit(SHAPES[kind]), F.lit(int(kind == "filename")))
+
+
 def measured(df: DataFrame, norm: str = "norm") -> DataFrame:
     """df with what the metrics of a normalised text share: tokens, sentences and their tokens, paragraphs, lines, the
     text in lower case and without dashes and ellipses. Columns of a projection of their own, so each is made once."""
@@ -95,7 +101,7 @@ def basic(tokens: str = "tokens", sentence_tokens: str = "sentence_tokens", para
         "sentence_count": F.size(lengths).cast("long"),
         "paragraph_count": n_paragraphs,
         "average_sentence_length": ratio(total(lengths), F.size(lengths)),
-        "sentence_length_variance": half_up(variance(lengths), 2),
+        "sentence_length_variance": rounded(variance(lengths), 2),
         "average_paragraph_length": ratio(words, n_paragraphs),
         "average_word_length": ratio(total(F.transform(t, F.length)), words),
         "long_word_rate": rate(F.size(F.filter(t, lambda x: F.length(x) >= 7)), words, 100),
@@ -123,9 +129,7 @@ def mtld_of(tokens: list[str], threshold: float = MTLD_THRESHOLD) -> float:
             factors += (1 - len(seen) / n) / (1 - threshold)
         return len(tokens) / factors if factors > 0 else float(len(tokens))
 
-    import math
-
-    return math.floor((passed(tokens) + passed(reversed(tokens))) / 2 * 100 + 0.5) / 100
+    return round((passed(tokens) + passed(reversed(tokens))) / 2, 2)
 
 
 def with_mtld(df: DataFrame, norm: str = "norm", to: str = "vocabulary_diversity", threshold: float = MTLD_THRESHOLD) -> DataFrame:
@@ -162,7 +166,7 @@ def mtld_expression(tokens: Column, threshold: float = MTLD_THRESHOLD) -> Column
         return F.when(factors > 0, words / factors).otherwise(words)
 
     both = F.aggregate(tokens, zero, step, done) + F.aggregate(F.reverse(tokens), zero, step, done)
-    return F.when(F.size(tokens) < 10, 0.0).otherwise(half_up(both / 2, 2))
+    return F.when(F.size(tokens) < 10, 0.0).otherwise(rounded(both / 2, 2))
 
 
 def bare(norm: Column) -> Column:
@@ -249,12 +253,12 @@ def syntax(df: DataFrame, norm: str = "norm", words: lex.Lexicons = lex.DEFAULT)
 
 
 def code_shapes(norm: Column) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(norm, F.lit(SHAPES["code"]), F.lit(0)), F.lower))
+    return F.array_distinct(F.transform(shapes_found(norm, "code"), F.lower))
 
 
 def shape_hits(norm: Column, words: lex.Lexicons = lex.DEFAULT, code: bool = True) -> Column:
     """Lower-cased technical shapes, one for each occurrence; of code only distinct ones, or none."""
-    found = {k: F.regexp_extract_all(norm, F.lit(p), F.lit(0)) for k, p in SHAPES.items() if k != "code"}
+    found = {k: shapes_found(norm, k) for k in SHAPES if k != "code"}
     lowered = {k: F.transform(x, F.lower) for k, x in found.items()}
     acronyms = F.filter(lowered["acronym"], lambda x: ~tx.one_of(x, words.stopwords))
     return F.concat(lowered["camel"], lowered["snake"], lowered["filename"], lowered["flag"], acronyms, *([code_shapes(norm)] if code else []))

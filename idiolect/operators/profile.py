@@ -1,9 +1,8 @@
 """Voice profiles: one nested row a writer, from their samples and answered word choices.
 
 samples: writer, seq, context (a label or null), text. A writer's corpus is their samples in order with a blank line
-between, analysed by the same function as a single sample; a context's is its samples'. Writers (or contexts) of more
-than `most_chars` are not brought together in one row: their counts are summed with map-side combine instead, and what
-spans two samples is added (see additive()), which gives the same features.
+between; a context's is its samples'. A corpus is never one row: its samples' counts are summed with map-side combine,
+and what spans two samples is added (see corpus_metrics()), which gives what the analysis of the whole would.
 """
 
 from __future__ import annotations
@@ -13,20 +12,16 @@ from pyspark.sql import functions as F
 
 from idiolect.functions import lexicons as lex
 from idiolect.functions import text as tx
-from idiolect.functions.numbers import half_up, rate, ratio
+from idiolect.functions.numbers import rounded, rate, ratio
 from idiolect.operators import metrics, scoring, spanning, vocabulary
 from idiolect.operators.features import FEATURES, analyse
 
 VERSION, GENERATOR = "1.0", "idiolect"
-SEPARATOR = spanning.SEPARATOR
 CONTEXT_WORDS = 200
-#: Characters of a corpus that is analysed as one text.
-MOST_CHARS = 16_000_000
 # Fixed values.
 PROFILE_MARKS = ("semicolon", "em_dash", "en_dash", "colon", "parentheses", "exclamation", "ellipsis", "hyphen", "comma", "question")
 PARAGRAPH_BANDS = ((45.0, "short"), (90.0, "medium"))
 STRUCTURE_BANDS = ((0.08, "low"), (0.30, "medium"))
-PRESET_CONTEXTS = ("business", "friendly", "marketing", "code")
 DESCRIBES = "writing behaviour only, not personality"
 
 
@@ -35,12 +30,6 @@ def usable(samples: DataFrame) -> DataFrame:
     return samples.where(tx.strip(F.coalesce("text", F.lit(""))) != "").withColumn("context", tx.context_label(F.col("context")))
 
 
-def corpora(samples: DataFrame, keys: list[str], order: str = "seq") -> DataFrame:
-    """(keys, sample_count, text): each group's samples in order, a blank line between."""
-    rows = F.transform(F.array_sort(F.collect_list(F.struct(order, "text"))), lambda x: x["text"])
-    return samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("sample_count"), F.array_join(rows, SEPARATOR).alias("text"))
-
-
 def crossing(samples: DataFrame, keys: list[str], words: lex.Lexicons = lex.DEFAULT) -> list[DataFrame]:
     """Counts of what spans samples, a row a group and frame: to be added to the sums over the samples."""
     rows = tx.normalised(samples.select(*keys, "seq", "text"))
@@ -57,11 +46,9 @@ def crossing(samples: DataFrame, keys: list[str], words: lex.Lexicons = lex.DEFA
     ]
 
 
-def additive(analysed: DataFrame, keys: list[str], words: lex.Lexicons = lex.DEFAULT, samples: DataFrame | None = None) -> DataFrame:
-    """(keys, sample_count, exact, and what analyse() gives a corpus that profiles need) from its samples' metrics.
-
-    Sums of counts, and what spans samples: the same values as of the whole. exact says only that the corpus was one
-    text. analysed: analyse(samples), with keys, seq and text; samples spares its analysis where only texts are needed."""
+def corpus_metrics(analysed: DataFrame, keys: list[str], words: lex.Lexicons = lex.DEFAULT, samples: DataFrame | None = None) -> DataFrame:
+    """(keys, CORPUS): sums of the samples' counts, and what spans samples. analysed: analyse(samples), with keys, seq and
+    text; samples spares its analysis where only texts are needed."""
     counts = [f"{k}_count" for k in (*metrics.PER_WORD, *metrics.PER_SENTENCE, *metrics.VOCABULARY)]
     marks = [f"n_{m}" for m in metrics.MARKS]
     n_sentences = F.size("sentences").cast("long")
@@ -85,31 +72,22 @@ def additive(analysed: DataFrame, keys: list[str], words: lex.Lexicons = lex.DEF
     made |= {f"{k}_rate": rate(f"{k}_count", "word_count", 100) for k in (*metrics.PER_WORD, *metrics.VOCABULARY)}
     made |= {f"{k}_rate": rate(f"{k}_count", "greatest(__sentences, 1)", 100) for k in metrics.PER_SENTENCE}
     made |= {
-        "avg_sentence_length": ratio(F.col("__s"), F.col("sentence_count")), "sentence_length_variance": half_up(v, 2), "avg_paragraph_length": ratio(n_words, F.col("paragraph_count")),
+        "avg_sentence_length": ratio(F.col("__s"), F.col("sentence_count")), "sentence_length_variance": rounded(v, 2), "avg_paragraph_length": ratio(n_words, F.col("paragraph_count")),
         "avg_word_length": ratio(F.col("__chars"), n_words), "long_word_rate": rate(F.col("__long"), n_words, 100),
         "contraction_preference": ratio(F.col("contraction_count"), F.col("contraction_count") + F.col("contraction_chances"), 3),
-        "exclamation_rate": half_up(F.col("n_exclamation") * 100.0 / F.greatest(F.col("sentence_count"), F.lit(1)), 4),
-        "comma_rate": half_up(F.col("rate_comma") / 10.0, 4), "semicolon_rate": F.col("rate_semicolon"), "parenthesis_rate": F.col("rate_parentheses"), "em_dash_rate": F.col("rate_em_dash"), "exact": F.lit(False),
+        "exclamation_rate": rounded(F.col("n_exclamation") * 100.0 / F.greatest(F.col("sentence_count"), F.lit(1)), 4),
+        "comma_rate": rounded(F.col("rate_comma") / 10.0, 4), "semicolon_rate": F.col("rate_semicolon"), "parenthesis_rate": F.col("rate_parentheses"), "em_dash_rate": F.col("rate_em_dash"),
     }
-    return s.withColumns(made)
-
-
-CORPUS = ("sample_count", "exact", "word_count", "sentence_count", "paragraph_count", "heading_count", "bullet_count", "contraction_preference", *(f"band_{m}" for m in metrics.MARKS), *FEATURES)
+    return s.withColumns(made).select(*keys, *CORPUS)
 
 
-def corpus_metrics(samples: DataFrame, analysed: DataFrame, keys: list[str], words: lex.Lexicons = lex.DEFAULT, most_chars: int = MOST_CHARS) -> DataFrame:
-    """(keys, CORPUS): the whole corpus as one text where it is small enough, sums where not, with equal values.
-    analysed: analyse(samples)."""
-    size = samples.groupBy(*keys).agg(F.sum(F.length("text")).alias("__size"))
-    small, large = (size.where(F.col("__size") <= most_chars).drop("__size"), size.where(F.col("__size") > most_chars).drop("__size"))
-    whole = analyse(corpora(samples.join(small, keys, "left_semi"), keys), words=words).withColumn("exact", F.lit(True))
-    return whole.select(*keys, *CORPUS).unionByName(additive(analysed.join(large, keys, "left_semi"), keys, words, samples.join(large, keys, "left_semi")).select(*keys, *CORPUS))
+CORPUS = ("sample_count", "word_count", "sentence_count", "paragraph_count", "heading_count", "bullet_count", "contraction_preference", *(f"band_{m}" for m in metrics.MARKS), *FEATURES)
 
 
-def score_groups(samples: DataFrame, keys: list[str], words: lex.Lexicons = lex.DEFAULT, most_chars: int = MOST_CHARS) -> tuple[DataFrame, DataFrame]:
+def score_groups(samples: DataFrame, keys: list[str], words: lex.Lexicons = lex.DEFAULT) -> tuple[DataFrame, DataFrame]:
     """(corpus metrics, scoring results) of the groups: the one function for writers and for contexts."""
     analysed = analyse(samples, words=words)
-    corpus = corpus_metrics(samples, analysed, keys, words, most_chars)
+    corpus = corpus_metrics(analysed, keys, words, samples)
     spread = scoring.sample_spread(analysed.select(*keys, "seq", "word_count", *FEATURES), keys, ["seq"])
     return corpus, scoring.results(corpus.select(*keys, "word_count", *FEATURES), spread, keys)
 
@@ -120,10 +98,10 @@ def style(results: DataFrame, keys: list[str]) -> DataFrame:
     return results.groupBy(*keys).agg(rows.alias("style"))
 
 
-def context_profiles(samples: DataFrame, words: lex.Lexicons = lex.DEFAULT, most_chars: int = MOST_CHARS) -> DataFrame:
+def context_profiles(samples: DataFrame, words: lex.Lexicons = lex.DEFAULT) -> DataFrame:
     """(writer, context, style, sample_count, word_count) of labelled contexts with 200 words or more."""
     keys = ["writer", "context"]
-    corpus, results = score_groups(usable(samples).where("context is not null"), keys, words, most_chars)
+    corpus, results = score_groups(usable(samples).where("context is not null"), keys, words)
     enough = corpus.where(F.col("word_count") >= CONTEXT_WORDS).select(*keys, "sample_count", "word_count")
     return enough.join(style(results, keys), keys)
 
@@ -160,19 +138,19 @@ def merged_prefer(prefer: Column, chosen_for: Column) -> Column:
     return F.concat(prefer, F.filter(chosen_for, lambda w: ~F.array_contains(prefer, w)))
 
 
-def build(samples: DataFrame, verdicts: DataFrame | None = None, created_at: str = "1970-01-01T00:00:00+00:00", updated_at: str | None = None, words: lex.Lexicons = lex.DEFAULT, most_chars: int = MOST_CHARS) -> DataFrame:
+def build(samples: DataFrame, verdicts: DataFrame | None = None, created_at: str = "1970-01-01T00:00:00+00:00", updated_at: str | None = None, words: lex.Lexicons = lex.DEFAULT) -> DataFrame:
     """One profile a writer. Times are parameters, so that equal input gives equal output; profile_id is a digest of
     the writer."""
     keys = ["writer"]
     rows = usable(samples)
-    corpus, results = score_groups(rows, keys, words, most_chars)
+    corpus, results = score_groups(rows, keys, words)
     lists_of = metrics.measured(tx.normalised(rows.select("writer", "seq", "text")))
     counted = vocabulary.terms(lists_of, keys, words, "seq")
     tops = vocabulary.top_lists(counted, keys).select("writer", "technical_terms", "colloquialisms")
     out = corpus.join(style(results, keys), keys).join(tops, keys, "left").join(vocabulary.prefer(counted, keys), keys, "left")
     out = out.join(vocabulary.avoid(lists_of, keys, words), keys, "left").join(vocabulary.recurring_phrases(lists_of, keys, words, "seq"), keys, "left")
     varied = scoring.contradictions(results, keys).groupBy("writer").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "dimension", "low", "high", "scatter"))), lambda x: F.struct(x["dimension"].alias("dimension"), x["low"].alias("low"), x["high"].alias("high"), x["scatter"].alias("scatter"))).alias("varies"))
-    contexts = context_profiles(samples, words, most_chars).groupBy("writer").agg(F.array_sort(F.collect_list(F.struct("context", "style", F.struct("sample_count", "word_count").alias("metadata")))).alias("contexts"))
+    contexts = context_profiles(samples, words).groupBy("writer").agg(F.array_sort(F.collect_list(F.struct("context", "style", F.struct("sample_count", "word_count").alias("metadata")))).alias("contexts"))
     out = out.join(varied, keys, "left").join(contexts, keys, "left")
     if verdicts is not None:
         out = out.join(chosen_words(verdicts), keys, "left")
@@ -182,7 +160,7 @@ def build(samples: DataFrame, verdicts: DataFrame | None = None, created_at: str
     out = out.withColumns({c: F.coalesce(c, none) for c in ("technical_terms", "colloquialisms", "prefer", "avoid", "phrases", "against", "chosen_for")})
     out = out.withColumns({"avoid": merged_avoid(F.col("avoid"), F.col("against"), F.col("chosen_for")), "prefer": merged_prefer(F.col("prefer"), F.col("chosen_for"))})
     per_paragraph = lambda c: F.col(c) / F.greatest(F.col("paragraph_count"), F.lit(1))
-    share = lambda c: half_up(F.col(c) / 100.0, 3)
+    share = lambda c: rounded(F.col(c) / 100.0, 3)
     confirmed = F.filter("avoid", lambda w: F.array_contains("against", w))
     empty_varied = F.array().cast("array<struct<dimension:string,low:int,high:int,scatter:double>>")
     empty_contexts = F.array().cast(out.schema["contexts"].dataType)
@@ -260,6 +238,6 @@ def movement(before: DataFrame, after: DataFrame, keys: list[str], least: float
     """(keys, dimension, before, after, delta, direction) of confidences that moved by `least` or more."""
     flat = lambda df, name: df.select(*keys, F.inline("style")).select(*keys, "dimension", F.col("confidence").alias(name))
     both = flat(before, "before").join(flat(after, "after"), [*keys, "dimension"], "full")
-    delta = half_up(F.abs(F.coalesce("after", F.lit(0.0)) - F.coalesce("before", F.lit(0.0))), 4)
+    delta = rounded(F.abs(F.coalesce("after", F.lit(0.0)) - F.coalesce("before", F.lit(0.0))), 4)
     up = F.coalesce("after", F.lit(0.0)) > F.coalesce("before", F.lit(0.0))
     return both.withColumn("delta", delta).where(F.col("delta") >= least).withColumn("direction", F.when(up, "up").otherwise("down"))

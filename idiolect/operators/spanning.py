@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from idiolect.functions import text as tx
-from idiolect.functions.numbers import half_up
+from idiolect.functions.numbers import rounded
 from idiolect.operators import metrics
 
 SEPARATOR = "\n\n"
@@ -145,4 +145,4 @@ def diversity(rows: DataFrame, keys: list[str], order: str = "seq", threshold: f
     passed = F.when(F.col("factors") > 0, F.col("words") / F.col("factors")).otherwise(F.col("words").cast("double"))
     both = factors(rows, keys, order, False, threshold).unionByName(factors(rows, keys, order, True, threshold))
     both = both.groupBy(*keys).agg(F.sum(passed).alias("sum"), F.max("words").alias("words"))
-    return both.select(*keys, F.when(F.col("words") < 10, 0.0).otherwise(half_up(F.col("sum") / 2, 2)).alias("vocabulary_diversity"))
+    return both.select(*keys, F.when(F.col("words") < 10, 0.0).otherwise(rounded(F.col("sum") / 2, 2)).alias("vocabulary_diversity"))

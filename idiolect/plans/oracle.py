@@ -21,16 +21,16 @@ def lit(words) -> str:
     return "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + ")"
 
 
-def half_up(x: str, digits: int) -> str:
-    return f"(floor(({x}) * 1e{digits} + 0.5e0) / 1e{digits})"
+def rounded(x: str, digits: int) -> str:
+    return f"(printf('%.{digits}f', ({x})::double)::double)"  # of the exact value, ties to even
 
 
 def rate(count: str, total: str, per: int) -> str:
-    return f"(case when {total} > 0 then {half_up(f'({count})::double * {per}e0 / ({total})::double', 4)} else 0e0 end)"
+    return f"(case when {total} > 0 then {rounded(f'({count})::double * {per}e0 / ({total})::double', 4)} else 0e0 end)"
 
 
 def ratio(a: str, b: str, digits: int = 2) -> str:
-    return f"(case when {b} > 0 then {half_up(f'({a})::double / ({b})::double', digits)} else 0e0 end)"
+    return f"(case when {b} > 0 then {rounded(f'({a})::double / ({b})::double', digits)} else 0e0 end)"
 
 
 def strip(x: str) -> str:
@@ -106,7 +106,7 @@ BASIC = {
     "sentence_count": "len(lengths)",
     "paragraph_count": "len(paragraphs)",
     "average_sentence_length": ratio("coalesce(list_sum(lengths), 0)", "len(lengths)"),
-    "sentence_length_variance": half_up(variance("lengths"), 2),
+    "sentence_length_variance": rounded(variance("lengths"), 2),
     "average_paragraph_length": ratio("words", "len(paragraphs)"),
     "average_word_length": ratio("coalesce(list_sum(list_transform(tokens, lambda t: length(t))), 0)", "words"),
     "long_word_rate": rate("len(list_filter(tokens, lambda t: length(t) >= 7))", "words", 100),
@@ -185,7 +185,7 @@ def mtld(relation: str, keys: str) -> str:
     total = lambda p: f"({p}.f + case when {p}.n > 0 then (1e0 - len({p}.ty)::double / {p}.n::double) / (1e0 - 0.72e0) else 0e0 end)"
     one = lambda p: f"(case when {total(p)} > 0e0 then len(tokens)::double / {total(p)} else len(tokens)::double end)"
     return f"""mp as (select {keys}, tokens, {mtld_pass('tokens')} as p, {mtld_pass('list_reverse(tokens)')} as q from {relation}),
-mt as (select {keys}, case when len(tokens) < 10 then 0e0 else {half_up(f"({one('p')} + {one('q')}) / 2e0", 2)} end as vocabulary_diversity from mp)"""
+mt as (select {keys}, case when len(tokens) < 10 then 0e0 else {rounded(f"({one('p')} + {one('q')}) / 2e0", 2)} end as vocabulary_diversity from mp)"""
 
 
 def columns(named: dict[str, str]) -> str:
@@ -196,7 +196,7 @@ def analysed(source: str, keys: str = "doc_id") -> str:
     """CTEs up to f: keys, word_count, sentence_count, every metric and feature."""
     on = " and ".join(f"c.{k.strip()} is not distinct from mt.{k.strip()}" for k in keys.split(","))
     renamed = {"avg_sentence_length": "average_sentence_length", "avg_paragraph_length": "average_paragraph_length", "avg_word_length": "average_word_length"}
-    marks = {"comma_rate": half_up(rate("n_comma", "words", 1000) + " / 10e0", 4), "semicolon_rate": rate("n_semicolon", "words", 1000), "parenthesis_rate": rate("n_parentheses", "words", 1000), "em_dash_rate": rate("n_em_dash", "words", 1000), "exclamation_rate": half_up("n_exclamation * 100e0 / greatest(sentence_count, 1)", 4)}
+    marks = {"comma_rate": rounded(rate("n_comma", "words", 1000) + " / 10e0", 4), "semicolon_rate": rate("n_semicolon", "words", 1000), "parenthesis_rate": rate("n_parentheses", "words", 1000), "em_dash_rate": rate("n_em_dash", "words", 1000), "exclamation_rate": rounded("n_exclamation * 100e0 / greatest(sentence_count, 1)", 4)}
     return f"""{base(source, keys)},
 c as (select *, {columns(BASIC)}, {columns(SYNTAX)}, {columns(VOCABULARY)}, {columns({f'n_{k}': v for k, v in MARKS.items()})} from b),
 {mtld('b', keys)},
@@ -209,7 +209,7 @@ def linear(x: str, low: float, high: float) -> str:
 
 def contribution(feature: str, weight: float) -> str:
     mapped = linear(feature, *scoring.RANGES[feature])
-    return half_up(f"{abs(weight)!r}::double * " + (f"(100e0 - {mapped})" if weight < 0 else mapped), 4)
+    return rounded(f"{abs(weight)!r}::double * " + (f"(100e0 - {mapped})" if weight < 0 else mapped), 4)
 
 
 def raw_score(d: scoring.Dimension) -> str:
@@ -217,7 +217,7 @@ def raw_score(d: scoring.Dimension) -> str:
 
 
 def score(d: scoring.Dimension) -> str:
-    return half_up(raw_score(d), 4)
+    return rounded(raw_score(d), 4)
 
 
 def results(samples: str, corpora: str, keys: str) -> str:
@@ -234,7 +234,7 @@ def results(samples: str, corpora: str, keys: str) -> str:
     spread = ", ".join(f"stddev_pop({score(d)}) as dev_{d.name}, list(round_even({score(d)}, 0)::integer order by seq) as v_{d.name}" for d in scoring.DIMENSIONS)
     return f"""spread as (select {keys}, count(*) as n, {spread} from {samples} where word_count >= 40 group by {keys}),
 r0 as ({' union all '.join(rows)}),
-r as (select {keys}, place, dimension, value, {half_up('least(ceiling, ceiling * c * k)', 2)} as confidence, {half_up('c', 3)} as coverage, {half_up('k', 3)} as consistency, ceiling, sample_values from r0)"""
+r as (select {keys}, place, dimension, value, {rounded('least(ceiling, ceiling * c * k)', 2)} as confidence, {rounded('c', 3)} as coverage, {rounded('k', 3)} as consistency, ceiling, sample_values from r0)"""
 
 
 def deviation(x: str) -> str:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from idiolect.functions import lexicons as lex
 from idiolect.functions import text as tx
-from idiolect.functions.numbers import half_up
+from idiolect.functions.numbers import rounded
 from idiolect.operators import calibration as cal
 from idiolect.operators import metrics as m
 from idiolect.operators import profile, render, scoring, vocabulary
@@ -228,7 +228,7 @@ def vocabulary_rates(spark, sf_dir):
 
 @query(f"with {o.base(o.TEXTS)} " + " union all ".join(f"select '{k}' as shape, lower(x) as term, count(*) as n from b, unnest({v}) as u(x) group by 2" for k, v in o.SHAPES.items()))
 def technical_shapes(spark, sf_dir):
-    found = {k: F.transform(F.regexp_extract_all("norm", F.lit(p), F.lit(0)), F.lower) for k, p in m.SHAPES.items()}
+    found = {k: F.transform(m.shapes_found(F.col("norm"), k), F.lower) for k in m.SHAPES}
     found["acronym"] = F.filter(found["acronym"], lambda x: ~tx.one_of(x, lex.STOPWORDS))
     found["code"] = F.array_distinct(found["code"])
     named = lambda k, x: F.transform(x, lambda t: F.struct(F.lit(k).alias("shape"), t.alias("term")))
@@ -334,10 +334,10 @@ def features(spark, sf_dir):
     return feature_rows(texts(spark, sf_dir), ["doc_id"]).select("doc_id", "word_count", *FEATURES)
 
 
-@query(f"with {o.analysed(o.TEXTS)} " + " union all ".join(f"select doc_id, '{x}' as feature, {o.half_up(o.linear(x, *scoring.RANGES[x]), 6)} as mapped from f" for x in FEATURES))
+@query(f"with {o.analysed(o.TEXTS)} " + " union all ".join(f"select doc_id, '{x}' as feature, {o.rounded(o.linear(x, *scoring.RANGES[x]), 6)} as mapped from f" for x in FEATURES))
 def linear_map(spark, sf_dir):
     rows = feature_rows(texts(spark, sf_dir), ["doc_id"])
-    mapped = rows.select("doc_id", *(half_up(scoring.linear_map(F.col(x), *scoring.RANGES[x]), 6).alias(x) for x in FEATURES))
+    mapped = rows.select("doc_id", *(rounded(scoring.linear_map(F.col(x), *scoring.RANGES[x]), 6).alias(x) for x in FEATURES))
     return long_form(mapped, ["doc_id"]).withColumnRenamed("value", "mapped")
 
 
@@ -382,7 +382,7 @@ def scoring_results(spark, sf_dir):
     return rows.select("writer", "dimension", "value", "confidence", "coverage", "consistency", F.array_join(F.col("sample_values").cast("array<string>"), " ").alias("sample_values"))
 
 
-@query(SCORED + f""", v as (select writer, place, dimension, list_min(sample_values) as low, list_max(sample_values) as high, {o.half_up(o.deviation('sample_values'), 1)} as scatter from r where len(sample_values) >= 2)
+@query(SCORED + f""", v as (select writer, place, dimension, list_min(sample_values) as low, list_max(sample_values) as high, {o.rounded(o.deviation('sample_values'), 1)} as scatter from r where len(sample_values) >= 2)
 select writer, dimension, low, high, scatter, row_number() over (partition by writer order by high - low desc, place)::integer as rank from v where high - low >= 30 and scatter >= 15""")
 def contradictions(spark, sf_dir):
     return scoring.contradictions(scored_writers(spark, sf_dir)[1], ["writer"]).select("writer", "dimension", "low", "high", "scatter", "rank")
@@ -400,7 +400,7 @@ def context_shift(spark, sf_dir):
 
 
 @query(f"""with {o.analysed(CORPORA, 'writer')} select writer, words::bigint as word_count, sentence_count::bigint as sentence_count, avg_sentence_length, contraction_preference,
-{o.half_up('fragment_rate / 100e0', 3)} as fragment_preference, {o.half_up('passive_rate / 100e0', 3)} as passive_preference, vocabulary_diversity,
+{o.rounded('fragment_rate / 100e0', 3)} as fragment_preference, {o.rounded('passive_rate / 100e0', 3)} as passive_preference, vocabulary_diversity,
 case when avg_paragraph_length <= 45 then 'short' when avg_paragraph_length <= 90 then 'medium' else 'long' end as paragraph_length,
 case when heading_count / greatest(paragraph_count, 1)::double <= 0.08e0 then 'low' when heading_count / greatest(paragraph_count, 1)::double <= 0.30e0 then 'medium' else 'high' end as heading_preference,
 case when bullet_count / greatest(paragraph_count, 1)::double <= 0.08e0 then 'low' when bullet_count / greatest(paragraph_count, 1)::double <= 0.30e0 then 'medium' else 'high' end as bullet_preference from f""")
@@ -409,10 +409,11 @@ def profile_structure(spark, sf_dir):
     return p.select("writer", "metadata.word_count", "metadata.sentence_count", F.col("syntax.average_sentence_length").alias("avg_sentence_length"), *(F.col(f"syntax.{c}") for c in ("contraction_preference", "fragment_preference", "passive_preference", "vocabulary_diversity")), *(F.col(f"structure.{c}") for c in ("paragraph_length", "heading_preference", "bullet_preference")))
 
 
-@query()
+@query(f"""with {o.analysed(CORPORA, 'writer')}, k as (select writer, count(*) as sample_count from ({SAMPLES}) group by writer)
+select f.writer, sample_count, words::bigint as word_count, sentence_count::bigint as sentence_count, {o.FEATURE_LIST} from f join k on f.writer = k.writer""")
 def additive_profiles(spark, sf_dir):
     rows = profile.usable(samples(spark, sf_dir))
-    return profile.additive(analyse(rows), ["writer"]).select("writer", "sample_count", "word_count", "sentence_count", *FEATURES)
+    return profile.corpus_metrics(analyse(rows), ["writer"]).select("writer", "sample_count", "word_count", "sentence_count", *FEATURES)
 
 
 @query(f"select writer, 0 as n_errors, '1.0' as version, 8 as n_dimensions from (select distinct writer from ({SAMPLES}))")
@@ -462,11 +463,11 @@ _DIMS = fx.values([(i, d.name, d.ceiling, d.importance) for i, d in enumerate(sc
 _BANK = fx.values([(q.id, i, t, q in cal.CALIBRATION) for q in cal.ONBOARDING + cal.CALIBRATION for i, t in enumerate(q.targets)], "question_id, position, target, calibrates")
 _CALIBRATION = f"""with s as (select * from {fx.values(fx.STYLES, 'writer, dimension, value, confidence')}), w as (select * from {fx.values(fx.WRITERS, 'writer')}), d as (select * from {_DIMS}), k as (select * from {_BANK}),
 a as (select * from {fx.values(fx.ASKED, 'writer, seq, question_id')}), dk as (select * from (values (0, 1e0), (1, 0.6e0), (2, 0.36e0)) as v(position, decay)),
-u as (select w.writer, d.place, d.dimension, d.importance::double as importance, {o.half_up('greatest(0e0, least(1e0, (ceiling::double - coalesce(confidence::double, 0e0)) / ceiling::double))', 4)} as uncertainty from w cross join d left join s on s.writer = w.writer and s.dimension = d.dimension),
+u as (select w.writer, d.place, d.dimension, d.importance::double as importance, {o.rounded('greatest(0e0, least(1e0, (ceiling::double - coalesce(confidence::double, 0e0)) / ceiling::double))', 4)} as uncertainty from w cross join d left join s on s.writer = w.writer and s.dimension = d.dimension),
 sat as (select writer, target, sum(decay) as saturation from a join k on a.question_id = k.question_id join dk on dk.position = k.position group by 1, 2),
-p as (select u.*, coalesce(saturation, 0e0) as saturation, {o.half_up('uncertainty * importance / (1e0 + coalesce(saturation, 0e0))', 6)} as priority from u left join sat on sat.writer = u.writer and sat.target = u.dimension),
-q as (select p.writer, k.question_id, k.position, k.target, {o.half_up('uncertainty * importance * decay / (1e0 + saturation)', 6)} as v from p join k on k.target = p.dimension and k.calibrates join dk on dk.position = k.position),
-qs as (select writer, question_id, {o.half_up('sum(v)', 6)} as priority, string_agg(target, ', ' order by v desc, target) filter (where v > 0) as reason from q group by 1, 2)"""
+p as (select u.*, coalesce(saturation, 0e0) as saturation, {o.rounded('uncertainty * importance / (1e0 + coalesce(saturation, 0e0))', 6)} as priority from u left join sat on sat.writer = u.writer and sat.target = u.dimension),
+q as (select p.writer, k.question_id, k.position, k.target, {o.rounded('uncertainty * importance * decay / (1e0 + saturation)', 6)} as v from p join k on k.target = p.dimension and k.calibrates join dk on dk.position = k.position),
+qs as (select writer, question_id, {o.rounded('sum(v)', 6)} as priority, string_agg(target, ', ' order by v desc, target) filter (where v > 0) as reason from q group by 1, 2)"""
 
 
 def styles(spark):
@@ -515,7 +516,7 @@ def answered_questions(spark, sf_dir):
 
 
 @query(f"""with a as (select * from {fx.values(fx.STYLES, 'writer, dimension, value, confidence')} where writer = 'ada'), b as (select * from {fx.values(fx.STYLES, 'writer, dimension, value, confidence')} where writer = 'ben')
-select 'x' as writer, coalesce(a.dimension, b.dimension) as dimension, a.confidence::double as before, b.confidence::double as after, {o.half_up('abs(b.confidence::double - a.confidence::double)', 4)} as delta, case when b.confidence > a.confidence then 'up' else 'down' end as direction from a full join b on a.dimension = b.dimension where {o.half_up('abs(b.confidence::double - a.confidence::double)', 4)} >= 0.01""")
+select 'x' as writer, coalesce(a.dimension, b.dimension) as dimension, a.confidence::double as before, b.confidence::double as after, {o.rounded('abs(b.confidence::double - a.confidence::double)', 4)} as delta, case when b.confidence > a.confidence then 'up' else 'down' end as direction from a full join b on a.dimension = b.dimension where {o.rounded('abs(b.confidence::double - a.confidence::double)', 4)} >= 0.01""")
 def confidence_movement(spark, sf_dir):
     flat = lambda w: styles(spark).where(F.col("writer") == w).groupBy(F.lit("x").alias("writer")).agg(F.collect_list(F.struct("dimension", "value", "confidence")).alias("style"))
     return profile.movement(flat("ada"), flat("ben"), ["writer"])

@@ -112,9 +112,36 @@ def test_lexicons_can_be_replaced(spark):
     assert df.first().filler_count == 2
 
 
-def test_generated_lists_have_their_sizes():
-    assert (len(lex.FINITE_VERBS), len(lex.STOPWORDS), len(lex.FORMAL_TO_PLAIN), len(lex.TECHNICAL_TERMS)) == (262, 205, 47, 130)
-    assert {"goes", "carries", "watches", "stopped", "chose", "tried", "says"} <= set(lex.FINITE_VERBS)
+def test_rounding_is_that_of_python(spark):
+    from idiolect.functions.numbers import ratio, rounded, rounded_sql
+
+    draw = random.Random(6)
+    values = [a / b for b in range(1, 151) for a in range(0, 2 * b)] + [draw.uniform(0, 10 ** draw.randint(-6, 9)) for _ in range(5_000)]
+    values += [k / 8 for k in range(-40, 400)] + [k + 0.5 for k in range(50)] + [9.125, 2.675, 1.005, 0.5, -2.675, 0.0, 1e-12, 12345.00005]
+    df = spark.createDataFrame([(x,) for x in values], "x double")
+    for digits in (1, 2, 3, 4, 6):
+        for c in (rounded(F.col("x"), digits), F.expr(rounded_sql("x", digits))):
+            assert [r.y for r in df.select(c.alias("y")).collect()] == [round(x, digits) for x in values], digits
+    whole = spark.createDataFrame([(a, b) for b in range(0, 60) for a in range(0, 90)], "a long, b long")
+    for c in (ratio(F.col("a"), F.col("b")), ratio("a", "b")):
+        assert all(r.y == (round(r.a / r.b, 2) if r.b else 0.0) for r in whole.select("a", "b", c.alias("y")).collect())
+
+
+def test_very_long_words_and_blanks(spark):
+    n = 1_000_000
+    texts = ["a-" * n + "b", "a.b-" * (n // 4), " " * n + "x" + "\n " * (n // 2), "x. " * (n // 10), "y\n\n" * (n // 10), "!)" * (n // 2), "`" * n, "." * n, "ab_" * (n // 3), "-" * n + "x.py"]
+    rows = features.features(frame(spark, texts), ["id"]).orderBy("id").collect()
+    assert [r.word_count for r in rows[:4]] == [1, 250_001, 1, 100_000] and rows[4].word_count == 100_000 and rows[9].technical_rate == 50.0
+
+
+def test_file_names_start_at_the_first_word_character_of_their_run(spark):
+    import re as plain
+
+    pattern = plain.compile(metrics.SHAPES["filename"].replace("(?U)(?<![\\w.-])[.-]*+(", "").removesuffix(")"))
+    draw = random.Random(5)
+    texts = ["".join(draw.choice(["a", "b", ".", "-", ".py", ".md", " ", "_", "py", "é", "yaml", ".yml", "5"]) for _ in range(draw.randint(1, 14))) for _ in range(2_000)]
+    got = frame(spark, texts).select(metrics.shapes_found(F.col("text"), "filename").alias("f")).collect()
+    assert [r.f for r in got] == [pattern.findall(t) for t in texts]
 
 
 def test_results_do_not_depend_on_partitions(spark):

@@ -66,18 +66,6 @@ def test_unsure_dimensions_are_not_stated(built):
         assert r.i.endswith("role-play a persona.") and "Samples analysed" in r.t
 
 
-def test_additive_equals_whole_where_nothing_spans(spark):
-    rows = [("w", i, None, f"Plain text number {i} goes here. The second line was written, and it ends.") for i in range(6)]
-    df = fx.frame(spark, rows, SCHEMA)
-    whole = profile.score_groups(df, ["writer"])[0].first()
-    sums = profile.score_groups(df, ["writer"], most_chars=10)[0].first()
-    assert whole.exact and not sums.exact
-    for c in profile.CORPUS:
-        if c not in ("exact", "vocabulary_diversity", "sentence_length_variance"):
-            assert whole[c] == sums[c], c
-    assert abs(whole.sentence_length_variance - sums.sentence_length_variance) < 0.011
-
-
 def test_contradictions(spark):
     rows = spark.createDataFrame([("a", 0, "formality", [50, 50, 50, 50, 50, 82]), ("b", 0, "formality", [20, 22, 78, 80]), ("b", 1, "warmth", [10])], "writer string, place int, dimension string, sample_values array<int>")
     found = scoring.contradictions(rows, ["writer"]).collect()

@@ -1,11 +1,12 @@
 """A corpus that is summed has the same metrics as one that is analysed as one text."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
 from idiolect.functions import text as tx
-from idiolect.operators import metrics, profile, vocabulary
+from idiolect.operators import features, metrics, profile, spanning, vocabulary
 from idiolect.plans import fixtures as fx
 from idiolect.plans import queries
 
@@ -25,20 +26,26 @@ def scattered(seed=3, writers=60, most=25):
     ]
 
 
+def joined_up(samples, keys):
+    """(keys, sample_count, text): what a corpus is by definition, each group's samples in order in one text."""
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"])
+    return samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("sample_count"), F.array_join(rows, spanning.SEPARATOR).alias("text"))
+
+
 def test_sums_equal_the_whole_where_samples_are_spanned(spark):
-    df = profile.usable(fx.frame(spark, scattered(), SCHEMA))
-    whole = {r.writer: r for r in profile.score_groups(df, ["writer"])[0].collect()}
-    sums = {r.writer: r for r in profile.score_groups(df, ["writer"], most_chars=0)[0].collect()}
-    assert whole.keys() == sums.keys() and len(whole) == 60
-    for c in profile.CORPUS:
-        if c != "exact":
+    for seed, most in ((3, 25), (9, 4)):
+        df = profile.usable(fx.frame(spark, scattered(seed, most=most), SCHEMA))
+        whole = {r.writer: r for r in features.analyse(joined_up(df, ["writer"])).select("writer", *profile.CORPUS).collect()}
+        sums = {r.writer: r for r in profile.score_groups(df, ["writer"])[0].collect()}
+        assert whole.keys() == sums.keys() and len(whole) > 50
+        for c in profile.CORPUS:
             assert {w: r[c] for w, r in whole.items()} == {w: r[c] for w, r in sums.items()}, c
 
 
 def test_lists_of_samples_are_those_of_the_whole(spark):
     rows = profile.usable(fx.frame(spark, scattered(5) + scattered(6, 3, 200), SCHEMA)).select("writer", "seq", "text")
     parts = metrics.measured(tx.normalised(rows)).cache()
-    whole = metrics.measured(tx.normalised(profile.corpora(rows, ["writer"]))).cache()
+    whole = metrics.measured(tx.normalised(joined_up(rows, ["writer"]))).cache()
     got = lambda df: sorted(map(str, df.select(sorted(df.columns)).collect()))
     for f in (vocabulary.terms, vocabulary.phrase_counts, vocabulary.recurring_phrases):
         assert got(f(parts, ["writer"], order="seq")) == got(f(whole, ["writer"])), f.__name__
@@ -46,13 +53,12 @@ def test_lists_of_samples_are_those_of_the_whole(spark):
     assert got(vocabulary.recurring_phrases(parts, ["writer"], order="seq", first=3)) == got(vocabulary.recurring_phrases(whole, ["writer"]))
 
 
-def test_no_list_brings_a_corpus_together(spark, monkeypatch):
-    def refused(*args, **more):
-        raise AssertionError("a corpus in one row")
-
-    monkeypatch.setattr(queries.profile, "corpora", refused)
-    for name in ("top_lists", "prefer_list", "avoid_list", "phrase_counts", "recurring_phrases"):
-        queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+def test_no_corpus_is_brought_together(spark):
+    """No aggregate of the plans of lists and scores collects texts: what they collect are terms, values and pieces."""
+    for name in ("top_lists", "avoid_list", "phrase_counts", "scoring_results", "context_profiles"):
+        plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        collected = re.findall(r"collect_list\([^)]*\)", plan)
+        assert not [c for c in collected if "text#" in c or "norm#" in c], name
 
 
 def test_mtld_in_sql_over_whole_tables(spark):
