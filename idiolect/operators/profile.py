@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from idiolect.functions import lexicons as lex
 from idiolect.functions import text as tx
 from idiolect.functions.numbers import rounded, rate, ratio
-from idiolect.operators import metrics, scoring, spanning, vocabulary
+from idiolect.operators import metrics, schema, scoring, spanning, vocabulary
 from idiolect.operators.features import FEATURES, analyse
 
 VERSION, GENERATOR = "1.0", "idiolect"
@@ -202,29 +202,49 @@ def to_json(profiles: DataFrame) -> Column:
 
 
 def errors(profiles: DataFrame) -> Column:
-    """Every way in which a profile breaks its schema, as an array of messages; empty if none."""
-    found = [
-        F.when(F.col("version").isNull() | ~F.col("version").rlike(r"^[0-9]+\.[0-9]+$"), "profile.version: not MAJOR.MINOR"),
-        F.when(F.col("profile_id").isNull(), "profile: missing required key 'profile_id'"),
-        F.when(F.col("style").isNull(), "profile: missing required key 'style'"),
-        F.when(F.col("metadata").isNull(), "profile: missing required key 'metadata'"),
-        F.when(F.col("metadata.sample_count").isNull() | (F.col("metadata.sample_count") < 0), "profile.metadata.sample_count: missing or below minimum 0"),
-        F.when(F.col("metadata.word_count").isNull() | (F.col("metadata.word_count") < 0), "profile.metadata.word_count: missing or below minimum 0"),
-        F.when(F.col("metadata.sentence_count") < 0, "profile.metadata.sentence_count: below minimum 0"),
-    ]
-    for f, high in (("average_sentence_length", None), ("sentence_length_variance", None), ("average_paragraph_length", None), ("contraction_preference", 1), ("fragment_preference", 1), ("question_preference", 1), ("passive_preference", 1), ("vocabulary_diversity", None)):
-        c = F.col(f"syntax.{f}")
-        found.append(F.when(c < 0, f"profile.syntax.{f}: below minimum 0"))
-        if high is not None:
-            found.append(F.when(c > high, f"profile.syntax.{f}: above maximum {high}"))
-    for f, allowed in (("paragraph_length", ("short", "medium", "long")), ("heading_preference", ("low", "medium", "high")), ("bullet_preference", ("low", "medium", "high"))):
-        found.append(F.when(~F.col(f"structure.{f}").isin(*allowed), f"profile.structure.{f}: not one of {', '.join(allowed)}"))
-    out_of = lambda s: s["value"].isNull() | s["confidence"].isNull() | (s["value"] < 0) | (s["value"] > 100) | (s["confidence"] < 0) | (s["confidence"] > 1)
-    styles = F.transform(F.filter("style", out_of), lambda s: F.concat(F.lit("profile.style."), s["dimension"], F.lit(": value or confidence is missing or out of range")))
-    marks = F.transform(F.filter(F.map_entries("punctuation"), lambda e: ~e["value"].isin("never", "rare", "occasional", "frequent")), lambda e: F.concat(F.lit("profile.punctuation."), e["key"], F.lit(": not a band")))
-    varied = F.transform(F.filter("notes.varies_by_context", lambda v: (v["low"] < 0) | (v["high"] > 100) | (v["scatter"] < 0)), lambda v: F.concat(F.lit("profile.notes.varies_by_context."), v["dimension"], F.lit(": out of range")))
-    none = F.array().cast("array<string>")
-    return F.concat(F.array_compact(F.array(*found)), F.coalesce(styles, none), F.coalesce(marks, none), F.coalesce(varied, none))
+    """Every way in which a profile's document breaks its schema, as an array of messages; empty if none."""
+    return schema.errors(to_json(profiles))
+
+
+#: A document's fields that are read back, and what a missing one counts as.
+FIELDS = {
+    "version": ("string", VERSION),
+    "profile_id": ("string", ""),
+    "style": ("map<string,struct<value:int,confidence:double>>", None),
+    "syntax": ("struct<average_sentence_length:double,sentence_length_variance:double,average_paragraph_length:double,contraction_preference:double,fragment_preference:double,question_preference:double,passive_preference:double,vocabulary_diversity:double>", None),
+    "punctuation": ("map<string,string>", None),
+    "vocabulary": ("struct<prefer:array<string>,avoid:array<string>,technical_terms:array<string>,colloquialisms:array<string>>", None),
+    "phrasing": ("struct<preferred:array<string>,avoided:array<string>>", None),
+    "structure": ("struct<paragraph_length:string,heading_preference:string,bullet_preference:string>", None),
+    "contexts": ("map<string,struct<style:map<string,struct<value:int,confidence:double>>,metadata:struct<sample_count:bigint,word_count:bigint>>>", None),
+    "metadata": ("struct<sample_count:bigint,word_count:bigint,sentence_count:bigint,created_at:string,updated_at:string,generator:string,scoring_version:string>", None),
+    "notes": ("struct<approximate_metrics:array<string>,avoid_inferred_from_absence:boolean,avoid_confirmed_by_choice:array<string>,varies_by_context:array<struct<dimension:string,low:int,high:int,scatter:double>>,describes:string>", None),
+}
+
+
+def parsed(documents: DataFrame, column: str = "json") -> DataFrame:
+    """Profiles of JSON documents, as build() has them, beside documents' other columns. A missing key counts as the
+    current version, an empty text, list or map, or a struct of nulls."""
+    doc = F.from_json(F.col(column), ", ".join(f"{k} {t}" for k, (t, _) in FIELDS.items()))
+    rows = documents.select(*(F.col(c) for c in documents.columns if c != column), doc.alias("doc"))
+
+    def styles(m: Column) -> Column:
+        entries = F.transform(F.map_entries(m), lambda e: F.struct(e["key"].alias("dimension"), e["value"]["value"].alias("value"), e["value"]["confidence"].alias("confidence")))
+        return F.coalesce(entries, F.array().cast("array<struct<dimension:string,value:int,confidence:double>>"))
+
+    def field(k: str) -> Column:
+        kind, default = FIELDS[k]
+        x = F.col(f"doc.{k}")
+        if k == "style":
+            return styles(x)
+        if k == "contexts":
+            kind = "array<struct<context:string,style:array<struct<dimension:string,value:int,confidence:double>>,metadata:struct<sample_count:bigint,word_count:bigint>>>"
+            made = F.transform(F.map_entries(x), lambda e: F.struct(e["key"].alias("context"), styles(e["value"]["style"]).alias("style"), e["value"]["metadata"].alias("metadata")))
+            return F.coalesce(made, F.array().cast(kind))
+        empty = F.lit(default) if default is not None else F.from_json(F.lit("{}"), kind)
+        return F.coalesce(x, empty)
+
+    return rows.select(*(F.col(c) for c in rows.columns if c != "doc"), *(field(k).alias(k) for k in FIELDS))
 
 
 def save(profiles: DataFrame, path: str) -> None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,7 +12,8 @@ from idiolect.operators.features import FEATURES
 
 KINDS = ("onboarding_response", "calibration_response", "writing_sample", "manual_edit", "calibration_choice", "observed_edit")
 REQUIRED = ("id", "timestamp", "kind", "source", "word_count")
-# Fields in the order of their names, as the lines have them.
+# Fields in the order of their names, as the lines have them. seq and writer are ours: the order of a log that is many
+# files, and whose it is.
 SCHEMA = T.StructType([
     T.StructField("id", T.StringType()),
     T.StructField("kind", T.StringType()),
@@ -24,10 +25,12 @@ SCHEMA = T.StructType([
         T.StructField("features", T.MapType(T.StringType(), T.DoubleType())), T.StructField("sentence_count", T.LongType()), T.StructField("word_count", T.LongType()),
     ])),
     T.StructField("prompt", T.StringType()),
+    T.StructField("seq", T.LongType()),
     T.StructField("source", T.StringType()),
     T.StructField("text_ref", T.StringType()),
     T.StructField("timestamp", T.StringType()),
     T.StructField("word_count", T.LongType()),
+    T.StructField("writer", T.StringType()),
 ])
 
 
@@ -66,7 +69,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append(records: DataFrame, path: str) -> None:
-    records.select([f.name for f in SCHEMA.fields]).write.mode("append").json(path)
+    has = set(records.columns)
+    records.select(*(F.col(f.name) if f.name in has else F.lit(None).cast(f.dataType).alias(f.name) for f in SCHEMA.fields)).write.mode("append").json(path)
 
 
 def summarised(analysed: DataFrame) -> Column:
@@ -76,32 +80,44 @@ def summarised(analysed: DataFrame) -> Column:
 
 
 def records(texts: DataFrame, kind: str, timestamp: Column | None = None) -> DataFrame:
-    """Records of texts (seq, source, text, and context, prompt and targets where they have them), and the texts to
+    """Records of texts (seq, source, text, and writer, context, prompt and targets where they have them), and the texts to
     store, as columns of one row: text is stripped first, text_ref names its sample."""
     from idiolect.operators.features import analyse
 
     if kind not in KINDS:
         raise ValueError(f"unknown kind of evidence: {kind}")
     has = lambda c, t: F.col(c) if c in texts.columns else F.lit(None).cast(t)
-    rows = texts.select("seq", "source", tx.strip(F.coalesce("text", F.lit(""))).alias("text"), tx.context_label(has("context", "string")).alias("context"), has("prompt", "string").alias("prompt"), has("targets", "array<string>").alias("targets"))
+    rows = texts.select("seq", "source", has("writer", "string").alias("writer"), tx.strip(F.coalesce("text", F.lit(""))).alias("text"), tx.context_label(has("context", "string")).alias("context"), has("prompt", "string").alias("prompt"), has("targets", "array<string>").alias("targets"))
     done = analyse(rows)
     key = new_id(F.col("text"), F.lit(kind), F.col("seq"))
     none = F.lit(None).cast("string")
     meta = F.struct(none.alias("chosen"), F.col("context").alias("context"), none.alias("formal"), none.alias("plain"), F.col("targets").alias("targets"))
-    return done.select(key.alias("id"), F.lit(kind).alias("kind"), meta.alias("meta"), summarised(done).alias("metrics"), "prompt", "source", F.concat(F.lit("samples/"), key, F.lit(".txt")).alias("text_ref"), (now() if timestamp is None else timestamp).alias("timestamp"), "word_count", "text", "seq")
+    return done.select(key.alias("id"), F.lit(kind).alias("kind"), meta.alias("meta"), summarised(done).alias("metrics"), "prompt", "source", F.concat(F.lit("samples/"), key, F.lit(".txt")).alias("text_ref"), (now() if timestamp is None else timestamp).alias("timestamp"), "word_count", "text", "seq", "writer")
 
 
 def choice_records(choices: DataFrame, timestamp: Column | None = None) -> DataFrame:
-    """Records of answered pairs (seq, pair_id, formal, plain, chosen). No text of the writer's is in them."""
+    """Records of answered pairs (writer, seq, pair_id, formal, plain, chosen). No text of the writer's is in them."""
     picked = F.when(F.col("chosen").isin("") | ~((F.col("chosen") == F.col("formal")) | (F.col("chosen") == F.col("plain"))), None).otherwise(F.col("chosen"))
     key = new_id(F.concat_ws(":", "pair_id", F.coalesce(picked, F.lit(NEITHER))), F.lit("calibration_choice"), F.col("seq"))
     none = F.lit(None).cast("string")
     meta = F.struct(picked.alias("chosen"), none.alias("context"), F.col("formal"), F.col("plain"), F.lit(None).cast("array<string>").alias("targets"))
-    return choices.select(key.alias("id"), F.lit("calibration_choice").alias("kind"), meta.alias("meta"), F.lit(None).cast(SCHEMA["metrics"].dataType).alias("metrics"), F.lit("Which of these would you actually write?").alias("prompt"), F.col("pair_id").alias("source"), none.alias("text_ref"), (now() if timestamp is None else timestamp).alias("timestamp"), F.lit(0).cast("long").alias("word_count"), "seq")
+    return choices.select(key.alias("id"), F.lit("calibration_choice").alias("kind"), meta.alias("meta"), F.lit(None).cast(SCHEMA["metrics"].dataType).alias("metrics"), F.lit("Which of these would you actually write?").alias("prompt"), F.col("pair_id").alias("source"), none.alias("text_ref"), (now() if timestamp is None else timestamp).alias("timestamp"), F.lit(0).cast("long").alias("word_count"), F.col("seq").cast("long").alias("seq"), "writer")
+
+
+def in_order(log: DataFrame) -> DataFrame:
+    """log with a writer and a seq in every record: what has no writer is one writer's, "", and what has no seq comes by
+    time and id after what has."""
+    named = log.withColumn("writer", F.coalesce("writer", F.lit("")))
+    if "seq" not in log.columns:
+        named = named.withColumn("seq", F.lit(None).cast("long"))
+    late = named.where("seq is null")
+    w = Window.partitionBy("writer").orderBy("timestamp", "id")
+    return named.where("seq is not null").unionByName(late.withColumn("seq", F.row_number().over(w).cast("long") + (1 << 40)))
 
 
 def labelled_samples(log: DataFrame, samples: DataFrame) -> DataFrame:
-    """Records joined with the samples that still exist: log's columns, text and context. samples: text_ref, text."""
+    """Records joined with the samples that still exist: log's columns, seq and writer among them, text and context.
+    samples: text_ref, text."""
     return log.where("text_ref is not null").join(samples, "text_ref").withColumn("context", F.col("meta.context"))
 
 

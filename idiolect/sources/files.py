@@ -32,8 +32,9 @@ def answers(lines: DataFrame, column: str = "value") -> DataFrame:
 
 
 def metric_dump(analysed: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, json) of the numbers of an analysis."""
-    from idiolect.operators import metrics
+    """(keys, json) of all metrics of analysed texts, their word lists and recurring phrases. Texts of equal keys would
+    share their lists; a null key is none."""
+    from idiolect.operators import metrics, vocabulary
     from idiolect.operators.features import FEATURES
 
     basic = F.struct("word_count", "sentence_count", "paragraph_count", "average_sentence_length", "sentence_length_variance", "average_paragraph_length", "average_word_length", "long_word_rate", "vocabulary_diversity", "unique_word_count", "heading_count", "bullet_count")
@@ -41,19 +42,26 @@ def metric_dump(analysed: DataFrame, keys: list[str]) -> DataFrame:
     marks = F.struct(*(F.struct(*(F.col(f"{p}{m}").alias(m) for m in sorted(metrics.MARKS))).alias(n) for p, n in (("n_", "counts"), ("rate_", "rates_per_1000_words"), ("band_", "bands"))))
     rates = F.struct(*(F.col(f"{k}_rate").alias(k) for k in sorted(metrics.VOCABULARY)))
     features = F.struct(*sorted(FEATURES))
-    whole = F.struct(basic.alias("basic"), syntax.alias("syntax"), marks.alias("punctuation"), F.struct(rates.alias("rates_per_100_words")).alias("vocabulary"), features.alias("features"), F.array(*map(F.lit, metrics.APPROXIMATE)).alias("approximate_metrics"))
-    return analysed.select(*keys, F.to_json(whole).alias("json"))
+    shown = vocabulary.LISTS[:9]
+    lists = vocabulary.top_lists(vocabulary.terms(analysed, keys), keys).select(*keys, *shown)
+    phrases = vocabulary.recurring_phrases(analysed, keys)
+    none = F.array().cast("array<string>")
+    both = analysed.join(lists, keys, "left").join(phrases, keys, "left").withColumns({c: F.coalesce(c, none) for c in (*shown, "phrases")})
+    whole = F.struct(basic.alias("basic"), syntax.alias("syntax"), marks.alias("punctuation"), F.struct(*shown, rates.alias("rates_per_100_words")).alias("vocabulary"), features.alias("features"), F.col("phrases").alias("recurring_phrases"), F.array(*map(F.lit, metrics.APPROXIMATE)).alias("approximate_metrics"))
+    return both.select(*keys, F.to_json(whole).alias("json"))
 
 
 def save_json(profiles: DataFrame, path: str) -> None:
-    """A JSON document a line, after validation."""
+    """(writer, json): a document a writer, after validation."""
     from idiolect.operators import profile
 
     bad = profile.errors(profiles)
-    text = F.when(F.size(bad) == 0, F.to_json(F.struct(*(c for c in profiles.columns)))).otherwise(F.raise_error(F.array_join(bad, "; ")))
-    profiles.select(text.alias("value")).write.mode("overwrite").text(path)
+    text = F.when(F.size(bad) == 0, profile.to_json(profiles)).otherwise(F.raise_error(F.array_join(bad, "; ")))
+    profiles.select("writer", text.alias("json")).write.mode("overwrite").json(path)
 
 
-def load_json(spark: SparkSession, path: str, schema) -> DataFrame:
-    """Profiles of save_json(); missing keys are null."""
-    return spark.read.schema(schema).json(path)
+def load_json(spark: SparkSession, path: str) -> DataFrame:
+    """Profiles of save_json(); missing keys have their defaults."""
+    from idiolect.operators import profile
+
+    return profile.parsed(spark.read.schema("writer string, json string").json(path))
