@@ -15,6 +15,7 @@ from idiolect.functions import text as tx
 from idiolect.functions.numbers import rounded, rate, ratio
 from idiolect.operators import metrics, schema, scoring, spanning, vocabulary
 from idiolect.operators.features import FEATURES, analyse
+from idiolect.sources.scratch import cut
 
 VERSION, GENERATOR = "1.0", "idiolect"
 CONTEXT_WORDS = 200
@@ -30,14 +31,26 @@ def usable(samples: DataFrame) -> DataFrame:
     return samples.where(tx.strip(F.coalesce("text", F.lit(""))) != "").withColumn("context", tx.context_label(F.col("context")))
 
 
-def crossing(samples: DataFrame, keys: list[str], words: lex.Lexicons = lex.DEFAULT) -> list[DataFrame]:
+COUNTS = tuple(f"{k}_count" for k in (*metrics.PER_WORD, *metrics.PER_SENTENCE, *metrics.VOCABULARY))
+MARKS = tuple(f"n_{m}" for m in metrics.MARKS)
+TOTALS = ("contraction_chances", "word_count", "sentence_count", "paragraph_count", "heading_count", "bullet_count", "n_sentences")
+
+
+def prepared(samples: DataFrame, words: lex.Lexicons = lex.DEFAULT) -> DataFrame:
+    """samples with all that lists, scores and profiles read, analysed once and written down."""
+    analysed = analyse(samples, words=words).withColumn("n_sentences", F.size("sentences").cast("long"))
+    kept = [c for c in samples.columns if c != "text"]
+    return cut(analysed.select(*kept, "text", "norm", "tokens", "sentence_lengths", *COUNTS, *MARKS, *TOTALS, *FEATURES), "analysed")
+
+
+def crossing(analysed: DataFrame, keys: list[str], words: lex.Lexicons = lex.DEFAULT) -> list[DataFrame]:
     """Counts of what spans samples, a row a group and frame: to be added to the sums over the samples."""
-    rows = tx.normalised(samples.select(*keys, "seq", "text"))
+    rows = analysed.select(*keys, "seq", "text", "norm", "tokens")
     lower = F.col("lower")
     phrases = {"hedge": words.hedge_phrases, "buzzword": words.buzz_phrases, "colloquial": words.colloquial_phrases}
     counts = {"passive": F.regexp_count("norm", F.lit(metrics.PASSIVE)).cast("long")} | {k: metrics.phrases_in(lower, p) for k, p in phrases.items()}
     edges = spanning.text_edges(rows, keys).withColumn("lower", F.lower("norm"))
-    pairs = spanning.token_edges(rows.withColumn("tokens", tx.tokens(F.col("norm"))), keys)
+    pairs = spanning.token_edges(rows, keys)
     return [
         edges.groupBy(*keys).agg(*(F.sum(F.col("sign") * c).alias(f"{k}_count") for k, c in counts.items())),
         pairs.groupBy(*keys).agg(F.sum(F.col("sign") * metrics.contraction_chances(F.col("tokens"))).alias("contraction_chances")),
@@ -46,22 +59,18 @@ def crossing(samples: DataFrame, keys: list[str], words: lex.Lexicons = lex.DEFA
     ]
 
 
-def corpus_metrics(analysed: DataFrame, keys: list[str], words: lex.Lexicons = lex.DEFAULT, samples: DataFrame | None = None) -> DataFrame:
-    """(keys, CORPUS): sums of the samples' counts, and what spans samples. analysed: analyse(samples), with keys, seq and
-    text; samples spares its analysis where only texts are needed."""
-    counts = [f"{k}_count" for k in (*metrics.PER_WORD, *metrics.PER_SENTENCE, *metrics.VOCABULARY)]
-    marks = [f"n_{m}" for m in metrics.MARKS]
-    n_sentences = F.size("sentences").cast("long")
+def corpus_metrics(analysed: DataFrame, keys: list[str], words: lex.Lexicons = lex.DEFAULT) -> DataFrame:
+    """(keys, CORPUS): sums of the samples' counts, and what spans samples. analysed: prepared samples with keys and seq."""
     lengths = F.col("sentence_lengths")
-    sums = [F.sum(c).alias(c) for c in (*counts, *marks, "contraction_chances", "word_count", "sentence_count", "paragraph_count", "heading_count", "bullet_count")]
+    sums = [F.sum(c).alias(c) for c in (*COUNTS, *MARKS, *TOTALS)]
     sums += [
-        F.count(F.lit(1)).alias("sample_count"), F.sum(n_sentences).alias("__sentences"), F.sum(metrics.total(lengths)).alias("__s"),
+        F.count(F.lit(1)).alias("sample_count"), F.sum(metrics.total(lengths)).alias("__s"),
         F.sum(metrics.total(F.transform(lengths, lambda x: x.cast("long") * x))).alias("__q"), F.sum(metrics.total(F.transform("tokens", F.length))).alias("__chars"),
         F.sum(F.size(F.filter("tokens", lambda t: F.length(t) >= 7))).alias("__long"),
     ]
     s = analysed.withColumn("technical_count", F.col("technical_count") - F.size(metrics.code_shapes(F.col("norm")))).groupBy(*keys).agg(*sums)
     summed = [c for c in s.columns if c not in keys]
-    for more in crossing(analysed if samples is None else samples, keys, words):
+    for more in crossing(analysed, keys, words):
         s = s.unionByName(more, allowMissingColumns=True)
     s = s.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in summed), F.max("vocabulary_diversity").alias("vocabulary_diversity"))
     whole = lambda c: F.col(c).cast("decimal(19,0)")
@@ -70,7 +79,7 @@ def corpus_metrics(analysed: DataFrame, keys: list[str], words: lex.Lexicons = l
     s = s.withColumns({f"rate_{m}": rate(f"n_{m}", "word_count", 1000) for m in metrics.MARKS})
     made = {f"band_{m}": metrics.band(m, f"rate_{m}", f"n_{m}") for m in metrics.MARKS}
     made |= {f"{k}_rate": rate(f"{k}_count", "word_count", 100) for k in (*metrics.PER_WORD, *metrics.VOCABULARY)}
-    made |= {f"{k}_rate": rate(f"{k}_count", "greatest(__sentences, 1)", 100) for k in metrics.PER_SENTENCE}
+    made |= {f"{k}_rate": rate(f"{k}_count", "greatest(n_sentences, 1)", 100) for k in metrics.PER_SENTENCE}
     made |= {
         "avg_sentence_length": ratio(F.col("__s"), F.col("sentence_count")), "sentence_length_variance": rounded(v, 2), "avg_paragraph_length": ratio(n_words, F.col("paragraph_count")),
         "avg_word_length": ratio(F.col("__chars"), n_words), "long_word_rate": rate(F.col("__long"), n_words, 100),
@@ -84,28 +93,38 @@ def corpus_metrics(analysed: DataFrame, keys: list[str], words: lex.Lexicons = l
 CORPUS = ("sample_count", "word_count", "sentence_count", "paragraph_count", "heading_count", "bullet_count", "contraction_preference", *(f"band_{m}" for m in metrics.MARKS), *FEATURES)
 
 
-def score_groups(samples: DataFrame, keys: list[str], words: lex.Lexicons = lex.DEFAULT) -> tuple[DataFrame, DataFrame]:
-    """(corpus metrics, scoring results) of the groups: the one function for writers and for contexts."""
-    analysed = analyse(samples, words=words)
-    corpus = corpus_metrics(analysed, keys, words, samples)
+def scored(analysed: DataFrame, keys: list[str], words: lex.Lexicons = lex.DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """(corpus metrics, scoring results) of the groups of prepared samples: the one function for writers and for contexts."""
+    corpus = corpus_metrics(analysed, keys, words)
     spread = scoring.sample_spread(analysed.select(*keys, "seq", "word_count", *FEATURES), keys, ["seq"])
     return corpus, scoring.results(corpus.select(*keys, "word_count", *FEATURES), spread, keys)
 
 
+def score_groups(samples: DataFrame, keys: list[str], words: lex.Lexicons = lex.DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """scored() of samples (keys, seq, text)."""
+    return scored(prepared(samples.select(*keys, "seq", "text"), words), keys, words)
+
+
 def style(results: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, style): an array of (dimension, value, confidence) in the dimensions' order."""
     rows = F.transform(F.array_sort(F.collect_list(F.struct("place", "dimension", "value", "confidence"))), lambda x: F.struct(x["dimension"].alias("dimension"), x["value"].alias("value"), x["confidence"].alias("confidence")))
     return results.groupBy(*keys).agg(rows.alias("style"))
 
 
-def context_profiles(samples: DataFrame, words: lex.Lexicons = lex.DEFAULT) -> DataFrame:
-    """(writer, context, style, sample_count, word_count) of labelled contexts with 200 words or more."""
+def contexts_of(analysed: DataFrame, words: lex.Lexicons = lex.DEFAULT) -> DataFrame:
+    """(writer, context, style, sample_count, word_count) of labelled contexts with 200 words or more, of prepared samples."""
     keys = ["writer", "context"]
-    corpus, results = score_groups(usable(samples).where("context is not null"), keys, words)
+    corpus, results = scored(analysed.where("context is not null"), keys, words)
     enough = corpus.where(F.col("word_count") >= CONTEXT_WORDS).select(*keys, "sample_count", "word_count")
     return enough.join(style(results, keys), keys)
 
 
+def context_profiles(samples: DataFrame, words: lex.Lexicons = lex.DEFAULT) -> DataFrame:
+    """contexts_of() samples (writer, seq, context, text)."""
+    labelled = usable(samples).where("context is not null").select("writer", "context", "seq", "text")
+    return contexts_of(prepared(labelled, words), words)
+
+
 def band(x: Column, bands: tuple[tuple[float, str], ...], top: str) -> Column:
     out = F.lit(top)
     for limit, name in reversed(bands):
@@ -142,15 +161,15 @@ def build(samples: DataFrame, verdicts: DataFrame | None = None, created_at: str
     """One profile a writer. Times are parameters, so that equal input gives equal output; profile_id is a digest of
     the writer."""
     keys = ["writer"]
-    rows = usable(samples)
-    corpus, results = score_groups(rows, keys, words)
-    lists_of = metrics.measured(tx.normalised(rows.select("writer", "seq", "text")))
+    analysed = prepared(usable(samples).select("writer", "seq", "context", "text"), words)
+    corpus, results = scored(analysed, keys, words)
+    lists_of = analysed.select("writer", "seq", "text", "norm", "tokens", F.lower("norm").alias("lower"))
     counted = vocabulary.terms(lists_of, keys, words, "seq")
     tops = vocabulary.top_lists(counted, keys).select("writer", "technical_terms", "colloquialisms")
     out = corpus.join(style(results, keys), keys).join(tops, keys, "left").join(vocabulary.prefer(counted, keys), keys, "left")
     out = out.join(vocabulary.avoid(lists_of, keys, words), keys, "left").join(vocabulary.recurring_phrases(lists_of, keys, words, "seq"), keys, "left")
     varied = scoring.contradictions(results, keys).groupBy("writer").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "dimension", "low", "high", "scatter"))), lambda x: F.struct(x["dimension"].alias("dimension"), x["low"].alias("low"), x["high"].alias("high"), x["scatter"].alias("scatter"))).alias("varies"))
-    contexts = context_profiles(samples, words).groupBy("writer").agg(F.array_sort(F.collect_list(F.struct("context", "style", F.struct("sample_count", "word_count").alias("metadata")))).alias("contexts"))
+    contexts = contexts_of(analysed, words).groupBy("writer").agg(F.array_sort(F.collect_list(F.struct("context", "style", F.struct("sample_count", "word_count").alias("metadata")))).alias("contexts"))
     out = out.join(varied, keys, "left").join(contexts, keys, "left")
     if verdicts is not None:
         out = out.join(chosen_words(verdicts), keys, "left")

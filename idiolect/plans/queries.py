@@ -412,8 +412,8 @@ def profile_structure(spark, sf_dir):
 @query(f"""with {o.analysed(CORPORA, 'writer')}, k as (select writer, count(*) as sample_count from ({SAMPLES}) group by writer)
 select f.writer, sample_count, words::bigint as word_count, sentence_count::bigint as sentence_count, {o.FEATURE_LIST} from f join k on f.writer = k.writer""")
 def additive_profiles(spark, sf_dir):
-    rows = profile.usable(samples(spark, sf_dir))
-    return profile.corpus_metrics(analyse(rows), ["writer"]).select("writer", "sample_count", "word_count", "sentence_count", *FEATURES)
+    rows = profile.usable(samples(spark, sf_dir)).select("writer", "seq", "text")
+    return profile.corpus_metrics(profile.prepared(rows), ["writer"]).select("writer", "sample_count", "word_count", "sentence_count", *FEATURES)
 
 
 @query(f"select writer, 0 as n_errors, '1.0' as version, 8 as n_dimensions from (select distinct writer from ({SAMPLES}))")
