@@ -95,8 +95,8 @@ CORPUS = ("sample_count", "word_count", "sentence_count", "paragraph_count", "he
 
 def scored(analysed: DataFrame, keys: list[str], words: lex.Lexicons = lex.DEFAULT) -> tuple[DataFrame, DataFrame]:
     """(corpus metrics, scoring results) of the groups of prepared samples: the one function for writers and for contexts."""
-    corpus = corpus_metrics(analysed, keys, words)
-    spread = scoring.sample_spread(analysed.select(*keys, "seq", "word_count", *FEATURES), keys, ["seq"])
+    corpus = cut(corpus_metrics(analysed, keys, words), "corpus")  # a row a group, read by all that follows
+    spread = cut(scoring.sample_spread(analysed.select(*keys, "seq", "word_count", *FEATURES), keys, ["seq"]), "spread")
     return corpus, scoring.results(corpus.select(*keys, "word_count", *FEATURES), spread, keys)
 
 

@@ -114,5 +114,8 @@ def optional(value: Column, schema: dict[str, Any], where: Column) -> Column:
 
 def errors(document: Column, schema: dict[str, Any] = PROFILE, name: str = "profile") -> Column:
     """Every way in which a JSON text breaks the schema; a text that is no JSON is one fault."""
-    value = F.try_parse_json(document)
-    return F.when(value.isNull(), F.array(F.lit(f"{name}: not JSON"))).otherwise(check(value, schema, F.lit(name)))
+
+    def found(value: Column) -> Column:
+        return F.when(value.isNull(), F.array(F.lit(f"{name}: not JSON"))).otherwise(check(value, schema, F.lit(name)))
+
+    return F.element_at(F.transform(F.array(F.try_parse_json(document)), found), 1)  # parsed once, though read often

@@ -60,6 +60,35 @@ LOG = [
 ]
 ARGUMENTS = ["notes.txt", "notes.txt:Work", "dir:x/notes.txt", "a:b:Two Words", "notes.txt:", ":work"]
 LISTS = [(1, []), (2, ["a"]), (3, ["a", "b"]), (4, ["a", "b", "c"])]
+_GOOD = '"version": "1.0", "profile_id": "p", "style": {"warmth": {"value": 5, "confidence": 0.5}}, "metadata": {"sample_count": 1, "word_count": 2}'
+DOCUMENTS = [  # id, json
+    ("01 good", "{" + _GOOD + "}"),
+    ("02 empty", "{}"),
+    ("03 version", "{" + _GOOD.replace('"1.0"', '"one"') + "}"),
+    ("04 ranges", "{" + _GOOD.replace("5, ", "101, ").replace("0.5}", "-0.5}") + "}"),
+    ("05 types", "{" + _GOOD.replace("5, ", "5.5, ").replace('"p"', "7") + "}"),
+    ("06 required", "{" + _GOOD.replace(', "word_count": 2', "").replace('"value": 5, ', "") + "}"),
+    ("07 bands", "{" + _GOOD + ', "punctuation": {"comma": "often", "colon": "rare"}, "structure": {"paragraph_length": "huge"}}'),
+    ("08 lists", "{" + _GOOD + ', "vocabulary": {"prefer": ["a", 2], "avoid": "b"}, "notes": {"varies_by_context": [{"dimension": "x", "low": 1, "high": 200}]}}'),
+    ("09 nested", "{" + _GOOD + ', "contexts": {"work": [], "home": {}}, "syntax": {"question_preference": 1.2, "vocabulary_diversity": true}}'),
+    ("10 no object", "[1]"),
+    ("11 no json", "{"),
+    ("12 unknown", "{" + _GOOD + ', "later": {"x": 1}}'),
+]
+DOCUMENTS_WITH_ERRORS = [  # id, what is wrong, counted by hand
+    ("01 good", ""),
+    ("02 empty", "profile: missing required key 'version'; profile: missing required key 'profile_id'; profile: missing required key 'style'; profile: missing required key 'metadata'"),
+    ("03 version", "profile.version: one does not match ^[0-9]+\\.[0-9]+$"),
+    ("04 ranges", "profile.style.warmth.value: above maximum 100; profile.style.warmth.confidence: below minimum 0"),
+    ("05 types", "profile.profile_id: expected string, got bigint; profile.style.warmth.value: expected integer, got decimal"),
+    ("06 required", "profile.style.warmth: missing required key 'value'; profile.metadata: missing required key 'word_count'"),
+    ("07 bands", "profile.punctuation.comma: often is not one of never, rare, occasional, frequent; profile.structure.paragraph_length: huge is not one of short, medium, long"),
+    ("08 lists", "profile.vocabulary.prefer[1]: expected string, got bigint; profile.vocabulary.avoid: expected array, got string; profile.notes.varies_by_context[0].high: above maximum 100"),
+    ("09 nested", "profile.syntax.question_preference: above maximum 1; profile.syntax.vocabulary_diversity: expected number, got boolean; profile.contexts.work: expected object, got array"),
+    ("10 no object", "profile: expected object, got array"),
+    ("11 no json", "profile: not JSON"),
+    ("12 unknown", ""),
+]
 FILES = [  # id, text, what happens
     (1, None), (2, "  \n"), (3, "# Notes\n\nkeep\n"), (4, "a\n{start}\nold\n{end}\nz\n"), (5, "a\r\n{start}\r\nold\r\n{end}\r\nz\r\n"), (6, "  {start}\nindented\n"),
     (7, "{start}\nno end\n"), (8, "{end}\n{start}\n"), (9, "{start}\n{start}\n{end}\n"), (10, "no newline at end"), (11, "{end}\n"),

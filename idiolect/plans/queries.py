@@ -21,6 +21,7 @@ from idiolect.operators.features import features as feature_rows
 from idiolect.plans import fixtures as fx
 from idiolect.plans import oracle as o
 from idiolect.sources import evidence, files
+from idiolect.sources.scratch import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -78,8 +79,7 @@ def sample_arguments(spark, sf_dir):
 
 @query("select event_id, k as question_id, json_extract_string(props, '$.\"' || k || '\"') as answer from events, unnest(json_keys(props::json)) as u(k)")
 def json_answers(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").select("event_id", F.from_json("props", "map<string,string>").alias("got"))
-    return rows.select("event_id", F.explode("got").alias("question_id", "answer"))
+    return files.answers(table(spark, sf_dir, "events").select("event_id", "props"), "props")
 
 
 @query(f"""with p as (select value, try_cast(value as json) as j from {fx.values(fx.LOG, 'value')} where trim(value) <> '')
@@ -120,17 +120,6 @@ def choice_records(spark, sf_dir):
     return rows.select("id", "source", F.col("meta.chosen").alias("chosen"))
 
 
-@query()
-def sample_records(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), "source", "text", F.col("lang").alias("context"))
-    return evidence.records(spread(docs), "writing_sample", F.lit("2024-01-01T00:00:00+00:00")).select("id", "source", "text_ref", "word_count", F.col("metrics.sentence_count").alias("sentence_count"), F.to_json("meta").alias("meta"))
-
-
-@query()
-def metric_dump(spark, sf_dir):
-    return files.metric_dump(analyse(texts(spark, sf_dir)), ["doc_id"])
-
-
 # --- normalising and segmenting ----------------------------------------------------------------------------------
 
 
@@ -257,7 +246,7 @@ def lexicon_hits(spark, sf_dir):
     return counted.join(F.broadcast(listed), "term").groupBy("category").agg(F.count(F.lit(1)).alias("n_terms"), F.sum("n").alias("n_hits"))
 
 
-def _lists() -> str:
+def _lists(key: str = "writer") -> str:
     t = "token"
     word = {
         "common_words": f"{t} not in {o.lit(lex.STOPWORDS)} and length({t}) > 2",
@@ -272,29 +261,50 @@ def _lists() -> str:
     word["repeated_words"] = f"{word['common_words']} and n >= 3"
     style = lex.HEDGE_WORDS + lex.FILLERS + lex.COLLOQUIALISMS + lex.INTENSIFIERS + lex.HUMOUR_MARKERS
     word["style_words"] = f"{t} in {o.lit(style)} and {t} not in {o.lit(lex.NUMBER_WORDS + lex.VAGUE_WORDS + lex.CONTRACTIONS)} and not contains({t}, '''') and not regexp_matches({t}, '[0-9]')"
-    rows = [f"select writer, '{k}' as list, token as term, n from freq where {c}" for k, c in word.items()]
+    rows = [f"select {key}, '{k}' as list, token as term, n from freq where {c}" for k, c in word.items()]
     for k, phrases in (("hedging_terms", lex.HEDGE_PHRASES), ("style_phrases", lex.HEDGE_PHRASES), ("colloquialisms", lex.COLLOQUIAL_PHRASES), ("style_phrases", lex.COLLOQUIAL_PHRASES), ("buzzwords", lex.BUZZ_PHRASES)):
-        rows.append(f"select writer, '{k}' as list, p.term, sum(len(regexp_extract_all(lw, p.pattern)))::bigint as n from b, {fx.values([(p, o.phrase(p).replace(chr(39) * 2, chr(39))) for p in phrases], 'term, pattern')} as p where contains(lw, p.term) or regexp_matches(lw, p.pattern) group by 1, 3")
-    rows += [f"select writer, 'technical_terms' as list, lower(x) as term, count(*) as n from b, unnest({v}) as u(x) group by 1, 3" for v in o.SHAPES.values()]
+        rows.append(f"select {key}, '{k}' as list, p.term, sum(len(regexp_extract_all(lw, p.pattern)))::bigint as n from b, {fx.values([(p, o.phrase(p).replace(chr(39) * 2, chr(39))) for p in phrases], 'term, pattern')} as p where contains(lw, p.term) or regexp_matches(lw, p.pattern) group by 1, 3")
+    rows += [f"select {key}, 'technical_terms' as list, lower(x) as term, count(*) as n from b, unnest({v}) as u(x) group by 1, 3" for v in o.SHAPES.values()]
     return " union all ".join(rows)
 
 
 CORPORA = f"select writer, string_agg(text, chr(10) || chr(10) order by seq) as text from ({SAMPLES}) group by writer"
-TERMS = f"{o.base(CORPORA, 'writer')}, freq as (select writer, token, count(*) as n from b, unnest(tokens) as u(token) group by 1, 2), terms as (select writer, list, term, sum(n)::bigint as n from ({_lists()}) where n > 0 group by 1, 2, 3)"
+
+
+def term_ctes(key: str) -> str:
+    """CTEs freq and terms over b, and tops: a column for each list's first twelve."""
+    tops = ", ".join(f"coalesce(string_agg(term, '|' order by rank) filter (where list = '{k}'), '') as {k}" for k in vocabulary.LISTS)
+    return f"""freq as (select {key}, token, count(*) as n from b, unnest(tokens) as u(token) group by 1, 2),
+terms as (select {key}, list, term, sum(n)::bigint as n from ({_lists(key)}) where n > 0 group by 1, 2, 3),
+ranked as (select * from (select *, row_number() over (partition by {key}, list order by n desc, term)::integer as rank from terms) where rank <= 12),
+tops as (select {key}, {tops} from ranked group by {key})"""
+
+
+def recurring_ctes(key: str) -> str:
+    """CTEs g (runs of words) and recurring (phrases, as a list) over b."""
+    return f"""g as (select {key}, array_to_string(tokens[i:i + k - 1], ' ') as phrase from b, unnest(range(1, words + 1)) as u(i), (values (2), (3), (4)) as v(k) where i + k - 1 <= words and tokens[i] in {o.lit(lex.PHRASE_SEEDS)}),
+often as (select {key}, phrase, count(*) as n from g group by 1, 2 having count(*) >= 2),
+recurring as (select {key}, list_reduce(list([phrase] order by n desc, phrase), lambda a, x: case when len(a) >= 10 or len(list_filter(a, lambda k: contains(k, x[1]))) > 0 then a else list_concat(a, x) end, []::varchar[]) as phrases from often group by 1)"""
+
+
+TERMS = f"{o.base(CORPORA, 'writer')}, {term_ctes('writer')}"
 
 
 def samples_measured(spark, sf_dir):
     return m.measured(tx.normalised(profile.usable(samples(spark, sf_dir)).select("writer", "seq", "text")))
 
 
-@query(f"with {TERMS} select writer, list, term, n, rank from (select *, row_number() over (partition by writer, list order by n desc, term)::integer as rank from terms) where rank <= 12")
+@query(f"with {TERMS} select writer, list, term, n, rank from ranked")
 def top_lists(spark, sf_dir):
     return vocabulary.ranked(vocabulary.terms(samples_measured(spark, sf_dir), ["writer"], order="seq"), ["writer"]).select("writer", "list", "term", "n", "rank")
 
 
-@query(f"""with {TERMS}, k as (select writer, term, n, (list = 'style_words')::integer as kind, row_number() over (partition by writer, list order by n desc, term) as rank from terms where list in ('style_words', 'style_phrases')),
+PREFER = f"""with {TERMS}, k as (select writer, term, n, (list = 'style_words')::integer as kind, row_number() over (partition by writer, list order by n desc, term) as rank from terms where list in ('style_words', 'style_phrases')),
 s as (select writer, term, row_number() over (partition by writer order by kind, rank) as place from k where n >= 2 and rank <= case when kind = 0 then 6 else 12 end)
-select writer, array_to_string(list(term order by place), '|') as prefer from s where place <= 12 group by writer""")
+select writer, array_to_string(list(term order by place), '|') as prefer from s where place <= 12 group by writer"""
+
+
+@query(PREFER)
 def prefer_list(spark, sf_dir):
     found = vocabulary.prefer(vocabulary.terms(samples_measured(spark, sf_dir), ["writer"], order="seq"), ["writer"])
     return found.select("writer", F.array_join("prefer", "|").alias("prefer"))
@@ -320,12 +330,40 @@ def phrase_counts(spark, sf_dir):
     return vocabulary.phrase_counts(samples_measured(spark, sf_dir), ["writer"], order="seq")
 
 
-@query()
+@query(f"with {o.base(CORPORA, 'writer')}, {recurring_ctes('writer')} select writer, array_to_string(phrases, '|') as phrases from recurring")
 def recurring_phrases(spark, sf_dir):
     found = vocabulary.recurring_phrases(samples_measured(spark, sf_dir), ["writer"], order="seq")
     return found.select("writer", F.array_join("phrases", "|").alias("phrases"))
 
 
+@query(f"""with {o.analysed(f"select doc_id as seq, source, lang, {o.strip('text')} as text from documents", 'seq, source, lang')},
+i as (select *, 'writ_' || substr(sha256('writing_sample:' || seq || ':' || text), 1, 12) as id from (select f.*, src.text from f join src on f.seq = src.seq))
+select id, source, 'samples/' || id || '.txt' as text_ref, seq, words::bigint as word_count, sentence_count::bigint as sentence_count, '{{"context":"' || lower(lang) || '"}}' as meta, {o.FEATURE_LIST} from i""")
+def sample_records(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), "source", "text", F.col("lang").alias("context"))
+    rows = evidence.records(spread(docs), "writing_sample", F.lit("2024-01-01T00:00:00+00:00"))
+    return rows.select("id", "source", "text_ref", "seq", "word_count", F.col("metrics.sentence_count").alias("sentence_count"), F.to_json("meta").alias("meta"), *(F.col("metrics.features")[x].alias(x) for x in FEATURES))
+
+
+_SHOWN = vocabulary.LISTS[:9]
+
+
+@query(f"""with {o.analysed(o.TEXTS)}, {term_ctes('doc_id')}, {recurring_ctes('doc_id')}
+select f.doc_id, words::bigint as word_count, len(lengths)::bigint as sentence_count, unique_word_count::bigint as unique_word_count, contraction_preference, passive_count::bigint as passive_count, n_comma::bigint as n_comma, n_hyphen::bigint as n_hyphen, {o.FEATURE_LIST},
+{", ".join(f"coalesce({k}, '') as {k}" for k in _SHOWN)}, coalesce(array_to_string(phrases, '|'), '') as phrases
+from f left join tops on f.doc_id = tops.doc_id left join recurring on f.doc_id = recurring.doc_id""")
+def metric_dump(spark, sf_dir):
+    """The dumps, read again from their JSON."""
+    lists = ", ".join(f"{k}: array<string>" for k in _SHOWN)
+    kind = f"""basic struct<word_count: bigint, sentence_count: bigint, unique_word_count: bigint>, syntax struct<contraction_preference: double, passive_count: bigint>,
+        punctuation struct<counts: map<string, bigint>>, features map<string, double>, vocabulary struct<{lists}>, recurring_phrases array<string>"""
+    dumps = files.metric_dump(analyse(texts(spark, sf_dir)), ["doc_id"]).select("doc_id", F.from_json("json", kind).alias("j"))
+    return dumps.select(
+        "doc_id", "j.basic.*", "j.syntax.*", *(F.col("j.punctuation.counts")[k].alias(f"n_{k}") for k in ("comma", "hyphen")),
+        *(F.col("j.features")[x].alias(x) for x in FEATURES), *(F.array_join(f"j.vocabulary.{k}", "|").alias(k) for k in _SHOWN), F.array_join("j.recurring_phrases", "|").alias("phrases"),
+    )
+
+
 # --- scoring -----------------------------------------------------------------------------------------------------
 
 
@@ -394,7 +432,10 @@ def context_profiles(spark, sf_dir):
     return rows.select("writer", "context", "dimension", "value", "confidence", "word_count")
 
 
-@query()
+@query(f"""with c as ({CONTEXT_SCORED} select r.writer, r.context, dimension, value, confidence from r join f_w on r.writer = f_w.writer and r.context = f_w.context where f_w.word_count >= 200),
+w as ({SCORED} select writer, dimension, value from r),
+d as (select c.writer, context, c.dimension, c.value, c.value - w.value as delta from c join w on c.writer = w.writer and c.dimension = w.dimension where confidence >= 0.45 and abs(c.value - w.value) >= 10)
+select * from (select *, row_number() over (partition by writer, context order by abs(delta) desc, dimension)::integer as rank from d) where rank <= 3""")
 def context_shift(spark, sf_dir):
     return render.context_shifts(profile.build(samples(spark, sf_dir)))
 
@@ -416,16 +457,66 @@ def additive_profiles(spark, sf_dir):
     return profile.corpus_metrics(profile.prepared(rows), ["writer"]).select("writer", "sample_count", "word_count", "sentence_count", *FEATURES)
 
 
-@query(f"select writer, 0 as n_errors, '1.0' as version, 8 as n_dimensions from (select distinct writer from ({SAMPLES}))")
+@query(f"select id, errors from {fx.values(fx.DOCUMENTS_WITH_ERRORS, 'id, errors')} union all select writer, '' from (select distinct writer from ({SAMPLES}))")
 def validate_profiles(spark, sf_dir):
+    """Broken documents with their faults, and built ones, which have none."""
     p = profile.build(samples(spark, sf_dir), fx.frame(spark, fx.VERDICTS, "writer string, seq long, formal string, plain string, chosen string"))
-    return p.select("writer", F.size(profile.errors(p)).alias("n_errors"), "version", F.size("style").alias("n_dimensions"))
+    built = p.select(F.col("writer").alias("id"), profile.errors(p).alias("errors"))
+    broken = fx.frame(spark, fx.DOCUMENTS, "id string, json string").select("id", profile.schema.errors(F.col("json")).alias("errors"))
+    return broken.unionByName(built).select("id", F.array_join("errors", "; ").alias("errors"))
 
 
-@query()
+_CHOSEN = f"""v as (select *, coalesce(chosen <> formal, true) as avoids from {fx.values(fx.VERDICTS, 'writer, seq, formal, plain, chosen')}), vm as (select *, coalesce(lag(avoids) over (partition by writer, formal order by seq) <> avoids, true) as moved from v),
+l as (select writer, formal, arg_max(avoids, seq) as avoids, max(seq) filter (where moved) as since from vm group by 1, 2),
+ch as (select writer, coalesce(list(formal order by since) filter (where avoids), []) as against, coalesce(list(formal order by since) filter (where not avoids), []) as pro from l group by 1)"""
+
+
+def _share(x: str) -> str:
+    return o.rounded(f"{x} / 100e0", 3)
+
+
+def _level(x: str) -> str:
+    return f"case when {x} / greatest(paragraph_count, 1)::double <= 0.08e0 then 'low' when {x} / greatest(paragraph_count, 1)::double <= 0.30e0 then 'medium' else 'high' end"
+
+
+_STYLES = ", ".join(f"max(value) filter (where dimension = '{n}') as value_{n}, max(confidence) filter (where dimension = '{n}') as confidence_{n}" for n in scoring.NAMES)
+_SYNTAX = {"average_sentence_length": "avg_sentence_length", "sentence_length_variance": "sentence_length_variance", "average_paragraph_length": "avg_paragraph_length", "contraction_preference": "contraction_preference", "fragment_preference": _share("fragment_rate"), "question_preference": _share("question_rate"), "passive_preference": _share("passive_rate"), "vocabulary_diversity": "vocabulary_diversity"}
+_PROFILE_BANDS = ", ".join(f"case when n_{k} = 0 then 'never' when rate_{k} <= {m.BANDS[k][0]} then 'rare' when rate_{k} <= {m.BANDS[k][1]} then 'occasional' else 'frequent' end as band_{k}" for k in profile.PROFILE_MARKS)
+PROFILES = f"""with st as ({SCORED} select writer, {_STYLES} from r group by writer),
+co as (with {o.analysed(CORPORA, 'writer')}, d as (select *, {o.columns({f'rate_{k}': o.rate(f'n_{k}', 'words', 1000) for k in profile.PROFILE_MARKS})} from f)
+  select writer, words::bigint as word_count, sentence_count::bigint as sentence_count, {o.columns(_SYNTAX)}, {_PROFILE_BANDS},
+  case when avg_paragraph_length <= 45 then 'short' when avg_paragraph_length <= 90 then 'medium' else 'long' end as paragraph_length, {_level('heading_count')} as heading_preference, {_level('bullet_count')} as bullet_preference from d),
+ns as (select writer, count(*) as sample_count from ({SAMPLES}) group by writer),
+pr as ({PREFER}), av as ({_avoid()}), tp as (with {TERMS} select * from tops),
+rc as (with {o.base(CORPORA, 'writer')}, {recurring_ctes('writer')} select writer, array_to_string(phrases, '|') as phrases from recurring),
+cx as ({CONTEXT_SCORED} select writer, string_agg(context, '|' order by context) as contexts from f_w where word_count >= 200 group by writer),
+vb as ({SCORED}, v as (select writer, place, dimension, list_min(sample_values) as low, list_max(sample_values) as high, {o.rounded(o.deviation('sample_values'), 1)} as scatter from r where len(sample_values) >= 2)
+  select writer, string_agg(dimension, '|' order by high - low desc, place) as varies from v where high - low >= 30 and scatter >= 15 group by writer),
+{_CHOSEN},
+wd as (select co.writer, coalesce(against, []) as against, coalesce(pro, []) as pro, string_split(coalesce(nullif(avoid, ''), chr(1)), '|') as guessed, string_split(coalesce(nullif(prefer, ''), chr(1)), '|') as liked
+  from co left join av on co.writer = av.writer left join pr on co.writer = pr.writer left join ch on co.writer = ch.writer),
+wl as (select writer, against, list_concat(against, list_filter(guessed, lambda a: a <> chr(1) and not list_contains(against, a) and not list_contains(pro, a))[1:greatest(0, 12 - len(against))]) as avoid,
+  list_concat(list_filter(liked, lambda a: a <> chr(1)), list_filter(pro, lambda a: not list_contains(liked, a))) as prefer from wd)
+select co.*, st.* exclude (writer), sample_count, 'voice_' || substr(sha256(co.writer), 1, 12) as profile_id, array_to_string(wl.prefer, '|') as prefer, array_to_string(wl.avoid, '|') as avoid,
+  array_to_string(list_filter(wl.avoid, lambda a: list_contains(against, a)), '|') as confirmed, len(list_filter(wl.avoid, lambda a: not list_contains(against, a))) > 0 as guessed,
+  coalesce(technical_terms, '') as technical_terms, coalesce(colloquialisms, '') as colloquialisms, coalesce(phrases, '') as phrases, coalesce(contexts, '') as contexts, coalesce(varies, '') as varies
+from co join st on co.writer = st.writer join ns on co.writer = ns.writer join wl on co.writer = wl.writer left join tp on co.writer = tp.writer left join rc on co.writer = rc.writer left join cx on co.writer = cx.writer left join vb on co.writer = vb.writer"""
+
+
+@query(PROFILES)
 def profile_documents(spark, sf_dir):
+    """The documents, read again from their JSON."""
     p = profile.build(samples(spark, sf_dir), fx.frame(spark, fx.VERDICTS, "writer string, seq long, formal string, plain string, chosen string"))
-    return p.select("writer", profile.to_json(p).alias("json"))
+    d = profile.parsed(p.select("writer", profile.to_json(p).alias("json")))
+    style = F.map_from_entries(F.transform("style", lambda x: F.struct(x["dimension"], x)))
+    joined = lambda c: F.array_join(c, "|")
+    return d.withColumn("by", style).select(
+        "writer", "profile_id", "metadata.sample_count", "metadata.word_count", "metadata.sentence_count", "syntax.*", "structure.*",
+        *(F.col("by")[n][c].alias(f"{c}_{n}") for n in scoring.NAMES for c in ("value", "confidence")), *(F.col("punctuation")[k].alias(f"band_{k}") for k in profile.PROFILE_MARKS),
+        *(joined(f"vocabulary.{c}").alias(c) for c in ("prefer", "avoid", "technical_terms", "colloquialisms")), joined("phrasing.preferred").alias("phrases"),
+        joined("notes.avoid_confirmed_by_choice").alias("confirmed"), F.col("notes.avoid_inferred_from_absence").alias("guessed"),
+        joined(F.transform("contexts", lambda c: c["context"])).alias("contexts"), joined(F.transform("notes.varies_by_context", lambda v: v["dimension"])).alias("varies"),
+    )
 
 
 @query()
@@ -497,7 +588,21 @@ def question_rank(spark, sf_dir):
     return cal.rank_questions(styles(spark), asked(spark), writers(spark))
 
 
-@query()
+def _rounds() -> str:
+    """The ranking of questions, three times, each with the ones before counted as asked."""
+    head = _CALIBRATION[: _CALIBRATION.index("sat as (")]
+    ctes, asked_before = [], "select writer, question_id from a"
+    for i in (1, 2, 3):
+        ctes.append(f"""a{i} as ({asked_before}),
+sat{i} as (select writer, target, sum(decay) as saturation from a{i} join k on a{i}.question_id = k.question_id join dk on dk.position = k.position group by 1, 2),
+p{i} as (select u.*, coalesce(saturation, 0e0) as saturation from u left join sat{i} on sat{i}.writer = u.writer and sat{i}.target = u.dimension),
+q{i} as (select p{i}.writer, k.question_id, {o.rounded('uncertainty * importance * decay / (1e0 + saturation)', 6)} as v from p{i} join k on k.target = p{i}.dimension and k.calibrates join dk on dk.position = k.position),
+best{i} as (select writer, question_id, {o.rounded('sum(v)', 6)} as priority from q{i} where not exists (select 1 from a{i} where a{i}.writer = q{i}.writer and a{i}.question_id = q{i}.question_id) group by 1, 2 qualify row_number() over (partition by writer order by priority desc, question_id) = 1)""")
+        asked_before = f"select * from a{i} union all select writer, question_id from best{i}"
+    return head + ", ".join(ctes) + " " + " union all ".join(f"select writer, {i} as round, question_id, priority from best{i}" for i in (1, 2, 3))
+
+
+@query(_rounds())
 def question_selection(spark, sf_dir):
     return cal.select_questions(styles(spark), asked(spark), writers(spark))
 
@@ -570,7 +675,7 @@ def stream_counts(spark, sf_dir):
     schema = spark.read.parquet(path).schema
     log = spark.readStream.schema(schema).parquet(path + "*").select(F.col("event_type").alias("kind"), F.col("user_id").alias("word_count"))
     name = f"counts_{uuid.uuid4().hex}"
-    run = stream.counts_by_kind(log).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    run = stream.counts_by_kind(log).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{shared_dir(spark)}/idiolect-{name}").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.table(name)
 

@@ -25,10 +25,10 @@ def skipped(spark: SparkSession, paths: list[str]) -> int:
 
 
 def answers(lines: DataFrame, column: str = "value") -> DataFrame:
-    """(question_id, answer) of JSON objects, values as strings. What is not an object is an error."""
+    """lines' other columns and (question_id, answer) of JSON objects, values as strings. What is no object is an error."""
     got = F.from_json(F.col(column), "map<string,string>")
     checked = F.when(got.isNull() | ~tx.strip(F.col(column)).startswith("{"), F.raise_error(F.lit("answers are not a JSON object"))).otherwise(got)
-    return lines.select(F.explode(checked).alias("question_id", "answer"))
+    return lines.select(*(c for c in lines.columns if c != column), F.explode(checked).alias("question_id", "answer"))
 
 
 def metric_dump(analysed: DataFrame, keys: list[str]) -> DataFrame:
