@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from idiolect.llm.common import as_bytes, cut_at, removed, scratch
 
 #: Characters of a chunk, and of the overlap in which two chunks resynchronise.
-CHUNK, OVERLAP = 16_384, 512
+CHUNK, OVERLAP = 32_768, 512
 #: Characters before the end of a chunk in which its boundaries are not relied on.
 MARGIN = 8
 #: A vocabulary file goes to every executor, so its size is checked.
@@ -76,21 +76,21 @@ def parts_of(text: str, chunk: int, overlap: int) -> list[str]:
     return [text[k * chunk : (k + 1) * chunk + overlap] if k < n - 1 else text[k * chunk :] for k in range(n)]
 
 
-def stitched(chunks: Iterable[tuple[int, list[int], list[int], int]], chunk: int) -> Iterator[tuple[int, int, int, int]]:
-    """From (number, bounds) of a text's chunks in order: (number, piece, begin, end) of what each gives to the piece
-    that starts in chunk `piece`; end -1 is the chunk's end."""
+def stitched(chunks: Iterable[tuple[int, list[int], list[int], int]], chunk: int) -> Iterator[tuple[int, int, int, int, bool]]:
+    """From (number, bounds) of a text's chunks in order: (number, piece, begin, end, alone) of what each gives to the
+    piece that starts in chunk `piece`, and whether it is all of it; end -1 is the chunk's end."""
     kept, piece, agreed, tail = None, 0, True, []
     for k, own, shared, settled in chunks:
         at = 0
         if k:
             both = set(own).intersection(tail) if agreed else ()
             at = min(both) if both else settled
-            yield kept[0], piece, kept[1], chunk + max(at, 0)
+            yield kept[0], piece, kept[1], chunk + max(at, 0), piece == kept[0] and at >= 0
         agreed = at >= 0
         piece = k if agreed else piece
         kept, tail = (k, max(at, 0)), shared
     if kept:
-        yield kept[0], piece, kept[1], -1
+        yield kept[0], piece, kept[1], -1, piece == kept[0]
 
 
 def coder(ranks: bytes, pattern: str) -> Coder:
@@ -183,7 +183,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                 for row in stitched((r[1:] for r in own), chunk):
                     yield (uid, *row), 32
 
-        yield from rows_to(batches, [pa.int64()] + [pa.int32()] * 4, ["uid", "k", "piece", "begin", "end"], found)
+        yield from rows_to(batches, [pa.int64()] + [pa.int32()] * 4 + [pa.bool_()], ["uid", "k", "piece", "begin", "end", "alone"], found)
 
     def pieces(batches: Iterator) -> Iterator:
         from itertools import groupby
@@ -230,9 +230,11 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     cuts = cut_at(numbered.mapInArrow(chunks, f"uid long, id {id_kind}, k int, last boolean, text string"), base + "/texts")
     in_order = lambda df, *keys: df.repartition(*keys[:-1]).sortWithinPartitions(*keys)
     marks = cuts.select("uid", "k", "last", "text").mapInArrow(bounds, "uid long, k int, head array<int>, tail array<int>, settled int")
-    places = in_order(marks, "uid", "k").mapInArrow(stitch, "uid long, k int, piece int, begin int, end int")
-    sent = cuts.join(places, ["uid", "k"]).select("uid", "piece", "begin", "end", "text", "k")
-    coded = in_order(sent, "uid", "piece", "k").mapInArrow(pieces, "uid long, piece int, ids binary")
+    places = in_order(marks, "uid", "k").mapInArrow(stitch, "uid long, k int, piece int, begin int, end int, alone boolean")
+    places = cut_at(places, base + "/places")
+    sent = lambda alone: cuts.join(places.where(F.col("alone") == alone), ["uid", "k"]).select("uid", "piece", "begin", "end", "text", "k")
+    kind = "uid long, piece int, ids binary"
+    coded = sent(True).mapInArrow(pieces, kind).unionByName(in_order(sent(False), "uid", "piece", "k").mapInArrow(pieces, kind))  # most pieces are one chunk
     of_long = in_order(coded, "uid", "piece").mapInArrow(digests, result.replace(f"id {id_kind}", "uid long", 1))
     ids = cuts.where("k = 0").select("uid", "id")
     done = cut_at(of_long.join(ids, "uid").select(names), base + "-done")

@@ -31,7 +31,8 @@ def cut_up(own, text, chunk, overlap):
     parts = bpe.parts_of(text, chunk, overlap)
     bounds = ((k, *own.bounds(p, k == len(parts) - 1, chunk, overlap)) for k, p in enumerate(parts))
     pieces = {}
-    for k, piece, a, b in bpe.stitched(bounds, chunk):
+    for k, piece, a, b, alone in bpe.stitched(bounds, chunk):
+        assert not (alone and piece in pieces)
         pieces[piece] = pieces.get(piece, "") + parts[k][a : None if b < 0 else b]
     return [pieces[k] for k in sorted(pieces)]
 
@@ -57,7 +58,7 @@ def test_bpe_chunks_equal_the_whole():
 def test_bpe_cuts_texts_of_every_script():
     own = bpe.coder(bpe.read_ranks(PATH), public_tokenizers.PATTERN)
     chinese = "".join(chr(0x4E00 + i * 37 % 5000) + ("。" if i % 11 == 0 else "") for i in range(300_000))
-    for text, least in ((chinese, 15), ("word, " * 50_000, 15), ("x" * 100_000, 1), ("\n" * 100_000, 1), ("1a!" * 60_000, 8)):
+    for text, least in ((chinese, 8), ("word, " * 50_000, 8), ("x" * 100_000, 1), ("\n" * 100_000, 1), ("1a!" * 60_000, 4)):
         pieces = cut_up(own, text, bpe.CHUNK, bpe.OVERLAP)
         assert len(pieces) >= least and [x for p in pieces for x in own.encode(p)] == own.encode(text)
 
