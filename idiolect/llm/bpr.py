@@ -19,7 +19,7 @@ suffixes would shuffle many times the input, so suffixes are first thinned witho
    interval around it.
 4. Intervals go back to their documents, where they are merged, cut and digested.
 
-Texts are written once to the shared folder, packed and compressed, with the number that names each row, then shuffled
+Texts are written once to the shared folder, with the number that names each row, then packed, compressed and shuffled
 once by document bucket; steps 2 and 4 read the same shuffle. Buckets and the tasks that read them grow with the
 input, so no task's share does. Classes are found by hashes and then compared byte by byte. A long text is looked
 through in blocks; a task holds the bytes of its bucket and some ten bytes for each anchor or interval, not for each byte.
@@ -181,36 +181,13 @@ def texts_of(batches: Iterator, most: int) -> Iterator[tuple]:
         yield uids, ids, raws
 
 
-def stored_texts(batches: Iterator, most: int) -> Iterator[tuple]:
-    """(uids, ids, raw texts) of some rows of stored(), about `most` bytes at once."""
-    import zstandard
-
-    unpack = zstandard.ZstdDecompressor()
-    uids, ids, raws, total = [], [], [], 0
-    for batch in batches:
-        for head, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            new, own, size = unpacked(head)
-            text, at = unpack.decompress(blob), 0
-            for u, i, n in zip(new.tolist(), own.tolist(), size.tolist()):
-                uids.append(u)
-                ids.append(i)
-                raws.append(text[at : at + n])
-                at += n
-            total += at
-            if total >= most:
-                yield uids, ids, raws
-                uids, ids, raws, total = [], [], [], 0
-    if uids:
-        yield uids, ids, raws
-
-
 def asked(n_buckets: int, drop: int, length: int, q: int):
     """Step 1, on the documents' side."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
 
-        for uids, ids, raws in stored_texts(batches, FLUSH_BYTES):
+        for uids, ids, raws in texts_of(batches, FLUSH_BYTES):
             uids, ids = np.array(uids), np.array(ids)
             hashes, owners, places, k = [], [], [], 0
             while k < len(raws):
@@ -599,10 +576,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(4, math.ceil(total / bucket_bytes))
     bits = min(64, math.ceil(math.log2(total + 2)) + 14)  # of a hash: false meetings cost work, not results
-    written = cut(rows.mapInArrow(stored(n), "b int, head binary, texts binary"), "texts")
+    written = cut(rows, "texts", "zstd")
     by_bucket_of = lambda df: df.repartitionById(n, F.col("b")).groupBy("b")  # noqa: E731  # a task for each bucket
-    texts = by_bucket_of(written)
-    shared = by_bucket_of(written.select("head", "texts").mapInArrow(asked(n, 64 - bits, length, q), ROWS)).applyInArrow(answered(n), ROWS)
+    texts = by_bucket_of(written.mapInArrow(stored(n), "b int, head binary, texts binary"))
+    shared = by_bucket_of(written.mapInArrow(asked(n, 64 - bits, length, q), ROWS)).applyInArrow(answered(n), ROWS)
     asks = texts.cogroup(by_bucket_of(shared)).applyInArrow(contexts(n, length, q), ROWS)
     found = by_bucket_of(asks).applyInArrow(covered(n, length, q), ROWS)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text

@@ -35,15 +35,15 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/idiolect-{label}-{uuid.uuid4().hex}"
 
 
-def cut_at(df: DataFrame, path: str) -> DataFrame:
+def cut_at(df: DataFrame, path: str, compression: str = "snappy") -> DataFrame:
     """df, written to path and read back: its lineage ends there."""
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
+def cut(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """df, written to a new path of the shared folder and read back."""
-    return cut_at(df, scratch(df.sparkSession, label))
+    return cut_at(df, scratch(df.sparkSession, label), compression)
 
 
 def free(df: DataFrame, name: str) -> str:
