@@ -5,7 +5,7 @@ Texts are all documents and the fixture texts; writers are the documents' source
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -491,7 +491,7 @@ pr as ({PREFER}), av as ({_avoid()}), tp as (with {TERMS} select * from tops),
 rc as (with {o.base(CORPORA, 'writer')}, {recurring_ctes('writer')} select writer, array_to_string(phrases, '|') as phrases from recurring),
 cx as ({CONTEXT_SCORED} select writer, string_agg(context, '|' order by context) as contexts from f_w where word_count >= 200 group by writer),
 vb as ({SCORED}, v as (select writer, place, dimension, list_min(sample_values) as low, list_max(sample_values) as high, {o.rounded(o.deviation('sample_values'), 1)} as scatter from r where len(sample_values) >= 2)
-  select writer, string_agg(dimension, '|' order by high - low desc, place) as varies from v where high - low >= 30 and scatter >= 15 group by writer),
+  select writer, string_agg(dimension, '|' order by high - low desc, place) as varies, string_agg(low || '-' || high, '|' order by high - low desc, place) as ranges from v where high - low >= 30 and scatter >= 15 group by writer),
 {_CHOSEN},
 wd as (select co.writer, coalesce(against, []) as against, coalesce(pro, []) as pro, string_split(coalesce(nullif(avoid, ''), chr(1)), '|') as guessed, string_split(coalesce(nullif(prefer, ''), chr(1)), '|') as liked
   from co left join av on co.writer = av.writer left join pr on co.writer = pr.writer left join ch on co.writer = ch.writer),
@@ -499,7 +499,7 @@ wl as (select writer, against, list_concat(against, list_filter(guessed, lambda
   list_concat(list_filter(liked, lambda a: a <> chr(1)), list_filter(pro, lambda a: not list_contains(liked, a))) as prefer from wd)
 select co.*, st.* exclude (writer), sample_count, 'voice_' || substr(sha256(co.writer), 1, 12) as profile_id, array_to_string(wl.prefer, '|') as prefer, array_to_string(wl.avoid, '|') as avoid,
   array_to_string(list_filter(wl.avoid, lambda a: list_contains(against, a)), '|') as confirmed, len(list_filter(wl.avoid, lambda a: not list_contains(against, a))) > 0 as guessed,
-  coalesce(technical_terms, '') as technical_terms, coalesce(colloquialisms, '') as colloquialisms, coalesce(phrases, '') as phrases, coalesce(contexts, '') as contexts, coalesce(varies, '') as varies
+  coalesce(technical_terms, '') as technical_terms, coalesce(colloquialisms, '') as colloquialisms, coalesce(phrases, '') as phrases, coalesce(contexts, '') as contexts, coalesce(varies, '') as varies, coalesce(ranges, '') as ranges
 from co join st on co.writer = st.writer join ns on co.writer = ns.writer join wl on co.writer = wl.writer left join tp on co.writer = tp.writer left join rc on co.writer = rc.writer left join cx on co.writer = cx.writer left join vb on co.writer = vb.writer"""
 
 
@@ -516,10 +516,105 @@ def profile_documents(spark, sf_dir):
         *(joined(f"vocabulary.{c}").alias(c) for c in ("prefer", "avoid", "technical_terms", "colloquialisms")), joined("phrasing.preferred").alias("phrases"),
         joined("notes.avoid_confirmed_by_choice").alias("confirmed"), F.col("notes.avoid_inferred_from_absence").alias("guessed"),
         joined(F.transform("contexts", lambda c: c["context"])).alias("contexts"), joined(F.transform("notes.varies_by_context", lambda v: v["dimension"])).alias("varies"),
+        joined(F.transform("notes.varies_by_context", lambda v: F.concat_ws("-", v["low"].cast("string"), v["high"].cast("string")))).alias("ranges"),
     )
 
 
-@query()
+def _list(items: Iterable[str]) -> str:
+    """SQL list of the items that are not null."""
+    return f"list_filter([{', '.join(items)}]::varchar[], lambda x: x is not null)"
+
+
+def _joined(*items: str) -> str:
+    return f"array_to_string({_list(items)}, chr(10))"
+
+
+def _english(x: str) -> str:
+    return f"case len({x}) when 0 then '' when 1 then {x}[1] else array_to_string({x}[:-2], ', ') || ' and ' || {x}[-1] end"
+
+
+def _capital(x: str) -> str:
+    return f"(upper(substr({x}, 1, 1)) || lower(substr({x}, 2)))"
+
+
+def _when(*cases: tuple[str, str], other: str = "null") -> str:
+    return "case " + " ".join(f"when {c} then {x}" for c, x in cases) + f" else {other} end"
+
+
+def _marked(band: str) -> str:
+    return _list(_when((f"band_{k} = '{band}'", fx.quoted(render.MARK_NAMES[k]))) for k in sorted(profile.PROFILE_MARKS))
+
+
+def _phrase(d: str) -> str:
+    return _when(*((f"value_{d} <= {high}", fx.quoted(x)) for high, x in zip((20, 40, 60, 80, 100), render.PHRASES[d])))
+
+
+def _some(x: str, text: str) -> str:
+    return _when((f"len({x}) > 0", text))
+
+
+def _rendered() -> str:
+    """Every profile's texts, from the columns of PROFILES."""
+    q, say, split = fx.quoted, render.SAY, lambda c: f"case when {c} = '' then []::varchar[] else string_split({c}, '|') end"
+    words = "round_even(average_sentence_length, 0)::integer"
+    style = _list(_when((f"confidence_{n} >= 0.45", _phrase(n))) for n in scoring.NAMES)
+    unsure = _list(_when((f"confidence_{n} < 0.45", q(n))) for n in sorted(scoring.NAMES))
+    lists = f"""select writer, {style} as sure, {unsure} as unsure, {_marked('never')} as never, {_marked('frequent')} as often,
+{', '.join(f"{split(c)} as {c}" for c in ('prefer', 'avoid', 'confirmed', 'technical_terms', 'phrases', 'varies', 'ranges'))},
+{_list([
+    _when(("contraction_preference >= 0.5", q(say["contracts"])), ("contraction_preference <= 0.15", q(say["rarely"]))),
+    _when(("average_sentence_length <> 0", f"'your sentences average about ' || {words} || ' words ' || " + _when(("sentence_length_variance >= 60", "'and vary their length a lot'"), ("sentence_length_variance <= 20", "'and keep them fairly even in length'"), other="'with some variation in length'"))),
+    "'your paragraphs are ' || paragraph_length", _when(("bullet_preference = 'high'", q(say["bullets"]))),
+])} as detail, p.* exclude (writer, prefer, avoid, confirmed, technical_terms, phrases, varies, ranges) from p"""
+    hint = "'  - ' || w || case when list_contains(confirmed, w) then '' else '  ?' end"
+    summary = _joined(
+        _when(("len(sure) > 0", f"'You''re ' || {_english('sure[:3]')} || '.'"), other=q(say["nothing"].format(tool=render.TOOL))),
+        _when(("len(sure) > 0 and len(detail) > 0", f"rtrim({_capital(f'({_english("detail")})')}, '.') || '.'")),
+        _when(("len(sure) > 0 and len(never) > 0", f"'You never use: ' || {_english('never')} || '.'")),
+        _some("unsure", f"'Not yet confident about: ' || {_english('unsure')} || {q(say['unsure'])}"),
+        _some("prefer", f"{q(chr(10) + 'Prefer' + chr(10))} || array_to_string(list_transform(prefer, lambda w: '  - ' || w), chr(10))"),
+        _some("avoid", f"{q(chr(10) + 'Avoid' + chr(10))} || array_to_string(list_transform(avoid, lambda w: {hint}), chr(10)) || " + _when(("guessed", q(chr(10) + say["guess"])), other="''")),
+    )
+    listed = lambda before, x, items: _some(x, f"{q(before)} || array_to_string({items}, ', ') || '.'")
+    chosen, hinted = "list_filter(avoid, lambda w: list_contains(confirmed, w))", "list_filter(avoid, lambda w: not list_contains(confirmed, w))"
+    instructions = _joined(
+        q(say["voice"]), "''",
+        _when(("len(sure) = 0", q(say["unknown"])), other=f"array_to_string(list_transform(sure, lambda x: '- ' || {_capital('x')} || '.'), chr(10))"),
+        _when(("average_sentence_length <> 0", f"'- Sentences average around ' || {words} || ' words. ' || " + _when(("sentence_length_variance >= 60", "'Vary their length noticeably.'"), other="'Keep their length fairly even.'"))),
+        _when(("contraction_preference >= 0.5", "'- Use contractions naturally.'"), ("contraction_preference <= 0.15", "'- Avoid contractions.'")),
+        _when(("fragment_preference >= 0.1", "'- Occasional sentence fragments are in character.'")),
+        _when(("passive_preference <= 0.1", "'- Prefer active voice.'")),
+        "'- Keep paragraphs ' || paragraph_length || '.'",
+        _when(("bullet_preference = 'high'", "'- Bullet points are welcome.'"), ("bullet_preference = 'low'", "'- Prefer prose over bullet points.'")),
+        _when(("heading_preference = 'low'", "'- Use few or no headings.'")),
+        _some("never", f"'- Do not use: ' || {_english('never')} || '.'"),
+        _some("often", f"'- They use ' || {_english('often')} || ' freely.'"),
+        listed("- Vocabulary they reach for: ", "prefer", "prefer"),
+        listed("- Turns of phrase they use: ", "phrases", "phrases"),
+        listed("- They chose against these words when asked directly, so never use them: ", chosen, chosen),
+        listed("- Words absent from their writing, so probably avoid: ", hinted, hinted),
+        listed("- Domain vocabulary they use without explaining: ", "technical_terms", "technical_terms[:8]"),
+        *map(q, render.CONSTRAINTS),
+    )
+    bars = [f"'  ' || rpad({q(n.capitalize())}, 18, ' ') || ' ' || lpad(value_{n}::varchar, 3, ' ') || '  ' || repeat('█', round_even(value_{n} / 100e0 * 10, 0)::integer) || repeat('░', 10 - round_even(value_{n} / 100e0 * 10, 0)::integer) || '  conf ' || printf('%.2f', confidence_{n}::double) || case when confidence_{n} >= 0.7 then '  ' when confidence_{n} >= 0.45 then ' ?' else ' ??' end" for n in scoring.NAMES]
+    variation = _some("varies", "chr(10) || " + _joined(
+        "'  You write very differently in different places'",
+        f"array_to_string(list_transform(varies[:3], lambda x, i: '    ' || rpad({_capital('x')}, 18, ' ') || ' ' || ranges[i] || ' across samples'), chr(10))",
+        _some("varies[4:]", "'    and ' || len(varies[4:]) || ' more: ' || array_to_string(varies[4:], ', ')"),
+        "'  That is context, not error -- but the single value above is an average of both.'",
+        _when(("contexts = ''", f"'  Split them with: {render.TOOL} analyse FILE --save --context work'")),
+    ))
+    report = _joined(
+        q("Your Voice Profile\n"), *bars, "chr(10) || '  Samples analysed: ' || sample_count", "'  Words analysed:   ' || format('{:,}', word_count)",
+        _when((" or ".join(f"confidence_{n} < 0.7" for n in scoring.NAMES), q("\n  ? low confidence   ?? not yet established"))), variation, "chr(10) || summary",
+    )
+    start, end = render.markers()
+    head = f"{start}\n<!-- Generated by {render.TOOL}. Anything between these markers is\n     replaced on the next run. Refresh: {render.refresh_command('AGENTS.md')} -->\n\n## Writing voice\n\n{render.SCOPE}\n\n"
+    return f"""with p as ({PROFILES}), l as ({lists}), t as (select *, {summary} as summary, {instructions} as instructions from l)
+select writer, summary, instructions, {report} as report, {q(head)} || instructions || {q(chr(10) + end)} as block from t"""
+
+
+@query(_rendered())
 def rendered_profiles(spark, sf_dir):
     p = profile.build(samples(spark, sf_dir), fx.frame(spark, fx.VERDICTS, "writer string, seq long, formal string, plain string, chosen string"))
     return p.select("writer", render.summary().alias("summary"), render.instructions().alias("instructions"), render.report().alias("report"), render.block(render.instructions()).alias("block"))
