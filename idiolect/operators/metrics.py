@@ -152,7 +152,8 @@ def with_mtld(df: DataFrame, norm: str = "norm", to: str = "vocabulary_diversity
 
 
 def mtld_expression(tokens: Column, threshold: float = MTLD_THRESHOLD) -> Column:
-    """The same as a fold in SQL functions, for where Python is not wanted."""
+    """The same as a fold in SQL functions, for where Python is not wanted. The words of a factor are a list that each word
+    is looked up in, so the work grows with the square of a factor's length; with_mtld() has no such cost."""
     zero = F.struct(F.lit(0.0).alias("factors"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("seen"))
 
     def step(acc: Column, t: Column) -> Column:

@@ -183,10 +183,10 @@ def mtld(spark, sf_dir):
     return m.with_mtld(tx.normalised(texts(spark, sf_dir))).select("doc_id", "vocabulary_diversity")
 
 
-@query(f"with {o.base('select * from ' + fx.values([(fx.BASE_ID + i, t) for i, t in enumerate(fx.TEXTS)], 'doc_id, text'))}, {o.mtld('b', 'doc_id')} select doc_id, vocabulary_diversity from mt")
+@query(ORACLE_SQL["mtld"])
 def mtld_in_sql(spark, sf_dir):
-    own = fx.frame(spark, [(fx.BASE_ID + i, t) for i, t in enumerate(fx.TEXTS)], "doc_id long, text string")
-    return tx.normalised(own).select("doc_id", m.mtld_expression(tx.tokens(F.col("norm"))).alias("vocabulary_diversity"))
+    """mtld without Python, over the same texts."""
+    return tx.normalised(texts(spark, sf_dir)).select("doc_id", m.mtld_expression(tx.tokens(F.col("norm"))).alias("vocabulary_diversity"))
 
 
 def _bands() -> str:

@@ -59,11 +59,3 @@ def test_no_corpus_is_brought_together(spark):
         plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         collected = re.findall(r"collect_list\([^)]*\)", plan)
         assert not [c for c in collected if "text#" in c or "norm#" in c], name
-
-
-def test_mtld_in_sql_over_whole_tables(spark):
-    """The SQL-function fold equals the Arrow pass on all documents, not on the fixture texts alone."""
-    rows = tx.normalised(queries.texts(spark, "/root/testdata/sf0.001"))
-    folded = rows.select("doc_id", metrics.mtld_expression(tx.tokens(F.col("norm"))).alias("folded"))
-    both = folded.join(queries.mtld(spark, "/root/testdata/sf0.001"), "doc_id").where("folded <> vocabulary_diversity or folded is null or vocabulary_diversity is null")
-    assert folded.count() > len(fx.TEXTS) and both.count() == 0
