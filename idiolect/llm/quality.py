@@ -7,6 +7,8 @@ next comes the rule with the most rejections, among the sampled documents that t
 second of what it costs there: its own test and the measures that no rule before it has made. A document stops at the
 first rule that rejects it, and measures that only later rules need are never made for it. The order changes the cost
 alone: a text is kept if no rule rejects it, whatever the order; rules that tie come in the order in which they are listed.
+Of a table of more splits than SAMPLE_FILES the sample is drawn from that many files, as reading every text twice would
+cost more than the order saves.
 
 Defined cases: null text counts as empty: no words, so the first base rule rejects it. Repeated rows are judged alike. An
 empty table gives no rows. Texts are judged whole, however long, in memory of some times their length. Other columns are
@@ -21,6 +23,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +31,8 @@ from idiolect.llm.common import as_bytes
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
-#: Rows of the sample on which cost and selectivity are estimated.
-SAMPLE_ROWS = 2_000
+#: Rows of the sample on which cost and selectivity are estimated, and how many files of a large table it is drawn from.
+SAMPLE_ROWS, SAMPLE_FILES = 2_000, 64
 _CONTINUATION = bytes(range(0x80, 0xC0))
 _BLANKS = b" \t\n\r\x0b\x0c"
 _UPPER = bytes(range(65, 91))
@@ -154,11 +157,29 @@ RULES = BASE + VERDICT
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def estimate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", sample_rows: int = SAMPLE_ROWS, seed: int = 42) -> tuple[dict[int, int], list[float], dict[str, float]]:
+def some_files(docs: DataFrame, share: float) -> DataFrame:
+    """docs' rows from about this share of its files, drawn by their paths, so that the others are not read; all rows
+    where docs is no table of files."""
+    try:
+        path = F.col("_metadata.file_path")
+        docs.select(path)
+    except AnalysisException:
+        return docs
+    return docs.where(F.pmod(F.xxhash64(path), F.lit(1 << 20)) < int(share * (1 << 20)))
+
+
+def samples(docs: DataFrame, text_col: str, sample_rows: int, files: int, seed: int) -> Iterator[DataFrame]:
+    """About sample_rows texts of about `files` files; then, if that had none, of the whole table."""
+    n, parts = max(1, docs.count()), docs.rdd.getNumPartitions()
+    for of_files in (files / parts, 1.0) if parts > files else (1.0,):
+        drawn = docs if of_files == 1.0 else some_files(docs, of_files)
+        share = min(1.0, sample_rows / (n * of_files))
+        yield drawn.select(text_col) if share == 1.0 else drawn.select(text_col).sample(share, seed)
+
+
+def estimate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", sample_rows: int = SAMPLE_ROWS, seed: int = 42, files: int = SAMPLE_FILES) -> tuple[dict[int, int], list[float], dict[str, float]]:
     """Documents of the sample by mask of the rules that reject them, each rule's own seconds a document, and each
     measure's."""
-    share = min(1.0, sample_rows / max(1, docs.count()))
-    sample = docs.select(text_col) if share == 1.0 else docs.select(text_col).sample(share, seed)
     wanted = set().union(*(rule.measures() for rule in rules))
     made = [m for m in BUILT_ON if m in wanted]
     columns = ["n", *(f"rule_{i}" for i in range(len(rules))), *made]
@@ -183,8 +204,10 @@ def estimate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "
         rows = sorted(masks)
         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), *(pa.array([masks[m][k] for m in rows], pa.float64()) for k in range(len(columns)))], names=["mask", *columns])
 
-    summed = sample.mapInArrow(run, "mask long, " + ", ".join(f"{c} double" for c in columns)).groupBy("mask").agg(*(F.sum(c).alias(c) for c in columns))
-    found = summed.collect()  # at most 2 ** len(rules) rows
+    found: list = []
+    for sample in samples(docs, text_col, sample_rows, files, seed):
+        summed = sample.mapInArrow(run, "mask long, " + ", ".join(f"{c} double" for c in columns)).groupBy("mask").agg(*(F.sum(c).alias(c) for c in columns))
+        found = found or summed.collect()  # at most 2 ** len(rules) rows
     n = max(1.0, sum(r["n"] for r in found))
     mean = lambda c: sum(r[c] for r in found) / n
     return {r["mask"]: int(r["n"]) for r in found}, [mean(f"rule_{i}") for i in range(len(rules))], {m: mean(m) for m in made}

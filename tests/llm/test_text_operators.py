@@ -110,6 +110,24 @@ def test_quality_measures_and_cascade(spark):
     assert quality.keep(rows(spark, [])).count() == 0
 
 
+def test_quality_sample_reads_some_files(spark, tmp_path):
+    texts = [*TEXTS[:5], "x " * 60, "words that are all fine here and go on for long enough to stay"] * 8
+    path = str(tmp_path / "docs")
+    rows(spark, texts).repartition(16).write.parquet(path)
+    docs = spark.read.parquet(path)
+    few = quality.some_files(docs, 0.3)
+    assert 0 < few.select(F.input_file_name()).distinct().count() < 16
+    plain = rows(spark, texts)
+    assert quality.some_files(plain, 0.3).count() == len(texts)  # no table of files
+    n = sum(quality.estimate(docs, files=2)[0].values())
+    assert 0 < n <= len(texts)
+    none = quality.estimate(docs, files=1e-9)[0]  # no file is drawn: the whole table is sampled
+    assert sum(none.values()) > 0
+    assert quality.estimate(docs.limit(0))[0] == {}
+    want = sorted(map(str, quality.keep(plain).collect()))
+    assert sorted(map(str, quality.keep(docs).collect())) == want
+
+
 def test_quality_order_is_rejections_per_marginal_cost():
     rules = tuple(quality.Rule(str(i), bool, needs) for i, needs in enumerate(((), (), ())))
     # rule 1 rejects most for its cost; among what it leaves, rule 0 rejects nothing more, rule 2 does
