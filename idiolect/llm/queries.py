@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from idiolect.llm import bpe, bpr, chat, classifier, decontam, pii, quality, secrets, simhash, warc
+from idiolect.llm import audit, bpe, bpr, chat, classifier, decontam, language, pii, quality, rolling, secrets, simhash, warc
 from idiolect.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -57,5 +57,17 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(table(spark, sf_dir, "documents"), secrets.train(secrets.bundled(spark)))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_chat_rotation, op3_pii, op4_simhash, op5_warc, op6_suffix_dedup, op7_byte_bpe, op8_decontamination, op9_quality_classifier, op10_secrets)}
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": quality.ORACLE, "op2_chat_rotation": chat.ORACLE, "op5_warc": warc.ORACLE, "op6_suffix_dedup": bpr.ORACLE}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_rolling_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rolling.medians(table(spark, sf_dir, "clicks"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_chat_rotation, op3_pii, op4_simhash, op5_warc, op6_suffix_dedup, op7_byte_bpe, op8_decontamination, op9_quality_classifier, op10_secrets, op11_filter_audit, op12_rolling_median, op13_language_id)}
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": quality.ORACLE, "op2_chat_rotation": chat.ORACLE, "op5_warc": warc.ORACLE, "op6_suffix_dedup": bpr.ORACLE, "op11_filter_audit": audit.ORACLE, "op12_rolling_median": rolling.ORACLE}
