@@ -31,6 +31,8 @@ MASKS = 1 << len(FILTERS)
 COPY = 1 << FILTERS.index("E")
 #: Bytes of text that a map task's chains may hold.
 HELD = 32 << 20
+#: Bytes of all texts for each route that fingerprints are dealt to, if the session has no more partitions anyway.
+ROUTE = 64 << 20
 _CONTINUATION = bytes(range(0x80, 0xC0))
 _UPPER = bytes(range(65, 91))
 _MARKS = b"#$%&*|"
@@ -107,7 +109,8 @@ def marked(rows: Iterator) -> Iterator:
 def masks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "source") -> RDD:
     """(id, part, mask) of every row."""
     rows = docs.select(id_col, part_col, F.col(text_col).cast("binary")).rdd
-    n = max(rows.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    n = max(-(-size // ROUTE), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return rows.mapPartitions(routed).repartitionAndSortWithinPartitions(n, lambda key: key[0], keyfunc=lambda key: key).mapPartitions(marked)
 
 
