@@ -15,6 +15,7 @@ from idiolect.functions import text as tx
 from idiolect.functions.numbers import rounded, rate, ratio
 from idiolect.operators import metrics, schema, scoring, spanning, vocabulary
 from idiolect.operators.features import FEATURES, analyse
+from idiolect.operators.keys import joined
 from idiolect.sources.scratch import cut
 
 VERSION, GENERATOR = "1.0", "idiolect"
@@ -43,23 +44,31 @@ def prepared(samples: DataFrame, words: lex.Lexicons = lex.DEFAULT) -> DataFrame
     return cut(analysed.select(*kept, "text", "norm", "tokens", "sentence_lengths", *COUNTS, *MARKS, *TOTALS, *FEATURES), "analysed")
 
 
-def crossing(analysed: DataFrame, keys: list[str], words: lex.Lexicons = lex.DEFAULT) -> list[DataFrame]:
+def grouped(analysed: DataFrame) -> DataFrame:
+    """Each sample in its writer's group (level 0, no context) and, if it is labelled, in its context's (level 1)."""
+    own = F.struct(F.lit(0).alias("level"), F.lit(None).cast("string").alias("context"))
+    labelled = F.when(F.col("context").isNotNull(), F.struct(F.lit(1).alias("level"), F.col("context").alias("context")))
+    return analysed.select("writer", F.inline(F.array_compact(F.array(own, labelled))), *(c for c in analysed.columns if c not in ("writer", "context")))
+
+
+def crossing(analysed: DataFrame, keys: list[str], words: lex.Lexicons = lex.DEFAULT, edges: DataFrame | None = None) -> list[DataFrame]:
     """Counts of what spans samples, a row a group and frame: to be added to the sums over the samples."""
     rows = analysed.select(*keys, "seq", "text", "norm", "tokens")
+    edges = spanning.edges(rows, keys) if edges is None else edges
     lower = F.col("lower")
     phrases = {"hedge": words.hedge_phrases, "buzzword": words.buzz_phrases, "colloquial": words.colloquial_phrases}
     counts = {"passive": F.regexp_count("norm", F.lit(metrics.PASSIVE)).cast("long")} | {k: metrics.phrases_in(lower, p) for k, p in phrases.items()}
-    edges = spanning.text_edges(rows, keys).withColumn("lower", F.lower("norm"))
-    pairs = spanning.token_edges(rows, keys)
+    texts = spanning.text_edges(edges, keys).withColumn("lower", F.lower("norm"))
+    pairs = spanning.token_edges(edges, keys)
     return [
-        edges.groupBy(*keys).agg(*(F.sum(F.col("sign") * c).alias(f"{k}_count") for k, c in counts.items())),
+        texts.groupBy(*keys).agg(*(F.sum(F.col("sign") * c).alias(f"{k}_count") for k, c in counts.items())),
         pairs.groupBy(*keys).agg(F.sum(F.col("sign") * metrics.contraction_chances(F.col("tokens"))).alias("contraction_chances")),
-        spanning.code_terms(rows, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("technical_count")),
+        spanning.code_terms(rows, edges, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("technical_count")),
         spanning.diversity(rows, keys),
     ]
 
 
-def corpus_metrics(analysed: DataFrame, keys: list[str], words: lex.Lexicons = lex.DEFAULT) -> DataFrame:
+def corpus_metrics(analysed: DataFrame, keys: list[str], words: lex.Lexicons = lex.DEFAULT, edges: DataFrame | None = None) -> DataFrame:
     """(keys, CORPUS): sums of the samples' counts, and what spans samples. analysed: prepared samples with keys and seq."""
     lengths = F.col("sentence_lengths")
     sums = [F.sum(c).alias(c) for c in (*COUNTS, *MARKS, *TOTALS)]
@@ -70,9 +79,9 @@ def corpus_metrics(analysed: DataFrame, keys: list[str], words: lex.Lexicons = l
     ]
     s = analysed.withColumn("technical_count", F.col("technical_count") - F.size(metrics.code_shapes(F.col("norm")))).groupBy(*keys).agg(*sums)
     summed = [c for c in s.columns if c not in keys]
-    for more in crossing(analysed, keys, words):
+    for more in crossing(analysed, keys, words, edges):
         s = s.unionByName(more, allowMissingColumns=True)
-    s = s.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in summed), F.max("vocabulary_diversity").alias("vocabulary_diversity"))
+    s = s.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in summed), F.coalesce(F.max("vocabulary_diversity"), F.lit(0.0)).alias("vocabulary_diversity"))
     whole = lambda c: F.col(c).cast("decimal(19,0)")
     v = F.when(F.col("sentence_count") >= 2, (whole("sentence_count") * whole("__q") - whole("__s") * whole("__s")).cast("double") / (whole("sentence_count") * whole("sentence_count")).cast("double")).otherwise(0.0)
     n_words = F.col("word_count")
@@ -93,16 +102,19 @@ def corpus_metrics(analysed: DataFrame, keys: list[str], words: lex.Lexicons = l
 CORPUS = ("sample_count", "word_count", "sentence_count", "paragraph_count", "heading_count", "bullet_count", "contraction_preference", *(f"band_{m}" for m in metrics.MARKS), *FEATURES)
 
 
-def scored(analysed: DataFrame, keys: list[str], words: lex.Lexicons = lex.DEFAULT) -> tuple[DataFrame, DataFrame]:
+def scored(analysed: DataFrame, keys: list[str], words: lex.Lexicons = lex.DEFAULT, edges: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(corpus metrics, scoring results) of the groups of prepared samples: the one function for writers and for contexts."""
-    corpus = cut(corpus_metrics(analysed, keys, words), "corpus")  # a row a group, read by all that follows
-    spread = cut(scoring.sample_spread(analysed.select(*keys, "seq", "word_count", *FEATURES), keys, ["seq"]), "spread")
-    return corpus, scoring.results(corpus.select(*keys, "word_count", *FEATURES), spread, keys)
+    corpus = cut(corpus_metrics(analysed, keys, words, edges), "corpus")  # a row a group, read by all that follows
+    spread = scoring.sample_spread(analysed.select(*keys, "word_count", *FEATURES), keys)
+    return corpus, cut(scoring.results(corpus.select(*keys, "word_count", *FEATURES), spread, keys), "results")
 
 
 def score_groups(samples: DataFrame, keys: list[str], words: lex.Lexicons = lex.DEFAULT) -> tuple[DataFrame, DataFrame]:
-    """scored() of samples (keys, seq, text)."""
-    return scored(prepared(samples.select(*keys, "seq", "text"), words), keys, words)
+    """scored() of samples (keys, seq, text), with each dimension's sample values."""
+    analysed = prepared(samples.select(*keys, "seq", "text"), words)
+    corpus, results = scored(analysed, keys, words)
+    values = scoring.sample_values(analysed.select(*keys, "seq", "word_count", *FEATURES), keys, ["seq"])
+    return corpus, scoring.with_values(results, values, keys, ["seq"])
 
 
 def style(results: DataFrame, keys: list[str]) -> DataFrame:
@@ -111,18 +123,17 @@ def style(results: DataFrame, keys: list[str]) -> DataFrame:
     return results.groupBy(*keys).agg(rows.alias("style"))
 
 
-def contexts_of(analysed: DataFrame, words: lex.Lexicons = lex.DEFAULT) -> DataFrame:
-    """(writer, context, style, sample_count, word_count) of labelled contexts with 200 words or more, of prepared samples."""
+def contexts_of(corpus: DataFrame, results: DataFrame) -> DataFrame:
+    """(writer, context, style, sample_count, word_count) of the contexts with 200 words or more among scored groups."""
     keys = ["writer", "context"]
-    corpus, results = scored(analysed.where("context is not null"), keys, words)
     enough = corpus.where(F.col("word_count") >= CONTEXT_WORDS).select(*keys, "sample_count", "word_count")
-    return enough.join(style(results, keys), keys)
+    return joined(enough, style(results, keys), keys)
 
 
 def context_profiles(samples: DataFrame, words: lex.Lexicons = lex.DEFAULT) -> DataFrame:
     """contexts_of() samples (writer, seq, context, text)."""
     labelled = usable(samples).where("context is not null").select("writer", "context", "seq", "text")
-    return contexts_of(prepared(labelled, words), words)
+    return contexts_of(*scored(prepared(labelled, words), ["writer", "context"], words))
 
 
 def band(x: Column, bands: tuple[tuple[float, str], ...], top: str) -> Column:
@@ -159,20 +170,25 @@ def merged_prefer(prefer: Column, chosen_for: Column) -> Column:
 
 def build(samples: DataFrame, verdicts: DataFrame | None = None, created_at: str = "1970-01-01T00:00:00+00:00", updated_at: str | None = None, words: lex.Lexicons = lex.DEFAULT) -> DataFrame:
     """One profile a writer. Times are parameters, so that equal input gives equal output; profile_id is a digest of
-    the writer."""
-    keys = ["writer"]
+    the writer; a writer that is null is one of them, and has the digest of an empty name."""
+    keys, group = ["writer"], ["writer", "level", "context"]
     analysed = prepared(usable(samples).select("writer", "seq", "context", "text"), words)
-    corpus, results = scored(analysed, keys, words)
+    every = grouped(analysed)
+    edges = spanning.edges(every.select(*group, "seq", "text", "norm", "tokens"), group)
+    corpora, scores = scored(every, group, words, edges)
+    at = lambda df, level: df.where(F.col("level") == level).drop("level")
+    corpus, results = at(corpora, 0).drop("context"), at(scores, 0).drop("context")
+    own = at(edges, 0).drop("context")
     lists_of = analysed.select("writer", "seq", "text", "norm", "tokens", F.lower("norm").alias("lower"))
-    counted = vocabulary.terms(lists_of, keys, words, "seq")
+    counted = cut(vocabulary.terms(lists_of, keys, words, "seq", own), "terms")
     tops = vocabulary.top_lists(counted, keys).select("writer", "technical_terms", "colloquialisms")
-    out = corpus.join(style(results, keys), keys).join(tops, keys, "left").join(vocabulary.prefer(counted, keys), keys, "left")
-    out = out.join(vocabulary.avoid(lists_of, keys, words), keys, "left").join(vocabulary.recurring_phrases(lists_of, keys, words, "seq"), keys, "left")
     varied = scoring.contradictions(results, keys).groupBy("writer").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "dimension", "low", "high", "scatter"))), lambda x: F.struct(x["dimension"].alias("dimension"), x["low"].alias("low"), x["high"].alias("high"), x["scatter"].alias("scatter"))).alias("varies"))
-    contexts = contexts_of(analysed, words).groupBy("writer").agg(F.array_sort(F.collect_list(F.struct("context", "style", F.struct("sample_count", "word_count").alias("metadata")))).alias("contexts"))
-    out = out.join(varied, keys, "left").join(contexts, keys, "left")
+    contexts = contexts_of(at(corpora, 1), at(scores, 1)).groupBy("writer").agg(F.array_sort(F.collect_list(F.struct("context", "style", F.struct("sample_count", "word_count").alias("metadata")))).alias("contexts"))
+    out = joined(corpus, style(results, keys), keys)
+    for part in (tops, vocabulary.prefer(counted, keys), vocabulary.avoid(lists_of, keys, words), vocabulary.recurring_phrases(lists_of, keys, words, "seq", edges=own), varied, contexts):
+        out = joined(out, part, keys, "left")
     if verdicts is not None:
-        out = out.join(chosen_words(verdicts), keys, "left")
+        out = joined(out, chosen_words(verdicts), keys, "left")
     else:
         out = out.withColumns({"against": F.lit(None).cast("array<string>"), "chosen_for": F.lit(None).cast("array<string>")})
     none = F.array().cast("array<string>")
@@ -186,7 +202,7 @@ def build(samples: DataFrame, verdicts: DataFrame | None = None, created_at: str
     return out.select(
         "writer",
         F.lit(VERSION).alias("version"),
-        F.concat(F.lit("voice_"), F.substring(F.sha2(F.col("writer").cast("string"), 256), 1, 12)).alias("profile_id"),
+        F.concat(F.lit("voice_"), F.substring(F.sha2(F.coalesce(F.col("writer").cast("string"), F.lit("")), 256), 1, 12)).alias("profile_id"),
         "style",
         F.struct(F.col("avg_sentence_length").alias("average_sentence_length"), "sentence_length_variance", F.col("avg_paragraph_length").alias("average_paragraph_length"), "contraction_preference", share("fragment_rate").alias("fragment_preference"), share("question_rate").alias("question_preference"), share("passive_rate").alias("passive_preference"), "vocabulary_diversity").alias("syntax"),
         F.create_map(*(x for m in PROFILE_MARKS for x in (F.lit(m), F.col(f"band_{m}")))).alias("punctuation"),

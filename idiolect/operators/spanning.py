@@ -1,10 +1,20 @@
-"""What a corpus has beyond the sum of its samples, without ever being one text.
+"""What a corpus has beyond the sum of its samples, without ever being one text or one task.
 
 A corpus is a group's samples in order with a blank line between. Tokens, marks, sentences, paragraphs and lines never
 cross a blank line, so their counts add up. What can cross is added here: neighbouring words and runs of words, phrases
 and passives (edges of the samples, with counts of either sign), code between backticks (distinct in the corpus), and
-lexical diversity, which is a pass over the ordered samples that carries its state. A group's samples may pass one
-task, a row at a time; none of them are brought together, but for the text of a code span itself.
+lexical diversity.
+
+Order comes from ranges. `edges` deals what is narrow of the samples out by range of (group, order), so a writer of any size
+is spread over many ranges; neighbours meet within a range first, and ranges meet through their summaries, a row a range and
+group. Samples that share their place in the order come by their first characters, then by their digest: no text is a sort key.
+
+Lexical diversity is a pass over all words that carries its state. It is run speculatively: every piece of words is scanned
+from an empty state and keeps where the state is emptied again (a factor ends). A piece is then scanned again from the state
+that its neighbour ends in, until both scans empty their state at the same word; from there on they agree. Pieces whose
+neighbour turns out to end otherwise are scanned once more, until nothing changes; by induction from the first piece on,
+the result is that of one pass. Two rounds are usual: only words that hardly ever repeat, so that no factor ends within
+PIECE words, take a round for each such piece, and their state is all of these words.
 """
 
 from __future__ import annotations
@@ -17,6 +27,8 @@ from pyspark.sql import functions as F
 from idiolect.functions import text as tx
 from idiolect.functions.numbers import rounded
 from idiolect.operators import metrics
+from idiolect.operators.keys import joined
+from idiolect.sources.scratch import cut
 
 SEPARATOR = "\n\n"
 #: Runs of non-blanks beside a boundary in which a crossing phrase or passive is looked for; the longest phrase has
@@ -24,10 +36,10 @@ SEPARATOR = "\n\n"
 RUNS = 12
 #: Tokens beside a boundary: one less than those of the longest counted run of words.
 GRAM = 3
-
-
-def in_order(keys: list[str], order: str) -> Window:
-    return Window.partitionBy(*keys).orderBy(order, "text")
+#: Characters by which samples of one place in the order are sorted, before their digests.
+LEAD = 64
+#: Words of a piece of the diversity scan.
+PIECE = 65_536
 
 
 def first_runs(x: Column) -> Column:
@@ -38,111 +50,250 @@ def last_runs(x: Column) -> Column:
     return F.reverse(first_runs(F.reverse(x)))
 
 
-def text_edges(rows: DataFrame, keys: list[str], order: str = "seq") -> DataFrame:
-    """(keys, sign, norm): texts whose counts of phrases and passives, times sign, are those that cross samples.
-    rows: keys, order, text, norm."""
-    own = rows.select(*keys, order, "text", first_runs(F.col("norm")).alias("head"), last_runs(F.col("norm")).alias("tail")).where("head <> ''")
-    before = F.array_join(F.collect_list("tail").over(in_order(keys, order).rowsBetween(-RUNS, -1)), SEPARATOR)
-    both = own.withColumn("carry", last_runs(before)).where("carry <> ''")
-    row = lambda sign, x: F.struct(F.lit(sign).cast("long").alias("sign"), x.alias("norm"))
-    return both.select(*keys, F.inline(F.array(row(1, F.concat("carry", F.lit(SEPARATOR), "head")), row(-1, F.col("carry")), row(-1, F.col("head")))))
-
+def last_of(xs: Column, n: int) -> Column:
+    return F.slice(xs, F.greatest(F.size(xs) - n + 1, F.lit(1)), F.lit(n))
 
-def token_edges(rows: DataFrame, keys: list[str], order: str = "seq") -> DataFrame:
-    """(keys, sign, tokens): the same for runs of up to GRAM + 1 words. rows: keys, order, text, tokens."""
-    last = lambda x: F.slice(x, F.greatest(F.size(x) - GRAM + 1, F.lit(1)), F.lit(GRAM))
-    own = rows.where(F.size("tokens") > 0).select(*keys, order, "text", F.slice("tokens", 1, GRAM).alias("head"), last(F.col("tokens")).alias("tail"))
-    both = own.withColumn("carry", last(F.flatten(F.collect_list("tail").over(in_order(keys, order).rowsBetween(-GRAM, -1))))).where(F.size("carry") > 0)
-    row = lambda sign, x: F.struct(F.lit(sign).cast("long").alias("sign"), x.alias("tokens"))
-    return both.select(*keys, F.inline(F.array(row(1, F.concat("carry", "head")), row(-1, F.col("carry")), row(-1, F.col("head")))))
 
+def digest() -> Column:
+    return F.sha2("text", 256)
 
-def code_terms(rows: DataFrame, keys: list[str], order: str = "seq") -> DataFrame:
-    """(keys, term): a corpus' distinct code shapes, lower-cased. rows: keys, order, text, norm.
 
-    A backtick opens a span if another follows, but not at once: a single one opens or closes, and after several in
-    a row a span is open. So the state at the start of a sample follows from running sums, and a span from one sample
-    into another is put together from the pieces of those that it crosses. A CR at the end of a sample makes one line
-    end with the blank line after it."""
+def before_blank_line() -> Column:
+    """norm as it is before a blank line: a CR at its end makes one line end with it."""
     ends_in_cr = F.translate("text", "\ufeff", "").endswith("\r")
-    rows = rows.withColumn("norm", F.when(ends_in_cr, F.substr("norm", F.lit(1), F.length("norm") - 1)).otherwise(F.col("norm")))
+    return F.when(ends_in_cr, F.substr("norm", F.lit(1), F.length("norm") - 1)).otherwise(F.col("norm"))
+
+
+def in_ranges(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """rows (keys, order, lead, digest and more), dealt out by range of them and sorted."""
+    by = [*keys, order, "lead", "digest"]
+    return rows.repartitionByRange(*by).sortWithinPartitions(*by)
+
+
+# --- edges -------------------------------------------------------------------------------------------------------
+
+
+def edges(rows: DataFrame, keys: list[str], order: str = "seq") -> DataFrame:
+    """The samples' edges in order, written down: keys, order, digest, chunk (a range), place (increasing), first and last
+    runs and tokens, and what backticks they have, with the text of those that have any. rows: keys, order, text, norm,
+    tokens."""
     runs = F.regexp_extract_all("norm", F.lit("`+"), F.lit(0))
-    r = rows.select(*keys, order, "text", "norm", runs.alias("runs")).select(
-        *keys, order, "text", "norm", (F.size("runs") > 0).alias("any"), F.exists("runs", lambda x: F.length(x) > 1).alias("several"),
-        F.aggregate("runs", F.lit(0).cast("long"), lambda n, x: F.when(F.length(x) > 1, F.lit(0).cast("long")).otherwise(n + 1)).alias("singles"),
+    many = F.exists("ticks", lambda x: F.length(x) > 1)
+    singles = F.aggregate("ticks", F.lit(0).cast("long"), lambda n, x: F.when(F.length(x) > 1, F.lit(0).cast("long")).otherwise(n + 1))
+    narrow = rows.select(
+        *keys, order, F.substring("text", 1, LEAD).alias("lead"), digest().alias("digest"), first_runs(F.col("norm")).alias("head"), last_runs(F.col("norm")).alias("tail"),
+        F.slice("tokens", 1, GRAM).alias("first"), last_of(F.col("tokens"), GRAM).alias("last"), runs.alias("ticks"), F.when(F.contains("norm", F.lit("`")), before_blank_line()).alias("ticked"),
     )
-    w = in_order(keys, order)
+    dealt = in_ranges(narrow.withColumns({"many": many, "singles": singles}).drop("ticks"), keys, order)
+    return cut(dealt.withColumns({"chunk": F.spark_partition_id(), "place": F.monotonically_increasing_id()}).drop("lead"), "edges")
+
+
+def carried(own: DataFrame, keys: list[str], value: str, reach: int) -> DataFrame:
+    """own (keys, chunk, place, value) with `carry`: the values of the up to `reach` rows before each, from its own range
+    and from summaries of those before it."""
+    w = Window.partitionBy(*keys, "chunk").orderBy("place")
+    near = own.withColumns({"near": F.collect_list(value).over(w.rowsBetween(-reach, -1)), "ends": F.lead(F.lit(1)).over(w).isNull()})
+    summary = near.where("ends").select(*keys, "chunk", last_of(F.concat("near", F.array(value)), reach).alias("kept"))
+    before = Window.partitionBy(*keys).orderBy("chunk").rowsBetween(-reach, -1)
+    summary = summary.select(*keys, "chunk", last_of(F.flatten(F.collect_list("kept").over(before)), reach).alias("far"))
+    both = joined(near.drop("ends"), summary, [*keys, "chunk"])
+    return both.withColumn("carry", last_of(F.concat("far", "near"), reach)).drop("near", "far")
+
+
+def signed(sign: int, x: Column, name: str) -> Column:
+    return F.struct(F.lit(sign).cast("long").alias("sign"), x.alias(name))
+
+
+def text_edges(of: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, sign, norm): texts whose counts of phrases and passives, times sign, are those that cross samples. of: edges()."""
+    own = carried(of.where("head <> ''").select(*keys, "chunk", "place", "head", "tail"), keys, "tail", RUNS)
+    both = own.withColumn("carry", last_runs(F.array_join("carry", SEPARATOR))).where("carry <> ''")
+    return both.select(*keys, F.inline(F.array(signed(1, F.concat("carry", F.lit(SEPARATOR), "head"), "norm"), signed(-1, F.col("carry"), "norm"), signed(-1, F.col("head"), "norm"))))
+
+
+def token_edges(of: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, sign, tokens): the same for runs of up to GRAM + 1 words. of: edges()."""
+    own = carried(of.where(F.size("first") > 0).select(*keys, "chunk", "place", "first", "last"), keys, "last", GRAM)
+    both = own.withColumn("carry", last_of(F.flatten("carry"), GRAM)).where(F.size("carry") > 0)
+    return both.select(*keys, F.inline(F.array(signed(1, F.concat("carry", "first"), "tokens"), signed(-1, F.col("carry"), "tokens"), signed(-1, F.col("first"), "tokens"))))
+
+
+# --- code between backticks --------------------------------------------------------------------------------------
+
+
+def open_spans(of: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """edges() with where a code span is open: entered (at the sample's start), closes (open at its end and closed in a
+    later one), at (the number of the span that its end is in).
+
+    A backtick opens a span if another follows, but not at once: a single one opens or closes, and after several in a row
+    a span is open. So a sample changes an unknown state or sets it, and so does a range of samples."""
+    w = Window.partitionBy(*keys, "chunk").orderBy("place")
     so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    r = r.withColumns({"place": F.row_number().over(w), "at": F.sum(F.col("any").cast("long")).over(so_far), "singles_so_far": F.sum("singles").over(so_far)})
-    r = r.withColumn("base", F.last(F.when(F.col("several"), F.col("singles_so_far") - F.col("singles")), True).over(so_far))
-    r = r.withColumn("open", (F.col("base").isNotNull().cast("long") + F.col("singles_so_far") - F.coalesce("base", F.lit(0))) % 2 == 1)
-    r = r.withColumn("entered", F.coalesce(F.lag("open").over(w), F.lit(False)))
-    last = r.where("any").groupBy(*keys).agg(F.max("at").alias("last"))
-    r = r.join(last, keys, "left").withColumn("closes", F.col("open") & (F.col("at") < F.coalesce("last", F.lit(0))))
-    first = F.instr("norm", "`")
-    body = F.when(F.col("entered") & F.col("any"), F.substr("norm", first + 1)).otherwise(F.col("norm"))
-    tail = F.substring_index("norm", "`", -1)
-    main = F.when(F.col("closes"), F.when(F.col("any"), F.substr(body, F.lit(1), F.greatest(F.length(body) - F.length(tail) - 1, F.lit(0)))).otherwise("")).otherwise(body)
+    r = of.select(*keys, order, "digest", "chunk", "place", "ticked", "many", "singles")
+    r = r.withColumns({"at": F.sum(F.col("ticked").isNotNull().cast("long")).over(so_far), "turns": F.sum("singles").over(so_far), "ends": F.lead(F.lit(1)).over(w).isNull()})
+    r = r.withColumn("base", F.last(F.when(F.col("many"), F.col("turns") - F.col("singles")), True).over(so_far))
+    r = r.withColumns({"known": F.col("base").isNotNull(), "parity": (F.when(F.col("base").isNotNull(), 1 + F.col("turns") - F.col("base")).otherwise(F.col("turns"))) % 2})
+    r = r.withColumns({"was_known": F.coalesce(F.lag("known").over(w), F.lit(False)), "was": F.coalesce(F.lag("parity").over(w), F.lit(0))})
+    s = Window.partitionBy(*keys).orderBy("chunk")
+    before = s.rowsBetween(Window.unboundedPreceding, -1)
+    c = r.where("ends").select(*keys, "chunk", "at", "known", "parity").withColumn("turns", F.sum("parity").over(s.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    c = c.withColumn("base", F.when(F.col("known"), F.col("turns") - F.col("parity")))
+    entering = (F.coalesce(F.sum("parity").over(before), F.lit(0)) - F.coalesce(F.last("base", True).over(before), F.lit(0))) % 2
+    c = c.select(*keys, "chunk", entering.alias("entering"), F.coalesce(F.sum("at").over(before), F.lit(0)).alias("from"), F.sum("at").over(Window.partitionBy(*keys)).alias("ticked_samples"))
+    r = joined(r, c, [*keys, "chunk"]).withColumn("at", F.col("at") + F.col("from"))
+    state = lambda known, parity: F.when(F.col(known), F.col(parity)).otherwise((F.col("entering") + F.col(parity)) % 2) == 1
+    closes = state("known", "parity") & (F.col("at") < F.col("ticked_samples"))
+    return r.select(*keys, order, "digest", "place", "ticked", "at", state("was_known", "was").alias("entered"), closes.alias("closes"))
+
+
+def code_terms(rows: DataFrame, of: DataFrame, keys: list[str], order: str = "seq") -> DataFrame:
+    """(keys, term): a corpus' distinct code shapes, lower-cased. rows: keys, order, text, norm; of: their edges().
+
+    A span from one sample into another is put together from the pieces of those that it crosses. Texts without a backtick
+    are looked at where they are; only those that lie wholly within a span, which are few, are looked up by their digest."""
+    states = open_spans(of, keys, order)
+    r = states.where("ticked is not null")
+    first, tail = F.instr("ticked", "`"), F.substring_index("ticked", "`", -1)
+    body = F.when(F.col("entered"), F.substr("ticked", first + 1)).otherwise(F.col("ticked"))
+    main = F.when(F.col("closes"), F.substr(body, F.lit(1), F.greatest(F.length(body) - F.length(tail) - 1, F.lit(0)))).otherwise(body)
     piece = lambda keep, at, x: F.when(keep, F.struct(at.alias("at"), x.alias("piece")))
-    pieces = F.array_compact(F.array(
-        piece(F.col("entered") & F.col("any"), F.col("at") - 1, F.substr("norm", F.lit(1), first - 1)),
-        piece(F.col("closes"), F.col("at"), F.when(F.col("any"), tail).otherwise(F.col("norm"))),
-    ))
-    r = r.select(*keys, "place", metrics.code_shapes(main).alias("inside"), pieces.alias("pieces"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "piece"))), lambda x: x["piece"]), SEPARATOR)
-    spans = r.select(*keys, "place", F.inline("pieces")).groupBy(*keys, "at").agg(F.lower(F.concat(F.lit("`"), joined, F.lit("`"))).alias("term"))
-    return r.select(*keys, F.explode("inside").alias("term")).unionByName(spans.select(*keys, "term")).distinct()
-
-
-def factors(rows: DataFrame, keys: list[str], order: str, backwards: bool, threshold: float) -> DataFrame:
-    """(keys, words, factors) of a pass over a group's words in order, or from the last to the first."""
-    by = [F.desc(c) if backwards else F.asc(c) for c in (order, "text")]
-    ordered = rows.select(*keys, order, "text", "norm").repartition(*keys).sortWithinPartitions(*keys, *by).select(*keys, "norm")
+    pieces = F.array_compact(F.array(piece(F.col("entered"), F.col("at") - 1, F.substr("ticked", F.lit(1), first - 1)), piece(F.col("closes"), F.col("at"), tail)))
+    inside = r.select(*keys, F.explode(metrics.code_shapes(main)).alias("term"))
+    pieces = r.select(*keys, "place", F.inline(pieces))
+    texts = rows.where(~F.contains("norm", F.lit("`"))).select(*keys, order, digest().alias("digest"), before_blank_line().alias("norm"))
+    within = cut(states.where("ticked is null and entered and closes").select(*keys, order, "digest", "place", "at"), "within")
+    if not within.isEmpty():
+        ids = [*keys, order, "digest"]
+        found = joined(within, joined(texts, within, ids, "left_semi").dropDuplicates(ids), ids)
+        pieces = pieces.unionByName(found.select(*keys, "place", "at", F.col("norm").alias("piece")))
+        texts = joined(texts, within, ids, "left_anti")
+    plain = texts.select(*keys, F.explode(metrics.code_shapes(F.col("norm"))).alias("term"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "piece"))), lambda x: x["piece"]), SEPARATOR)
+    spans = pieces.groupBy(*keys, "at").agg(F.lower(F.concat(F.lit("`"), whole, F.lit("`"))).alias("term"))
+    return plain.unionByName(inside).unionByName(spans.select(*keys, "term")).distinct()
+
+
+# --- lexical diversity -------------------------------------------------------------------------------------------
+
+
+def scanned(tokens: list[str], threshold: float, before: list[str], meets: frozenset[int] | set[int] = frozenset()) -> tuple[list[int], int]:
+    """Where the state is emptied (after which token), from the state that `before` left, and up to the first of `meets`;
+    and where that is, or -1."""
+    seen, n, found = set(before), len(before), []
+    for i, token in enumerate(tokens):
+        n += 1
+        seen.add(token)
+        if len(seen) / n <= threshold:
+            found.append(i)
+            if i in meets:
+                return found, i
+            seen, n = set(), 0
+    return found, -1
+
+
+def pieces(rows: DataFrame, keys: list[str], order: str, threshold: float, piece: int) -> DataFrame:
+    """(keys, piece, tokens, resets, back): the words of each group in order, in pieces, with where a scan of the piece
+    alone empties its state, forwards and backwards. rows: keys, order, text, norm."""
+    from pyspark.sql import types as T
+
     n_keys = len(keys)
+    dealt = in_ranges(rows.select(*keys, order, F.substring("text", 1, LEAD).alias("lead"), digest().alias("digest"), "norm"), keys, order).select(*keys, "norm")
 
     def run(batches: Iterator) -> Iterator:
         import re
 
         import pyarrow as pa
+        from pyspark import TaskContext
 
-        word, kinds, done = re.compile(tx.WORD), [], []
-        key, words, found, seen, n = None, 0, 0.0, set(), 0
+        word, number, kinds = re.compile(tx.WORD), TaskContext.get().partitionId() << 32, []
+        key, held, done = None, [], []
 
-        def closed() -> None:
-            if key is not None:
-                done.append((*key, words, found + (1 - len(seen) / n) / (1 - threshold) if n else found))
+        def close() -> None:
+            nonlocal number, held
+            done.append((*key, number, held, scanned(held, threshold, [])[0], scanned(held[::-1], threshold, [])[0]))
+            number, held = number + 1, []
 
         def flushed():
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done), [*kinds, pa.int64(), pa.float64()])], names=[*keys, "words", "factors"])
+            columns = list(zip(*done))
+            lists = [pa.array(columns[n_keys + 1], pa.list_(pa.string())), *(pa.array(c, pa.list_(pa.int32())) for c in columns[n_keys + 2 :])]
+            return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns[:n_keys], kinds)), pa.array(columns[n_keys], pa.int64()), *lists], names=[*keys, "piece", "tokens", "resets", "back"])
 
         for batch in batches:
             kinds = [batch.schema.field(i).type for i in range(n_keys)]
-            texts = batch.column(n_keys).to_pylist()
-            for new, t in zip(zip(*(batch.column(i).to_pylist() for i in range(n_keys))), texts):
+            names = list(zip(*(batch.column(i).to_pylist() for i in range(n_keys))))
+            for new, t in zip(names, batch.column(n_keys).to_pylist()):
                 if new != key:
-                    closed()
-                    key, words, found, seen, n = new, 0, 0.0, set(), 0
+                    if held:
+                        close()
+                    key = new
                 tokens = [x.lower() for x in word.findall(t or "")]
-                words += len(tokens)
-                for token in reversed(tokens) if backwards else tokens:
-                    n += 1
-                    seen.add(token)
-                    if len(seen) / n <= threshold:
-                        found, seen, n = found + 1, set(), 0
-            if len(done) > 5_000:
+                for at in range(0, len(tokens), piece):
+                    held += tokens[at : at + piece]
+                    if len(held) >= piece:
+                        close()
+            if sum(len(x[n_keys + 1]) for x in done) > 200_000 or len(done) > 5_000:
                 yield flushed()
                 done.clear()
-        closed()
+        if held:
+            close()
         if done:
             yield flushed()
 
-    kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
-    return ordered.mapInArrow(run, f"{kinds}, words long, factors double")
+    fields = [*(T.StructField(k, rows.schema[k].dataType) for k in keys), T.StructField("piece", T.LongType()), T.StructField("tokens", T.ArrayType(T.StringType())), T.StructField("resets", T.ArrayType(T.IntegerType())), T.StructField("back", T.ArrayType(T.IntegerType()))]
+    return dealt.mapInArrow(run, T.StructType(fields))
+
+
+def resumed(runs: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    """(keys, way, pos, words, found, tail): runs (.., tokens, resets, enter) scanned from the state `enter`."""
+    from pyspark.sql import types as T
+
+    ids = [*keys, "way", "pos"]
+    place = len(ids)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            words, found, tails = [], [], []
+            for tokens, resets, enter in zip(*(batch.column(place + i).to_pylist() for i in range(3))):
+                places = set(resets)
+                hits, met = scanned(tokens, threshold, enter, places)
+                last = max(resets) if met >= 0 else hits[-1] if hits else -1
+                words.append(len(tokens))
+                found.append(len(hits) + (sum(1 for x in resets if x > met) if met >= 0 else 0))
+                tails.append(tokens[last + 1 :] if last >= 0 else enter + tokens)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:place], pa.array(words, pa.int64()), pa.array(found, pa.int64()), pa.array(tails, pa.list_(pa.string()))], names=[*ids, "words", "found", "tail"])
+
+    fields = [*(runs.schema[c] for c in ids), T.StructField("words", T.LongType()), T.StructField("found", T.LongType()), T.StructField("tail", T.ArrayType(T.StringType()))]
+    return runs.select(*ids, "tokens", "resets", "enter").mapInArrow(run, T.StructType(fields))
 
 
-def diversity(rows: DataFrame, keys: list[str], order: str = "seq", threshold: float = metrics.MTLD_THRESHOLD) -> DataFrame:
-    """(keys, vocabulary_diversity): metrics.mtld_of() of all words of a group. rows: keys, order, text, norm."""
+def diversity(rows: DataFrame, keys: list[str], order: str = "seq", threshold: float = metrics.MTLD_THRESHOLD, piece: int = PIECE) -> DataFrame:
+    """(keys, vocabulary_diversity): metrics.mtld_of() of all words of a group. rows: keys, order, text, norm. No task has
+    more of a group than a piece, or a range of its samples. A group without a word has no row."""
+    found = cut(pieces(rows, keys, order, threshold, piece), "pieces")
+    both = F.array(F.struct(F.lit(0).alias("way"), F.col("piece").alias("pos"), F.col("tokens").alias("words_in"), F.col("resets").alias("ends")), F.struct(F.lit(1).alias("way"), (-F.col("piece")).alias("pos"), F.reverse("tokens").alias("words_in"), F.col("back").alias("ends")))
+    runs = found.select(*keys, F.inline(both)).withColumnsRenamed({"words_in": "tokens", "ends": "resets"})
+    ids = [*keys, "way", "pos"]
+    alone = F.coalesce(F.try_element_at("resets", F.lit(-1)), F.lit(-1))
+    tail = F.slice("tokens", alone + 2, F.greatest(F.size("tokens") - alone - 1, F.lit(0)))
+    state = cut(runs.select(*ids, F.size("tokens").cast("long").alias("words"), F.size("resets").cast("long").alias("found"), tail.alias("tail"), F.lit(True).alias("moved")), "states")
+    w = Window.partitionBy(*keys, "way").orderBy("pos")
+    while True:
+        after = state.withColumns({"enter": F.lag("tail").over(w), "due": F.coalesce(F.lag("moved").over(w), F.lit(False))})
+        due = cut(after.where("due").select(*ids, "enter"), "due")
+        if due.isEmpty():
+            break
+        again = resumed(joined(runs, due, ids), keys, threshold)
+        old = state.select(*ids, F.col("words").alias("w"), F.col("found").alias("f"), F.col("tail").alias("t"))
+        new = again.withColumn("ran", F.lit(True))
+        both_states = joined(old, new, ids, "left")
+        ran = F.coalesce("ran", F.lit(False))
+        state = cut(both_states.select(*ids, F.coalesce("words", "w").alias("words"), F.coalesce("found", "f").alias("found"), F.when(ran, F.col("tail")).otherwise(F.col("t")).alias("tail"), (ran & (F.col("tail") != F.col("t"))).alias("moved")), "states")
+    n = F.size("tail")
+    rest = F.when(n > 0, (1 - F.size(F.array_distinct("tail")) / n) / (1 - threshold)).otherwise(0.0)
+    passes = state.groupBy(*keys, "way").agg(F.sum("words").alias("words"), F.sum("found").alias("found"), F.max_by("tail", "pos").alias("tail"))
+    passes = passes.select(*keys, "words", (F.col("found") + rest).alias("factors"))
     passed = F.when(F.col("factors") > 0, F.col("words") / F.col("factors")).otherwise(F.col("words").cast("double"))
-    both = factors(rows, keys, order, False, threshold).unionByName(factors(rows, keys, order, True, threshold))
-    both = both.groupBy(*keys).agg(F.sum(passed).alias("sum"), F.max("words").alias("words"))
-    return both.select(*keys, F.when(F.col("words") < 10, 0.0).otherwise(rounded(F.col("sum") / 2, 2)).alias("vocabulary_diversity"))
+    each = passes.groupBy(*keys).agg(F.sum(passed).alias("sum"), F.max("words").alias("words"))
+    return each.select(*keys, F.when(F.col("words") < 10, 0.0).otherwise(rounded(F.col("sum") / 2, 2)).alias("vocabulary_diversity"))

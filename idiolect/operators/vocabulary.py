@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from idiolect.functions import lexicons as lex
 from idiolect.functions import text as tx
 from idiolect.operators import metrics, spanning
+from idiolect.operators.keys import joined
+from idiolect.sources.scratch import cut
 
 LIMIT, AVOID_WORDS, AVOID_FROM, AVOID_SINGLE, PREFER_PHRASES = 12, 200, 2, 8, 6
 PHRASE_LIMIT, PHRASE_MIN = 10, 2
@@ -55,7 +57,7 @@ def word_lists(token: Column, n: Column, words: lex.Lexicons = lex.DEFAULT) -> d
 LISTS = ("common_words", "unusual_words", "repeated_words", "technical_terms", "colloquialisms", "filler_words", "hedging_terms", "buzzwords", "formal_words", "style_words", "style_phrases")
 
 
-def phrase_rows(measured: DataFrame, keys: list[str], words: lex.Lexicons = lex.DEFAULT, order: str | None = None) -> DataFrame:
+def phrase_rows(measured: DataFrame, keys: list[str], words: lex.Lexicons = lex.DEFAULT, order: str | None = None, edges: DataFrame | None = None) -> DataFrame:
     """(keys, list, term, n) of the phrases and shapes that count towards a list."""
     by_list = (("hedging_terms", words.hedge_phrases), ("style_phrases", words.hedge_phrases), ("colloquialisms", words.colloquial_phrases), ("style_phrases", words.colloquial_phrases), ("buzzwords", words.buzz_phrases))
     row = lambda name, x: F.struct(F.lit(name).alias("list"), x["term"].alias("term"), x["n"].alias("n"))
@@ -64,18 +66,19 @@ def phrase_rows(measured: DataFrame, keys: list[str], words: lex.Lexicons = lex.
     shapes = F.transform(metrics.shape_hits(F.col("norm"), words, order is None), lambda x: F.struct(F.lit("technical_terms").alias("list"), x.alias("term"), F.lit(1).cast("long").alias("n")))
     rows = measured.select(*keys, F.inline(F.concat(*phrases, shapes)))
     if order is not None:
-        edges = spanning.text_edges(measured, keys, order).withColumn("lower", F.lower("norm"))
-        rows = rows.unionByName(edges.select(*keys, "sign", F.inline(F.concat(*phrases))).withColumn("n", F.col("n") * F.col("sign")).drop("sign"))
-        rows = rows.unionByName(spanning.code_terms(measured, keys, order).select(*keys, F.lit("technical_terms").alias("list"), "term", F.lit(1).cast("long").alias("n")))
+        edges = spanning.edges(measured, keys, order) if edges is None else edges
+        crossing = spanning.text_edges(edges, keys).withColumn("lower", F.lower("norm"))
+        rows = rows.unionByName(crossing.select(*keys, "sign", F.inline(F.concat(*phrases))).withColumn("n", F.col("n") * F.col("sign")).drop("sign"))
+        rows = rows.unionByName(spanning.code_terms(measured, edges, keys, order).select(*keys, F.lit("technical_terms").alias("list"), "term", F.lit(1).cast("long").alias("n")))
     return rows.groupBy(*keys, "list", "term").agg(F.sum("n").alias("n")).where("n > 0")
 
 
-def terms(measured: DataFrame, keys: list[str], words: lex.Lexicons = lex.DEFAULT, order: str | None = None) -> DataFrame:
+def terms(measured: DataFrame, keys: list[str], words: lex.Lexicons = lex.DEFAULT, order: str | None = None, edges: DataFrame | None = None) -> DataFrame:
     """(keys, list, term, n): every list's terms with their counts, words and phrases together."""
     counted = frequencies(measured, keys)
     lists = F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in word_lists(F.col("token"), F.col("n"), words).items())))
     single = counted.select(*keys, F.explode(lists).alias("list"), F.col("token").alias("term"), "n")
-    return single.unionByName(phrase_rows(measured, keys, words, order)).groupBy(*keys, "list", "term").agg(F.sum("n").alias("n"))
+    return single.unionByName(phrase_rows(measured, keys, words, order, edges)).groupBy(*keys, "list", "term").agg(F.sum("n").alias("n"))
 
 
 def ranked(counted: DataFrame, keys: list[str], limit: int = LIMIT) -> DataFrame:
@@ -110,7 +113,8 @@ def avoid(measured: DataFrame, keys: list[str], words: lex.Lexicons = lex.DEFAUL
     held = F.filter(F.array(*map(F.lit, words.avoid_phrases)), lambda p: F.contains("lower", p))
     rows = measured.select(*keys, F.size("tokens").cast("long").alias("__n"), used.alias("__used"), held.alias("__held"))
     found = rows.select(*keys, F.explode_outer(F.concat("__used", held_as(F.col("__held")))).alias("__term")).distinct().groupBy(*keys).agg(F.collect_list("__term").alias("__terms"))
-    marked = rows.groupBy(*keys).agg(F.sum("__n").alias("__n")).join(found, keys)
+    marked = rows.groupBy(*keys).agg(F.sum("__n").alias("__n"))
+    marked = joined(marked, found, keys)
     single = []
     for c in words.avoid_candidates:
         good = ~F.array_contains("__terms", c)
@@ -126,7 +130,7 @@ def held_as(phrases: Column) -> Column:
     return F.transform(phrases, lambda p: F.concat(F.lit(" "), p))
 
 
-def phrase_counts(measured: DataFrame, keys: list[str], words: lex.Lexicons = lex.DEFAULT, order: str | None = None) -> DataFrame:
+def phrase_counts(measured: DataFrame, keys: list[str], words: lex.Lexicons = lex.DEFAULT, order: str | None = None, edges: DataFrame | None = None) -> DataFrame:
     """(keys, phrase, n) of the two to four word runs that start with a seed word."""
     t = F.col("tokens")
 
@@ -137,25 +141,38 @@ def phrase_counts(measured: DataFrame, keys: list[str], words: lex.Lexicons = le
     runs = F.explode(F.concat(grams(4), grams(3), grams(2))).alias("phrase")
     if order is None:
         return measured.select(*keys, runs).groupBy(*keys, "phrase").agg(F.count(F.lit(1)).alias("n"))
-    rows = measured.select(*keys, F.lit(1).cast("long").alias("sign"), runs).unionByName(spanning.token_edges(measured, keys, order).select(*keys, "sign", runs))
+    edges = spanning.edges(measured, keys, order) if edges is None else edges
+    rows = measured.select(*keys, F.lit(1).cast("long").alias("sign"), runs).unionByName(spanning.token_edges(edges, keys).select(*keys, "sign", runs))
     return rows.groupBy(*keys, "phrase").agg(F.sum("sign").alias("n")).where("n > 0")
 
 
-def recurring_phrases(measured: DataFrame, keys: list[str], words: lex.Lexicons = lex.DEFAULT, order: str | None = None, first: int = FIRST_PHRASES) -> DataFrame:
+def recurring_phrases(measured: DataFrame, keys: list[str], words: lex.Lexicons = lex.DEFAULT, order: str | None = None, first: int = FIRST_PHRASES, edges: DataFrame | None = None) -> DataFrame:
     """(keys, phrases): those found twice or more, most frequent first, without what a kept one contains, at most ten.
-    They are sought among a group's `first` most frequent; all of its phrases are looked through only if those do not
-    give ten."""
-    rows = phrase_counts(measured, keys, words, order).where(F.col("n") >= PHRASE_MIN)
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "phrase"))), lambda x: x["phrase"])
+    They are sought in pages of a group's `first` next frequent ones, until ten are kept or none is left; ranks are cut off
+    before rows are shuffled, so no task has more than a page of each of its inputs."""
+    rows = phrase_counts(measured, keys, words, order, edges).where(F.col("n") >= PHRASE_MIN).select(*keys, (-F.col("n")).alias("n"), "phrase")
+    listed = F.array_sort(F.collect_list(F.struct("n", "phrase")))
+    none = F.array().cast("array<string>")
 
     def step(kept: Column, p: Column) -> Column:
-        return F.when((F.size(kept) >= PHRASE_LIMIT) | F.exists(kept, lambda k: F.contains(k, p)), kept).otherwise(F.concat(kept, F.array(p)))
-
-    def kept(of: DataFrame) -> DataFrame:
-        return of.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.aggregate(ordered, F.array().cast("array<string>"), step).alias("phrases"))
-
-    w = Window.partitionBy(*keys).orderBy(F.desc("n"), "phrase")
-    top = kept(rows.withColumn("__rank", F.row_number().over(w)).where(F.col("__rank") <= first))
-    short = (F.col("__n") == first) & (F.size("phrases") < PHRASE_LIMIT)
-    rest = kept(rows.join(top.where(short).select(*keys), keys, "left_semi"))
-    return top.where(~short).unionByName(rest).select(*keys, "phrases")
+        return F.when((F.size(kept) >= PHRASE_LIMIT) | F.exists(kept, lambda k: F.contains(k, p["phrase"])), kept).otherwise(F.concat(kept, F.array(p["phrase"])))
+
+    def page(of: DataFrame) -> DataFrame:
+        """of: keys, n, phrase, and what is kept already."""
+        w = Window.partitionBy(*keys).orderBy("n", "phrase")
+        top = of.withColumn("__rank", F.row_number().over(w)).where(F.col("__rank") <= first)
+        read = top.groupBy(*keys).agg(F.first("kept").alias("kept"), listed.alias("page"))
+        return read.select(*keys, F.aggregate("page", F.coalesce("kept", none), step).alias("phrases"), F.element_at("page", -1).alias("last"), (F.size("page") == first).alias("full"))
+
+    found = cut(page(rows.withColumn("kept", none)), "phrases")
+    open_ = (F.size("phrases") < PHRASE_LIMIT) & F.col("full")
+    left = found.where(open_)
+    if left.isEmpty():
+        return found.select(*keys, "phrases")
+    rows = cut(rows, "runs")
+    while not left.isEmpty():
+        more = joined(rows, left.select(*keys, F.col("phrases").alias("kept"), "last"), keys).where(F.struct("n", "phrase") > F.col("last")).drop("last")
+        ended = joined(left, more.select(*keys).distinct(), keys, "left_anti").withColumn("full", F.lit(False))
+        found = cut(found.where(~open_).unionByName(ended).unionByName(page(more)), "phrases")
+        left = found.where(open_)
+    return found.select(*keys, "phrases")

@@ -46,7 +46,8 @@ def metric_dump(analysed: DataFrame, keys: list[str]) -> DataFrame:
     lists = vocabulary.top_lists(vocabulary.terms(analysed, keys), keys).select(*keys, *shown)
     phrases = vocabulary.recurring_phrases(analysed, keys)
     none = F.array().cast("array<string>")
-    both = analysed.join(lists, keys, "left").join(phrases, keys, "left").withColumns({c: F.coalesce(c, none) for c in (*shown, "phrases")})
+    dropped = ("text", "norm", "lower", "bare", "tokens", "sentences", "sentence_tokens", "paragraphs", "lines")
+    both = analysed.drop(*(c for c in dropped if c not in keys)).join(lists, keys, "left").join(phrases, keys, "left").withColumns({c: F.coalesce(c, none) for c in (*shown, "phrases")})
     whole = F.struct(basic.alias("basic"), syntax.alias("syntax"), marks.alias("punctuation"), F.struct(*shown, rates.alias("rates_per_100_words")).alias("vocabulary"), features.alias("features"), F.col("phrases").alias("recurring_phrases"), F.array(*map(F.lit, metrics.APPROXIMATE)).alias("approximate_metrics"))
     return both.select(*keys, F.to_json(whole).alias("json"))
 
