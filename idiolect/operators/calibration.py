@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from idiolect.functions import lexicons as lex
 from idiolect.functions.numbers import rounded
 from idiolect.operators import scoring
+from idiolect.operators.keys import joined
 
 DECAY, ROUND, ASKED, NEITHER = 0.6, 3, 1.0, "neither"
 
@@ -138,13 +139,47 @@ def rank_questions(styles: DataFrame, asked: DataFrame, writers: DataFrame, bank
 
 def select_questions(styles: DataFrame, asked: DataFrame, writers: DataFrame, count: int = ROUND, bank: tuple[Question, ...] = CALIBRATION) -> DataFrame:
     """(writer, round, question_id, priority): the best question, then the best when that one counts as asked, and so
-    on. A plan of `count` steps over all writers at once; count is small."""
-    history, chosen = asked.select("writer", "question_id"), None
-    for k in range(max(0, count)):
-        best = rank_questions(styles, history, writers, bank).where("rank = 1").select("writer", F.lit(k + 1).alias("round"), "question_id", "priority")
-        chosen = best if chosen is None else chosen.unionByName(best)
-        history = history.unionByName(best.select("writer", "question_id"))
-    return chosen if chosen is not None else writers.sparkSession.createDataFrame([], "writer string, round int, question_id string, priority double")
+    on. One fold a writer, whose state is how often each dimension was asked about in each position, and what was asked;
+    the plan does not grow with count."""
+    spark = writers.sparkSession
+    names, places = list(scoring.NAMES), 4
+    full = {q.id: q for q in ONBOARDING + CALIBRATION} | {q.id: q for q in bank}
+    slots = F.create_map(*(x for i, d in full.items() for x in (F.lit(i), F.array(*(F.lit(names.index(t) * places + p) for p, t in enumerate(d.targets))))))
+    ids = sorted(q.id for q in bank)
+    table = F.array(*(F.struct(F.lit(i).alias("id"), F.array(*(F.lit(names.index(t)) for t in full[i].targets)).alias("t")) for i in ids))
+    unsure = uncertainty(styles, writers).groupBy("writer").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "uncertainty", "importance"))), lambda x: F.struct(x["uncertainty"].alias("u"), x["importance"].alias("i"))).alias("unsure"))
+    known = asked.where(F.col("question_id").isin(*full)).groupBy("writer", "question_id").agg(F.count(F.lit(1)).cast("int").alias("n"))  # at most a row a question
+    before = known.groupBy("writer").agg(F.collect_list(F.struct("question_id", "n")).alias("before"))
+    rows = joined(unsure, before, ["writer"], "left")
+    none = F.array().cast("array<struct<round:int,question_id:string,priority:double>>")
+    hits = F.transform(F.sequence(F.lit(0), F.lit(len(names) * places - 1)), lambda s: F.aggregate(F.coalesce("before", F.array().cast("array<struct<question_id:string,n:int>>")), F.lit(0), lambda a, x: a + F.when(F.array_contains(slots[x["question_id"]], s), x["n"]).otherwise(0)))
+    gone = F.coalesce(F.transform("before", lambda x: x["question_id"]), F.array().cast("array<string>"))
+
+    def saturated(counts: Column, d: Column) -> Column:
+        total = F.lit(0.0)
+        for p in range(places):  # in the order of saturation()
+            total = total + F.get(counts, d * places + p) * (ASKED * DECAY**p)
+        return total
+
+    def priority(state: Column, q: Column) -> Column:
+        each = F.transform(q["t"], lambda d, p: per_target(F.get(F.col("unsure"), d)["u"], F.get(F.col("unsure"), d)["i"], saturated(state["hits"], d), p))
+        return rounded(F.aggregate(each, F.lit(0.0), lambda a, x: a + x), 6)
+
+    def step(state: Column, k: Column) -> Column:
+        fresh = F.filter(table, lambda q: ~F.array_contains(state["gone"], q["id"]))
+        ranked = F.transform(fresh, lambda q, i: F.struct(priority(state, q).alias("p"), (-i).alias("i"), q["id"].alias("id"), q["t"].alias("t")))
+
+        def taken(best: Column) -> Column:
+            asked_now = F.transform(state["hits"], lambda n, s: n + F.when(F.get(best["t"], (s % places).cast("int")) == F.floor(s / places).cast("int"), 1).otherwise(0))
+            picked = F.concat(state["picked"], F.array(F.struct(k.alias("round"), best["id"].alias("question_id"), best["p"].alias("priority"))))
+            return F.struct(asked_now.alias("hits"), F.concat(state["gone"], F.array(best["id"])).alias("gone"), picked.alias("picked"))
+
+        return F.element_at(F.transform(F.array(F.array_max(ranked)), lambda best: F.when(best.isNull(), state).otherwise(taken(best))), 1)
+
+    start = F.struct(hits.alias("hits"), gone.alias("gone"), none.alias("picked"))
+    rounds = F.sequence(F.lit(1), F.lit(count)) if count > 0 else F.array().cast("array<int>")
+    picked = rows.select("writer", F.aggregate(rounds, start, step, lambda s: s["picked"]).alias("picked"))
+    return picked.select("writer", F.inline("picked"))
 
 
 def select_pairs(vocabularies: DataFrame, asked: DataFrame, count: int = ROUND) -> DataFrame:

@@ -51,10 +51,11 @@ def grouped(analysed: DataFrame) -> DataFrame:
     return analysed.select("writer", F.inline(F.array_compact(F.array(own, labelled))), *(c for c in analysed.columns if c not in ("writer", "context")))
 
 
-def crossing(analysed: DataFrame, keys: list[str], words: lex.Lexicons = lex.DEFAULT, edges: DataFrame | None = None) -> list[DataFrame]:
+def crossing(analysed: DataFrame, keys: list[str], words: lex.Lexicons = lex.DEFAULT, edges: DataFrame | None = None, code: DataFrame | None = None) -> list[DataFrame]:
     """Counts of what spans samples, a row a group and frame: to be added to the sums over the samples."""
     rows = analysed.select(*keys, "seq", "text", "norm", "tokens")
     edges = spanning.edges(rows, keys) if edges is None else edges
+    code = spanning.code_terms(rows, edges, keys) if code is None else code
     lower = F.col("lower")
     phrases = {"hedge": words.hedge_phrases, "buzzword": words.buzz_phrases, "colloquial": words.colloquial_phrases}
     counts = {"passive": F.regexp_count("norm", F.lit(metrics.PASSIVE)).cast("long")} | {k: metrics.phrases_in(lower, p) for k, p in phrases.items()}
@@ -63,12 +64,12 @@ def crossing(analysed: DataFrame, keys: list[str], words: lex.Lexicons = lex.DEF
     return [
         texts.groupBy(*keys).agg(*(F.sum(F.col("sign") * c).alias(f"{k}_count") for k, c in counts.items())),
         pairs.groupBy(*keys).agg(F.sum(F.col("sign") * metrics.contraction_chances(F.col("tokens"))).alias("contraction_chances")),
-        spanning.code_terms(rows, edges, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("technical_count")),
+        code.groupBy(*keys).agg(F.count(F.lit(1)).alias("technical_count")),
         spanning.diversity(rows, keys),
     ]
 
 
-def corpus_metrics(analysed: DataFrame, keys: list[str], words: lex.Lexicons = lex.DEFAULT, edges: DataFrame | None = None) -> DataFrame:
+def corpus_metrics(analysed: DataFrame, keys: list[str], words: lex.Lexicons = lex.DEFAULT, edges: DataFrame | None = None, code: DataFrame | None = None) -> DataFrame:
     """(keys, CORPUS): sums of the samples' counts, and what spans samples. analysed: prepared samples with keys and seq."""
     lengths = F.col("sentence_lengths")
     sums = [F.sum(c).alias(c) for c in (*COUNTS, *MARKS, *TOTALS)]
@@ -79,7 +80,7 @@ def corpus_metrics(analysed: DataFrame, keys: list[str], words: lex.Lexicons = l
     ]
     s = analysed.withColumn("technical_count", F.col("technical_count") - F.size(metrics.code_shapes(F.col("norm")))).groupBy(*keys).agg(*sums)
     summed = [c for c in s.columns if c not in keys]
-    for more in crossing(analysed, keys, words, edges):
+    for more in crossing(analysed, keys, words, edges, code):
         s = s.unionByName(more, allowMissingColumns=True)
     s = s.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in summed), F.coalesce(F.max("vocabulary_diversity"), F.lit(0.0)).alias("vocabulary_diversity"))
     whole = lambda c: F.col(c).cast("decimal(19,0)")
@@ -102,9 +103,9 @@ def corpus_metrics(analysed: DataFrame, keys: list[str], words: lex.Lexicons = l
 CORPUS = ("sample_count", "word_count", "sentence_count", "paragraph_count", "heading_count", "bullet_count", "contraction_preference", *(f"band_{m}" for m in metrics.MARKS), *FEATURES)
 
 
-def scored(analysed: DataFrame, keys: list[str], words: lex.Lexicons = lex.DEFAULT, edges: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def scored(analysed: DataFrame, keys: list[str], words: lex.Lexicons = lex.DEFAULT, edges: DataFrame | None = None, code: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(corpus metrics, scoring results) of the groups of prepared samples: the one function for writers and for contexts."""
-    corpus = cut(corpus_metrics(analysed, keys, words, edges), "corpus")  # a row a group, read by all that follows
+    corpus = cut(corpus_metrics(analysed, keys, words, edges, code), "corpus")  # a row a group, read by all that follows
     spread = scoring.sample_spread(analysed.select(*keys, "word_count", *FEATURES), keys)
     return corpus, cut(scoring.results(corpus.select(*keys, "word_count", *FEATURES), spread, keys), "results")
 
@@ -175,12 +176,13 @@ def build(samples: DataFrame, verdicts: DataFrame | None = None, created_at: str
     analysed = prepared(usable(samples).select("writer", "seq", "context", "text"), words)
     every = grouped(analysed)
     edges = spanning.edges(every.select(*group, "seq", "text", "norm", "tokens"), group)
-    corpora, scores = scored(every, group, words, edges)
+    code = cut(spanning.code_terms(every, edges, group), "code")
+    corpora, scores = scored(every, group, words, edges, code)
     at = lambda df, level: df.where(F.col("level") == level).drop("level")
     corpus, results = at(corpora, 0).drop("context"), at(scores, 0).drop("context")
-    own = at(edges, 0).drop("context")
+    own, own_code = at(edges, 0).drop("context"), at(code, 0).drop("context")
     lists_of = analysed.select("writer", "seq", "text", "norm", "tokens", F.lower("norm").alias("lower"))
-    counted = cut(vocabulary.terms(lists_of, keys, words, "seq", own), "terms")
+    counted = cut(vocabulary.terms(lists_of, keys, words, "seq", own, own_code), "terms")
     tops = vocabulary.top_lists(counted, keys).select("writer", "technical_terms", "colloquialisms")
     varied = scoring.contradictions(results, keys).groupBy("writer").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "dimension", "low", "high", "scatter"))), lambda x: F.struct(x["dimension"].alias("dimension"), x["low"].alias("low"), x["high"].alias("high"), x["scatter"].alias("scatter"))).alias("varies"))
     contexts = contexts_of(at(corpora, 1), at(scores, 1)).groupBy("writer").agg(F.array_sort(F.collect_list(F.struct("context", "style", F.struct("sample_count", "word_count").alias("metadata")))).alias("contexts"))

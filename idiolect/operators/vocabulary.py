@@ -57,7 +57,7 @@ def word_lists(token: Column, n: Column, words: lex.Lexicons = lex.DEFAULT) -> d
 LISTS = ("common_words", "unusual_words", "repeated_words", "technical_terms", "colloquialisms", "filler_words", "hedging_terms", "buzzwords", "formal_words", "style_words", "style_phrases")
 
 
-def phrase_rows(measured: DataFrame, keys: list[str], words: lex.Lexicons = lex.DEFAULT, order: str | None = None, edges: DataFrame | None = None) -> DataFrame:
+def phrase_rows(measured: DataFrame, keys: list[str], words: lex.Lexicons = lex.DEFAULT, order: str | None = None, edges: DataFrame | None = None, code: DataFrame | None = None) -> DataFrame:
     """(keys, list, term, n) of the phrases and shapes that count towards a list."""
     by_list = (("hedging_terms", words.hedge_phrases), ("style_phrases", words.hedge_phrases), ("colloquialisms", words.colloquial_phrases), ("style_phrases", words.colloquial_phrases), ("buzzwords", words.buzz_phrases))
     row = lambda name, x: F.struct(F.lit(name).alias("list"), x["term"].alias("term"), x["n"].alias("n"))
@@ -69,16 +69,17 @@ def phrase_rows(measured: DataFrame, keys: list[str], words: lex.Lexicons = lex.
         edges = spanning.edges(measured, keys, order) if edges is None else edges
         crossing = spanning.text_edges(edges, keys).withColumn("lower", F.lower("norm"))
         rows = rows.unionByName(crossing.select(*keys, "sign", F.inline(F.concat(*phrases))).withColumn("n", F.col("n") * F.col("sign")).drop("sign"))
-        rows = rows.unionByName(spanning.code_terms(measured, edges, keys, order).select(*keys, F.lit("technical_terms").alias("list"), "term", F.lit(1).cast("long").alias("n")))
+        code = spanning.code_terms(measured, edges, keys, order) if code is None else code
+        rows = rows.unionByName(code.select(*keys, F.lit("technical_terms").alias("list"), "term", F.lit(1).cast("long").alias("n")))
     return rows.groupBy(*keys, "list", "term").agg(F.sum("n").alias("n")).where("n > 0")
 
 
-def terms(measured: DataFrame, keys: list[str], words: lex.Lexicons = lex.DEFAULT, order: str | None = None, edges: DataFrame | None = None) -> DataFrame:
+def terms(measured: DataFrame, keys: list[str], words: lex.Lexicons = lex.DEFAULT, order: str | None = None, edges: DataFrame | None = None, code: DataFrame | None = None) -> DataFrame:
     """(keys, list, term, n): every list's terms with their counts, words and phrases together."""
     counted = frequencies(measured, keys)
     lists = F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in word_lists(F.col("token"), F.col("n"), words).items())))
     single = counted.select(*keys, F.explode(lists).alias("list"), F.col("token").alias("term"), "n")
-    return single.unionByName(phrase_rows(measured, keys, words, order, edges)).groupBy(*keys, "list", "term").agg(F.sum("n").alias("n"))
+    return single.unionByName(phrase_rows(measured, keys, words, order, edges, code)).groupBy(*keys, "list", "term").agg(F.sum("n").alias("n"))
 
 
 def ranked(counted: DataFrame, keys: list[str], limit: int = LIMIT) -> DataFrame:
