@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "pages", "conversations"):
+    for table in ("documents", "pages", "conversations", "labels", "clicks"):
         con.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
     want = con.execute(ORACLE_SQL[name]).to_arrow_table()
     got = QUERIES[name](spark, SF).toArrow()
