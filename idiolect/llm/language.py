@@ -138,18 +138,20 @@ def fit(texts: dict[str, str], n_symbols: int = SYMBOLS) -> Model:
 
 class Parser:
     """The automata as one table: row state, column symbol; where a phrase ends, the complement of the state after the
-    first symbol of the next one. States count in rows, so they are added to a symbol as they are."""
+    first symbol of the next one. States count in rows, so they are added to a symbol as they are. The last state of each
+    automaton follows a symbol that its reference has not, and is where a parse begins: every symbol begins a phrase there."""
 
     def __init__(self, model: Model):
         self.model, self.codes = model, codes(model.symbols)
         width = len(model.symbols) + 2
-        self.starts = (np.cumsum([0, *model.states[:-1]]) * width).astype(np.int32) if model.states else np.zeros(0, np.int32)
+        places = np.cumsum([0, *(n + 1 for n in model.states)]) * width
+        self.starts = (places[1:] - width).astype(np.int32)
         parts = []
-        for edges, n, start in zip(model.edges, model.states, self.starts):
-            first = np.full(width, start, np.int32)
+        for edges, n, start in zip(model.edges, model.states, places.tolist()):
+            first = np.full(width, start + n * width, np.int32)
             own = edges[edges[:, 0] == 0]
             first[own[:, 1]] = start + own[:, 2] * width
-            moves = np.tile(~first, (n, 1))
+            moves = np.tile(~first, (n + 1, 1))
             moves[edges[:, 0], edges[:, 1]] = start + edges[:, 2] * width
             parts.append(moves.ravel())
         self.moves = np.concatenate(parts) if parts else np.zeros(0, np.int32)
@@ -165,7 +167,7 @@ class Parser:
             at[: sizes[lane], column] = lanes[lane]
         active = np.searchsorted(-sizes[by_size], -np.arange(longest), "left")
         state = np.repeat(self.starts[:, None], n, 1)
-        found = np.ones((k, n), np.int32)
+        found = np.zeros((k, n), np.int32)
         for step in range(longest):
             a = active[step]
             moved = self.moves.take(state[:, :a] + at[step, :a])
