@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from idiolect.operators.features import FEATURES, features
 from idiolect.sources import evidence
+from idiolect.sources.store import Store
 
 
 def log_stream(spark: SparkSession, path: str, files_at_once: int = 1000) -> DataFrame:
@@ -31,6 +32,22 @@ def keep_features(spark: SparkSession, texts: str, out: str, checkpoint: str, ke
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def keep_profiles(samples: DataFrame, store: Store, name: str, checkpoint: str, now: str) -> StreamingQuery:
+    """Follow a stream of samples (writer, seq, source, text, and context) and keep every writer's profile up to date. A
+    batch is added to the log and the writers in it are built again; its number is committed with their profiles, so one
+    that comes again after that is left out, and one that comes again before it finds its records in the log, where they
+    count once. A late sample takes its place by seq."""
+
+    def one(batch: DataFrame, number: int) -> None:
+        version = store.version()
+        if version is not None and version.batches.get(name, -1) >= number:
+            return
+        store.add(batch, timestamp=now)
+        store.rebuild(now, batch=(name, number))
+
+    return samples.writeStream.queryName(name).foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def counts_by_kind(log: DataFrame) -> DataFrame:
     """Running counts and words of evidence by kind: state of one row a kind."""
     return log.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum("word_count").alias("words"))
