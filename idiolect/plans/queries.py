@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from idiolect.functions import lexicons as lex
@@ -21,13 +21,17 @@ from idiolect.operators.features import features as feature_rows
 from idiolect.plans import fixtures as fx
 from idiolect.plans import oracle as o
 from idiolect.sources import evidence, files
-from idiolect.sources.scratch import shared_dir
+from idiolect.sources.scratch import cut, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def _sql_list(items: Iterable[str]) -> str:
+    return "[" + ", ".join(map(fx.quoted, items)) + "]"
+
+
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
@@ -69,12 +73,98 @@ SAMPLES = rf"""select writer, seq, nullif(regexp_replace(regexp_replace(lower(co
   (select source as writer, doc_id as seq, lang as context, text from documents union all select * from {FIXTURE_SAMPLES}) where {o.strip("coalesce(text, '')")} <> ''"""
 
 
+# --- inputs of the queries about people: labels stand for what they were asked and chose -----------------------------
+
+_EVERY = cal.ONBOARDING + cal.CALIBRATION
+_ASKED = f"""select doc_id::varchar as writer, doc_id as seq, {_sql_list([q.id for q in _EVERY])}[(doc_id + 3 * coalesce(quality, 0) + 5 * coalesce(toxic, 0)) % {len(_EVERY)} + 1] as question_id from labels
+  union all select * from {fx.values(fx.ASKED, 'writer, seq, question_id')}"""
+_PAIR = f"doc_id % {len(cal.PAIRS)} + 1"
+_OWN_CHOICES = f"""select 'w' || (doc_id % 40) as writer, doc_id as seq, {_sql_list([i for i, _, _ in cal.PAIRS])}[{_PAIR}] as pair_id, {_sql_list([f for _, f, _ in cal.PAIRS])}[{_PAIR}] as formal,
+  {_sql_list([p for _, _, p in cal.PAIRS])}[{_PAIR}] as plain, coalesce(quality, 0) as quality, coalesce(toxic, 0) as toxic from labels"""
+_VERDICTS = f"""(select writer, seq, formal, plain, case when toxic = 1 then null when quality = 1 then plain else formal end as chosen from ({_OWN_CHOICES}) union all select * from {fx.values(fx.VERDICTS, 'writer, seq, formal, plain, chosen')})"""
+_CHOICES = f"""(select writer, seq, pair_id, case when toxic = 1 then ' Neither' when quality = 1 then upper(plain) else formal || ' ' end as answer from ({_OWN_CHOICES}) union all select * from {fx.values(fx.CHOICES, 'writer, seq, pair_id, answer')})"""
+_VOCABULARIES = f"""(select writer, list_sort(list_distinct(coalesce(list(formal) filter (where quality = 1), []))) as avoid, list_sort(list_distinct(coalesce(list(formal) filter (where toxic = 1), []))) as confirmed from ({_OWN_CHOICES}) group by writer
+  union all select * from {fx.values(fx.VOCABULARIES, 'writer, avoid, confirmed')})"""
+_ASKED_PAIRS = f"(select distinct writer, pair_id from ({_OWN_CHOICES}) where toxic = 0 union all select * from {fx.values(fx.ASKED_PAIRS, 'writer, pair_id')})"
+_DOC_STYLES = f"with {o.analysed(o.TEXTS)} " + " union all ".join(
+    f"select doc_id::varchar as writer, '{d.name}' as dimension, round_even(greatest(0e0, least(100e0, {o.raw_score(d)})), 0)::integer as value, {o.rounded(f'least({d.ceiling!r}::double, {d.ceiling!r}::double * (case when words > 0 then least(1e0, words / {float(d.words)!r}::double) else 0e0 end) * {scoring.SINGLE!r}::double)', 2)} as confidence from f"
+    for d in scoring.DIMENSIONS
+)
+_STYLE_ROWS = f"(select * from ({_DOC_STYLES}) union all select writer, dimension, value, confidence::double from {fx.values(fx.STYLES, 'writer, dimension, value, confidence')})"
+
+
+def _pick(items: Iterable[str], place) -> Column:
+    return F.element_at(F.array(*map(F.lit, items)), place.cast("int") + 1)
+
+
+def asked(spark, sf_dir):
+    """writer, seq, question_id: a labelled document's writer answered one question, by its id and labels."""
+    q, t = F.coalesce("quality", F.lit(0)), F.coalesce("toxic", F.lit(0))
+    own = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("writer"), F.col("doc_id").alias("seq"), _pick([x.id for x in _EVERY], (F.col("doc_id") + 3 * q + 5 * t) % len(_EVERY)).alias("question_id"))
+    return own.unionByName(fx.frame(spark, fx.ASKED, "writer string, seq long, question_id string"))
+
+
+def own_choices(spark, sf_dir):
+    """writer, seq, pair_id, formal, plain, quality, toxic: forty writers met a pair of words for each labelled document."""
+    place = F.col("doc_id") % len(cal.PAIRS)
+    of = lambda k: _pick([p[k] for p in cal.PAIRS], place)
+    return table(spark, sf_dir, "labels").select(F.concat(F.lit("w"), (F.col("doc_id") % 40).cast("string")).alias("writer"), F.col("doc_id").alias("seq"), of(0).alias("pair_id"), of(1).alias("formal"), of(2).alias("plain"), F.coalesce("quality", F.lit(0)).alias("quality"), F.coalesce("toxic", F.lit(0)).alias("toxic"))
+
+
+def verdicts(spark, sf_dir):
+    chosen = F.when(F.col("toxic") == 1, None).when(F.col("quality") == 1, F.col("plain")).otherwise(F.col("formal"))
+    own = own_choices(spark, sf_dir).select("writer", "seq", "formal", "plain", chosen.alias("chosen"))
+    return own.unionByName(fx.frame(spark, fx.VERDICTS, "writer string, seq long, formal string, plain string, chosen string"))
+
+
+def choices(spark, sf_dir):
+    answer = F.when(F.col("toxic") == 1, " Neither").when(F.col("quality") == 1, F.upper("plain")).otherwise(F.concat("formal", F.lit(" ")))
+    own = own_choices(spark, sf_dir).select("writer", "seq", "pair_id", answer.alias("answer"))
+    return own.unionByName(fx.frame(spark, fx.CHOICES, "writer string, seq long, pair_id string, answer string"))
+
+
+def vocabularies(spark, sf_dir):
+    """writer, avoid, confirmed: at most a word a pair."""
+    words = lambda label: F.array_sort(F.collect_set(F.when(F.col(label) == 1, F.col("formal"))))
+    own = own_choices(spark, sf_dir).groupBy("writer").agg(words("quality").alias("avoid"), words("toxic").alias("confirmed"))
+    return own.unionByName(fx.frame(spark, fx.VOCABULARIES, "writer string, avoid array<string>, confirmed array<string>"))
+
+
+def asked_pairs(spark, sf_dir):
+    own = own_choices(spark, sf_dir).where("toxic = 0").select("writer", "pair_id").distinct()
+    return own.unionByName(fx.frame(spark, fx.ASKED_PAIRS, "writer string, pair_id string"))
+
+
+def document_styles(spark, sf_dir):
+    """writer, dimension, value, confidence: every text as the one sample of a writer of its own."""
+    from idiolect.functions.numbers import whole
+
+    rows, words = feature_rows(texts(spark, sf_dir), ["doc_id"]), F.col("word_count")
+    confidence = lambda d: rounded(F.least(F.lit(d.ceiling), d.ceiling * scoring.coverage(words, d) * scoring.SINGLE), 2)
+    each = F.array(*(F.struct(F.lit(d.name).alias("dimension"), whole(scoring.clamped(scoring.raw_score(d))).alias("value"), confidence(d).alias("confidence")) for d in scoring.DIMENSIONS))
+    return rows.select(F.col("doc_id").cast("string").alias("writer"), F.inline(each))
+
+
+def styles(spark, sf_dir):
+    """The documents' styles and the fixtures', written down: several reads, one analysis."""
+    return cut(document_styles(spark, sf_dir).unionByName(fx.frame(spark, fx.STYLES, "writer string, dimension string, value int, confidence double")), "styles")
+
+
+def writers(spark, sf_dir):
+    own = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("writer"))
+    return own.unionByName(fx.frame(spark, [(str(fx.BASE_ID + i),) for i in range(len(fx.TEXTS))] + fx.WRITERS, "writer string"))
+
+
 # --- sources -----------------------------------------------------------------------------------------------------
 
 
-@query(f"select value, case when regexp_matches(value, '^.+:[^/:\\\\]+$') then regexp_extract(value, '^(.+):([^/:\\\\]+)$', 1) else value end as path, case when regexp_matches(value, '^.+:[^/:\\\\]+$') then regexp_replace(lower(trim(regexp_extract(value, '^(.+):([^/:\\\\]+)$', 2))), '\\s+', '-', 'g') end as label from {fx.values(fx.ARGUMENTS, 'value')}")
+_TAILS = ("", ":Work Notes", ":", ":a/b", ": x ")
+
+
+@query(f"with v as (select url || {_sql_list(_TAILS)}[page_id % {len(_TAILS)} + 1] as value from pages union all select * from {fx.values(fx.ARGUMENTS, 'value')}) select value, case when regexp_matches(value, '^.+:[^/:\\\\]+$') then regexp_extract(value, '^(.+):([^/:\\\\]+)$', 1) else value end as path, case when regexp_matches(value, '^.+:[^/:\\\\]+$') then nullif(regexp_replace(lower(trim(regexp_extract(value, '^(.+):([^/:\\\\]+)$', 2))), '\\s+', '-', 'g'), '') end as label from v")
 def sample_arguments(spark, sf_dir):
-    return fx.frame(spark, fx.ARGUMENTS, "value string").select("value", F.inline(F.array(tx.sample_argument(F.col("value")))))
+    own = table(spark, sf_dir, "pages").select(F.concat("url", _pick(_TAILS, F.col("page_id") % len(_TAILS))).alias("value"))
+    return own.unionByName(fx.frame(spark, fx.ARGUMENTS, "value string")).select("value", F.inline(F.array(tx.sample_argument(F.col("value")))))
 
 
 @query("select event_id, k as question_id, json_extract_string(props, '$.\"' || k || '\"') as answer from events, unnest(json_keys(props::json)) as u(k)")
@@ -82,11 +172,24 @@ def json_answers(spark, sf_dir):
     return files.answers(table(spark, sf_dir, "events").select("event_id", "props"), "props")
 
 
-@query(f"""with p as (select value, try_cast(value as json) as j from {fx.values(fx.LOG, 'value')} where trim(value) <> '')
+_LINES = f"""select case doc_id % 5 when 4 then substr(line, 1, length(line) - 3) when 3 then replace(line, '"source"', '"origin"') else line end as value
+  from (select doc_id, '{{"id":"writ_' || doc_id || '","kind":"writing_sample","source":"' || source || '","timestamp":"2024-01-01T00:00:00+00:00","word_count":' || length(coalesce(text, '')) || ',"text_ref":"samples/' || doc_id || '.txt","meta":{{"context":"' || lang || '"}}}}' as line from documents)
+  union all select * from {fx.values(fx.LOG, 'value')}"""
+
+
+@query(f"""with p as (select value, try_cast(value as json) as j from ({_LINES}) where trim(value) <> '')
 select j->>'$.id' as id, j->>'$.kind' as kind, j->>'$.source' as source, (j->>'$.word_count')::bigint as word_count, j->>'$.text_ref' as text_ref, j->>'$.meta.context' as context, j->>'$.meta.formal' as formal
 from p where json_type(j) = 'OBJECT' and j->>'$.id' is not null and j->>'$.timestamp' is not null and j->>'$.kind' is not null and j->>'$.source' is not null and j->>'$.word_count' is not null""")
 def evidence_log(spark, sf_dir):
-    return evidence.parsed(fx.frame(spark, fx.LOG, "value string")).select("id", "kind", "source", "word_count", "text_ref", F.col("meta.context").alias("context"), F.col("meta.formal").alias("formal"))
+    """Documents as lines of the log; of five, one line is cut off and one lacks a field."""
+    ref = F.concat(F.lit("samples/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    line = F.to_json(F.struct(
+        F.concat(F.lit("writ_"), F.col("doc_id").cast("string")).alias("id"), F.lit("writing_sample").alias("kind"), "source", F.lit("2024-01-01T00:00:00+00:00").alias("timestamp"),
+        F.length(F.coalesce("text", F.lit(""))).alias("word_count"), ref.alias("text_ref"), F.struct(F.col("lang").alias("context")).alias("meta"),
+    ))
+    broken = F.when(F.col("doc_id") % 5 == 4, F.expr("substr(line, 1, length(line) - 3)")).when(F.col("doc_id") % 5 == 3, F.replace("line", F.lit('"source"'), F.lit('"origin"'))).otherwise(F.col("line"))
+    lines = table(spark, sf_dir, "documents").withColumn("line", line).select(broken.alias("value")).unionByName(fx.frame(spark, fx.LOG, "value string"))
+    return evidence.parsed(lines).select("id", "kind", "source", "word_count", "text_ref", F.col("meta.context").alias("context"), F.col("meta.formal").alias("formal"))
 
 
 @query("select doc_id, 'writ_' || substr(sha256('writing_sample:' || doc_id || ':' || text), 1, 12) as id from documents")
@@ -106,13 +209,13 @@ def samples_without_evidence(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
 
 
-@query(f"""with v as (select * from {fx.values(fx.CHOICES, 'writer, seq, pair_id, answer')}), p as (select * from {fx.values([(i, f, q) for i, f, q in cal.PAIRS], 'pair_id, formal, plain')})
+@query(f"""with v as (select * from {_CHOICES}), p as (select * from {fx.values([(i, f, q) for i, f, q in cal.PAIRS], 'pair_id, formal, plain')})
 select writer, seq, v.pair_id, formal, plain, case when lower(trim(answer)) in ('neither', 'n', 'none') then null else lower(trim(answer)) end as chosen from v join p on v.pair_id = p.pair_id""")
 def scripted_choices(spark, sf_dir):
-    return cal.scripted_choices(fx.frame(spark, fx.CHOICES, "writer string, seq long, pair_id string, answer string"))
+    return cal.scripted_choices(choices(spark, sf_dir))
 
 
-@query(f"""with v as (select * from {fx.values(fx.CHOICES, 'writer, seq, pair_id, answer')}), p as (select * from {fx.values([(i, f, q) for i, f, q in cal.PAIRS], 'pair_id, formal, plain')}),
+@query(f"""with v as (select * from {_CHOICES}), p as (select * from {fx.values([(i, f, q) for i, f, q in cal.PAIRS], 'pair_id, formal, plain')}),
 c as (select writer, seq, v.pair_id, case when lower(trim(answer)) in ('neither', 'n', 'none') then 'neither' else lower(trim(answer)) end as picked from v join p on v.pair_id = p.pair_id)
 select 'cali_' || substr(sha256('calibration_choice:' || seq || ':' || pair_id || ':' || picked), 1, 12) as id, pair_id as source, nullif(picked, 'neither') as chosen from c""")
 def choice_records(spark, sf_dir):
@@ -620,23 +723,19 @@ def rendered_profiles(spark, sf_dir):
     return p.select("writer", render.summary().alias("summary"), render.instructions().alias("instructions"), render.report().alias("report"), render.block(render.instructions()).alias("block"))
 
 
-_VERDICTS = fx.values(fx.VERDICTS, "writer, seq, formal, plain, chosen")
-
-
 @query(f"""with v as (select *, coalesce(chosen <> formal, true) as avoids from {_VERDICTS}), w as (select *, coalesce(lag(avoids) over (partition by writer, formal order by seq) <> avoids, true) as moved from v)
 select writer, formal, arg_max(avoids, seq) as avoids, max(seq) filter (where moved)::bigint as since from w group by 1, 2""")
 def verdict_latest_wins(spark, sf_dir):
-    return profile.latest_verdicts(fx.frame(spark, fx.VERDICTS, "writer string, seq long, formal string, plain string, chosen string"))
+    return profile.latest_verdicts(verdicts(spark, sf_dir))
 
 
 @query(f"""with v as (select *, coalesce(chosen <> formal, true) as avoids from {_VERDICTS}), w as (select *, coalesce(lag(avoids) over (partition by writer, formal order by seq) <> avoids, true) as moved from v),
 l as (select writer, formal, arg_max(avoids, seq) as avoids, max(seq) filter (where moved) as since from w group by 1, 2),
 c as (select writer, coalesce(list(formal order by since) filter (where avoids), []) as against, coalesce(list(formal order by since) filter (where not avoids), []) as pro from l group by 1),
-g as (select x.writer, x.avoid, coalesce(against, []) as against, coalesce(pro, []) as pro from {fx.values(fx.VOCABULARIES, 'writer, avoid, confirmed')} x left join c on x.writer = c.writer)
+g as (select x.writer, x.avoid, coalesce(against, []) as against, coalesce(pro, []) as pro from {_VOCABULARIES} x left join c on x.writer = c.writer)
 select writer, array_to_string(list_concat(against, list_filter(avoid, lambda a: not list_contains(against, a) and not list_contains(pro, a))[1:greatest(0, 12 - len(against))]), '|') as avoid, array_to_string(list_concat(['so'], list_filter(pro, lambda a: a <> 'so')), '|') as prefer from g""")
 def avoid_merge(spark, sf_dir):
-    chosen = profile.chosen_words(fx.frame(spark, fx.VERDICTS, "writer string, seq long, formal string, plain string, chosen string"))
-    rows = fx.frame(spark, fx.VOCABULARIES, "writer string, avoid array<string>, confirmed array<string>").join(chosen, "writer", "left")
+    rows = vocabularies(spark, sf_dir).join(profile.chosen_words(verdicts(spark, sf_dir)), "writer", "left")
     none = F.array().cast("array<string>")
     against, pro = F.coalesce("against", none), F.coalesce("chosen_for", none)
     return rows.select("writer", F.array_join(profile.merged_avoid(F.col("avoid"), against, pro), "|").alias("avoid"), F.array_join(profile.merged_prefer(F.array(F.lit("so")), pro), "|").alias("prefer"))
@@ -644,11 +743,10 @@ def avoid_merge(spark, sf_dir):
 
 # --- calibration -------------------------------------------------------------------------------------------------
 
-_STYLE = "writer string, dimension string, value int, confidence double"
 _DIMS = fx.values([(i, d.name, d.ceiling, d.importance) for i, d in enumerate(scoring.DIMENSIONS)], "place, dimension, ceiling, importance")
 _BANK = fx.values([(q.id, i, t, q in cal.CALIBRATION) for q in cal.ONBOARDING + cal.CALIBRATION for i, t in enumerate(q.targets)], "question_id, position, target, calibrates")
-_CALIBRATION = f"""with s as (select * from {fx.values(fx.STYLES, 'writer, dimension, value, confidence')}), w as (select * from {fx.values(fx.WRITERS, 'writer')}), d as (select * from {_DIMS}), k as (select * from {_BANK}),
-a as (select * from {fx.values(fx.ASKED, 'writer, seq, question_id')}), dk as (select * from (values (0, 1e0), (1, 0.6e0), (2, 0.36e0)) as v(position, decay)),
+_CALIBRATION = f"""with s as materialized (select * from {_STYLE_ROWS}), w as (select distinct writer from s union select * from {fx.values(fx.WRITERS, 'writer')}), d as (select * from {_DIMS}), k as (select * from {_BANK}),
+a as ({_ASKED}), dk as (select * from (values (0, 1e0), (1, 0.6e0), (2, 0.36e0)) as v(position, decay)),
 u as (select w.writer, d.place, d.dimension, d.importance::double as importance, {o.rounded('greatest(0e0, least(1e0, (ceiling::double - coalesce(confidence::double, 0e0)) / ceiling::double))', 4)} as uncertainty from w cross join d left join s on s.writer = w.writer and s.dimension = d.dimension),
 sat as (select writer, target, sum(decay) as saturation from a join k on a.question_id = k.question_id join dk on dk.position = k.position group by 1, 2),
 p as (select u.*, coalesce(saturation, 0e0) as saturation, {o.rounded('uncertainty * importance / (1e0 + coalesce(saturation, 0e0))', 6)} as priority from u left join sat on sat.writer = u.writer and sat.target = u.dimension),
@@ -656,31 +754,19 @@ q as (select p.writer, k.question_id, k.position, k.target, {o.rounded('uncertai
 qs as (select writer, question_id, {o.rounded('sum(v)', 6)} as priority, string_agg(target, ', ' order by v desc, target) filter (where v > 0) as reason from q group by 1, 2)"""
 
 
-def styles(spark):
-    return fx.frame(spark, fx.STYLES, _STYLE)
-
-
-def asked(spark):
-    return fx.frame(spark, fx.ASKED, "writer string, seq long, question_id string")
-
-
-def writers(spark):
-    return fx.frame(spark, fx.WRITERS, "writer string")
-
-
 @query(_CALIBRATION + " select writer, dimension, uncertainty, round(saturation, 6) as saturation, priority from p")
 def dimension_priority(spark, sf_dir):
-    return cal.worth(styles(spark), asked(spark), writers(spark)).select("writer", "dimension", "uncertainty", F.round("saturation", 6).alias("saturation"), "priority")
+    return cal.worth(styles(spark, sf_dir), asked(spark, sf_dir), writers(spark, sf_dir)).select("writer", "dimension", "uncertainty", F.round("saturation", 6).alias("saturation"), "priority")
 
 
 @query(_CALIBRATION + " select writer, dimension, priority, rank from (select *, row_number() over (partition by writer order by priority desc, dimension)::integer as rank from p) where rank <= 3")
 def weakest_dimensions(spark, sf_dir):
-    return cal.weakest(styles(spark), asked(spark), writers(spark)).select("writer", "dimension", "priority", "rank")
+    return cal.weakest(styles(spark, sf_dir), asked(spark, sf_dir), writers(spark, sf_dir)).select("writer", "dimension", "priority", "rank")
 
 
 @query(_CALIBRATION + " select writer, question_id, priority, reason, row_number() over (partition by writer order by priority desc, question_id)::integer as rank from qs where not exists (select 1 from a where a.writer = qs.writer and a.question_id = qs.question_id)")
 def question_rank(spark, sf_dir):
-    return cal.rank_questions(styles(spark), asked(spark), writers(spark))
+    return cal.rank_questions(styles(spark, sf_dir), asked(spark, sf_dir), writers(spark, sf_dir))
 
 
 def _rounds() -> str:
@@ -699,27 +785,35 @@ best{i} as (select writer, question_id, {o.rounded('sum(v)', 6)} as priority fro
 
 @query(_rounds())
 def question_selection(spark, sf_dir):
-    return cal.select_questions(styles(spark), asked(spark), writers(spark))
+    return cal.select_questions(styles(spark, sf_dir), asked(spark, sf_dir), writers(spark, sf_dir))
 
 
-@query(f"""with v as (select * from {fx.values(fx.VOCABULARIES, 'writer, avoid, confirmed')}), p as (select * from {fx.values([(i, k, f, q) for k, (i, f, q) in enumerate(cal.PAIRS)], 'pair_id, place, formal, plain')}), a as (select * from {fx.values(fx.ASKED_PAIRS, 'writer, pair_id')}),
+@query(f"""with v as (select * from {_VOCABULARIES}), p as (select * from {fx.values([(i, k, f, q) for k, (i, f, q) in enumerate(cal.PAIRS)], 'pair_id, place, formal, plain')}), a as (select * from {_ASKED_PAIRS}),
 r as (select writer, pair_id, formal, plain, list_contains(avoid, formal) and not list_contains(confirmed, formal) as pending, place from v cross join p where not exists (select 1 from a where a.writer = v.writer and a.pair_id = p.pair_id))
 select writer, pair_id, formal, plain, pending, rank from (select *, row_number() over (partition by writer order by pending desc, place)::integer as rank from r) where rank <= 3""")
 def pair_rank(spark, sf_dir):
-    return cal.select_pairs(fx.frame(spark, fx.VOCABULARIES, "writer string, avoid array<string>, confirmed array<string>"), fx.frame(spark, fx.ASKED_PAIRS, "writer string, pair_id string"))
+    return cal.select_pairs(vocabularies(spark, sf_dir), asked_pairs(spark, sf_dir))
 
 
-@query(f"select writer, question_id as source, min(seq)::bigint as since from {fx.values(fx.ASKED, 'writer, seq, question_id')} where question_id in {o.lit(q.id for q in cal.ONBOARDING + cal.CALIBRATION)} group by 1, 2")
+@query(f"select writer, question_id as source, min(seq)::bigint as since from ({_ASKED}) where question_id in {o.lit(q.id for q in cal.ONBOARDING + cal.CALIBRATION)} group by 1, 2")
 def answered_questions(spark, sf_dir):
-    log = asked(spark).withColumnRenamed("question_id", "source")
+    log = asked(spark, sf_dir).withColumnRenamed("question_id", "source")
     return evidence.answered(log, cal.question_bank(spark, cal.ONBOARDING + cal.CALIBRATION), ["writer"])
 
 
-@query(f"""with a as (select * from {fx.values(fx.STYLES, 'writer, dimension, value, confidence')} where writer = 'ada'), b as (select * from {fx.values(fx.STYLES, 'writer, dimension, value, confidence')} where writer = 'ben')
-select 'x' as writer, coalesce(a.dimension, b.dimension) as dimension, a.confidence::double as before, b.confidence::double as after, {o.rounded('abs(b.confidence::double - a.confidence::double)', 4)} as delta, case when b.confidence > a.confidence then 'up' else 'down' end as direction from a full join b on a.dimension = b.dimension where {o.rounded('abs(b.confidence::double - a.confidence::double)', 4)} >= 0.01""")
+@query(f"""with st as materialized (select * from {_STYLE_ROWS}), k as (select case writer when 'ada' then 'x' when 'ben' then 'x' else (writer::bigint // 2)::varchar end as writer, case writer when 'ada' then 0 when 'ben' then 1 else writer::bigint % 2 end as side, dimension, confidence from st),
+a as (select * from k where side = 0), b as (select * from k where side = 1),
+m as (select coalesce(a.writer, b.writer) as writer, coalesce(a.dimension, b.dimension) as dimension, a.confidence::double as before, b.confidence::double as after, coalesce(a.confidence, 0)::double as x, coalesce(b.confidence, 0)::double as y from a full join b on a.writer = b.writer and a.dimension = b.dimension)
+select writer, dimension, before, after, {o.rounded('abs(y - x)', 4)} as delta, case when y > x then 'up' else 'down' end as direction from m where {o.rounded('abs(y - x)', 4)} >= 0.01""")
 def confidence_movement(spark, sf_dir):
-    flat = lambda w: styles(spark).where(F.col("writer") == w).groupBy(F.lit("x").alias("writer")).agg(F.collect_list(F.struct("dimension", "value", "confidence")).alias("style"))
-    return profile.movement(flat("ada"), flat("ben"), ["writer"])
+    """From the style of each document with an even id to that of the one after it."""
+    named = {"ada": ("x", 0), "ben": ("x", 1)}
+    number = F.col("writer").try_cast("long")
+    key = F.when(F.col("writer").isin(*named), "x").otherwise(F.floor(number / 2).cast("string"))
+    side = F.when(F.col("writer") == "ada", 0).when(F.col("writer") == "ben", 1).otherwise(number % 2)
+    rows = styles(spark, sf_dir).select(key.alias("writer"), side.alias("side"), "dimension", "value", "confidence")
+    flat = lambda k: rows.where(F.col("side") == k).groupBy("writer").agg(F.collect_list(F.struct("dimension", "value", "confidence")).alias("style"))
+    return profile.movement(flat(0), flat(1), ["writer"])
 
 
 # --- rendering ---------------------------------------------------------------------------------------------------
@@ -727,17 +821,19 @@ def confidence_movement(spark, sf_dir):
 _PHRASES = fx.values([(d, high, p) for d, phrases in render.PHRASES.items() for high, p in zip((20, 40, 60, 80, 100), phrases)], "dimension, high, phrase")
 
 
-@query(f"""with s as (select * from {fx.values(fx.STYLES, 'writer, dimension, value, confidence')}), p as (select * from {_PHRASES})
+@query(f"""with s as (select * from {_STYLE_ROWS}), p as (select * from {_PHRASES})
 select writer, s.dimension, (select arg_min(phrase, high) from p where p.dimension = s.dimension and s.value <= high) as phrase, confidence >= 0.45 as established,
 repeat('█', round_even(value / 100e0 * 10, 0)::integer) || repeat('░', 10 - round_even(value / 100e0 * 10, 0)::integer) as bar, case when confidence >= 0.7 then '  ' when confidence >= 0.45 then ' ?' else ' ??' end as doubt from s""")
 def describe_bands(spark, sf_dir):
-    s = styles(spark)
+    s = styles(spark, sf_dir)
     return s.select("writer", "dimension", render.describe(F.col("dimension"), F.col("value")).alias("phrase"), (F.col("confidence") >= render.THRESHOLD).alias("established"), render.bar(F.col("value")).alias("bar"), render.doubt(F.col("confidence")).alias("doubt"))
 
 
-@query(f"select id, case len(x) when 0 then '' when 1 then x[1] else array_to_string(x[:-2], ', ') || ' and ' || x[-1] end as joined from {fx.values(fx.LISTS, 'id, x')}")
+@query(f"with l as (select page_id as id, list_filter(string_split(url, '/'), lambda p: p <> '') as x from pages union all select -id, x from {fx.values(fx.LISTS, 'id, x')}) select id, case len(x) when 0 then '' when 1 then x[1] else array_to_string(x[:-2], ', ') || ' and ' || x[-1] end as joined from l")
 def english_lists(spark, sf_dir):
-    return fx.frame(spark, fx.LISTS, "id int, x array<string>").select("id", tx.english_list(F.col("x")).alias("joined"))
+    own = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.filter(F.split("url", "/"), lambda p: p != "").alias("x"))
+    rows = own.unionByName(fx.frame(spark, [(-i, x) for i, x in fx.LISTS], "id long, x array<string>"))
+    return rows.select("id", tx.english_list(F.col("x")).alias("joined"))
 
 
 _START, _END = render.markers()
@@ -750,9 +846,29 @@ _SPLICED = [
 ]
 
 
-@query(f"select id, text, action, error from {fx.values(_SPLICED, 'id, text, action, error')}")
+_MARKED = {1: ("", f"{_START}\nold\n{_END}\n"), 2: ("", ""), 3: (f"\n{_START}\nno end", ""), 4: (f"\n{_END}", "")}
+_FAULTS = {3: "a start without an end", 4: "an end without a start"}
+
+
+def _spliced() -> str:
+    """Documents as files: as they are, after a block, before a start or an end alone."""
+    nl, new = "chr(10)", fx.quoted(_NEW)
+    ended = lambda x: f"case when right({x}, 1) = {nl} then {x} else {x} || {nl} end"
+    body = f"case k when 1 then {ended(f'({new} || {nl} || unix)')} else regexp_replace(unix, '\n+$', '') || {nl} || {nl} || {new} || {nl} end"
+    good = f"case when blank and k <> 1 then {new} || {nl} when contains(t, chr(13) || chr(10)) then replace({body}, {nl}, chr(13) || chr(10)) else {body} end"
+    fault = f"case k when 3 then {fx.quoted(_FAULTS[3])} when 4 then {fx.quoted(_FAULTS[4])} end"
+    return f"""with d as (select doc_id + 100 as id, coalesce(text, '') as t, doc_id % 5 as k from documents), u as (select *, replace(t, chr(13) || chr(10), {nl}) as unix, {o.strip('t')} = '' as blank from d)
+select id, case when {fault} is null then {good} end as text, case when {fault} is null then case when k = 1 then 'replaced' when blank then 'created' else 'appended' end end as action, {fault} as error from u
+union all select id, text, action, error from {fx.values(_SPLICED, 'id, text, action, error')}"""
+
+
+@query(_spliced())
 def splice_block(spark, sf_dir):
-    rows = fx.frame(spark, _FILES, "id int, existing string")
+    kind, text = F.col("doc_id") % 5, F.coalesce("text", F.lit(""))
+    before = F.when(kind == 1, _MARKED[1][1]).otherwise("")
+    after = F.when(kind == 3, _MARKED[3][0]).when(kind == 4, _MARKED[4][0]).otherwise("")
+    own = table(spark, sf_dir, "documents").select((F.col("doc_id") + 100).alias("id"), F.concat(before, text, after).alias("existing"))
+    rows = own.unionByName(fx.frame(spark, _FILES, "id long, existing string"))
     return rows.select("id", F.inline(F.array(render.splice(F.col("existing"), F.lit(_NEW)))))
 
 
