@@ -17,16 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the session has it; a folder of our own only where it is unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    """spark.checkpoint.dir as the session has it, or the context's checkpoint folder; a folder of our own only where
+    neither is set and all is one machine, as in tests."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if found.isDefined():
-            return found.get()
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         at = tempfile.mkdtemp(prefix="idiolect-")
         atexit.register(shutil.rmtree, at, True)
-        spark.sparkContext.setCheckpointDir(at)
-        at = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+        spark.conf.set("spark.checkpoint.dir", at)
     return at
 
 
