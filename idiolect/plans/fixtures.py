@@ -59,6 +59,7 @@ LOG = [
     '{"id": "onbo_3", "kind": "onboarding_response", "source": "onboarding_work", "timestamp": "2024-01-04T00:00:00+00:00", "word_count": 9, "text_ref": "samples/b.txt", "meta": {"targets": ["warmth"]}}',
 ]
 ARGUMENTS = ["notes.txt", "notes.txt:Work", "dir:x/notes.txt", "a:b:Two Words", "notes.txt:", ":work"]
+TYPED = [(-1, "one\n\ntwo\nlines\n\n\nthree"), (-2, "\n\nafter two\n\n\n\n\nx"), (-3, "a paste\n\nof two\n . \nmore\n.\n.\nend"), (-4, "")]
 LISTS = [(1, []), (2, ["a"]), (3, ["a", "b"]), (4, ["a", "b", "c"])]
 _GOOD = '"version": "1.0", "profile_id": "p", "style": {"warmth": {"value": 5, "confidence": 0.5}}, "metadata": {"sample_count": 1, "word_count": 2}'
 DOCUMENTS = [  # id, json

@@ -192,6 +192,25 @@ def evidence_log(spark, sf_dir):
     return evidence.parsed(lines).select("id", "kind", "source", "word_count", "text_ref", F.col("meta.context").alias("context"), F.col("meta.formal").alias("formal"))
 
 
+_TYPED = f"""t as (select doc_id, text from documents where text is not null union all select * from {fx.values(fx.TYPED, 'doc_id, text')}),
+l as (select doc_id, i - 1 as n, x[i] as line, {o.strip('x[i]')} as bare from (select doc_id, string_split(text, chr(10)) as x from t), unnest(range(1, len(x) + 1)) as u(i)),
+a as (select *, last_value(case when bare <> '' then n end ignore nulls) over (partition by doc_id order by n rows between unbounded preceding and 1 preceding) as filled from l),
+e as (select doc_id, n, line, 'answer' as kind, bare = '' and (n - coalesce(filled, -1)) % 2 = case when filled is null then 0 else 1 end as ends from a union all select doc_id, n, line, 'paste', bare = '.' from l),
+k as (select *, coalesce(sum(ends::integer) over (partition by doc_id, kind order by n rows between unbounded preceding and 1 preceding), 0)::bigint as entry from e),
+g as (select doc_id, kind, entry, {o.strip("coalesce(string_agg(line, chr(10) order by n) filter (where not ends), '')")} as text from k group by 1, 2, 3)"""
+
+
+@query(f"with {_TYPED} select doc_id, kind, entry, length(text)::bigint as chars, sha256(text) as text_sha256 from g")
+def typed_entries(spark, sf_dir):
+    """Documents as what somebody types, read as answers and as pastes."""
+    own = fx.frame(spark, fx.TYPED, "doc_id long, text string")
+    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "text").where("text is not null")).unionByName(own)
+    lines = rows.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("n", "line"))
+    read = lambda kind, paste: files.entered(lines, ["doc_id"], paste).withColumn("kind", F.lit(kind))
+    both = read("answer", False).unionByName(read("paste", True))
+    return both.select("doc_id", "kind", "entry", F.length("text").cast("long").alias("chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
 @query("select doc_id, 'writ_' || substr(sha256('writing_sample:' || doc_id || ':' || text), 1, 12) as id from documents")
 def evidence_ids(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", evidence.new_id(F.col("text"), F.lit("writing_sample"), F.col("doc_id")).alias("id"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from idiolect.functions import text as tx
@@ -31,6 +31,29 @@ def answers(lines: DataFrame, column: str = "value") -> DataFrame:
     return lines.select(*(c for c in lines.columns if c != column), F.explode(checked).alias("question_id", "answer"))
 
 
+PASTE_END = "."
+
+
+def entered(lines: DataFrame, keys: list[str], paste: bool = False) -> DataFrame:
+    """(keys, entry, text): what was typed in each session. lines: keys, n (from 0), line.
+
+    An answer ends at a blank line that is not its first; a paste, which has paragraphs, at a line that is a full stop
+    alone; the last of a session with its lines. Of a run of blank lines after an answer every second one ends an entry,
+    beginning with the first, and at the start of a session with the second, as the others are first lines themselves."""
+    w = Window.partitionBy(*keys).orderBy("n")
+    bare = tx.strip(F.col("line"))
+    if paste:
+        ended = lines.withColumn("ends", bare == PASTE_END)
+    else:
+        filled = F.last(F.when(bare != "", F.col("n")), True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+        rows = lines.withColumn("filled", filled)
+        place = F.col("n") - F.coalesce("filled", F.lit(-1))
+        ended = rows.withColumn("ends", (bare == "") & (place % 2 == F.when(F.col("filled").isNull(), 0).otherwise(1)))
+    entry = F.coalesce(F.sum(F.col("ends").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    kept = F.array_sort(F.collect_list(F.when(~F.col("ends"), F.struct("n", "line"))))
+    return ended.withColumn("entry", entry).groupBy(*keys, "entry").agg(tx.strip(F.array_join(F.transform(kept, lambda x: x["line"]), "\n")).alias("text"))
+
+
 def metric_dump(analysed: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, json) of all metrics of analysed texts, their word lists and recurring phrases. Texts of equal keys would
     share their lists; a null key is none."""
