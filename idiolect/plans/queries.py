@@ -242,6 +242,14 @@ def choice_records(spark, sf_dir):
     return rows.select("id", "source", F.col("meta.chosen").alias("chosen"))
 
 
+@query(f"""with v as (select * from {_CHOICES}), p as (select * from {fx.values([(i, f, q) for i, f, q in cal.PAIRS], 'pair_id, formal, plain')})
+select writer, seq, formal, plain, case when lower(trim(answer)) in ('neither', 'n', 'none') then null else lower(trim(answer)) end as chosen from v join p on v.pair_id = p.pair_id""")
+def logged_verdicts(spark, sf_dir):
+    """Choices as records of the log, and read from it again."""
+    records = evidence.choice_records(scripted_choices(spark, sf_dir), F.lit("2024-01-01T00:00:00+00:00"))
+    return evidence.verdicts(records).select("writer", "seq", "formal", "plain", "chosen")
+
+
 # --- normalising and segmenting ----------------------------------------------------------------------------------
 
 
@@ -311,6 +319,12 @@ def mtld_in_sql(spark, sf_dir):
     return tx.normalised(texts(spark, sf_dir)).select("doc_id", m.mtld_expression(tx.tokens(F.col("norm"))).alias("vocabulary_diversity"))
 
 
+@query(f"with {o.base(o.TEXTS)} select doc_id, (i - 1)::integer as pos, lengths[i]::integer as words from b, unnest(range(1, len(lengths) + 1)) as u(i)")
+def sentence_lengths(spark, sf_dir):
+    """The words of each sentence that has any."""
+    return measured(spark, sf_dir).select("doc_id", F.posexplode(m.basic()["sentence_lengths"]).alias("pos", "words"))
+
+
 def _bands() -> str:
     rows = []
     for k in m.MARKS:
@@ -572,6 +586,24 @@ def profile_structure(spark, sf_dir):
     return p.select("writer", "metadata.word_count", "metadata.sentence_count", F.col("syntax.average_sentence_length").alias("avg_sentence_length"), *(F.col(f"syntax.{c}") for c in ("contraction_preference", "fragment_preference", "passive_preference", "vocabulary_diversity")), *(F.col(f"structure.{c}") for c in ("paragraph_length", "heading_preference", "bullet_preference")))
 
 
+_FACTORS = {d.name: f"(case when words > 0 then least(1e0, words / {float(d.words)!r}::double) else 0e0 end)" for d in scoring.DIMENSIONS}
+
+
+@query(f"with {o.analysed(o.TEXTS)} " + " union all ".join(f"select doc_id, '{d.name}' as dimension, '{x}' as feature, {o.contribution(x, w)} as contribution, {d.ceiling!r}::double as ceiling, {o.rounded(_FACTORS[d.name], 3)} as coverage, {scoring.SINGLE!r}::double as consistency from f" for d in scoring.DIMENSIONS for x, w in d.weights))
+def explained_scores(spark, sf_dir):
+    """Each document as the one sample of a writer of its own: what made its scores, and the factors of their confidence."""
+    rows = feature_rows(texts(spark, sf_dir), ["doc_id"]).select("doc_id", "word_count", *FEATURES)
+    told = scoring.explained(scoring.results(rows, scoring.sample_spread(rows, ["doc_id"]), ["doc_id"]))
+    return told.select("doc_id", "dimension", F.inline("contributions"), "confidence_factors").select("doc_id", "dimension", "feature", "contribution", "confidence_factors.*")
+
+
+@query(f"with s as (select * from {_STYLE_ROWS}), d as (select * from {fx.values([(i, d.name) for i, d in enumerate(scoring.DIMENSIONS)], 'place, dimension')}) select writer, coalesce(array_to_string(list(s.dimension order by place) filter (where confidence >= {render.THRESHOLD!r}::double), '|'), '') as confident from s join d on s.dimension = d.dimension group by writer")
+def confident_dimensions(spark, sf_dir):
+    place = F.create_map(*(F.lit(x) for i, n in enumerate(scoring.NAMES) for x in (n, i)))
+    rows = styles(spark, sf_dir).groupBy("writer").agg(F.array_sort(F.collect_list(F.struct(place[F.col("dimension")].alias("place"), "dimension", "value", "confidence"))).alias("style"))
+    return rows.select("writer", F.array_join(profile.confident(F.col("style"), render.THRESHOLD), "|").alias("confident"))
+
+
 @query(f"""with {o.analysed(CORPORA, 'writer')}, k as (select writer, count(*) as sample_count from ({SAMPLES}) group by writer)
 select f.writer, sample_count, words::bigint as word_count, sentence_count::bigint as sentence_count, {o.FEATURE_LIST} from f join k on f.writer = k.writer""")
 def additive_profiles(spark, sf_dir):
