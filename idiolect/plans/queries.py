@@ -15,7 +15,7 @@ from idiolect.functions import text as tx
 from idiolect.functions.numbers import rounded
 from idiolect.operators import calibration as cal
 from idiolect.operators import metrics as m
-from idiolect.operators import profile, render, scoring, vocabulary
+from idiolect.operators import contexts, profile, render, scoring, vocabulary
 from idiolect.operators.features import FEATURES, analyse, long_form
 from idiolect.operators.features import features as feature_rows
 from idiolect.plans import fixtures as fx
@@ -568,6 +568,23 @@ def context_profiles(spark, sf_dir):
     return rows.select("writer", "context", "dimension", "value", "confidence", "word_count")
 
 
+_LABELLED = rf"""select writer, context, text, earlier from (select source as writer, nullif(regexp_replace(regexp_replace(lower(lang), '^\s+|\s+$', '', 'g'), '\s+', '-', 'g'), '') as context, text,
+  doc_id in (select doc_id from labels) as earlier from documents) where context is not null and {o.strip("coalesce(text, '')")} <> ''"""
+
+
+@query(f"""with {o.base(f"select row_number() over () as doc_id, writer, context, earlier, text from ({_LABELLED})", "doc_id, writer, context, earlier")},
+k as (select writer, context, coalesce(sum(words) filter (where earlier), 0) as had, sum(words) filter (where not earlier) as asked from b group by writer, context),
+l as (select writer, string_agg(context, ', ' order by context) as listed from k where had >= 200 group by writer)
+select k.writer, context, coalesce(listed, 'none yet') as listed, (case when had >= 200 then had else had + asked end)::bigint as words,
+case when had >= 200 then 'known' when had + asked >= 200 then 'started' else 'too short' end as status from k left join l on k.writer is not distinct from l.writer where asked is not null""")
+def started_contexts(spark, sf_dir):
+    """Documents with labels are what their sources wrote before; each of the others asks for a context."""
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("writer"), F.col("doc_id").alias("seq"), F.col("lang").alias("context"), "text")
+    docs = spread(docs.where(tx.strip(F.coalesce("text", F.lit(""))) != ""))
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("seq"))
+    return contexts.outcomes(docs.join(labels, "seq", "left_semi"), docs.join(labels, "seq", "left_anti"))
+
+
 @query(f"""with c as ({CONTEXT_SCORED} select r.writer, r.context, dimension, value, confidence from r join f_w on r.writer = f_w.writer and r.context = f_w.context where f_w.word_count >= 200),
 w as ({SCORED} select writer, dimension, value from r),
 d as (select c.writer, context, c.dimension, c.value, c.value - w.value as delta from c join w on c.writer = w.writer and c.dimension = w.dimension where confidence >= 0.45 and abs(c.value - w.value) >= 10)

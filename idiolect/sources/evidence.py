@@ -11,6 +11,8 @@ from idiolect.operators.calibration import NEITHER
 from idiolect.operators.features import FEATURES
 
 KINDS = ("onboarding_response", "calibration_response", "writing_sample", "manual_edit", "calibration_choice", "observed_edit")
+#: Records without a seq of their own are numbered from here.
+LATE = 1 << 40
 REQUIRED = ("id", "timestamp", "kind", "source", "word_count")
 # Fields in the order of their names, as the lines have them. seq and writer are ours: the order of a log that is many
 # files, and whose it is.
@@ -112,7 +114,7 @@ def in_order(log: DataFrame) -> DataFrame:
         named = named.withColumn("seq", F.lit(None).cast("long"))
     late = named.where("seq is null")
     w = Window.partitionBy("writer").orderBy("timestamp", "id")
-    return named.where("seq is not null").unionByName(late.withColumn("seq", F.row_number().over(w).cast("long") + (1 << 40)))
+    return named.where("seq is not null").unionByName(late.withColumn("seq", F.row_number().over(w).cast("long") + LATE))
 
 
 def labelled_samples(log: DataFrame, samples: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from idiolect.operators import profile, render
+from idiolect.operators import contexts, profile, render
 from idiolect.operators.keys import joined
 from idiolect.sources import evidence, files
 from idiolect.sources.scratch import cut
@@ -147,6 +147,24 @@ class Store:
         self.save(made.select(kept.columns).unionByName(kept), marks, number, batches)
         return self.load()  # type: ignore[return-value]
 
+    def start_contexts(self, requests: DataFrame, now: str) -> DataFrame:
+        """The outcomes of requests (writer, seq, context, text; seq is their order) for contexts, as contexts.outcomes() has
+        them. Texts that start a context, or bring it nearer, come after what their writers' logs have, and the profiles are
+        rebuilt; if nothing is kept they stay as they are. Asked again after a crash, a request finds what was stored."""
+        profiles = self.load()
+        if profiles is None:
+            profiles = self.spark.createDataFrame([], "writer string")
+        found = cut(contexts.outcomes(self.samples(), requests, profiles.select("writer")), "outcomes")
+        last = self.log().where(F.col("seq") < evidence.LATE).groupBy("writer").agg(F.max("seq").alias("last"))
+        new = cut(joined(contexts.kept(requests.select("writer", "seq", "context", "text"), found), last, ["writer"], "left"), "requests")
+        if new.isEmpty():
+            if self.exists():
+                self.rebuild(now)
+            return found
+        self.add(new.select("writer", (F.coalesce("last", F.lit(-1)) + 1 + F.col("seq")).alias("seq"), F.lit("pasted").alias("source"), "context", "text"), timestamp=now)
+        self.rebuild(now)
+        return found
+
     def save(self, profiles: DataFrame, marks: DataFrame | None = None, number: int | None = None, batches: dict[str, int] | None = None) -> None:
         """Checked, written as a folder of their own, then committed: as the version of a number that was free when the
         work began, or the next one. marks: what the writers' logs were."""

@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 from idiolect.plans.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
-QUICK = ["sample_arguments", "json_answers", "typed_entries", "evidence_log", "evidence_ids", "evidence_join_samples", "scripted_choices", "normalise", "tokens_count", "paragraph_split", "sentence_split", "line_kinds", "context_labels", "basic_metrics", "mtld", "mtld_in_sql", "punctuation", "syntax_metrics", "vocabulary_rates", "technical_shapes", "token_freq", "lexicon_hits", "top_lists", "prefer_list", "avoid_list", "phrase_counts", "features", "dimension_scores", "verdict_latest_wins", "avoid_merge", "dimension_priority", "weakest_dimensions", "question_rank", "answered_questions", "choice_records", "pair_rank", "confidence_movement", "describe_bands", "english_lists", "splice_block", "stream_counts", "question_selection", "sample_records", "metric_dump", "recurring_phrases", "additive_profiles", "profile_documents", "rendered_profiles", "validate_profiles"]
+QUICK = ["sample_arguments", "json_answers", "typed_entries", "evidence_log", "evidence_ids", "evidence_join_samples", "scripted_choices", "normalise", "tokens_count", "paragraph_split", "sentence_split", "line_kinds", "context_labels", "basic_metrics", "mtld", "mtld_in_sql", "punctuation", "syntax_metrics", "vocabulary_rates", "technical_shapes", "token_freq", "lexicon_hits", "top_lists", "prefer_list", "avoid_list", "phrase_counts", "features", "dimension_scores", "verdict_latest_wins", "avoid_merge", "dimension_priority", "weakest_dimensions", "question_rank", "answered_questions", "choice_records", "pair_rank", "confidence_movement", "describe_bands", "english_lists", "splice_block", "stream_counts", "question_selection", "sample_records", "metric_dump", "recurring_phrases", "additive_profiles", "started_contexts", "profile_documents", "rendered_profiles", "validate_profiles"]
 
 
 @pytest.fixture(scope="module")

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from idiolect.operators import profile
+from idiolect.operators import contexts, profile
 from idiolect.plans import fixtures as fx
 from idiolect.sources.store import Conflict, Store
 from idiolect.streaming import evidence as stream
@@ -85,3 +85,46 @@ def test_a_stream_keeps_profiles_and_a_batch_that_comes_again_counts_once(spark,
     assert store.version().number == 2
     counted = {r.writer: r.n for r in store.load().select("writer", F.col("metadata.sample_count").alias("n")).collect()}
     assert counted == {"ada": 3, "cy": 1} and store.samples().count() == 4
+
+
+REQUESTS = "writer string, seq long, context string, text string"
+
+
+def told(df):
+    return {(r.writer, r.context): (r.listed, r.words, r.status) for r in df.collect()}
+
+
+def test_outcomes_of_requests_for_contexts(spark):
+    samples = spark.createDataFrame([("ada", "work", "one " * 150), ("ada", " Work", "two " * 60), ("ada", "chat", "three " * 120), (None, "work", "four " * 200), ("ada", None, "five " * 300)], "writer string, context string, text string")
+    asked = [
+        ("ada", "WORK ", "more " * 9), ("ada", "chat", "six " * 50), ("ada", "Chat", "six " * 30), ("ada", "my notes", "seven " * 199), ("ada", "blank", "  "), ("ada", "blank", None),
+        ("ada", None, "lost " * 300), ("ada", "  ", "lost " * 300), (None, "work", "x"), (None, "chat", "eight " * 200), ("new", "chat", "nine " * 200),
+    ]
+    requests = spark.createDataFrame(asked, "writer string, context string, text string")
+    want = {
+        ("ada", "work"): ("work", 210, "known"), ("ada", "chat"): ("work", 200, "started"), ("ada", "my-notes"): ("work", 199, "too short"), ("ada", "blank"): ("work", 0, "no text"),
+        (None, "work"): ("work", 200, "known"), (None, "chat"): ("work", 200, "started"), ("new", "chat"): ("none yet", 200, "started"),
+    }
+    assert told(contexts.outcomes(samples, requests)) == want
+    profiled = spark.createDataFrame([("ada",), (None,)], "writer string")
+    assert told(contexts.outcomes(samples, requests, profiled)) == want | {("new", "chat"): ("none yet", 0, "no profile")}
+    assert contexts.outcomes(samples, requests.limit(0)).isEmpty() and len(told(contexts.outcomes(samples.limit(0), requests))) == 7
+    stored = contexts.kept(requests, contexts.outcomes(samples, requests, profiled)).groupBy("writer", "context").count().collect()
+    assert {(r.writer, r.context): r["count"] for r in stored} == {("ada", "chat"): 2, ("ada", "my-notes"): 1, (None, "chat"): 1}
+
+
+def test_a_missing_context_is_started_on_demand(spark, tmp_path):
+    store = Store.open(spark, str(tmp_path))
+    long = " ".join(t for w, s, c, t in fx.SAMPLES if w == "ada" and t) + " We said what we meant. " * 60
+    request = lambda *rows: spark.createDataFrame(list(rows), REQUESTS)
+    assert told(store.start_contexts(request(("ada", 0, "letters", long)), "t0"))["ada", "letters"][2] == "no profile" and not store.exists()
+    store.add(texts(spark, ("ada",), (1, 2)), timestamp="t1")
+    store.rebuild("t2")
+    asked = request(("ada", 0, "Letters", long), ("ada", 1, "short", "Too few words."), ("bob", 0, "letters", long))
+    got = told(store.start_contexts(asked, "t3"))
+    assert got["ada", "letters"][2] == "started" and got["ada", "short"][1:] == (3, "too short") and got["bob", "letters"][2] == "no profile"
+    one = store.load().collect()
+    assert [r.writer for r in one] == ["ada"] and "letters" in [c.context for c in one[0].contexts] and "short" not in [c.context for c in one[0].contexts]
+    assert one[0].metadata.sample_count == 4 and store.version().number == 2
+    again = told(store.start_contexts(request(("ada", 0, "letters", long)), "t4"))
+    assert again["ada", "letters"][2] == "known" and "letters" in again["ada", "letters"][0] and store.load().first().metadata.sample_count == 4
