@@ -1,9 +1,11 @@
 """Personal data: labelers vote on candidate spans, EM learns their reliabilities, a classifier decides.
 
 1. Candidates come from the four base patterns (email, ip, card, phone; those that pass are certain to stay)
-   and from looser ones (local phone numbers, SSN, IBAN, spelt-out e-mail addresses).
+   and from looser ones: local phone numbers, SSN, IBAN, spelt-out e-mail addresses, dates, Spanish identity numbers,
+   streets with a house number, and names (after a title, from a given name of the gazetteer, or after words as "my name is").
 2. Three labelers vote yes, no or abstain on each: a strict pattern or check sum, a gazetteer (top-level
-   domains, calling codes, issuer prefixes, countries) and cue words in the 40 characters before it.
+   domains, calling codes, issuer prefixes, countries, given names) and cue words in the 40 characters before it.
+   A date counts against itself where no word of birth stands before it.
 3. Expectation-maximisation over the counts of (kind, votes), a table of a fixed size, estimates each labeler's
    chance of each vote on true and on false candidates and each kind's share of true ones.
 4. A logistic classifier is fitted to EM's posteriors. It sees kind and votes, and what no labeler does of the span
@@ -38,10 +40,15 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 LOCAL_PHONE = r"(?<![0-9A-Za-z+.-])\(?[0-9]{2,5}\)?[\x20/-][0-9]{3,4}[\x20-][0-9]{3,5}(?![0-9A-Za-z-])"
 SSN = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])"
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)(?![A-Za-z0-9])"
+DATE = r"(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}([./-])[0-9]{1,2}\1[0-9]{4})(?![0-9A-Za-z]|[./-][0-9])"
+REAL_DATE = r"^(?:(?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])|(?:(?:0?[1-9]|[12][0-9]|3[01])[./-](?:0?[1-9]|1[0-2])|(?:0?[1-9]|1[0-2])[./-](?:1[3-9]|2[0-9]|3[01]))[./-](?:19|20)[0-9]{2})$"
+DNI = r"(?<![0-9A-Za-z-])[0-9]{8}-?[A-Z](?![0-9A-Za-z-])"
+#: The letter of a Spanish identity number by its remainder modulo 23: fixed values.
+DNI_LETTERS = "TRWAGMYFPDXBNJZSQVHLCKE"
 SPELT = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]++(?:\x20?[\[(]dot[\])]\x20?[A-Za-z0-9-]++)++"
 BASE_KINDS = ("email", "ip", "card", "phone")
-LOOSE_KINDS = ("local_phone", "ssn", "iban", "spelt_email")
+LOOSE_KINDS = ("local_phone", "ssn", "iban", "spelt_email", "birth_date", "dni", "street", "name")
 KINDS = BASE_KINDS + LOOSE_KINDS
 LABELERS = ("pattern", "gazetteer", "context")
 NO, YES, ABSTAIN = 0, 1, 2
@@ -53,6 +60,34 @@ DOMAINS = "com org net edu gov int io co info biz de fr es uk us ca au ch at nl
 CALLING_CODES = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 54 55 56 57 60 61 62 63 64 65 66 81 82 84 86 90 91 92 351 352 353 358 420".split()
 ISSUERS = r"^(?:4|5[1-5]|2[2-7]|3[47]|35|6)"
 IBAN_COUNTRIES = "DE FR ES GB IT NL BE AT CH PL PT SE NO DK FI IE LU CZ GR".split()
+GIVEN_NAMES = (
+    "Alice Andrew Anthony Barbara Benjamin Brian Catherine Charlotte Daniel David Deborah Edward Elizabeth Emily Emma George Helen James Jennifer Jessica John Joseph Karen Kevin "
+    "Laura Linda Margaret Mary Matthew Michael Nancy Oliver Patricia Peter Richard Robert Sarah Steven Susan Thomas William "
+    "Andreas Anja Anna Birgit Christian Dieter Elke Friedrich Gerhard Hans Heike Heinrich Ingrid Jan Jens Jürgen Karl Katrin Klaus Lukas Manfred Markus Monika Sabine Stefan "
+    "Stephan Ulrike Uwe Wolfgang "
+    "Amélie Antoine Camille Catherine Céline Chloé Claire Élodie François Françoise Guillaume Hélène Jacques Jean Julien Louis Marc Marie Mathieu Nathalie Nicolas Philippe Pierre "
+    "René Sophie Sylvie Thierry "
+    "Alejandro Ana Antonio Carlos Carmen Cristina Diego Elena Fernando Francisco Isabel Javier Jorge José Juan Lucía Luis Manuel Marta María Miguel Pablo Pedro Pilar Raúl Rosa Teresa"
+).split()
+#: Last words of what is a place or a thing, though it begins as a name does.
+PLACES = "street avenue road lane park bridge station airport university college county river lake hotel museum hospital school prize award act day straße strasse platz allee schule universität calle plaza avenida"
+TITLE = r"(?:(?:Mrs?|Ms|Dr|Prof|Herrn?|Frau|Monsieur|Madame|Mme|Señora?|Sra?|Don|Doña)\.?\x20){1,2}"
+NAME_CUES = r"(?:name is|name:|full name|signed by|sincerely,|regards,|ich heiße|mein name ist|m'appelle|mon nom est|me llamo|mi nombre es|nombre:|nom:)"
+WORD = r"\p{Lu}\p{Ll}{1,20}(?:-\p{Lu}\p{Ll}{1,20})?"
+LAST = rf"\x20(?:(?:von|van|de|del|la|le|der|den)\x20){{0,2}}{WORD}"
+NAME = (
+    rf"(?<![\p{{L}}\p{{N}}])(?=\p{{Lu}}\p{{Ll}})(?:{TITLE}{WORD}(?:{LAST}){{0,2}}|(?:{'|'.join(GIVEN_NAMES)})(?:-{WORD})?(?:{LAST}){{1,2}}|(?<=(?i:{NAME_CUES})\s){WORD}(?:{LAST}){{1,2}})"
+    r"(?![\p{L}\p{N}])"
+)
+OF = r"(?:(?:de|du|des|del|la|le|les|los|las|el)\x20|l'|d'){0,2}"
+STREET = (
+    r"(?<![\p{L}\p{N}])(?:"
+    r"\p{Lu}\p{L}{2,25}?(?:straße|strasse|str\.|weg|gasse|allee|platz)\x20[0-9]{1,4}[a-z]?"
+    rf"|[0-9]{{1,5}}\x20(?:{WORD}\x20){{1,3}}(?:Street|St|Avenue|Ave|Road|Rd|Lane|Drive|Boulevard|Blvd|Court|Terrace)"
+    rf"|[0-9]{{1,4}}(?:\x20(?:bis|ter))?,?\x20(?:rue|avenue|boulevard|place|impasse|quai)\x20{OF}{WORD}(?:\x20{WORD})?"
+    rf"|(?:Calle|Avenida|Plaza|Paseo|Carrer)\x20{OF}{WORD}(?:\x20{OF}{WORD})?,?\x20(?:n\.?[ºo]?\x20?)?[0-9]{{1,4}}"
+    r")(?![\p{L}\p{N}])"
+)
 #: Words before a span that speak for its kind, and words that speak against any.
 CUES = {
     "email": r"e-?mail|contact|write|reply|courriel|correo|kontakt|address",
@@ -63,6 +98,10 @@ CUES = {
     "ssn": r"ssn|social|security|tax",
     "iban": r"iban|account|bank|konto|compte|cuenta",
     "spelt_email": r"e-?mail|contact|write|reply|courriel|correo|kontakt",
+    "birth_date": r"born|birth|\bdob\b|geboren|\bgeb\.|geburt|naissance|(?<!\p{L})née?(?!\p{L})|nacid[oa]|nacimiento",
+    "dni": r"\bdni\b|\bnif\b|identi|documento",
+    "street": r"live|living|address|resid|wohn|adresse|anschrift|habit|domicil|vivo|viv[ei]|direcci",
+    "name": rf"{NAME_CUES}\s$",
 }
 AGAINST = r"isbn|issn|version|order|serial|invoice|part no|page|build"
 
@@ -85,6 +124,10 @@ def candidates(text: Column) -> Column:
         spans.matches(text, "local_phone", LOCAL_PHONE),
         spans.matches(text, "ssn", SSN),
         spans.matches(text, "iban", IBAN),
+        spans.matches(text, "birth_date", DATE),
+        spans.matches(text, "dni", DNI),
+        spans.matches(text, "street", STREET),
+        spans.matches(text, "name", NAME),
         spans.matches(text, "spelt_email", SPELT, hint=F.lower(text).contains("at") & (F.contains(text, F.lit("[at")) | F.contains(text, F.lit("(at")))),
     )
 
@@ -100,6 +143,18 @@ def by_kind(kind: Column, cases: dict[str, Column]) -> Column:
     return out
 
 
+def remainder_97(iban: Column) -> Column:
+    """What ISO 7064 has to be 1: the first four characters moved to the end, letters as 10 to 35."""
+    plain = F.replace(iban, F.lit(" "), F.lit(""))
+    moved = F.concat(F.substr(plain, F.lit(5)), F.substring(plain, 1, 4))
+    step = lambda acc, c: F.when(c.rlike("[0-9]"), acc * 10 + F.ascii(c) - 48).otherwise(acc * 100 + F.ascii(c) - 55) % 97
+    return F.aggregate(F.split(moved, ""), F.lit(0), step)
+
+
+def dni_letter(n: Column) -> Column:
+    return F.substr(F.lit(DNI_LETTERS), (n.cast("int") % 23 + 1).cast("int"), F.lit(1))
+
+
 def voted(x: Column, base: Column) -> Column:
     """A candidate with its labelers' votes and length class."""
     m, kind, n = x["match"], x["kind"], digits(x["match"])
@@ -111,8 +166,12 @@ def voted(x: Column, base: Column) -> Column:
         "phone": vote(m.rlike(r"^\+[1-9][0-9]{0,2}[ .(-]*[0-9 .()-]{6,}$")),
         "local_phone": vote(F.length(n).between(9, 11) & m.rlike(r"^(?:\(|0)")),
         "ssn": vote(~m.rlike(r"^(?:000|666|9)|-00-|-0000$")),
-        "iban": vote(F.length(m).between(15, 34)),
+        "iban": vote(remainder_97(m) == 1),
         "spelt_email": vote(m.rlike(r"[A-Za-z]{2,}$")),
+        "birth_date": F.when(m.rlike(REAL_DATE), ABSTAIN).otherwise(NO),
+        "dni": vote(F.substring(m, -1, 1) == dni_letter(n)),
+        "street": F.lit(YES),
+        "name": F.when(F.lower(F.substring_index(m, " ", -1)).isin(PLACES.split()), NO).otherwise(YES),
     })
     gazetteer = by_kind(kind, {
         "email": vote(tld.isin(DOMAINS)),
@@ -121,12 +180,13 @@ def voted(x: Column, base: Column) -> Column:
         "phone": vote(F.substring(n, 1, 1).isin(CALLING_CODES) | F.substring(n, 1, 2).isin(CALLING_CODES) | F.substring(n, 1, 3).isin(CALLING_CODES)),
         "iban": vote(F.substring(m, 1, 2).isin(IBAN_COUNTRIES)),
         "spelt_email": vote(tld.isin(DOMAINS)),
+        "name": F.when(m.rlike(rf"^(?:{TITLE})?(?:{'|'.join(GIVEN_NAMES)})[\x20-]"), YES).otherwise(ABSTAIN),
     })
     before = F.lower(x["before"])
     cue = F.lit(False)
     for k, words in CUES.items():
         cue = F.when(kind == k, before.rlike(words)).otherwise(cue)
-    context = F.when(before.rlike(AGAINST), NO).when(cue, YES).otherwise(ABSTAIN)
+    context = F.when(before.rlike(AGAINST), NO).when(cue, YES).when(kind == "birth_date", NO).otherwise(ABSTAIN)
     separators = F.length(F.regexp_replace(m, r"[^\x20().\-/]", ""))
     lead = F.substring(x["before"], -1, 1)
     return F.struct(
@@ -202,7 +262,7 @@ def logistic(rows: list[dict], target: list[float], rounds: int = 300, rate: flo
 def fit(found: DataFrame) -> Fit:
     """From (id, spans) of labelled()."""
     keys = ["kind", *LABELERS, *SHAPES]
-    counts = found.select(F.inline("spans")).groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).orderBy(*keys).collect()  # at most 8 * 3 ** 3 * 4 ** 4 rows
+    counts = found.select(F.inline("spans")).groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).orderBy(*keys).collect()  # at most 12 * 3 ** 3 * 4 ** 4 rows
     rows = [r.asDict() for r in counts]
     truth, share, posterior = expectation_maximisation(rows)
     return Fit(truth, share, logistic(rows, posterior))
@@ -228,3 +288,34 @@ def of_kind(kind: str):
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     b, a = F.col("base_spans"), F.col("all_spans")
     return spans_of(docs, id_col, text_col).select(id_col, *(spans.count(b, k).alias(f"n_{k}") for k in BASE_KINDS), F.sha2(spans.joined(b), 256).alias("base_sha256"), spans.joined(a).alias("spans"))
+
+
+def patterns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """What the base patterns alone find: the counts and the digest of their spans, which SQL can state too."""
+    found = docs.select(F.col(id_col).alias("id"), candidates(F.col(text_col))[0].alias("base"))
+    b = F.col("base")
+    return found.select(F.col("id").alias(id_col), *(spans.count(b, k).alias(f"n_{k}") for k in BASE_KINDS), F.sha2(spans.joined(b), 256).alias("base_sha256"))
+
+
+def _pieces(kind: str, pattern: str, keep: str) -> str:
+    """Matches of a kind with their offsets: running lengths of the matches and of the parts between them."""
+    before = "over (partition by rid order by i rows unbounded preceding)"
+    return f"""select rid, '{kind}' as kind, {BASE_KINDS.index(kind)} as rank, e - length(m) as s, e
+  from (select rid, m, d, sum(length(p) + length(m)) {before} as e
+    from (select rid, m, p, i, regexp_replace(m, '[^0-9]', '', 'g') as d
+      from (select rid, unnest(found) as m, unnest(parts[1:len(found)]) as p, unnest(range(1, len(found) + 1)) as i
+        from (select rid, regexp_extract_all(text, '{pattern}') as found, regexp_split_to_array(text, '{pattern}') as parts from texts))))
+  where {keep}"""
+
+
+_LUHN = """list_sum([case when i % 2 = 1 then d[length(d) - i + 1]::int when d[length(d) - i + 1]::int > 4 then 2 * d[length(d) - i + 1]::int - 9
+    else 2 * d[length(d) - i + 1]::int end for i in range(1, length(d) + 1)]) % 10 = 0"""
+PATTERNS_SQL = f"""with texts as (select doc_id, coalesce(text, '') as text, row_number() over () as rid from documents),
+spans as ({_pieces("email", "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)+", "true")}
+  union all {_pieces("ip", "[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+", "list_max([case when length(ltrim(x, '0')) > 3 then 999 else ('0' || ltrim(x, '0'))::int end for x in string_split(m, '.')]) <= 255")}
+  union all {_pieces("card", "[0-9](?:[ -]?[0-9])+", f"case when length(d) between 16 and 19 then {_LUHN} else false end")}
+  union all {_pieces("phone", "[+][0-9][ ().0-9-]+[0-9]", "length(d) between 8 and 15")}),
+told as (select rid, {", ".join(f"count(*) filter (where kind = '{k}') as n_{k}" for k in BASE_KINDS)},
+    string_agg(kind || ':' || s || ':' || e, ',' order by rank, s) as joined from spans group by rid)
+select d.doc_id, {", ".join(f"coalesce(n_{k}, 0) as n_{k}" for k in BASE_KINDS)}, sha256(coalesce(joined, '')) as base_sha256
+from texts d left join told using (rid)"""

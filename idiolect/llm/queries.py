@@ -24,6 +24,11 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(table(spark, sf_dir, "documents"))
 
 
+def pii_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op3_pii that SQL can state."""
+    return pii.patterns(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -74,5 +79,5 @@ def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_chat_rotation, op3_pii, op4_simhash, op5_warc, op6_suffix_dedup, op7_byte_bpe, op8_decontamination, op9_quality_classifier, op10_secrets, secret_patterns, op11_filter_audit, op12_rolling_median, op13_language_id)}
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": quality.ORACLE, "op2_chat_rotation": chat.ORACLE, "op5_warc": warc.ORACLE, "op6_suffix_dedup": bpr.ORACLE, "secret_patterns": secrets.PATTERNS_SQL, "op11_filter_audit": audit.ORACLE, "op12_rolling_median": rolling.ORACLE}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_chat_rotation, op3_pii, pii_patterns, op4_simhash, op5_warc, op6_suffix_dedup, op7_byte_bpe, op8_decontamination, op9_quality_classifier, op10_secrets, secret_patterns, op11_filter_audit, op12_rolling_median, op13_language_id)}
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": quality.ORACLE, "op2_chat_rotation": chat.ORACLE, "pii_patterns": pii.PATTERNS_SQL, "op5_warc": warc.ORACLE, "op6_suffix_dedup": bpr.ORACLE, "secret_patterns": secrets.PATTERNS_SQL, "op11_filter_audit": audit.ORACLE, "op12_rolling_median": rolling.ORACLE}
