@@ -114,19 +114,20 @@ def candidates(text: Column) -> Column:
     """All candidate spans by kind as listed, then start; loose ones that overlap base ones are left out."""
     text = F.coalesce(text, F.lit(""))
     ip = f"^{OCTET}(?:\\.{OCTET}){{3}}$"
+    digit, two = text.rlike("[0-9]"), text.rlike("[0-9]{2}")  # cheap: most texts have none, and are searched no further
     base = F.concat(
         spans.matches(text, "email", EMAIL, hint=F.contains(text, F.lit("@"))),
-        spans.matches(text, "ip", IP, lambda m: m.rlike(ip)),
-        spans.matches(text, "card", CARD, lambda m: (F.length(digits(m)) <= 19) & F.call_function("luhn_check", digits(m))),
+        spans.matches(text, "ip", IP, lambda m: m.rlike(ip), hint=digit),
+        spans.matches(text, "card", CARD, lambda m: (F.length(digits(m)) <= 19) & F.call_function("luhn_check", digits(m)), hint=digit),
         spans.matches(text, "phone", PHONE, lambda m: F.length(digits(m)).between(8, 15), hint=F.contains(text, F.lit("+"))),
     )
     return base, F.concat(
-        spans.matches(text, "local_phone", LOCAL_PHONE),
-        spans.matches(text, "ssn", SSN),
-        spans.matches(text, "iban", IBAN),
-        spans.matches(text, "birth_date", DATE),
-        spans.matches(text, "dni", DNI),
-        spans.matches(text, "street", STREET),
+        spans.matches(text, "local_phone", LOCAL_PHONE, hint=two),
+        spans.matches(text, "ssn", SSN, hint=two),
+        spans.matches(text, "iban", IBAN, hint=two),
+        spans.matches(text, "birth_date", DATE, hint=two),
+        spans.matches(text, "dni", DNI, hint=two),
+        spans.matches(text, "street", STREET, hint=digit),
         spans.matches(text, "name", NAME),
         spans.matches(text, "spelt_email", SPELT, hint=F.lower(text).contains("at") & (F.contains(text, F.lit("[at")) | F.contains(text, F.lit("(at")))),
     )
