@@ -8,7 +8,7 @@ alone, so very long words and runs of blanks take linear time and no stack.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
@@ -33,34 +33,28 @@ def one_of(x: Column, words: Iterable[str]) -> Column:
 
 
 def strip(x: Column) -> Column:
-    return F.regexp_replace(x, r"(?U)^\s+|(?<!\s)\s+$", "")
+    ends = F.concat(F.left(x, F.lit(1)), F.right(x, F.lit(1)))  # most texts have nothing to strip, and are not searched
+    return F.when(ends.rlike(r"(?U)\s"), F.regexp_replace(x, r"(?U)^\s+|(?<!\s)\s+$", "")).otherwise(x)
 
 
 def plain_marks(text: Column) -> Column:
     """Straight quotes, plain spaces, no BOM, LF line ends. Dashes stay; null counts as empty."""
-    t = F.translate(F.coalesce(text, F.lit("")), "’‘“” ﻿", "''\"\" ")
+    t = F.coalesce(text, F.lit(""))
+    for mark, plain in {"’": "'", "‘": "'", "“": '"', "”": '"', "\u00a0": " ", "\ufeff": ""}.items():  # a search for bytes; translate() looks every character up
+        t = F.replace(t, F.lit(mark), F.lit(plain))
     return F.replace(F.replace(t, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
 
 
-def composed(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """df with text_col in NFC. Spark has no function for it, so this is one Arrow pass, in which only texts that
-    are not yet NFC cost more than a look."""
-    place = df.columns.index(text_col)
-
-    def run(batches: Iterator) -> Iterator:
-        import unicodedata
+#: Texts of other characters alone are in NFC: up to U+02FF all are, and so are punctuation, currencies, arrows and boxes.
+NOT_COMPOSED = r"[^\u0000-\u02ff\u2002-\u205f\u20a0-\u20bf\u2190-\u2329\u232b-\u2adb]"
 
-        import pyarrow as pa
 
-        for batch in batches:
-            texts = batch.column(place).to_pylist()
-            if all(t is None or t.isascii() or unicodedata.is_normalized("NFC", t) for t in texts):
-                yield batch
-            else:
-                new = pa.array([t if t is None else unicodedata.normalize("NFC", t) for t in texts], batch.column(place).type)
-                yield pa.RecordBatch.from_arrays([new if i == place else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
-
-    return df.mapInArrow(run, df.schema)
+def composed(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """df with text_col in NFC, by the ICU library that Spark's collations use, as Spark has no function for it. Only texts
+    with a character that may not be in NFC are given to it."""
+    t = F.col(text_col)
+    nfc = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), t, F.lit(False))
+    return df.withColumn(text_col, F.when(t.rlike(r"[\u0300-\x{10ffff}]") & t.rlike(NOT_COMPOSED), nfc).otherwise(t))
 
 
 def normalised(df: DataFrame, text_col: str = "text", to: str = "norm") -> DataFrame:
@@ -90,14 +84,30 @@ def segments(norm: Column) -> Column:
     return F.regexp_replace(t, rf"(?U)(?<!\s)\s*\n(?=[^\S\n]*{BULLET}[^\S\n]+)", BREAK)
 
 
+#: The last word before a full stop that ends no sentence; what follows the look ahead is tried only at words with a full stop.
+_SHORT = rf"(?Ui)((?<![A-Za-z.])\.*(?=[a-z]{{1,{max(len(x) for a in ABBREVIATIONS for x in a.split('.'))}}}\.)(?:{_ABBREVIATED}|[a-z])\.+)([\"')\]]*\s+)"
+
+
 def sentences(norm: Column) -> Column:
     """A sentence ends at . ! or ? with closing quotes or brackets and a blank after it, unless its last word is an
     abbreviation or a single letter; paragraphs and list items end it too."""
-    t = F.regexp_replace(segments(norm), rf"(?Ui)((?<![A-Za-z.])\.*(?:{_ABBREVIATED}|[a-z])\.+)([\"')\]]*\s+)", f"$1{GUARD}$2")
+    t = F.regexp_replace(segments(norm), _SHORT, f"$1{GUARD}$2")
     t = F.regexp_replace(t, r"(?U)([.!?])[\"')\]]*\s+", f"$1{BREAK}")
     return non_blank(F.split(F.translate(t, GUARD, ""), BREAK, -1))
 
 
+def marked(norm: Column) -> Column:
+    """The stripped text with a BREAK after each of its sentences and nothing taken out: what sentences() leaves out at an
+    end, closing quotes and blanks, comes after the BREAK."""
+    t = strip(F.replace(F.replace(norm, F.lit(BREAK), F.lit(" ")), F.lit(GUARD), F.lit(" ")))
+    parts = F.regexp_replace(t, r"(?U)(?<!\s)\s*\n[ \t]*\n\s*", f"{BREAK}$0")
+    parts = F.regexp_replace(parts, rf"(?U)(?<!\s)\s*\n(?=[^\S\n]*{BULLET}[^\S\n]+)", f"{BREAK}$0")
+    t = F.when(F.contains(t, F.lit("\n")), parts).otherwise(t)
+    t = F.regexp_replace(t, _SHORT, f"$1{GUARD}$2")
+    t = F.regexp_replace(t, r"(?U)([.!?])([\"')\]]*\s+)", f"$1{BREAK}$2")
+    return F.replace(t, F.lit(GUARD), F.lit(""))
+
+
 def lines(norm: Column) -> Column:
     return F.filter(F.split(norm, "\n", -1), lambda x: strip(x) != "")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from idiolect.functions import lexicons as lex
 from idiolect.functions import text as tx
 from idiolect.functions.numbers import rounded
-from idiolect.operators import metrics
+from idiolect.operators import counting, metrics
 
 #: Names, in order. Fixed values.
 FEATURES = tuple("""
@@ -24,11 +24,13 @@ RENAMED = {"avg_sentence_length": "average_sentence_length", "avg_paragraph_leng
 def analyse(df: DataFrame, text_col: str = "text", words: lex.Lexicons = lex.DEFAULT) -> DataFrame:
     """df with every metric and feature of its texts as columns; a null text counts as empty.
 
-    Two narrow Arrow passes (NFC, lexical diversity) and expressions, no shuffle. Arrays that the metrics share
-    stay: tokens, sentences, sentence_tokens, paragraphs, lines."""
-    prepared = metrics.with_mtld(tx.normalised(df, text_col))
-    out = metrics.measured(prepared).withColumns({"text_length": F.length("norm").cast("long")} | metrics.basic())
-    out = metrics.punctuation(metrics.vocabulary(metrics.syntax(out, words=words), words=words))
+    One Arrow function (operators/counting.py) and expressions, no shuffle. Arrays that other operators read are columns,
+    too, made only where they are: tokens, sentences, sentence_tokens, paragraphs, lines."""
+    out = tx.normalised(df, text_col).withColumn("counts", counting.counts(F.col("norm"), words))
+    names = counting.fields(tuple(metrics.MARKS))
+    out = metrics.measured(out.select(*(c for c in out.columns if c != "counts"), *(F.col("counts")[k].alias(k) for k in (*names, "maybe", "sentence_lengths", "phrases", "vocabulary_diversity"))))
+    out = out.withColumn("text_length", F.length("norm").cast("long")).withColumns(metrics.counted_patterns(words)).withColumns(metrics.counted_rates()).drop("maybe", "phrases", "smiles")
+    out = out.withColumns({f"band_{m}": metrics.band(m, f"rate_{m}", f"n_{m}") for m in metrics.MARKS})
     made: dict[str, Column] = {new: F.col(old) for new, old in RENAMED.items()}
     made["exclamation_rate"] = rounded(F.col("n_exclamation") * 100.0 / F.greatest(F.col("sentence_count"), F.lit(1)), 4)
     made["comma_rate"] = rounded(F.col("rate_comma") / 10.0, 4)

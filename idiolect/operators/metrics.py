@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
@@ -51,7 +52,7 @@ MTLD_THRESHOLD = 0.72
 #: Regular expressions of the syntax and vocabulary metrics. Fixed values, but for the flags of Java's dialect; a file name
 #: is group 1 of its match, as each run of its characters is tried from its first word character alone.
 CONTRACTION = r"(?Ui)\b\w+'(?:t|s|re|ve|ll|d|m)\b"
-PASSIVE = r"(?Ui)\b(?:am|is|are|was|were|be|been|being|get|gets|got)\b(?:\s+\w+ly)?\s+(?:\w+(?:ed|en)\b|(?:" + "|".join(lex.IRREGULAR_PARTICIPLES) + r")\b)"
+PASSIVE = r"(?Ui)(?=[abgiw])\b(?:am|is|are|was|were|be|been|being|get|gets|got)\b(?:\s+\w+ly)?\s+(?:\w+(?:ed|en)\b|(?:" + "|".join(lex.IRREGULAR_PARTICIPLES) + r")\b)"
 VERB_ENDING = r"(?Ui)\b\w{3,}(?:ed|ing|es|s)\b"
 SHAPES = {
     "camel": r"(?U)\b[a-z]+[A-Z][A-Za-z]*\b",
@@ -112,7 +113,7 @@ def basic(tokens: str = "tokens", sentence_tokens: str = "sentence_tokens", para
     }
 
 
-def mtld_of(tokens: list[str], threshold: float = MTLD_THRESHOLD) -> float:
+def mtld_of(tokens: list, threshold: float = MTLD_THRESHOLD) -> float:
     """Mean words a factor, forwards and backwards: a factor ends where distinct / seen falls to the threshold, and
     what is left counts by how far it has fallen."""
     if len(tokens) < 10:
@@ -120,11 +121,16 @@ def mtld_of(tokens: list[str], threshold: float = MTLD_THRESHOLD) -> float:
 
     def passed(sequence) -> float:
         factors, seen, n = 0.0, set(), 0
+        add = seen.add
         for token in sequence:
             n += 1
-            seen.add(token)
+            if token not in seen:
+                add(token)
+                if threshold < 1:  # a new word lifts the ratio, so only a repeated one can end a factor
+                    continue
             if len(seen) / n <= threshold:
-                factors, seen, n = factors + 1, set(), 0
+                factors, n = factors + 1, 0
+                seen.clear()
         if n:
             factors += (1 - len(seen) / n) / (1 - threshold)
         return len(tokens) / factors if factors > 0 else float(len(tokens))
@@ -293,3 +299,41 @@ def vocabulary(df: DataFrame, norm: str = "norm", words: lex.Lexicons = lex.DEFA
     """measured() and the counts and rates per 100 words of vocabulary."""
     out = df.withColumns(vocabulary_counts(F.col(norm), words))
     return out.withColumns({f"{k}_rate": rate(f"{k}_count", "size(tokens)", 100) for k in VOCABULARY})
+
+
+# --- of texts that counting.counts() has counted ------------------------------------------------------------------
+
+
+def counted_patterns(words: lex.Lexicons = lex.DEFAULT) -> dict[str, Column]:
+    """The counts that Java's patterns define, sought where they can be, beside columns of counting.counts()."""
+    from idiolect.operators.counting import MAYBE
+
+    norm = F.col("norm")
+    maybe = lambda k: F.col("maybe").bitwiseAND(1 << MAYBE.index(k)) != 0
+    seen = lambda k, n: F.when(maybe(k), n).otherwise(F.lit(0).cast("long"))
+    found = {k: shapes_found(norm, k) for k in SHAPES if k != "code"}
+    sizes = [seen(k, F.size(x).cast("long")) for k, x in found.items() if k != "acronym"]
+    sizes.append(seen("acronym", F.size(F.filter(found["acronym"], lambda x: ~tx.one_of(F.lower(x), words.stopwords))).cast("long")))
+    sizes.append(seen("code", F.size(code_shapes(norm)).cast("long")))
+    starts = (0, len(words.hedge_phrases), len(words.hedge_phrases) + len(words.buzz_phrases), len(words.hedge_phrases) + len(words.buzz_phrases) + len(words.colloquial_phrases))
+    patterns = F.from_json(F.lit(json.dumps([tx.phrase_pattern(p) for p in (*words.hedge_phrases, *words.buzz_phrases, *words.colloquial_phrases)])), "array<string>")
+
+    def phrases(i: int) -> Column:
+        near = F.filter("phrases", lambda p: (p >= starts[i]) & (p < starts[i + 1]))
+        return F.aggregate(near, F.lit(0).cast("long"), lambda acc, p: acc + F.regexp_count(F.lower(norm), F.get(patterns, p)).cast("long"))
+
+    more = {"hedge": phrases(0), "buzzword": phrases(1), "colloquial": phrases(2), "humour_marker": F.col("smiles"), "technical": sum(sizes[1:], sizes[0])}
+    made = {f"{k}_count": F.col(f"{k}_count") + x for k, x in more.items()}
+    return made | {"contraction_count": seen("contraction", contraction_count(norm, words)), "passive_count": F.regexp_count(norm, F.lit(PASSIVE)).cast("long")}
+
+
+def counted_rates() -> dict[str, Column]:
+    n, s, q = F.col("sentence_count"), F.col("word_count"), F.col("n_squares")
+    spread = F.when(n >= 2, (n * q - s * s).cast("double") / (n * n).cast("double")).otherwise(F.lit(0.0))
+    made = {
+        "average_sentence_length": ratio("word_count", "sentence_count"), "sentence_length_variance": rounded(spread, 2), "average_paragraph_length": ratio("word_count", "paragraph_count"),
+        "average_word_length": ratio("n_chars", "word_count"), "long_word_rate": rate("n_long", "word_count", 100), "contraction_preference": ratio("contraction_count", "(contraction_count + contraction_chances)", 3),
+    }
+    made |= {f"{k}_rate": rate(f"{k}_count", "word_count", 100) for k in (*PER_WORD, *VOCABULARY)}
+    made |= {f"{k}_rate": rate(f"{k}_count", "greatest(n_sentences, 1)", 100) for k in PER_SENTENCE}
+    return made | {f"rate_{m}": rate(f"n_{m}", "word_count", 1000) for m in MARKS}

@@ -35,13 +35,15 @@ def usable(samples: DataFrame) -> DataFrame:
 COUNTS = tuple(f"{k}_count" for k in (*metrics.PER_WORD, *metrics.PER_SENTENCE, *metrics.VOCABULARY))
 MARKS = tuple(f"n_{m}" for m in metrics.MARKS)
 TOTALS = ("contraction_chances", "word_count", "sentence_count", "paragraph_count", "heading_count", "bullet_count", "n_sentences")
+#: Sums that only averages and the spread read: of words' characters, of long words, of the squares of sentences' words.
+SUMS = ("n_chars", "n_long", "n_squares")
 
 
 def prepared(samples: DataFrame, words: lex.Lexicons = lex.DEFAULT) -> DataFrame:
     """samples with all that lists, scores and profiles read, analysed once and written down."""
-    analysed = analyse(samples, words=words).withColumn("n_sentences", F.size("sentences").cast("long"))
+    analysed = analyse(samples, words=words)
     kept = [c for c in samples.columns if c != "text"]
-    return cut(analysed.select(*kept, "text", "norm", "tokens", "sentence_lengths", *COUNTS, *MARKS, *TOTALS, *FEATURES), "analysed")
+    return cut(analysed.select(*kept, "text", "norm", "tokens", "sentence_lengths", *COUNTS, *MARKS, *TOTALS, *SUMS, *FEATURES), "analysed")
 
 
 def grouped(analysed: DataFrame) -> DataFrame:
@@ -71,12 +73,9 @@ def crossing(analysed: DataFrame, keys: list[str], words: lex.Lexicons = lex.DEF
 
 def corpus_metrics(analysed: DataFrame, keys: list[str], words: lex.Lexicons = lex.DEFAULT, edges: DataFrame | None = None, code: DataFrame | None = None) -> DataFrame:
     """(keys, CORPUS): sums of the samples' counts, and what spans samples. analysed: prepared samples with keys and seq."""
-    lengths = F.col("sentence_lengths")
     sums = [F.sum(c).alias(c) for c in (*COUNTS, *MARKS, *TOTALS)]
     sums += [
-        F.count(F.lit(1)).alias("sample_count"), F.sum(metrics.total(lengths)).alias("__s"),
-        F.sum(metrics.total(F.transform(lengths, lambda x: x.cast("long") * x))).alias("__q"), F.sum(metrics.total(F.transform("tokens", F.length))).alias("__chars"),
-        F.sum(F.size(F.filter("tokens", lambda t: F.length(t) >= 7))).alias("__long"),
+        F.count(F.lit(1)).alias("sample_count"), F.sum("word_count").alias("__s"), F.sum("n_squares").alias("__q"), F.sum("n_chars").alias("__chars"), F.sum("n_long").alias("__long"),
     ]
     s = analysed.withColumn("technical_count", F.col("technical_count") - F.size(metrics.code_shapes(F.col("norm")))).groupBy(*keys).agg(*sums)
     summed = [c for c in s.columns if c not in keys]
