@@ -158,22 +158,35 @@ def with_mtld(df: DataFrame, norm: str = "norm", to: str = "vocabulary_diversity
 
 
 def mtld_expression(tokens: Column, threshold: float = MTLD_THRESHOLD) -> Column:
-    """The same as a fold in SQL functions, for where Python is not wanted. The words of a factor are a list that each word
-    is looked up in, so the work grows with the square of a factor's length; with_mtld() has no such cost."""
-    zero = F.struct(F.lit(0.0).alias("factors"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("seen"))
-
-    def step(acc: Column, t: Column) -> Column:
-        n, seen = acc["n"] + 1, F.when(F.array_contains(acc["seen"], t), acc["seen"]).otherwise(F.concat(acc["seen"], F.array(t)))
-        full = F.size(seen) / n <= threshold
-        return F.when(full, F.struct((acc["factors"] + 1).alias("factors"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("seen"))).otherwise(F.struct(acc["factors"].alias("factors"), n.alias("n"), seen.alias("seen")))
-
-    def done(acc: Column) -> Column:
-        factors = acc["factors"] + F.when(acc["n"] > 0, (1 - F.size(acc["seen"]) / acc["n"]) / (1 - threshold)).otherwise(0.0)
-        words = F.size(tokens).cast("double")
-        return F.when(factors > 0, words / factors).otherwise(words)
-
-    both = F.aggregate(tokens, zero, step, done) + F.aggregate(F.reverse(tokens), zero, step, done)
-    return F.when(F.size(tokens) < 10, 0.0).otherwise(rounded(both / 2, 2))
+    """The same as a fold in SQL functions, for where Python is not wanted. A word is new to a factor if the same word before
+    it, found by one sort, lies before the factor's start; so a factor is three numbers, however long it is."""
+
+    def linked(s: Column) -> Column:
+        near = lambda k, x, by, none: F.when(F.get(s, k + by)["t"] == x["t"], F.get(s, k + by)["i"]).otherwise(none)
+        return F.sort_array(F.transform(s, lambda x, k: F.struct(x["i"].alias("i"), near(k, x, -1, F.lit(-1)).alias("before"), near(k, x, 1, F.size(s)).alias("after"))))
+
+    def fold(words: Column, start: Column, new, turn: int) -> Column:
+        """start: a factor's first word; new: whether a word is, in a factor of that start."""
+        zero = F.struct(F.lit(0.0).alias("factors"), F.lit(0).alias("n"), F.lit(0).alias("seen"), start.alias("start"))
+
+        def step(acc: Column, x: Column) -> Column:
+            n, seen = acc["n"] + 1, acc["seen"] + F.when(new(x, acc["start"]), 1).otherwise(0)
+            full = F.struct((acc["factors"] + 1).alias("factors"), F.lit(0).alias("n"), F.lit(0).alias("seen"), (x["i"] + turn).alias("start"))
+            return F.when(seen / n <= threshold, full).otherwise(F.struct(acc["factors"].alias("factors"), n.alias("n"), seen.alias("seen"), acc["start"].alias("start")))
+
+        def done(acc: Column) -> Column:
+            factors = acc["factors"] + F.when(acc["n"] > 0, (1 - acc["seen"] / acc["n"]) / (1 - threshold)).otherwise(0.0)
+            size = F.size(words).cast("double")
+            return F.when(factors > 0, size / factors).otherwise(size)
+
+        return F.aggregate(words, zero, step, done)
+
+    def both(words: Column) -> Column:
+        forwards = fold(words, F.lit(0), lambda x, start: x["before"] < start, 1)
+        return (forwards + fold(F.reverse(words), F.size(words) - 1, lambda x, start: x["after"] > start, -1)) / 2
+
+    once = lambda x, f: F.element_at(F.transform(F.array(x), f), 1)
+    return once(tokens, lambda t: F.when(F.size(t) < 10, 0.0).otherwise(rounded(once(once(F.sort_array(F.transform(t, lambda w, i: F.struct(w.alias("t"), i.alias("i")))), linked), both), 2)))
 
 
 def bare(norm: Column) -> Column:

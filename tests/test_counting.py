@@ -31,3 +31,14 @@ def test_features_pass_python_once(rows):
     """Before: two passes, each with every column, so that an executor's tasks had two Python processes each."""
     plan = features.features(rows, ["id"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and "MapInArrow" not in plan
+
+
+def test_diversity_in_sql_takes_linear_steps(spark):
+    """Words that never repeat make one factor of all of them; with a list to look them up in, 60,000 take minutes."""
+    import time
+
+    words = " ".join(f"w{i}" for i in range(60_000))
+    df = tx.normalised(spark.createDataFrame([(1, words), (2, words + " " + words)], "id int, text string"))
+    began = time.time()
+    got = metrics.with_mtld(df).select("vocabulary_diversity", metrics.mtld_expression(tx.tokens(tx.F.col("norm"))).alias("sql")).collect()
+    assert all(r.sql == r.vocabulary_diversity for r in got) and time.time() - began < 60
