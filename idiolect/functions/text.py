@@ -19,7 +19,7 @@ from idiolect.functions.lexicons import ABBREVIATIONS
 WORD = r"[0-9A-Za-z]++(?:['\-][0-9A-Za-z]++)*+"
 BREAK, GUARD = "\x01", "\x02"
 BULLET = r"(?:[-*•‣◦]|\d+[.)])"
-_ABBREVIATED = "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS)
+ABBREVIATED = "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS)
 
 
 def one_of(x: Column, words: Iterable[str]) -> Column:
@@ -85,7 +85,7 @@ def segments(norm: Column) -> Column:
 
 
 #: The last word before a full stop that ends no sentence; what follows the look ahead is tried only at words with a full stop.
-_SHORT = rf"(?Ui)((?<![A-Za-z.])\.*(?=[a-z]{{1,{max(len(x) for a in ABBREVIATIONS for x in a.split('.'))}}}\.)(?:{_ABBREVIATED}|[a-z])\.+)([\"')\]]*\s+)"
+_SHORT = rf"(?Ui)((?<![A-Za-z.])\.*(?=[a-z]{{1,{max(len(x) for a in ABBREVIATIONS for x in a.split('.'))}}}\.)(?:{ABBREVIATED}|[a-z])\.+)([\"')\]]*\s+)"
 
 
 def sentences(norm: Column) -> Column:

@@ -1,7 +1,9 @@
 """Counts over the words, sentences and marks of a text: one Arrow function over Spark's partitions.
 
 Words become numbers, and each list that a metric counts is a bit of a word, so that a batch's words are looked up once and
-counted together. Patterns that Java's dialect defines stay column expressions; of these the function tells which can match.
+counted together. Patterns that Java's dialect defines are matched here in the texts in which Python's dialect does the same,
+which are all but odd(); in those they stay column expressions. Of technical shapes the function tells
+which can match.
 """
 
 from __future__ import annotations
@@ -16,6 +18,10 @@ from idiolect.functions import text as tx
 
 #: What Java's \s is with (?U).
 BLANKS = "\t\n\x0b\x0c\r \x85\xa0                　"
+#: Characters, from U+0250 on, that are not dashes, quotes, bullets, an ellipsis or a euro sign.
+FAR = "[\u0250-\u200f\u2015-\u2017\u2020\u2021\u2024\u2025\u2027-\u20ab\u20ad-\u25e5\u25e7-\U0010ffff]"
+#: Letters whose other case is one of ASCII; what is a blank in Python alone; the marks that tx.marked() adds; signs among letters.
+NEAR = "\u0130\u0131\u017f\x1c\x1d\x1e\x1f\x00\x01\x02\xd7\xf7"
 #: Names of a metric's words in Lexicons, by the name of its count.
 HITS = {
     "first_person": "first_person", "second_person": "second_person", "conjunction": "conjunctions", "subordinate": "subordinators", "strong_modal": "strong_modals", "weak_modal": "weak_modals",
@@ -23,6 +29,8 @@ HITS = {
     "technical": "technical_terms", "formal_transition": "formal_transitions",
 }
 SENTENCE = ("question", "fragment", "initial_conjunction", "imperative")
+#: Counts of patterns in texts that are not odd; of phrases, all of a list's.
+PATTERNS = ("odd", "n_passive", "n_contraction", "n_hedge_phrase", "n_buzz_phrase", "n_colloquial_phrase")
 #: What a text can have at all: shapes, contractions.
 MAYBE = ("camel", "snake", "filename", "flag", "acronym", "code", "contraction")
 WHOLE = ("word_count", "sentence_count", "n_sentences", "paragraph_count", "heading_count", "bullet_count", "n_chars", "n_long", "n_squares", "unique_word_count", "contraction_chances", "smiles")
@@ -34,14 +42,24 @@ def fields(marks: tuple[str, ...]) -> tuple[str, ...]:
     return (*WHOLE, *(f"{k}_count" for k in (*HITS, *SENTENCE)), *(f"n_{m}" for m in marks))
 
 
+def odd(norm: Column) -> Column:
+    """Whether a text has other characters than those of ASCII, Latin letters up to U+024F and common marks. Java tries the
+    ranges of a class one by one at each character, so they are sought one range a search, and most texts need but few."""
+    beyond = norm.rlike(r"[\u0080-\u00bf]") | (norm.rlike(r"[\u0250-\x{10ffff}]") & norm.rlike(FAR))
+    own = F.lit(False)
+    for c in NEAR:
+        own = own | F.contains(norm, F.lit(c))
+    return own | ((F.octet_length(norm) > F.length(norm)) & beyond)
+
+
 def counts(norm: Column, words: lex.Lexicons = lex.DEFAULT) -> Column:
-    """A struct of fields(), maybe (bits of MAYBE), sentence_lengths, phrases (numbers of those whose longest word is in the
-    text, by the order of hedge_, buzz_ and colloquial_phrases) and vocabulary_diversity."""
+    """A struct of fields(), PATTERNS (0 in an odd text), maybe (bits of MAYBE), sentence_lengths, phrases (numbers of those
+    whose longest word is in an odd text, by the order of hedge_, buzz_ and colloquial_phrases) and vocabulary_diversity."""
     from idiolect.operators import metrics
 
     marks, first_marks = metrics.MARKS, metrics.FIRST_MARKS
     names = fields(tuple(marks))
-    kind = ", ".join(f"{n}: bigint" for n in names) + ", maybe: bigint, sentence_lengths: array<int>, phrases: array<int>, vocabulary_diversity: double"
+    kind = ", ".join(f"{n}: bigint" for n in (*names, *PATTERNS)) + ", maybe: bigint, sentence_lengths: array<int>, phrases: array<int>, vocabulary_diversity: double"
     lists = {k: getattr(words, v) for k, v in HITS.items()}
     lists |= {"finite": words.finite_verbs, "initial": words.initial_conjunctions, "opener": words.imperative_openers, "subject": lex.CONTRACTABLE_SUBJECTS, "follower": lex.CONTRACTABLE_FOLLOWERS, "negatable": lex.NEGATABLE, "not": ("not",)}
     bit = {k: 1 << i for i, k in enumerate([*lists, "verbal", "sought"])}
@@ -49,7 +67,10 @@ def counts(norm: Column, words: lex.Lexicons = lex.DEFAULT) -> Column:
     for k, terms in lists.items():
         for t in terms:
             mask[t] = mask.get(t, 0) | bit[k]
-    sought = [max(p.split(), key=len) for p in (*words.hedge_phrases, *words.buzz_phrases, *words.colloquial_phrases)]
+    lists_of_phrases = (words.hedge_phrases, words.buzz_phrases, words.colloquial_phrases)
+    every_phrase = [(p, k) for k, of in enumerate(lists_of_phrases) for p in of]
+    sought = [max(p.split(), key=len) for p, _ in every_phrase]
+    contractions, passive = frozenset(words.contractions), metrics.PASSIVE
     whole: dict[str, list[int]] = {}
     for i, w in enumerate(sought):
         whole.setdefault(w, []).append(i)
@@ -72,6 +93,70 @@ def counts(norm: Column, words: lex.Lexicons = lex.DEFAULT) -> Column:
         shapes = [re.compile("[a-z][A-Z]"), re.compile("_"), re.compile(rf"\.(?:{endings})"), re.compile("--[a-z]"), re.compile("[A-Z][A-Z]"), re.compile(r"`|\(\)"), re.compile("'")]
         verb_ending = re.compile(r"(?ai)\w{3}(?:ed|ing|s)\b")
         masks, sizes = array("q", [0]), array("q", [0])
+        closing, newline = re.compile(r"([.!?])([\"')\]]*\s+)"), re.compile(r"\n\s*")
+        letters, letters_and_dots = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"), frozenset(".abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+        short, longest = re.compile(rf"\.*(?:{tx.ABBREVIATED}|[A-Za-z])\.+", re.IGNORECASE | re.ASCII), max(len(x) for a in lex.ABBREVIATIONS for x in a.split("."))
+        item = re.compile(rf"{tx.BULLET}(?=[^\S\n])(\s+)")  # without a blank line after the bullet, which ends it first
+        # the first letter alone before what looks back, so that it is searched for and not tried everywhere
+        passives = re.compile(r"[abgiw](?<!\w[abgiw])" + passive.partition(r"\b")[2].replace("(?:am|is|are|was|were|be|been|being|get|gets|got)", "(?:(?<=a)(?:m|re)|(?<=i)s|(?<=w)(?:as|ere)|(?<=b)(?:e|een|eing)|(?<=g)(?:et|ets|ot))", 1))
+        contracted = re.compile(r"'(?<=\w')(?:t|s|re|ve|ll|d|m)\b")
+
+        def phrase_pattern(phrase: str) -> re.Pattern:
+            written = tx.phrase_pattern(phrase).removeprefix("(?U)")
+            first = re.escape(phrase[0])
+            return re.compile(rf"{first}(?<!\w{first})" + written.removeprefix(r"\b" + phrase[0]) if phrase[0].isalnum() and len(phrase) > 1 else written)
+
+        phrase_patterns = [phrase_pattern(p) for p, _ in every_phrase]
+
+        def shortened(t: str, at: int) -> bool:
+            """Whether the full stop at a place is that of an abbreviation or a single letter."""
+            end = at
+            while end >= 0 and t[end] == ".":
+                end -= 1
+            start = end
+            while start >= 0 and t[start] in letters:
+                start -= 1
+                if end - start > longest:
+                    return False
+            while start >= 0 and t[start] in letters_and_dots:
+                start -= 1
+            return short.fullmatch(t, start + 1, at + 1) is not None
+
+        def marked_text(t: str) -> str:
+            """tx.marked() of a text that is not odd."""
+            t = t.strip(BLANKS)
+            if "\n" in t:
+                parts, done = [], 0
+                for m in newline.finditer(t):
+                    if blank_line.search(m[0]) or (x := item.match(t, m.end())) and not blank_line.search(x[1]):
+                        start = m.start()
+                        while t[start - 1] in " \t\x0b\x0c\r":
+                            start -= 1
+                        parts += (t[done:start], tx.BREAK)
+                        done = start
+                t = "".join((*parts, t[done:]))
+            parts, done = [], 0
+            for m in closing.finditer(t):
+                at = m.start()
+                if t[at] != "." or not shortened(t, at):
+                    parts += (t[done : at + 1], tx.BREAK)
+                    done = at + 1
+            return "".join((*parts, t[done:]))
+
+        def contractions_in(lower: str) -> int:
+            n = done = 0
+            for m in contracted.finditer(lower):
+                start = m.start()
+                if start <= done and done:
+                    continue  # the letter before it is that of the contraction before it
+                done = m.end()
+                if m[0] == "'s":
+                    while start > 0 and (lower[start - 1] == "_" or lower[start - 1].isalnum()):
+                        start -= 1
+                    n += lower[start:done] in contractions
+                else:
+                    n += 1
+            return n
 
         class Numbers(dict):
             """A word's number, the same in upper and lower case."""
@@ -106,12 +191,13 @@ def counts(norm: Column, words: lex.Lexicons = lex.DEFAULT) -> Column:
                 return of_words if "_" not in sentence else verb_ending.search(sentence) is not None
             return verb_ending.search(sentence.translate(plain)) is not None
 
-        def counted(texts: list[str], odd: list[str | None]) -> dict:
+        def counted(norms: list[str], in_java: list[str | None]) -> dict:
             if len(numbers) > KNOWN:
                 numbers.clear()
                 phrases.clear()
                 numbers[tx.BREAK] = 0
                 del masks[1:], sizes[1:]
+            texts = [marked_text(t) if x is None else x for t, x in zip(norms, in_java)]
             n, flat, bounds, pieces = len(texts), [], [0], []
             for t in texts:
                 flat += word.findall(t)
@@ -156,10 +242,10 @@ def counts(norm: Column, words: lex.Lexicons = lex.DEFAULT) -> Column:
             near: list[set[int]] = [set() for _ in texts]
             for r, w in zip(*(x[of & bit["sought"] != 0].tolist() for x in (rows, ids[at]))):
                 near[r].update(phrases[w])
-            each = {k: [] for k in ("paragraph_count", "heading_count", "bullet_count", "smiles", "maybe", "phrases", *(f"n_{m}" for m in marks))}
-            for t, o, found in zip(texts, odd, near):
+            each = {k: [] for k in ("paragraph_count", "heading_count", "bullet_count", "smiles", "maybe", "phrases", *PATTERNS, *(f"n_{m}" for m in marks))}
+            for t, norm_text, x, found in zip(texts, norms, in_java, near):
                 t = t.replace(tx.BREAK, "")
-                o = t if o is None else o.strip(BLANKS)
+                o = norm_text.strip(BLANKS) if tx.BREAK in norm_text or tx.GUARD in norm_text else t
                 each["paragraph_count"].append(sum(1 for p in blank_line.split(o) if p.strip(BLANKS)))
                 each["heading_count"].append(len(heading.findall(o)) if "#" in o else 0)
                 each["bullet_count"].append(len(bullet.findall(o)))
@@ -167,7 +253,20 @@ def counts(norm: Column, words: lex.Lexicons = lex.DEFAULT) -> Column:
                 each["smiles"].append(sum(lower.count(p) for p in smiles))
                 if "\u212a" in t or "\u0130" in t:  # their lower case is, or begins with, a letter of ASCII
                     found = (i for i, w in enumerate(sought) if w in lower)
-                each["phrases"].append(sorted(found))
+                each["phrases"].append([] if x is None else sorted(found))
+                each["odd"].append(int(x is not None))
+                of_lists = [0, 0, 0]
+                if x is None:
+                    whole_lower = norm_text.lower()
+                    for i in found:
+                        of_lists[every_phrase[i][1]] += len(phrase_patterns[i].findall(whole_lower))
+                    each["n_passive"].append(sum(1 for _ in passives.finditer(whole_lower)))
+                    each["n_contraction"].append(contractions_in(whole_lower) if "'" in whole_lower else 0)
+                else:
+                    each["n_passive"].append(0)
+                    each["n_contraction"].append(0)
+                for k, n_found in zip(PATTERNS[3:], of_lists):
+                    each[k].append(n_found)
                 each["maybe"].append(sum(1 << i for i, s in enumerate(shapes) if s.search(t)))
                 for m in first_marks:
                     n_marks = 0
@@ -181,25 +280,24 @@ def counts(norm: Column, words: lex.Lexicons = lex.DEFAULT) -> Column:
             return out | each
 
         def packed(found: dict) -> pa.StructArray:
-            whole = [pa.array(found[k], pa.int64()) for k in (*names, "maybe")]
+            whole = [pa.array(found[k], pa.int64()) for k in (*names, *PATTERNS, "maybe")]
             offsets, lengths = found["sentence_lengths"]
             nested = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(lengths, pa.int32())), pa.array(found["phrases"], pa.list_(pa.int32()))]
-            return pa.StructArray.from_arrays([*whole, *nested, pa.array(found["vocabulary_diversity"], pa.float64())], names=[*names, "maybe", "sentence_lengths", "phrases", "vocabulary_diversity"])
+            return pa.StructArray.from_arrays([*whole, *nested, pa.array(found["vocabulary_diversity"], pa.float64())], names=[*names, *PATTERNS, "maybe", "sentence_lengths", "phrases", "vocabulary_diversity"])
 
-        for marked, odd in batches:
+        for whole_texts, in_java in batches:
             parts, at = [], 0
-            while at < len(marked) or not parts:
+            while at < len(whole_texts) or not parts:
                 texts, size = [], 0
-                for t in marked.slice(at, ROWS):
+                for t in whole_texts.slice(at, ROWS):
                     texts.append(t.as_py() or "")
                     size += len(texts[-1])
                     if size > 8 * TOKENS:
                         break
-                parts.append(packed(counted(texts, odd.slice(at, len(texts)).to_pylist())))
+                parts.append(packed(counted(texts, in_java.slice(at, len(texts)).to_pylist())))
                 at += len(texts)
             yield pa.concat_arrays(parts)
 
     from pyspark.sql.functions import ArrowUDFType, arrow_udf
 
-    odd = F.when(F.contains(norm, F.lit(tx.BREAK)) | F.contains(norm, F.lit(tx.GUARD)), norm)
-    return arrow_udf(run, f"struct<{kind}>", ArrowUDFType.SCALAR_ITER)(tx.marked(norm), odd)
+    return arrow_udf(run, f"struct<{kind}>", ArrowUDFType.SCALAR_ITER)(norm, F.when(odd(norm), tx.marked(norm)))

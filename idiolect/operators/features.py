@@ -28,8 +28,8 @@ def analyse(df: DataFrame, text_col: str = "text", words: lex.Lexicons = lex.DEF
     too, made only where they are: tokens, sentences, sentence_tokens, paragraphs, lines."""
     out = tx.normalised(df, text_col).withColumn("counts", counting.counts(F.col("norm"), words))
     names = counting.fields(tuple(metrics.MARKS))
-    out = metrics.measured(out.select(*(c for c in out.columns if c != "counts"), *(F.col("counts")[k].alias(k) for k in (*names, "maybe", "sentence_lengths", "phrases", "vocabulary_diversity"))))
-    out = out.withColumn("text_length", F.length("norm").cast("long")).withColumns(metrics.counted_patterns(words)).withColumns(metrics.counted_rates()).drop("maybe", "phrases", "smiles")
+    out = metrics.measured(out.select(*(c for c in out.columns if c != "counts"), *(F.col("counts")[k].alias(k) for k in (*names, *counting.PATTERNS, "maybe", "sentence_lengths", "phrases", "vocabulary_diversity"))))
+    out = out.withColumn("text_length", F.length("norm").cast("long")).withColumns(metrics.counted_patterns(words)).withColumns(metrics.counted_rates()).drop("maybe", "phrases", "smiles", *counting.PATTERNS)
     out = out.withColumns({f"band_{m}": metrics.band(m, f"rate_{m}", f"n_{m}") for m in metrics.MARKS})
     made: dict[str, Column] = {new: F.col(old) for new, old in RENAMED.items()}
     made["exclamation_rate"] = rounded(F.col("n_exclamation") * 100.0 / F.greatest(F.col("sentence_count"), F.lit(1)), 4)

@@ -335,9 +335,11 @@ def counted_patterns(words: lex.Lexicons = lex.DEFAULT) -> dict[str, Column]:
         near = F.filter("phrases", lambda p: (p >= starts[i]) & (p < starts[i + 1]))
         return F.aggregate(near, F.lit(0).cast("long"), lambda acc, p: acc + F.regexp_count(F.lower(norm), F.get(patterns, p)).cast("long"))
 
-    more = {"hedge": phrases(0), "buzzword": phrases(1), "colloquial": phrases(2), "humour_marker": F.col("smiles"), "technical": sum(sizes[1:], sizes[0])}
+    odd = F.col("odd") != 0
+    more = {"hedge": phrases(0) + F.col("n_hedge_phrase"), "buzzword": phrases(1) + F.col("n_buzz_phrase"), "colloquial": phrases(2) + F.col("n_colloquial_phrase"), "humour_marker": F.col("smiles"), "technical": sum(sizes[1:], sizes[0])}
     made = {f"{k}_count": F.col(f"{k}_count") + x for k, x in more.items()}
-    return made | {"contraction_count": seen("contraction", contraction_count(norm, words)), "passive_count": F.regexp_count(norm, F.lit(PASSIVE)).cast("long")}
+    passive = F.regexp_count(norm, F.lit(PASSIVE)).cast("long")
+    return made | {"contraction_count": F.when(odd, seen("contraction", contraction_count(norm, words))).otherwise(F.col("n_contraction")), "passive_count": F.when(odd, passive).otherwise(F.col("n_passive"))}
 
 
 def counted_rates() -> dict[str, Column]:

@@ -27,6 +27,24 @@ def test_counts_equal_the_expressions(rows):
         assert got[r.id].asDict() == r.asDict()
 
 
+def test_plain_texts_are_counted_in_python(spark):
+    """Before: every text was cut into sentences, and searched for passives and phrases, by Java's patterns."""
+    import random
+
+    from idiolect.operators import counting
+
+    rnd, bits = random.Random(3), ["Dr", "e.g", "approx", "B", "..", ". ", "? ", "!", "\n", "\n\n", "\n \n", "\t", "- ", "\u2022 ", "1) ", '"', ")", "it's", "x's", "don't", "'s", "been", "was", "quickly", "taken", "\u00e9t\u00e9ed", "get", "kick off", "a bit", "\u2014", "\u2026", "API", "\x0b"]
+    texts = ["".join(rnd.choice(bits) + rnd.choice(("", " ", " ", ".")) for _ in range(rnd.randrange(30))) for _ in range(3000)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    norm = tx.normalised(rows)
+    assert norm.where(counting.odd(tx.F.col("norm"))).count() == 0
+    assert norm.select(counting.odd(tx.F.concat("norm", tx.F.lit("\u0131"))).alias("x")).where("x").count() == len(texts)
+    want = metrics.vocabulary(metrics.syntax(metrics.measured(norm).withColumns(metrics.basic())))
+    names = ["id", "sentence_lengths", *(f"{k}_count" for k in (*metrics.PER_WORD, *metrics.PER_SENTENCE, *metrics.VOCABULARY))]
+    got = {r.id: r for r in features.analyse(rows).select(*names).collect()}
+    assert all(got[r.id] == r for r in want.select(*names).collect())
+
+
 def test_features_pass_python_once(rows):
     """Before: two passes, each with every column, so that an executor's tasks had two Python processes each."""
     plan = features.features(rows, ["id"])._jdf.queryExecution().executedPlan().toString()
