@@ -52,6 +52,39 @@ def odd(norm: Column) -> Column:
     return own | ((F.octet_length(norm) > F.length(norm)) & beyond)
 
 
+def phrase_pattern(phrase: str) -> str:
+    """tx.phrase_pattern() in Python's dialect, with its first letter where it can be searched for."""
+    written, first = tx.phrase_pattern(phrase).removeprefix("(?U)"), phrase[0]
+    return rf"{first}(?<!\w{first})" + written.removeprefix(r"\b" + first) if first.isalnum() else written
+
+
+def phrases_listed(lower: Column, lists: tuple[tuple[tuple[str, ...], tuple[str, ...]], ...]) -> Column:
+    """An array of (list, term, n): the phrases in a text in lower case that is not odd, once for each list that they count
+    towards; empty for others and for null. lists: (names of lists, phrases)."""
+    every = [(p, max(p.split(), key=len), phrase_pattern(p), names) for names, of in lists for p in of]
+
+    def run(batches: Iterator) -> Iterator:
+        import re
+
+        import pyarrow as pa
+
+        sought = [(p, w, re.compile(x), names) for p, w, x, names in every]
+        kind = pa.list_(pa.struct([("list", pa.string()), ("term", pa.string()), ("n", pa.int64())]))
+        for texts in batches:
+            rows = []
+            for x in texts:
+                t, found = x.as_py() or "", []
+                for p, w, pattern, names in sought:
+                    if w in t and (n := len(pattern.findall(t))):
+                        found += ({"list": name, "term": p, "n": n} for name in names)
+                rows.append(found)
+            yield pa.array(rows, kind)
+
+    from pyspark.sql.functions import ArrowUDFType, arrow_udf
+
+    return arrow_udf(run, "array<struct<list: string, term: string, n: bigint>>", ArrowUDFType.SCALAR_ITER)(F.when(~odd(lower), lower))
+
+
 def counts(norm: Column, words: lex.Lexicons = lex.DEFAULT) -> Column:
     """A struct of fields(), PATTERNS (0 in an odd text), maybe (bits of MAYBE), sentence_lengths, phrases (numbers of those
     whose longest word is in an odd text, by the order of hedge_, buzz_ and colloquial_phrases) and vocabulary_diversity."""
@@ -101,12 +134,7 @@ def counts(norm: Column, words: lex.Lexicons = lex.DEFAULT) -> Column:
         passives = re.compile(r"[abgiw](?<!\w[abgiw])" + passive.partition(r"\b")[2].replace("(?:am|is|are|was|were|be|been|being|get|gets|got)", "(?:(?<=a)(?:m|re)|(?<=i)s|(?<=w)(?:as|ere)|(?<=b)(?:e|een|eing)|(?<=g)(?:et|ets|ot))", 1))
         contracted = re.compile(r"'(?<=\w')(?:t|s|re|ve|ll|d|m)\b")
 
-        def phrase_pattern(phrase: str) -> re.Pattern:
-            written = tx.phrase_pattern(phrase).removeprefix("(?U)")
-            first = re.escape(phrase[0])
-            return re.compile(rf"{first}(?<!\w{first})" + written.removeprefix(r"\b" + phrase[0]) if phrase[0].isalnum() and len(phrase) > 1 else written)
-
-        phrase_patterns = [phrase_pattern(p) for p, _ in every_phrase]
+        phrase_patterns = [re.compile(phrase_pattern(p)) for p, _ in every_phrase]
 
         def shortened(t: str, at: int) -> bool:
             """Whether the full stop at a place is that of an abbreviation or a single letter."""

@@ -64,9 +64,20 @@ SHAPES = {
 }
 
 
+def shape_possible(norm: Column, kind: str) -> Column:
+    """Whether a text has what every occurrence of a shape has: most texts have not, and are not searched for it."""
+    has = lambda x: F.contains(norm, F.lit(x))
+    if kind == "code":
+        return has("`") | has("()")
+    if kind in ("snake", "flag"):
+        return has("_" if kind == "snake" else "--")
+    return norm.rlike({"camel": "[a-z][A-Z]", "acronym": "[A-Z][A-Z]", "filename": r"\.(?:" + "|".join(lex.FILE_ENDINGS) + ")"}[kind])
+
+
 def shapes_found(norm: Column, kind: str) -> Column:
     """The occurrences of a technical shape, as they are written."""
-    return F.regexp_extract_all(norm, F.lit(SHAPES[kind]), F.lit(int(kind == "filename")))
+    found = F.regexp_extract_all(norm, F.lit(SHAPES[kind]), F.lit(int(kind == "filename")))
+    return F.when(shape_possible(norm, kind), found).otherwise(F.array().cast("array<string>"))
 
 
 def measured(df: DataFrame, norm: str = "norm") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from idiolect.functions import lexicons as lex
 from idiolect.functions import text as tx
-from idiolect.operators import metrics, spanning
+from idiolect.operators import counting, metrics, spanning
 from idiolect.operators.keys import joined
 from idiolect.sources.scratch import cut
 
@@ -59,12 +59,15 @@ LISTS = ("common_words", "unusual_words", "repeated_words", "technical_terms", "
 
 def phrase_rows(measured: DataFrame, keys: list[str], words: lex.Lexicons = lex.DEFAULT, order: str | None = None, edges: DataFrame | None = None, code: DataFrame | None = None) -> DataFrame:
     """(keys, list, term, n) of the phrases and shapes that count towards a list."""
-    by_list = (("hedging_terms", words.hedge_phrases), ("style_phrases", words.hedge_phrases), ("colloquialisms", words.colloquial_phrases), ("style_phrases", words.colloquial_phrases), ("buzzwords", words.buzz_phrases))
+    by_list = ((("hedging_terms", "style_phrases"), words.hedge_phrases), (("colloquialisms", "style_phrases"), words.colloquial_phrases), (("buzzwords",), words.buzz_phrases))
     row = lambda name, x: F.struct(F.lit(name).alias("list"), x["term"].alias("term"), x["n"].alias("n"))
-    listed = lambda name, phrases: F.transform(tx.phrases_found(F.col("lower"), phrases), lambda x: row(name, x))
-    phrases = [listed(name, p) for name, p in by_list]
+    # what is found once counts towards each of its lists
+    listed = lambda names, phrases: F.flatten(F.transform(tx.phrases_found(F.col("lower"), phrases), lambda x: F.array(*(row(name, x) for name in names))))
+    phrases = [listed(names, p) for names, p in by_list]
     shapes = F.transform(metrics.shape_hits(F.col("norm"), words, order is None), lambda x: F.struct(F.lit("technical_terms").alias("list"), x.alias("term"), F.lit(1).cast("long").alias("n")))
-    rows = measured.select(*keys, F.inline(F.concat(*phrases, shapes)))
+    in_java = F.when(counting.odd(F.col("lower")), F.concat(*phrases)).otherwise(F.array().cast("array<struct<list: string, term: string, n: bigint>>"))
+    plain = measured.select(*keys, "norm", "lower", counting.phrases_listed(F.col("lower"), by_list).alias("__phrases"))
+    rows = plain.select(*keys, F.inline(F.concat("__phrases", in_java, shapes)))
     if order is not None:
         edges = spanning.edges(measured, keys, order) if edges is None else edges
         crossing = spanning.text_edges(edges, keys).withColumn("lower", F.lower("norm"))

@@ -45,12 +45,42 @@ def test_plain_texts_are_counted_in_python(spark):
     assert all(got[r.id] == r for r in want.select(*names).collect())
 
 
+def test_listed_phrases_equal_the_expressions(spark):
+    """Before: each list's phrases were sought by Java's patterns in all texts, and those of two lists twice."""
+    from pyspark.sql import functions as F
+
+    from idiolect.functions import lexicons as lex
+    from idiolect.operators import vocabulary
+
+    w = lex.DEFAULT
+    every = (*w.hedge_phrases, *w.buzz_phrases, *w.colloquial_phrases)
+    texts = [t for p in every for t in (f"{p}, x{p} {p}x {p.upper()}\n{p.replace(' ', '  ')}", f"\u0131 {p} {p}. \u00e9{p}", f"{p} {p}-{p}_{p}")] + [None, "", *ODD]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    measured = metrics.measured(tx.normalised(rows))
+    found = vocabulary.phrase_rows(measured, ["id"])
+    assert "ArrowEvalPython" in found._jdf.queryExecution().executedPlan().toString()
+    got = {(r.id, r.list, r.term): r.n for r in found.where("list <> 'technical_terms'").collect()}
+    want = {}
+    for names, of in ((("hedging_terms", "style_phrases"), w.hedge_phrases), (("colloquialisms", "style_phrases"), w.colloquial_phrases), (("buzzwords",), w.buzz_phrases)):
+        for r in measured.select("id", F.inline(tx.phrases_found(F.col("lower"), of))).collect():
+            want |= {(r.id, name, r.term): r.n for name in names}
+    assert got == want
+
+
 def test_features_pass_python_once(rows):
     """Before: two passes, each with every column, so that an executor's tasks had two Python processes each."""
     plan = features.features(rows, ["id"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and "MapInArrow" not in plan
 
 
+def test_explained_scores_analyse_once(spark):
+    """Before: texts were analysed twice, for the scores and for their spread."""
+    from idiolect.plans import queries
+
+    plan = queries.explained_scores(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan  # the features are read from where they were written
+
+
 def test_diversity_in_sql_takes_linear_steps(spark):
     """Words that never repeat make one factor of all of them; with a list to look them up in, 60,000 take minutes."""
     import time
