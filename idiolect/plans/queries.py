@@ -559,7 +559,8 @@ def scoring_results(spark, sf_dir):
 @query(SCORED + f""", v as (select writer, place, dimension, list_min(sample_values) as low, list_max(sample_values) as high, {o.rounded(o.deviation('sample_values'), 1)} as scatter from r where len(sample_values) >= 2)
 select writer, dimension, low, high, scatter, row_number() over (partition by writer order by high - low desc, place)::integer as rank from v where high - low >= 30 and scatter >= 15""")
 def contradictions(spark, sf_dir):
-    return scoring.contradictions(scored_writers(spark, sf_dir)[1], ["writer"]).select("writer", "dimension", "low", "high", "scatter", "rank")
+    rows = profile.usable(samples(spark, sf_dir)).select("writer", "seq", "text")
+    return scoring.contradictions(profile.scored(profile.prepared(rows), ["writer"])[1], ["writer"]).select("writer", "dimension", "low", "high", "scatter", "rank")
 
 
 @query(CONTEXT_SCORED + " select r.writer, r.context, dimension, value, confidence, f_w.word_count::bigint as word_count from r join f_w on r.writer = f_w.writer and r.context = f_w.context where f_w.word_count >= 200")
@@ -609,7 +610,7 @@ _FACTORS = {d.name: f"(case when words > 0 then least(1e0, words / {float(d.word
 @query(f"with {o.analysed(o.TEXTS)} " + " union all ".join(f"select doc_id, '{d.name}' as dimension, '{x}' as feature, {o.contribution(x, w)} as contribution, {d.ceiling!r}::double as ceiling, {o.rounded(_FACTORS[d.name], 3)} as coverage, {scoring.SINGLE!r}::double as consistency from f" for d in scoring.DIMENSIONS for x, w in d.weights))
 def explained_scores(spark, sf_dir):
     """Each document as the one sample of a writer of its own: what made its scores, and the factors of their confidence."""
-    rows = feature_rows(texts(spark, sf_dir), ["doc_id"]).select("doc_id", "word_count", *FEATURES)
+    rows = cut(feature_rows(texts(spark, sf_dir), ["doc_id"]).select("doc_id", "word_count", *FEATURES), "features")  # read twice
     told = scoring.explained(scoring.results(rows, scoring.sample_spread(rows, ["doc_id"]), ["doc_id"]))
     return told.select("doc_id", "dimension", F.inline("contributions"), "confidence_factors").select("doc_id", "dimension", "feature", "contribution", "confidence_factors.*")
 
