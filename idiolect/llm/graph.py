@@ -3,6 +3,9 @@
 No edge list, label or component reaches the driver: it sees a count and a checksum of each round. Every
 round's edges are written to the shared folder, so a lost executor costs at most one round.
 
+Few edges. Once at most EDGES are left after each partition has contracted its own, one task contracts them all: a number that
+does not grow with the input, and fewer jobs than the rounds, whose plans and tasks the driver keeps.
+
 Hubs. What a key's rows share is joined back to them, and one key may have a large part of all rows. Keys of more
 than a HEAVY-th of the rows, at most HEAVY of them, are broadcast with their value; the rows of the others are shuffled.
 """
@@ -19,6 +22,8 @@ from idiolect.llm.common import cut_at, removed, scratch
 MOST_ROUNDS = 60
 #: Keys that are broadcast at most, and rows that a key may have at least before it is.
 HEAVY, LIGHT = 10_000, 64
+#: Edges that one task contracts to the end; more take rounds.
+EDGES = 50_000
 
 
 def joined(rows: DataFrame, table: DataFrame, key: str, n: str, total: int, how: str = "inner") -> DataFrame:
@@ -91,6 +96,11 @@ def components(edges: DataFrame) -> DataFrame:
     e = cut_at(contracted(e), path)
     before = mark(e)
     for _ in range(MOST_ROUNDS):
+        if before[0] <= EDGES:
+            old, path = path, scratch(spark, "stars")
+            e = cut_at(contracted(e.coalesce(1)), path)
+            removed(spark, old)
+            break
         n = 2 * before[0]
         both = with_least(e.union(e.select("v", "u").toDF("u", "v")), "u", "v", "m", n)
         large = both.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()

@@ -101,6 +101,21 @@ def test_thresholds_are_a_generalised_pigeonhole():
         assert sum(t for _, t in parts) - (m - len(parts)) == 3 - m + 1
 
 
+def test_few_edges_take_few_jobs_and_give_what_rounds_give(spark, monkeypatch):
+    """A round is a plan of many shuffles: on tables with large groups of copies the rounds' plans and tasks filled the driver."""
+    rng = random.Random(5)
+    pairs = [(a, a + 1) for a in range(1_000, 1_400)] + [(rng.randrange(900), rng.randrange(900)) for _ in range(700)]
+    edges, counter = spark.createDataFrame(pairs, "u long, v long").repartition(7), spark.sparkContext.statusTracker()
+    try:
+        spark.sparkContext.setJobGroup("few-edges", "components of few edges")
+        few = {r.node: r.root for r in graph.components(edges).collect()}
+        assert len(counter.getJobIdsForGroup("few-edges")) <= 10
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    monkeypatch.setattr(graph, "EDGES", 0)
+    assert few == {r.node: r.root for r in graph.components(edges).collect()}
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, x) for x in range(1001, 1100)] + [(5, 5), (-3, 1000), (1, 0)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "u long, v long").repartition(7)).collect()}
