@@ -12,7 +12,8 @@ group. Samples that share their place in the order come by their first character
 Lexical diversity is a pass over all words that carries its state. It is run speculatively: every piece of words is scanned
 from an empty state and keeps where the state is emptied again (a factor ends). A piece is then scanned again from the state
 that its neighbour ends in, until both scans empty their state at the same word; from there on they agree. Pieces whose
-neighbour turns out to end otherwise are scanned once more, until nothing changes; by induction from the first piece on,
+neighbour turns out to end otherwise are scanned once more, until nothing changes (of a piece its first HEAD words are
+read, all of it only where the scans do not meet there); by induction from the first piece on,
 the result is that of one pass. Two rounds are usual: only words that hardly ever repeat, so that no factor ends within
 PIECE words, take a round for each such piece, and their state is all of these words.
 """
@@ -38,8 +39,10 @@ RUNS = 12
 GRAM = 3
 #: Characters by which samples of one place in the order are sorted, before their digests.
 LEAD = 64
-#: Words of a piece of the diversity scan.
-PIECE = 65_536
+#: Words of a piece of the diversity scan, and those at each of its ends in which two scans of it nearly always meet.
+PIECE, HEAD = 65_536, 8_192
+#: Texts, and words of pieces, that are lists at one time.
+TEXTS, WORDS = 256, 200_000
 
 
 def first_runs(x: Column) -> Column:
@@ -182,7 +185,10 @@ def scanned(tokens: list[str], threshold: float, before: list[str], meets: froze
     seen, n, found = set(before), len(before), []
     for i, token in enumerate(tokens):
         n += 1
-        seen.add(token)
+        if token not in seen:
+            seen.add(token)
+            if threshold < 1:  # a new word lifts the ratio, so only a repeated one can end a factor
+                continue
         if len(seen) / n <= threshold:
             found.append(i)
             if i in meets:
@@ -192,11 +198,13 @@ def scanned(tokens: list[str], threshold: float, before: list[str], meets: froze
 
 
 def pieces(rows: DataFrame, keys: list[str], order: str, threshold: float, piece: int) -> DataFrame:
-    """(keys, piece, tokens, resets, back): the words of each group in order, in pieces, with where a scan of the piece
-    alone empties its state, forwards and backwards. rows: keys, order, text, norm."""
+    """(keys, piece, words, tokens, and for each way resets, head, tail): the words of each group in order, in pieces, with
+    where a scan of the piece alone empties its state, forwards and backwards, the first HEAD words that way, and those after
+    the last such place. rows: keys, order, text, norm."""
     from pyspark.sql import types as T
 
-    n_keys = len(keys)
+    n_keys, head_words, most_texts, most_words = len(keys), HEAD, TEXTS, WORDS
+    lists = ("tokens", "resets", "head", "tail", "back", "back_head", "back_tail")
     dealt = in_ranges(rows.select(*keys, order, F.substring("text", 1, LEAD).alias("lead"), digest().alias("digest"), "norm"), keys, order).select(*keys, "norm")
 
     def run(batches: Iterator) -> Iterator:
@@ -206,45 +214,57 @@ def pieces(rows: DataFrame, keys: list[str], order: str, threshold: float, piece
         from pyspark import TaskContext
 
         word, number, kinds = re.compile(tx.WORD), TaskContext.get().partitionId() << 32, []
-        key, held, done = None, [], []
+        key, held, done, size = None, [], [], 0
 
         def close() -> None:
-            nonlocal number, held
-            done.append((*key, number, held, scanned(held, threshold, [])[0], scanned(held[::-1], threshold, [])[0]))
-            number, held = number + 1, []
+            nonlocal number, held, size
+            row = [*key, number, len(held), held]
+            for way in (held, held[::-1]):
+                resets = scanned(way, threshold, [])[0]
+                row += (resets, way[:head_words], way[resets[-1] + 1 :] if resets else way)
+            done.append(row)
+            number, size, held = number + 1, size + len(held), []
 
         def flushed():
+            nonlocal size
             columns = list(zip(*done))
-            lists = [pa.array(columns[n_keys + 1], pa.list_(pa.string())), *(pa.array(c, pa.list_(pa.int32())) for c in columns[n_keys + 2 :])]
-            return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns[:n_keys], kinds)), pa.array(columns[n_keys], pa.int64()), *lists], names=[*keys, "piece", "tokens", "resets", "back"])
-
-        for batch in batches:
-            kinds = [batch.schema.field(i).type for i in range(n_keys)]
-            names = list(zip(*(batch.column(i).to_pylist() for i in range(n_keys))))
-            for new, t in zip(names, batch.column(n_keys).to_pylist()):
-                if new != key:
-                    if held:
-                        close()
-                    key = new
-                tokens = [x.lower() for x in word.findall(t or "")]
-                for at in range(0, len(tokens), piece):
-                    held += tokens[at : at + piece]
-                    if len(held) >= piece:
-                        close()
-            if sum(len(x[n_keys + 1]) for x in done) > 200_000 or len(done) > 5_000:
-                yield flushed()
-                done.clear()
+            done.clear()
+            size = 0
+            of_lists = [pa.array(c, pa.list_(pa.int32() if name in ("resets", "back") else pa.string())) for name, c in zip(lists, columns[n_keys + 2 :])]
+            return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns[:n_keys], kinds)), pa.array(columns[n_keys], pa.int64()), pa.array(columns[n_keys + 1], pa.int64()), *of_lists], names=[*keys, "piece", "words", *lists])
+
+        for whole in batches:
+            kinds = [whole.schema.field(i).type for i in range(n_keys)]
+            for start in range(0, whole.num_rows, most_texts):
+                batch = whole.slice(start, most_texts)
+                names = list(zip(*(batch.column(i).to_pylist() for i in range(n_keys))))
+                for new, t in zip(names, batch.column(n_keys)):
+                    if new != key:
+                        if held:
+                            close()
+                        key = new
+                    tokens = [x.lower() for x in word.findall(t.as_py() or "")]
+                    for at in range(0, len(tokens), piece):
+                        held += tokens[at : at + piece]
+                        if len(held) >= piece:
+                            close()
+                            if size > most_words:
+                                yield flushed()
+                    if size > most_words or len(done) > 5_000:
+                        yield flushed()
         if held:
             close()
         if done:
             yield flushed()
 
-    fields = [*(T.StructField(k, rows.schema[k].dataType) for k in keys), T.StructField("piece", T.LongType()), T.StructField("tokens", T.ArrayType(T.StringType())), T.StructField("resets", T.ArrayType(T.IntegerType())), T.StructField("back", T.ArrayType(T.IntegerType()))]
+    kind = {name: T.ArrayType(T.IntegerType() if name in ("resets", "back") else T.StringType()) for name in lists}
+    fields = [*(T.StructField(k, rows.schema[k].dataType) for k in keys), T.StructField("piece", T.LongType()), T.StructField("words", T.LongType()), *(T.StructField(k, v) for k, v in kind.items())]
     return dealt.mapInArrow(run, T.StructType(fields))
 
 
 def resumed(runs: DataFrame, keys: list[str], threshold: float) -> DataFrame:
-    """(keys, way, pos, words, found, tail): runs (.., tokens, resets, enter) scanned from the state `enter`."""
+    """(keys, way, pos, words, found, tail, whole): runs (.., words, tokens, resets, tail, enter) scanned from the state
+    `enter`. tokens: the first words or all; not whole are those that would need more of them."""
     from pyspark.sql import types as T
 
     ids = [*keys, "way", "pos"]
@@ -254,39 +274,45 @@ def resumed(runs: DataFrame, keys: list[str], threshold: float) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            words, found, tails = [], [], []
-            for tokens, resets, enter in zip(*(batch.column(place + i).to_pylist() for i in range(3))):
-                places = set(resets)
-                hits, met = scanned(tokens, threshold, enter, places)
-                last = max(resets) if met >= 0 else hits[-1] if hits else -1
-                words.append(len(tokens))
+            found, tails, whole = [], [], []
+            for row in zip(*(batch.column(place + i) for i in range(5))):  # a row at a time as lists
+                n, tokens, resets, alone, enter = (x.as_py() for x in row)
+                hits, met = scanned(tokens, threshold, enter, set(resets))
+                whole.append(met >= 0 or len(tokens) == n)
                 found.append(len(hits) + (sum(1 for x in resets if x > met) if met >= 0 else 0))
-                tails.append(tokens[last + 1 :] if last >= 0 else enter + tokens)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:place], pa.array(words, pa.int64()), pa.array(found, pa.int64()), pa.array(tails, pa.list_(pa.string()))], names=[*ids, "words", "found", "tail"])
+                tails.append(alone if met >= 0 else [] if not whole[-1] else tokens[hits[-1] + 1 :] if hits else enter + tokens)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: place + 1], pa.array(found, pa.int64()), pa.array(tails, pa.list_(pa.string())), pa.array(whole, pa.bool_())], names=[*ids, "words", "found", "tail", "whole"])
 
-    fields = [*(runs.schema[c] for c in ids), T.StructField("words", T.LongType()), T.StructField("found", T.LongType()), T.StructField("tail", T.ArrayType(T.StringType()))]
-    return runs.select(*ids, "tokens", "resets", "enter").mapInArrow(run, T.StructType(fields))
+    fields = [*(runs.schema[c] for c in ids), T.StructField("words", T.LongType()), T.StructField("found", T.LongType()), T.StructField("tail", T.ArrayType(T.StringType())), T.StructField("whole", T.BooleanType())]
+    return runs.select(*ids, "words", "tokens", "resets", "tail", "enter").mapInArrow(run, T.StructType(fields))
 
 
 def diversity(rows: DataFrame, keys: list[str], order: str = "seq", threshold: float = metrics.MTLD_THRESHOLD, piece: int = PIECE) -> DataFrame:
     """(keys, vocabulary_diversity): metrics.mtld_of() of all words of a group. rows: keys, order, text, norm. No task has
     more of a group than a piece, or a range of its samples. A group without a word has no row."""
     found = cut(pieces(rows, keys, order, threshold, piece), "pieces")
-    both = F.array(F.struct(F.lit(0).alias("way"), F.col("piece").alias("pos"), F.col("tokens").alias("words_in"), F.col("resets").alias("ends")), F.struct(F.lit(1).alias("way"), (-F.col("piece")).alias("pos"), F.reverse("tokens").alias("words_in"), F.col("back").alias("ends")))
-    runs = found.select(*keys, F.inline(both)).withColumnsRenamed({"words_in": "tokens", "ends": "resets"})
     ids = [*keys, "way", "pos"]
-    alone = F.coalesce(F.try_element_at("resets", F.lit(-1)), F.lit(-1))
-    tail = F.slice("tokens", alone + 2, F.greatest(F.size("tokens") - alone - 1, F.lit(0)))
-    state = cut(runs.select(*ids, F.size("tokens").cast("long").alias("words"), F.size("resets").cast("long").alias("found"), tail.alias("tail"), F.lit(True).alias("moved")), "states")
+
+    def both_ways(head: Column, back_head: Column) -> DataFrame:
+        """(keys, way, pos, words, tokens, resets, tail) of the pieces, with their first words or all of them."""
+        way = lambda k, pos, tokens, resets, tail: F.struct(F.lit(k).alias("way"), pos.alias("pos"), tokens.alias("tokens"), F.col(resets).alias("ends"), F.col(tail).alias("left"))
+        ways = F.array(way(0, F.col("piece"), head, "resets", "tail"), way(1, -F.col("piece"), back_head, "back", "back_tail"))
+        return found.select(*keys, "words", F.inline(ways)).withColumnsRenamed({"ends": "resets", "left": "tail"})
+
+    runs, whole_runs = both_ways(F.col("head"), F.col("back_head")), both_ways(F.col("tokens"), F.reverse("tokens"))
+    state = cut(runs.select(*ids, "words", F.size("resets").cast("long").alias("found"), "tail", F.lit(True).alias("moved")), "states")
     w = Window.partitionBy(*keys, "way").orderBy("pos")
     while True:
         after = state.withColumns({"enter": F.lag("tail").over(w), "due": F.coalesce(F.lag("moved").over(w), F.lit(False))})
         due = cut(after.where("due").select(*ids, "enter"), "due")
         if due.isEmpty():
             break
-        again = resumed(joined(runs, due, ids), keys, threshold)
+        again = cut(resumed(joined(runs, due, ids), keys, threshold), "again")
+        late = again.where("not whole").select(*ids)
+        if not late.isEmpty():
+            again = again.where("whole").unionByName(resumed(joined(whole_runs, joined(due, late, ids, "left_semi"), ids), keys, threshold))
         old = state.select(*ids, F.col("words").alias("w"), F.col("found").alias("f"), F.col("tail").alias("t"))
-        new = again.withColumn("ran", F.lit(True))
+        new = again.drop("whole").withColumn("ran", F.lit(True))
         both_states = joined(old, new, ids, "left")
         ran = F.coalesce("ran", F.lit(False))
         state = cut(both_states.select(*ids, F.coalesce("words", "w").alias("words"), F.coalesce("found", "f").alias("found"), F.when(ran, F.col("tail")).otherwise(F.col("t")).alias("tail"), (ran & (F.col("tail") != F.col("t"))).alias("moved")), "states")

@@ -59,3 +59,29 @@ def test_no_corpus_is_brought_together(spark):
         plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         collected = re.findall(r"collect_list\([^)]*\)", plan)
         assert not [c for c in collected if "text#" in c or "norm#" in c], name
+
+
+def test_diversity_reads_the_ends_of_pieces_again_not_all_of_them(spark, monkeypatch):
+    draw, sizes, resumed = random.Random(11), [], spanning.resumed
+    words = [f"w{'abcdefghij'[i % 10] * (1 + i // 10)}" for i in range(60)]
+    texts = [("common", i, " ".join(draw.choice(words) for _ in range(3_000))) for i in range(50)]
+    df = tx.normalised(fx.frame(spark, texts, "writer string, seq long, text string"))
+
+    def measured(runs, *rest):
+        sizes.append(runs.agg(F.max(F.size("tokens"))).first()[0])
+        return resumed(runs, *rest)
+
+    monkeypatch.setattr(spanning, "resumed", measured)
+    got = spanning.diversity(df, ["writer"]).first().vocabulary_diversity
+    assert got == metrics.mtld_of([w for _, _, t in texts for w in t.split()])
+    assert sizes and max(sizes) <= 8_192
+
+
+def test_diversity_where_scans_do_not_meet_at_the_ends(spark, monkeypatch):
+    monkeypatch.setattr(spanning, "HEAD", 4)
+    draw = random.Random(12)
+    made = {"new": [f"x{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyzabcd'[i // 100]}" for i in range(900)], "mixed": [draw.choice("abcdefgh") * draw.randint(1, 9) for _ in range(900)], "few": ["a"] * 5}
+    df = fx.frame(spark, [(w, i, " ".join(t[i : i + 30])) for w, t in made.items() for i in range(0, len(t), 30)], "writer string, seq long, text string")
+    for piece in (32, 100):
+        got = {r.writer: r.vocabulary_diversity for r in spanning.diversity(tx.normalised(df), ["writer"], piece=piece).collect()}
+        assert got == {w: metrics.mtld_of(t) for w, t in made.items()}
