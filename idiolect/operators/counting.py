@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from idiolect.functions import lexicons as lex
@@ -36,12 +36,23 @@ MAYBE = ("camel", "snake", "filename", "flag", "acronym", "code", "contraction")
 WHOLE = ("word_count", "sentence_count", "n_sentences", "paragraph_count", "heading_count", "bullet_count", "n_chars", "n_long", "n_squares", "unique_word_count", "contraction_chances", "smiles")
 #: Rows and words that are lists at one time; words that keep their number from one batch to the next.
 ROWS, TOKENS, KNOWN = 512, 200_000, 200_000
+#: Bytes of an Arrow batch of texts, and the setting that bounds it, which is Spark's.
+BATCH, BATCH_SETTING = "4m", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def fields(marks: tuple[str, ...]) -> tuple[str, ...]:
     return (*WHOLE, *(f"{k}_count" for k in (*HITS, *SENTENCE)), *(f"n_{m}" for m in marks))
 
 
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """df, whose session from now on hands texts to Python in batches of BATCH, unless it has a bound of its own: rows alone
+    do not bound them, and a worker holds a batch or two."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_SETTING, None) is None:
+        conf.set(BATCH_SETTING, BATCH)
+    return df
+
+
 def odd(norm: Column) -> Column:
     """Whether a text has other characters than those of ASCII, Latin letters up to U+024F and common marks. Java tries the
     ranges of a class one by one at each character, so they are sought one range a search, and most texts need but few."""

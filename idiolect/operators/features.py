@@ -26,7 +26,7 @@ def analyse(df: DataFrame, text_col: str = "text", words: lex.Lexicons = lex.DEF
 
     One Arrow function (operators/counting.py) and expressions, no shuffle. Arrays that other operators read are columns,
     too, made only where they are: tokens, sentences, sentence_tokens, paragraphs, lines."""
-    out = tx.normalised(df, text_col).withColumn("counts", counting.counts(F.col("norm"), words))
+    out = tx.normalised(counting.in_small_batches(df), text_col).withColumn("counts", counting.counts(F.col("norm"), words))
     names = counting.fields(tuple(metrics.MARKS))
     out = metrics.measured(out.select(*(c for c in out.columns if c != "counts"), *(F.col("counts")[k].alias(k) for k in (*names, *counting.PATTERNS, "maybe", "sentence_lengths", "phrases", "vocabulary_diversity"))))
     out = out.withColumn("text_length", F.length("norm").cast("long")).withColumns(metrics.counted_patterns(words)).withColumns(metrics.counted_rates()).drop("maybe", "phrases", "smiles", *counting.PATTERNS)

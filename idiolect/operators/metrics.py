@@ -153,6 +153,8 @@ def with_mtld(df: DataFrame, norm: str = "norm", to: str = "vocabulary_diversity
     """df and the lexical diversity of its normalised text: a sequential measure, so one Arrow pass."""
     from pyspark.sql.types import DoubleType, StructField, StructType
 
+    from idiolect.operators import counting
+
     place = df.columns.index(norm)
 
     def run(batches: Iterator) -> Iterator:
@@ -162,10 +164,10 @@ def with_mtld(df: DataFrame, norm: str = "norm", to: str = "vocabulary_diversity
 
         word = re.compile(tx.WORD)
         for batch in batches:
-            values = [mtld_of([w.lower() for w in word.findall(t or "")], threshold) for t in batch.column(place).to_pylist()]
+            values = [mtld_of([w.lower() for w in word.findall(t.as_py() or "")], threshold) for t in batch.column(place)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], names=[*batch.schema.names, to])
 
-    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(to, DoubleType())]))
+    return counting.in_small_batches(df).mapInArrow(run, StructType([*df.schema.fields, StructField(to, DoubleType())]))
 
 
 def mtld_expression(tokens: Column, threshold: float = MTLD_THRESHOLD) -> Column:

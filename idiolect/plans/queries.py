@@ -310,7 +310,7 @@ def basic_metrics(spark, sf_dir):
 
 @query(f"with {o.base(o.TEXTS)}, {o.mtld('b', 'doc_id')} select doc_id, vocabulary_diversity from mt")
 def mtld(spark, sf_dir):
-    return m.with_mtld(tx.normalised(texts(spark, sf_dir))).select("doc_id", "vocabulary_diversity")
+    return m.with_mtld(tx.normalised(texts(spark, sf_dir)).select("doc_id", "norm")).select("doc_id", "vocabulary_diversity")
 
 
 @query(ORACLE_SQL["mtld"])

@@ -1,9 +1,10 @@
 """The counting function against the metrics' own expressions, and what runs beside Spark."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from idiolect.functions import text as tx
-from idiolect.operators import features, metrics
+from idiolect.operators import counting, features, metrics
 
 ODD = [
     None, "", " \n ", 'He said "why?"\n\nNo. "Yes?" ) He went.', "a\x01b \x02 c. D\x01\n\n\x01\n\nlast_ing of ringed_ things", "\u212aic\u212a off, \u212aick off; \u0130n theory a b\u0130t. Kick OFF!",
@@ -90,3 +91,18 @@ def test_diversity_in_sql_takes_linear_steps(spark):
     began = time.time()
     got = metrics.with_mtld(df).select("vocabulary_diversity", metrics.mtld_expression(tx.tokens(tx.F.col("norm"))).alias("sql")).collect()
     assert all(r.sql == r.vocabulary_diversity for r in got) and time.time() - began < 60
+
+
+def test_a_batch_of_long_texts_is_bounded_in_bytes(spark):
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    df = spark.range(1_500).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 2_000).alias("text")).coalesce(1)
+    for of in (lambda: features.analyse(df), lambda: metrics.with_mtld(tx.normalised(df))):
+        spark.conf.unset(counting.BATCH_SETTING)
+        of()
+        assert df.mapInArrow(sizes, "n long").agg(F.max("n")).first()[0] < 5_000_000
+    assert {r[0] for r in metrics.with_mtld(tx.normalised(df)).select("vocabulary_diversity").distinct().collect()} == {metrics.mtld_of(["word"] * 2_000)}
