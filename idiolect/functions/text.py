@@ -37,12 +37,19 @@ def strip(x: Column) -> Column:
     return F.when(ends.rlike(r"(?U)\s"), F.regexp_replace(x, r"(?U)^\s+|(?<!\s)\s+$", "")).otherwise(x)
 
 
+def beyond_ascii(text: Column) -> Column:
+    return F.octet_length(text) > F.length(text)
+
+
 def plain_marks(text: Column) -> Column:
-    """Straight quotes, plain spaces, no BOM, LF line ends. Dashes stay; null counts as empty."""
+    """Straight quotes, plain spaces, no BOM, LF line ends. Dashes stay; null counts as empty. A text is searched for the marks
+    only if it is not all ASCII, and for both line ends only if it has one of them."""
     t = F.coalesce(text, F.lit(""))
-    for mark, plain in {"’": "'", "‘": "'", "“": '"', "”": '"', "\u00a0": " ", "\ufeff": ""}.items():  # a search for bytes; translate() looks every character up
-        t = F.replace(t, F.lit(mark), F.lit(plain))
-    return F.replace(F.replace(t, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    plain = t
+    for mark, of in {"’": "'", "‘": "'", "“": '"', "”": '"', "\u00a0": " ", "\ufeff": ""}.items():  # a search for bytes; translate() looks every character up
+        plain = F.replace(plain, F.lit(mark), F.lit(of))
+    lines = lambda x: F.when(F.contains(t, F.lit("\r")), F.replace(F.replace(x, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))).otherwise(x)
+    return F.when(beyond_ascii(t), lines(plain)).otherwise(lines(t))
 
 
 #: Texts of other characters alone are in NFC: up to U+02FF all are, and so are punctuation, currencies, arrows and boxes.
@@ -54,7 +61,7 @@ def composed(df: DataFrame, text_col: str = "text") -> DataFrame:
     with a character that may not be in NFC are given to it."""
     t = F.col(text_col)
     nfc = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), t, F.lit(False))
-    return df.withColumn(text_col, F.when(t.rlike(r"[\u0300-\x{10ffff}]") & t.rlike(NOT_COMPOSED), nfc).otherwise(t))
+    return df.withColumn(text_col, F.when(beyond_ascii(t) & t.rlike(r"[\u0300-\x{10ffff}]") & t.rlike(NOT_COMPOSED), nfc).otherwise(t))
 
 
 def normalised(df: DataFrame, text_col: str = "text", to: str = "norm") -> DataFrame:

@@ -59,8 +59,11 @@ def odd(norm: Column) -> Column:
     beyond = norm.rlike(r"[\u0080-\u00bf]") | (norm.rlike(r"[\u0250-\x{10ffff}]") & norm.rlike(FAR))
     own = F.lit(False)
     for c in NEAR:
-        own = own | F.contains(norm, F.lit(c))
-    return own | ((F.octet_length(norm) > F.length(norm)) & beyond)
+        if c.isascii():
+            own = own | F.contains(norm, F.lit(c))
+        else:
+            beyond = beyond | F.contains(norm, F.lit(c))
+    return own | (tx.beyond_ascii(norm) & beyond)
 
 
 def phrase_pattern(phrase: str) -> str:
@@ -102,11 +105,12 @@ def counts(norm: Column, words: lex.Lexicons = lex.DEFAULT) -> Column:
     from idiolect.operators import metrics
 
     marks, first_marks = metrics.MARKS, metrics.FIRST_MARKS
+    marks_of_one = {marks[m][0]: f"n_{m}" for m in marks if m not in first_marks}
     names = fields(tuple(marks))
     kind = ", ".join(f"{n}: bigint" for n in (*names, *PATTERNS)) + ", maybe: bigint, sentence_lengths: array<int>, phrases: array<int>, vocabulary_diversity: double"
     lists = {k: getattr(words, v) for k, v in HITS.items()}
     lists |= {"finite": words.finite_verbs, "initial": words.initial_conjunctions, "opener": words.imperative_openers, "subject": lex.CONTRACTABLE_SUBJECTS, "follower": lex.CONTRACTABLE_FOLLOWERS, "negatable": lex.NEGATABLE, "not": ("not",)}
-    bit = {k: 1 << i for i, k in enumerate([*lists, "verbal", "sought"])}
+    bit = {k: 1 << i for i, k in enumerate([*lists, "sought"])}
     mask: dict[str, int] = {}
     for k, terms in lists.items():
         for t in terms:
@@ -118,34 +122,36 @@ def counts(norm: Column, words: lex.Lexicons = lex.DEFAULT) -> Column:
     whole: dict[str, list[int]] = {}
     for i, w in enumerate(sought):
         whole.setdefault(w, []).append(i)
+        mask[w] = mask.get(w, 0) | bit["sought"]
     smiles = words.humour_punctuation
     endings = "|".join(lex.FILE_ENDINGS)
 
     def run(batches: Iterator) -> Iterator:
         import re
-        import unicodedata
-        from array import array
 
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
+
+        from idiolect.operators import batches as of_batches
 
-        word = re.compile(tx.WORD + "|" + tx.BREAK)
         inline = BLANKS.replace("\n", "")
         heading = re.compile(rf"(?m)^[{inline}]*#{{1,6}}[{inline}]+[^{BLANKS}]")
-        bullet = re.compile(rf"(?m)^[{inline}]*{tx.BULLET}[{inline}]+")
+        bullet = re.compile(rf"[{inline}]*{tx.BULLET}[{inline}]+")
         blank_line = re.compile(r"\n[ \t]*\n")
-        shapes = [re.compile("[a-z][A-Z]"), re.compile("_"), re.compile(rf"\.(?:{endings})"), re.compile("--[a-z]"), re.compile("[A-Z][A-Z]"), re.compile(r"`|\(\)"), re.compile("'")]
-        verb_ending = re.compile(r"(?ai)\w{3}(?:ed|ing|s)\b")
-        masks, sizes = array("q", [0]), array("q", [0])
-        closing, newline = re.compile(r"([.!?])([\"')\]]*\s+)"), re.compile(r"\n\s*")
+        filename = re.compile(rf"\.(?:{endings})")
+        flag = re.compile("--[a-z]")
+        newline = re.compile(r"\n\s*")
         letters, letters_and_dots = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"), frozenset(".abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
-        short, longest = re.compile(rf"\.*(?:{tx.ABBREVIATED}|[A-Za-z])\.+", re.IGNORECASE | re.ASCII), max(len(x) for a in lex.ABBREVIATIONS for x in a.split("."))
+        short = re.compile(rf"\.*(?:{tx.ABBREVIATED}|[A-Za-z])\.+", re.IGNORECASE | re.ASCII)
         item = re.compile(rf"{tx.BULLET}(?=[^\S\n])(\s+)")  # without a blank line after the bullet, which ends it first
         # the first letter alone before what looks back, so that it is searched for and not tried everywhere
         passives = re.compile(r"[abgiw](?<!\w[abgiw])" + passive.partition(r"\b")[2].replace("(?:am|is|are|was|were|be|been|being|get|gets|got)", "(?:(?<=a)(?:m|re)|(?<=i)s|(?<=w)(?:as|ere)|(?<=b)(?:e|een|eing)|(?<=g)(?:et|ets|ot))", 1))
         contracted = re.compile(r"'(?<=\w')(?:t|s|re|ve|ll|d|m)\b")
 
         phrase_patterns = [re.compile(phrase_pattern(p)) for p, _ in every_phrase]
+        listed, masks = pa.array(list(mask), pa.string()), np.array([*mask.values(), 0], np.int64)  # a word that is in no list has the last one
+        kinds, in_joined = of_batches.Kinds(BLANKS), {}
 
         def shortened(t: str, at: int) -> bool:
             """Whether the full stop at a place is that of an abbreviation or a single letter."""
@@ -155,31 +161,25 @@ def counts(norm: Column, words: lex.Lexicons = lex.DEFAULT) -> Column:
             start = end
             while start >= 0 and t[start] in letters:
                 start -= 1
-                if end - start > longest:
+                if end - start > of_batches.LONGEST:
                     return False
             while start >= 0 and t[start] in letters_and_dots:
                 start -= 1
             return short.fullmatch(t, start + 1, at + 1) is not None
 
-        def marked_text(t: str) -> str:
-            """tx.marked() of a text that is not odd."""
-            t = t.strip(BLANKS)
-            if "\n" in t:
-                parts, done = [], 0
-                for m in newline.finditer(t):
-                    if blank_line.search(m[0]) or (x := item.match(t, m.end())) and not blank_line.search(x[1]):
-                        start = m.start()
-                        while t[start - 1] in " \t\x0b\x0c\r":
-                            start -= 1
-                        parts += (t[done:start], tx.BREAK)
-                        done = start
-                t = "".join((*parts, t[done:]))
+        def marked_lines(t: str) -> str:
+            """A stripped text that is not odd with a BREAK before the blanks that end its paragraphs and list items; what
+            else tx.marked() marks are sentence_ends()."""
+            if "\n" not in t:
+                return t
             parts, done = [], 0
-            for m in closing.finditer(t):
-                at = m.start()
-                if t[at] != "." or not shortened(t, at):
-                    parts += (t[done : at + 1], tx.BREAK)
-                    done = at + 1
+            for m in newline.finditer(t):
+                if blank_line.search(m[0]) or (x := item.match(t, m.end())) and not blank_line.search(x[1]):
+                    start = m.start()
+                    while t[start - 1] in " \t\x0b\x0c\r":
+                        start -= 1
+                    parts += (t[done:start], tx.BREAK)
+                    done = start
             return "".join((*parts, t[done:]))
 
         def contractions_in(lower: str) -> int:
@@ -197,125 +197,122 @@ def counts(norm: Column, words: lex.Lexicons = lex.DEFAULT) -> Column:
                     n += 1
             return n
 
-        class Numbers(dict):
-            """A word's number, the same in upper and lower case."""
-
-            def __missing__(self, written: str) -> int:
-                token = written.lower()
-                if token != written:
-                    self[written] = n = self[token]
-                    return n
-                self[token] = n = len(masks)
-                # a pattern's words end where words do: at a token's ends, or at a mark within it
-                if held := [i for i, w in enumerate(sought) if w in token] if "-" in token or "'" in token else whole.get(token):
-                    phrases[n] = held
-                masks.append(mask.get(token, 0) | (bit["verbal"] if verb_ending.search(token) else 0) | (bit["sought"] if held else 0))
-                sizes.append(len(token))
-                return n
-
-        class Plain(dict):
-            """A character beyond ASCII as one that ASCII's \\w and case treat as Java's do it."""
-
-            def __missing__(self, c: int) -> str:
-                kind = unicodedata.category(chr(c))
-                inside = kind[0] in "LM" or kind in ("Nl", "Nd", "Pc") or c in (0x200C, 0x200D) or 0x24B6 <= c <= 0x24E9 or 0x1F130 <= c <= 0x1F149 or 0x1F150 <= c <= 0x1F169 or 0x1F170 <= c <= 0x1F189
-                self[c] = x = chr(c) if c < 128 else {0x17F: "s", 0x130: "i", 0x131: "i"}.get(c, "a" if inside else " ")
-                return x
-
-        numbers, plain, phrases = Numbers({tx.BREAK: 0}), Plain(), {}
-
-        def verbal(sentence: str, of_words: bool) -> bool:
-            """of_words: what its words alone tell, which is all where nothing else can be a part of a word."""
-            if sentence.isascii():
-                return of_words if "_" not in sentence else verb_ending.search(sentence) is not None
-            return verb_ending.search(sentence.translate(plain)) is not None
+        def looked_up(distinct: pa.StringArray) -> tuple[np.ndarray, dict[int, list[int]]]:
+            """The lists that words are in, as bits, and the phrases that words with a mark within them may belong to."""
+            of, phrases = masks[pc.fill_null(pc.index_in(distinct, listed), -1).to_numpy()], {}
+            # a pattern's words end where words do: at a token's ends, or at a mark within it
+            joined = np.flatnonzero(pc.match_substring_regex(distinct, "['-]").to_numpy(zero_copy_only=False))
+            of[joined] &= ~bit["sought"]
+            for i, token in zip(joined.tolist(), distinct.take(pa.array(joined)).to_pylist()):
+                if (held := in_joined.get(token)) is None:
+                    if len(in_joined) > KNOWN:
+                        in_joined.clear()
+                    in_joined[token] = held = [k for k, w in enumerate(sought) if w in token]
+                if held:
+                    phrases[i] = held
+                    of[i] |= bit["sought"]
+            for i in np.flatnonzero(of & bit["sought"]).tolist():
+                if i not in phrases:
+                    phrases[i] = whole[distinct[i].as_py()]
+            return of, phrases
 
         def counted(norms: list[str], in_java: list[str | None]) -> dict:
-            if len(numbers) > KNOWN:
-                numbers.clear()
-                phrases.clear()
-                numbers[tx.BREAK] = 0
-                del masks[1:], sizes[1:]
-            texts = [marked_text(t) if x is None else x for t, x in zip(norms, in_java)]
-            n, flat, bounds, pieces = len(texts), [], [0], []
-            for t in texts:
-                flat += word.findall(t)
-                flat.append(tx.BREAK)
-                bounds.append(len(flat))
-                pieces += t.split(tx.BREAK)
-            ids = np.fromiter(map(numbers.__getitem__, flat), np.int64, len(flat))
-            row = np.repeat(np.arange(n), np.diff(bounds))
+            stripped = [t.strip(BLANKS) for t in norms]
+            n = len(norms)
+            texts = [marked_lines(t) if x is None else x.translate(kinds) for t, x in zip(stripped, in_java)]
+            c, text_ends = of_batches.characters(texts)
+            text_of = lambda at: np.searchsorted(text_ends, at)
             per = lambda rows, w=None: np.bincount(rows, w, n).astype(np.int64)
-            ends = ids == 0
-            at = np.flatnonzero(~ends)
-            of, rows, piece = np.array(masks)[ids[at]], row[at], (np.cumsum(ends) - ends)[at]
-            length, piece_row = np.array(sizes)[ids[at]], row[ends]
-            last = [p.strip(BLANKS)[-1:] for p in pieces]
-            filled, asks = np.array([x != "" for x in last], bool), np.array([x == "?" for x in last], bool)
-            in_piece = np.bincount(piece, minlength=len(pieces))
+            some = lambda at: (np.bincount(text_of(at), minlength=n) > 0).tolist()
+
+            marks_at, doubtful = of_batches.sentence_ends(c)
+            mark_row = text_of(marks_at)
+            ending = ~np.array([x is not None for x in in_java], bool)[mark_row]  # Java has marked its own
+            text_starts = np.concatenate([[of_batches.PAD], text_ends[:-1] + 1])
+            for i in np.flatnonzero(doubtful & ending).tolist():
+                r = int(mark_row[i])
+                ending[i] = not shortened(texts[r], int(marks_at[i] - text_starts[r]))
+            breaks = np.flatnonzero(c == ord(tx.BREAK))[of_batches.PAD :]
+            bounds = np.sort(np.concatenate([breaks, marks_at[ending]]))  # a piece is all after one and up to the next
+            n_pieces, piece_row = len(bounds), text_of(bounds)
+            piece_of = lambda at: np.searchsorted(bounds, at)
+
+            starts, lengths, numbers, distinct = of_batches.words(c)
+            masks_of, phrases = looked_up(distinct)
+            of, rows, piece = masks_of[numbers], text_of(starts), piece_of(starts)
+            last = bounds.copy()  # of a piece's characters, but for blanks
+            back = np.arange(n_pieces)
+            while len(back := back[of_batches.IS_BLANK[c[last[back]]] | (last[back] == bounds[back]) & (c[bounds[back]] == ord(tx.BREAK))]):
+                last[back] -= 1
+            filled = c[last] != ord(tx.BREAK)
+            filled[1:] &= last[1:] > bounds[:-1]
+            asks = filled & (c[last] == ord("?"))
+            in_piece = np.bincount(piece, minlength=n_pieces)
             worded = in_piece > 0
             first = np.flatnonzero(np.diff(piece, prepend=-1))
             opens, opened = of[first], piece[first]
-            finite = np.bincount(piece[of & bit["finite"] != 0], minlength=len(pieces)) > 0
-            ending = np.bincount(piece[of & bit["verbal"] != 0], minlength=len(pieces)) > 0
-            fragments = [i for i in np.flatnonzero(worded & ~finite).tolist() if not verbal(pieces[i], ending[i])]
+            finite = np.bincount(piece[of & bit["finite"] != 0], minlength=n_pieces) > 0
+            verbal = np.bincount(piece_of(of_batches.verb_endings(c)), minlength=n_pieces) > 0
+            word_bounds = np.searchsorted(rows, np.arange(n + 1))
+            diversity, distinct_words = of_batches.diversities(numbers, word_bounds, metrics.MTLD_THRESHOLD)
             a, b = of[:-1], of[1:]
             chance = (a & bit["subject"] != 0) & (b & bit["follower"] != 0) | (a & bit["negatable"] != 0) & (b & bit["not"] != 0)
-            some = np.flatnonzero(of)
-            of_some, rows_some = of[some], rows[some]
+            marked = np.flatnonzero(of)
+            of_marked, rows_marked = of[marked], rows[marked]
             out = {
-                "word_count": per(rows), "sentence_count": per(piece_row[worded]), "n_sentences": per(piece_row[filled]), "n_chars": per(rows, length), "n_long": per(rows[length >= 7]),
+                "word_count": per(rows), "sentence_count": per(piece_row[worded]), "n_sentences": per(piece_row[filled]), "n_chars": per(rows, lengths), "n_long": per(rows[lengths >= 7]),
                 "n_squares": per(piece_row, in_piece.astype(np.float64) ** 2), "contraction_chances": per(rows[1:][chance & (rows[1:] == rows[:-1])]), "question_count": per(piece_row[asks]),
-                "fragment_count": per(piece_row[fragments] if fragments else rows[:0]), "initial_conjunction_count": per(piece_row[opened[opens & bit["initial"] != 0]]),
+                "fragment_count": per(piece_row[worded & ~finite & ~verbal]), "initial_conjunction_count": per(piece_row[opened[opens & bit["initial"] != 0]]),
                 "imperative_count": per(piece_row[opened[(opens & bit["opener"] != 0) & ~asks[opened]]]),
+                "unique_word_count": distinct_words, "vocabulary_diversity": diversity,
             }
             for k in HITS:
-                out[f"{k}_count"] = per(rows_some[of_some & bit[k] != 0])
-            values = ids[at].tolist()
-            starts = np.searchsorted(rows, np.arange(n + 1)).tolist()
-            own = [values[i:j] for i, j in zip(starts, starts[1:])]
-            out["unique_word_count"] = [len(set(x)) for x in own]
-            out["vocabulary_diversity"] = [metrics.mtld_of(x) for x in own]
-            lengths = in_piece[worded].astype(np.int32)
-            out["sentence_lengths"] = (np.concatenate([[0], np.cumsum(out["sentence_count"])]), lengths)
-            near: list[set[int]] = [set() for _ in texts]
-            for r, w in zip(*(x[of & bit["sought"] != 0].tolist() for x in (rows, ids[at]))):
+                out[f"{k}_count"] = per(rows_marked[of_marked & bit[k] != 0])
+            out["sentence_lengths"] = (np.concatenate([[0], np.cumsum(out["sentence_count"])]), in_piece[worded].astype(np.int32))
+            near: list[set[int]] = [set() for _ in norms]
+            for r, w in zip(*(x[of & bit["sought"] != 0].tolist() for x in (rows, numbers))):
                 near[r].update(phrases[w])
-            each = {k: [] for k in ("paragraph_count", "heading_count", "bullet_count", "smiles", "maybe", "phrases", *PATTERNS, *(f"n_{m}" for m in marks))}
-            for t, norm_text, x, found in zip(texts, norms, in_java, near):
-                t = t.replace(tx.BREAK, "")
-                o = norm_text.strip(BLANKS) if tx.BREAK in norm_text or tx.GUARD in norm_text else t
-                each["paragraph_count"].append(sum(1 for p in blank_line.split(o) if p.strip(BLANKS)))
+            # what a text must have for a shape to be in it
+            small, upper = of_batches.kind(of_batches.IS_SMALL, c), of_batches.kind(of_batches.IS_UPPER, c)
+            camels, acronyms = some(np.flatnonzero(small[:-1] & upper[1:])), some(np.flatnonzero(upper[:-1] & upper[1:]))
+            dotted = some(np.flatnonzero((c[:-1] == ord(".")) & small[1:]))
+            each = {k: [] for k in ("paragraph_count", "heading_count", "bullet_count", "smiles", "maybe", "phrases", *PATTERNS, *(f"n_{m}" for m in first_marks))}
+            # marks of one character, of which those within first_marks are taken off below
+            each |= {name: per(text_of(np.flatnonzero(c == ord(mark)))).tolist() for mark, name in marks_of_one.items()}
+            for i, (norm_text, o, x, found) in enumerate(zip(norms, stripped, in_java, near)):
+                t = o if x is None else x.replace(tx.BREAK, "")
+                if x is not None and tx.BREAK not in norm_text and tx.GUARD not in norm_text:
+                    o = t
+                each["paragraph_count"].append(sum(1 for p in blank_line.split(o) if p.strip(BLANKS)) if "\n" in o else int(o.strip(BLANKS) != ""))
                 each["heading_count"].append(len(heading.findall(o)) if "#" in o else 0)
-                each["bullet_count"].append(len(bullet.findall(o)))
+                each["bullet_count"].append(sum(1 for line in o.split("\n") if bullet.match(line)))
                 lower = t.lower()
                 each["smiles"].append(sum(lower.count(p) for p in smiles))
-                if "\u212a" in t or "\u0130" in t:  # their lower case is, or begins with, a letter of ASCII
+                if x is not None and ("\u212a" in t or "\u0130" in t):  # their lower case is, or begins with, a letter of ASCII
                     found = (i for i, w in enumerate(sought) if w in lower)
                 each["phrases"].append([] if x is None else sorted(found))
                 each["odd"].append(int(x is not None))
+                has = (camels[i], "_" in t, dotted[i] and filename.search(t), "--" in t and flag.search(t), acronyms[i], "`" in t or "()" in t, "'" in t)
+                each["maybe"].append(sum(1 << k for k, h in enumerate(has) if h))
                 of_lists = [0, 0, 0]
                 if x is None:
-                    whole_lower = norm_text.lower()
-                    for i in found:
-                        of_lists[every_phrase[i][1]] += len(phrase_patterns[i].findall(whole_lower))
-                    each["n_passive"].append(sum(1 for _ in passives.finditer(whole_lower)))
-                    each["n_contraction"].append(contractions_in(whole_lower) if "'" in whole_lower else 0)
+                    for k in found:
+                        of_lists[every_phrase[k][1]] += len(phrase_patterns[k].findall(lower))
+                    each["n_passive"].append(sum(1 for _ in passives.finditer(lower)))
+                    each["n_contraction"].append(contractions_in(lower) if "'" in lower else 0)
                 else:
                     each["n_passive"].append(0)
                     each["n_contraction"].append(0)
                 for k, n_found in zip(PATTERNS[3:], of_lists):
                     each[k].append(n_found)
-                each["maybe"].append(sum(1 << i for i, s in enumerate(shapes) if s.search(t)))
                 for m in first_marks:
                     n_marks = 0
                     for literal in marks[m]:
                         if k := t.count(literal):
-                            n_marks, t = n_marks + k, t.replace(literal, "\x00")
+                            n_marks += k
+                            for part in marks_of_one.keys() & set(literal):
+                                each[marks_of_one[part]][i] -= k * literal.count(part)
                     each[f"n_{m}"].append(n_marks)
-                for m in marks:
-                    if m not in first_marks:
-                        each[f"n_{m}"].append(t.count(marks[m][0]))
             return out | each
 
         def packed(found: dict) -> pa.StructArray:

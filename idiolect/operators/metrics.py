@@ -6,7 +6,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -124,6 +124,24 @@ def basic(tokens: str = "tokens", sentence_tokens: str = "sentence_tokens", para
     }
 
 
+def factors_of(sequence: Iterable, threshold: float = MTLD_THRESHOLD, factors: float = 0.0) -> float:
+    """factors and those of a sequence that begins with one, with its share of the last."""
+    seen, n = set(), 0
+    add = seen.add
+    for token in sequence:
+        n += 1
+        if token not in seen:
+            add(token)
+            if threshold < 1:  # a new word lifts the ratio, so only a repeated one can end a factor
+                continue
+        if len(seen) / n <= threshold:
+            factors, n = factors + 1, 0
+            seen.clear()
+    if n:
+        factors += (1 - len(seen) / n) / (1 - threshold)
+    return factors
+
+
 def mtld_of(tokens: list, threshold: float = MTLD_THRESHOLD) -> float:
     """Mean words a factor, forwards and backwards: a factor ends where distinct / seen falls to the threshold, and
     what is left counts by how far it has fallen."""
@@ -131,19 +149,7 @@ def mtld_of(tokens: list, threshold: float = MTLD_THRESHOLD) -> float:
         return 0.0
 
     def passed(sequence) -> float:
-        factors, seen, n = 0.0, set(), 0
-        add = seen.add
-        for token in sequence:
-            n += 1
-            if token not in seen:
-                add(token)
-                if threshold < 1:  # a new word lifts the ratio, so only a repeated one can end a factor
-                    continue
-            if len(seen) / n <= threshold:
-                factors, n = factors + 1, 0
-                seen.clear()
-        if n:
-            factors += (1 - len(seen) / n) / (1 - threshold)
+        factors = factors_of(sequence, threshold)
         return len(tokens) / factors if factors > 0 else float(len(tokens))
 
     return round((passed(tokens) + passed(reversed(tokens))) / 2, 2)
