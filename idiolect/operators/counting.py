@@ -18,10 +18,9 @@ from idiolect.functions import text as tx
 
 #: What Java's \s is with (?U).
 BLANKS = "\t\n\x0b\x0c\r \x85\xa0                　"
-#: Characters, from U+0250 on, that are not dashes, quotes, bullets, an ellipsis or a euro sign.
-FAR = "[\u0250-\u200f\u2015-\u2017\u2020\u2021\u2024\u2025\u2027-\u20ab\u20ad-\u25e5\u25e7-\U0010ffff]"
-#: Letters whose other case is one of ASCII; what is a blank in Python alone; the marks that tx.marked() adds; signs among letters.
-NEAR = "\u0130\u0131\u017f\x1c\x1d\x1e\x1f\x00\x01\x02\xd7\xf7"
+#: A text of ASCII, Latin letters up to U+024F, dashes, quotes, bullets, ellipses and euro signs alone, but for letters whose
+#: other case is one of ASCII, what is a blank in Python alone, the marks that tx.marked() adds and signs among letters.
+PLAIN = r"\A(?:[ -\x7f]+|[\x03-\x1b]+|[\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u017e\u0180-\u024f]+|[\u2010-\u2014\u2018-\u201f\u2022\u2023\u2026\u20ac\u25e6]+)*+\z"
 #: Names of a metric's words in Lexicons, by the name of its count.
 HITS = {
     "first_person": "first_person", "second_person": "second_person", "conjunction": "conjunctions", "subordinate": "subordinators", "strong_modal": "strong_modals", "weak_modal": "weak_modals",
@@ -54,16 +53,8 @@ def in_small_batches(df: DataFrame) -> DataFrame:
 
 
 def odd(norm: Column) -> Column:
-    """Whether a text has other characters than those of ASCII, Latin letters up to U+024F and common marks. Java tries the
-    ranges of a class one by one at each character, so they are sought one range a search, and most texts need but few."""
-    beyond = norm.rlike(r"[\u0080-\u00bf]") | (norm.rlike(r"[\u0250-\x{10ffff}]") & norm.rlike(FAR))
-    own = F.lit(False)
-    for c in NEAR:
-        if c.isascii():
-            own = own | F.contains(norm, F.lit(c))
-        else:
-            beyond = beyond | F.contains(norm, F.lit(c))
-    return own | (tx.beyond_ascii(norm) & beyond)
+    """Whether a text has other characters than those of PLAIN: one pass over it, most of which is a run of ASCII."""
+    return ~norm.rlike(PLAIN)
 
 
 def phrase_pattern(phrase: str) -> str:
