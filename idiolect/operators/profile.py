@@ -35,27 +35,37 @@ def usable(samples: DataFrame) -> DataFrame:
 COUNTS = tuple(f"{k}_count" for k in (*metrics.PER_WORD, *metrics.PER_SENTENCE, *metrics.VOCABULARY))
 MARKS = tuple(f"n_{m}" for m in metrics.MARKS)
 TOTALS = ("contraction_chances", "word_count", "sentence_count", "paragraph_count", "heading_count", "bullet_count", "n_sentences")
+#: What spanning.placed() adds.
+PLACE = ("digest", "chunk", "place")
 #: Sums that only averages and the spread read: of words' characters, of long words, of the squares of sentences' words.
 SUMS = ("n_chars", "n_long", "n_squares")
 
 
 def prepared(samples: DataFrame, words: lex.Lexicons = lex.DEFAULT) -> DataFrame:
-    """samples with all that lists, scores and profiles read, analysed once and written down."""
-    analysed = analyse(samples, words=words)
+    """samples in order (see spanning.placed()) with all that lists, scores and profiles read, analysed once and written down;
+    of texts only the normalised one, where the other is the same, and no words, which are found again where they are read."""
     kept = [c for c in samples.columns if c != "text"]
-    return cut(analysed.select(*kept, "text", "norm", "tokens", "sentence_lengths", *COUNTS, *MARKS, *TOTALS, *SUMS, *FEATURES), "analysed")
+    analysed = analyse(spanning.placed(tx.composed(samples), [c for c in kept if c not in ("seq", "context")]), words=words)
+    norm, text = F.col("norm"), F.col("text")
+    written = analysed.select(*kept, *PLACE, F.when(~text.eqNullSafe(norm), text).alias("text"), "norm", F.size(metrics.code_shapes(norm)).alias("code_count"), *COUNTS, *MARKS, *TOTALS, *SUMS, *FEATURES)
+    return cut(written, "analysed").withColumns({"text": F.coalesce("text", "norm"), "tokens": tx.tokens(norm)})
+
+
+def levels(more: tuple[str, ...] = ()) -> Column:
+    """A sample's groups: its writer's (level 0, no context) and, if it is labelled, its context's (level 1)."""
+    group = lambda level, context: F.struct(*more, F.lit(level).alias("level"), context.alias("context"))
+    labelled = F.when(F.col("context").isNotNull(), group(1, F.col("context")))
+    return F.array_compact(F.array(group(0, F.lit(None).cast("string")), labelled))
 
 
 def grouped(analysed: DataFrame) -> DataFrame:
-    """Each sample in its writer's group (level 0, no context) and, if it is labelled, in its context's (level 1)."""
-    own = F.struct(F.lit(0).alias("level"), F.lit(None).cast("string").alias("context"))
-    labelled = F.when(F.col("context").isNotNull(), F.struct(F.lit(1).alias("level"), F.col("context").alias("context")))
-    return analysed.select("writer", F.inline(F.array_compact(F.array(own, labelled))), *(c for c in analysed.columns if c not in ("writer", "context")))
+    """Each sample in each of its levels()."""
+    return analysed.select("writer", F.inline(levels()), *(c for c in analysed.columns if c not in ("writer", "context")))
 
 
-def crossing(analysed: DataFrame, keys: list[str], words: lex.Lexicons = lex.DEFAULT, edges: DataFrame | None = None, code: DataFrame | None = None) -> list[DataFrame]:
+def crossing(analysed: DataFrame, keys: list[str], words: lex.Lexicons = lex.DEFAULT, edges: DataFrame | None = None, code: DataFrame | None = None, diverse: DataFrame | None = None) -> list[DataFrame]:
     """Counts of what spans samples, a row a group and frame: to be added to the sums over the samples."""
-    rows = analysed.select(*keys, "seq", "text", "norm", "tokens")
+    rows = analysed.select(*keys, "seq", "text", "norm", "tokens", *PLACE)
     edges = spanning.edges(rows, keys) if edges is None else edges
     code = spanning.code_terms(rows, edges, keys) if code is None else code
     lower = F.col("lower")
@@ -67,19 +77,19 @@ def crossing(analysed: DataFrame, keys: list[str], words: lex.Lexicons = lex.DEF
         texts.groupBy(*keys).agg(*(F.sum(F.col("sign") * c).alias(f"{k}_count") for k, c in counts.items())),
         pairs.groupBy(*keys).agg(F.sum(F.col("sign") * metrics.contraction_chances(F.col("tokens"))).alias("contraction_chances")),
         code.groupBy(*keys).agg(F.count(F.lit(1)).alias("technical_count")),
-        spanning.diversity(rows, keys),
+        spanning.diversity(rows, keys, groups=F.array(F.struct(*keys))) if diverse is None else diverse,
     ]
 
 
-def corpus_metrics(analysed: DataFrame, keys: list[str], words: lex.Lexicons = lex.DEFAULT, edges: DataFrame | None = None, code: DataFrame | None = None) -> DataFrame:
+def corpus_metrics(analysed: DataFrame, keys: list[str], words: lex.Lexicons = lex.DEFAULT, edges: DataFrame | None = None, code: DataFrame | None = None, diverse: DataFrame | None = None) -> DataFrame:
     """(keys, CORPUS): sums of the samples' counts, and what spans samples. analysed: prepared samples with keys and seq."""
     sums = [F.sum(c).alias(c) for c in (*COUNTS, *MARKS, *TOTALS)]
     sums += [
         F.count(F.lit(1)).alias("sample_count"), F.sum("word_count").alias("__s"), F.sum("n_squares").alias("__q"), F.sum("n_chars").alias("__chars"), F.sum("n_long").alias("__long"),
     ]
-    s = analysed.withColumn("technical_count", F.col("technical_count") - F.size(metrics.code_shapes(F.col("norm")))).groupBy(*keys).agg(*sums)
+    s = analysed.withColumn("technical_count", F.col("technical_count") - F.col("code_count")).groupBy(*keys).agg(*sums)
     summed = [c for c in s.columns if c not in keys]
-    for more in crossing(analysed, keys, words, edges, code):
+    for more in crossing(analysed, keys, words, edges, code, diverse):
         s = s.unionByName(more, allowMissingColumns=True)
     s = s.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in summed), F.coalesce(F.max("vocabulary_diversity"), F.lit(0.0)).alias("vocabulary_diversity"))
     whole = lambda c: F.col(c).cast("decimal(19,0)")
@@ -102,9 +112,9 @@ def corpus_metrics(analysed: DataFrame, keys: list[str], words: lex.Lexicons = l
 CORPUS = ("sample_count", "word_count", "sentence_count", "paragraph_count", "heading_count", "bullet_count", "contraction_preference", *(f"band_{m}" for m in metrics.MARKS), *FEATURES)
 
 
-def scored(analysed: DataFrame, keys: list[str], words: lex.Lexicons = lex.DEFAULT, edges: DataFrame | None = None, code: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def scored(analysed: DataFrame, keys: list[str], words: lex.Lexicons = lex.DEFAULT, edges: DataFrame | None = None, code: DataFrame | None = None, diverse: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(corpus metrics, scoring results) of the groups of prepared samples: the one function for writers and for contexts."""
-    corpus = cut(corpus_metrics(analysed, keys, words, edges, code), "corpus")  # a row a group, read by all that follows
+    corpus = cut(corpus_metrics(analysed, keys, words, edges, code, diverse), "corpus")  # a row a group, read by all that follows
     spread = scoring.sample_spread(analysed.select(*keys, "word_count", *FEATURES), keys)
     return corpus, cut(scoring.results(corpus.select(*keys, "word_count", *FEATURES), spread, keys), "results")
 
@@ -174,12 +184,14 @@ def build(samples: DataFrame, verdicts: DataFrame | None = None, created_at: str
     keys, group = ["writer"], ["writer", "level", "context"]
     analysed = prepared(usable(samples).select("writer", "seq", "context", "text"), words)
     every = grouped(analysed)
-    edges = spanning.edges(every.select(*group, "seq", "text", "norm", "tokens"), group)
+    own = spanning.edges(analysed.select("writer", "context", "seq", "text", "norm", "tokens", *PLACE), ["writer", "context"])
+    edges, own = grouped(own), own.drop("context")
     code = cut(spanning.code_terms(every, edges, group), "code")
-    corpora, scores = scored(every, group, words, edges, code)
+    diverse = spanning.diversity(analysed, group, groups=levels(("writer",)))
+    corpora, scores = scored(every, group, words, edges, code, diverse)
     at = lambda df, level: df.where(F.col("level") == level).drop("level")
     corpus, results = at(corpora, 0).drop("context"), at(scores, 0).drop("context")
-    own, own_code = at(edges, 0).drop("context"), at(code, 0).drop("context")
+    own_code = at(code, 0).drop("context")
     lists_of = analysed.select("writer", "seq", "text", "norm", "tokens", F.lower("norm").alias("lower"))
     counted = cut(vocabulary.terms(lists_of, keys, words, "seq", own, own_code), "terms")
     tops = vocabulary.top_lists(counted, keys).select("writer", "technical_terms", "colloquialisms")

@@ -5,16 +5,18 @@ cross a blank line, so their counts add up. What can cross is added here: neighb
 and passives (edges of the samples, with counts of either sign), code between backticks (distinct in the corpus), and
 lexical diversity.
 
-Order comes from ranges. `edges` deals what is narrow of the samples out by range of (group, order), so a writer of any size
-is spread over many ranges; neighbours meet within a range first, and ranges meet through their summaries, a row a range and
-group. Samples that share their place in the order come by their first characters, then by their digest: no text is a sort key.
+Order comes from ranges. Samples are dealt out by range of (group, order), so a writer of any size is spread over many
+ranges, and have a `chunk` (their range) and a `place`, which increases by one within it; neighbours meet within a range
+first, and ranges meet through their summaries, a row a range and group. Samples that share their place in the order come by
+their first characters, then by their digest: no text is a sort key. placed() deals texts out and writes them down, once
+for all that needs their order; of rows that have no place yet `edges` deals only what is narrow.
 
 Lexical diversity is a pass over all words that carries its state. It is run speculatively: every piece of words is scanned
 from an empty state and keeps where the state is emptied again (a factor ends). A piece is then scanned again from the state
 that its neighbour ends in, until both scans empty their state at the same word; from there on they agree. Pieces whose
 neighbour turns out to end otherwise are scanned once more, until nothing changes (of a piece its first HEAD words are
-read, all of it only where the scans do not meet there); by induction from the first piece on,
-the result is that of one pass. Two rounds are usual: only words that hardly ever repeat, so that no factor ends within
+written down and read; the others are sought in the texts again, where the scans do not meet there); by induction from the
+first piece on, the result is that of one pass. Two rounds are usual: only words that hardly ever repeat, so that no factor ends within
 PIECE words, take a round for each such piece, and their state is all of these words.
 """
 
@@ -29,7 +31,7 @@ from idiolect.functions import text as tx
 from idiolect.functions.numbers import rounded
 from idiolect.operators import metrics
 from idiolect.operators.keys import joined
-from idiolect.sources.scratch import cut
+from idiolect.sources.scratch import cut, cut_at, removed, scratch
 
 SEPARATOR = "\n\n"
 #: Runs of non-blanks beside a boundary in which a crossing phrase or passive is looked for; the longest phrase has
@@ -40,9 +42,9 @@ GRAM = 3
 #: Characters by which samples of one place in the order are sorted, before their digests.
 LEAD = 64
 #: Words of a piece of the diversity scan, and those at each of its ends in which two scans of it nearly always meet.
-PIECE, HEAD = 65_536, 8_192
-#: Texts, and words of pieces, that are lists at one time.
-TEXTS, WORDS = 256, 200_000
+PIECE, HEAD = 131_072, 8_192
+#: Texts, and words of pieces, that are lists at one time; words of pieces that a task has not ended.
+TEXTS, WORDS, OPEN = 256, 200_000, 1_000_000
 
 
 def first_runs(x: Column) -> Column:
@@ -73,22 +75,32 @@ def in_ranges(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     return rows.repartitionByRange(*by).sortWithinPartitions(*by)
 
 
+def numbered(dealt: DataFrame) -> DataFrame:
+    return dealt.withColumns({"chunk": F.spark_partition_id(), "place": F.monotonically_increasing_id()}).drop("lead")
+
+
+def placed(rows: DataFrame, keys: list[str], order: str = "seq") -> DataFrame:
+    """rows (keys, order, text and more) in order, with digest, chunk and place; to be written down, as another run may deal
+    them out in another way."""
+    return numbered(in_ranges(rows.withColumns({"lead": F.substring("text", 1, LEAD), "digest": digest()}), keys, order))
+
+
 # --- edges -------------------------------------------------------------------------------------------------------
 
 
 def edges(rows: DataFrame, keys: list[str], order: str = "seq") -> DataFrame:
     """The samples' edges in order, written down: keys, order, digest, chunk (a range), place (increasing), first and last
     runs and tokens, and what backticks they have, with the text of those that have any. rows: keys, order, text, norm,
-    tokens."""
+    tokens, and perhaps what placed() adds."""
+    own = "place" in rows.columns
     runs = F.regexp_extract_all("norm", F.lit("`+"), F.lit(0))
     many = F.exists("ticks", lambda x: F.length(x) > 1)
     singles = F.aggregate("ticks", F.lit(0).cast("long"), lambda n, x: F.when(F.length(x) > 1, F.lit(0).cast("long")).otherwise(n + 1))
     narrow = rows.select(
-        *keys, order, F.substring("text", 1, LEAD).alias("lead"), digest().alias("digest"), first_runs(F.col("norm")).alias("head"), last_runs(F.col("norm")).alias("tail"),
+        *keys, order, *(("digest", "chunk", "place") if own else (F.substring("text", 1, LEAD).alias("lead"), digest().alias("digest"))), first_runs(F.col("norm")).alias("head"), last_runs(F.col("norm")).alias("tail"),
         F.slice("tokens", 1, GRAM).alias("first"), last_of(F.col("tokens"), GRAM).alias("last"), runs.alias("ticks"), F.when(F.contains("norm", F.lit("`")), before_blank_line()).alias("ticked"),
-    )
-    dealt = in_ranges(narrow.withColumns({"many": many, "singles": singles}).drop("ticks"), keys, order)
-    return cut(dealt.withColumns({"chunk": F.spark_partition_id(), "place": F.monotonically_increasing_id()}).drop("lead"), "edges")
+    ).withColumns({"many": many, "singles": singles}).drop("ticks")
+    return cut(narrow if own else numbered(in_ranges(narrow, keys, order)), "edges")
 
 
 def carried(own: DataFrame, keys: list[str], value: str, reach: int) -> DataFrame:
@@ -163,7 +175,7 @@ def code_terms(rows: DataFrame, of: DataFrame, keys: list[str], order: str = "se
     pieces = F.array_compact(F.array(piece(F.col("entered"), F.col("at") - 1, F.substr("ticked", F.lit(1), first - 1)), piece(F.col("closes"), F.col("at"), tail)))
     inside = r.select(*keys, F.explode(metrics.code_shapes(main)).alias("term"))
     pieces = r.select(*keys, "place", F.inline(pieces))
-    texts = rows.where(~F.contains("norm", F.lit("`"))).select(*keys, order, digest().alias("digest"), before_blank_line().alias("norm"))
+    texts = rows.where(~F.contains("norm", F.lit("`"))).select(*keys, order, F.col("digest") if "digest" in rows.columns else digest().alias("digest"), before_blank_line().alias("norm"))
     within = cut(states.where("ticked is null and entered and closes").select(*keys, order, "digest", "place", "at"), "within")
     if not within.isEmpty():
         ids = [*keys, order, "digest"]
@@ -197,77 +209,104 @@ def scanned(tokens: list[str], threshold: float, before: list[str], meets: froze
     return found, -1
 
 
-def pieces(rows: DataFrame, keys: list[str], order: str, threshold: float, piece: int) -> DataFrame:
-    """(keys, piece, words, tokens, and for each way resets, head, tail): the words of each group in order, in pieces, with
-    where a scan of the piece alone empties its state, forwards and backwards, the first HEAD words that way, and those after
-    the last such place. rows: keys, order, text, norm."""
+def pieces(rows: DataFrame, keys: list[str], threshold: float, piece: int) -> DataFrame:
+    """(keys, pos, at, last, end, words, and for each way resets, head, tail): the words of each group in order, in pieces: from
+    which place and which of its words on, up to which place and how many of its words, and where a scan of the piece alone
+    empties its state, forwards and backwards, the first HEAD words that way with blanks between (backwards null for a piece
+    of no more), and those after the last such place. rows: place, groups (an array of keys), norm.
+
+    Rows are read as they were written, in runs of a place after the other; where a run ends, all its pieces do. So
+    a piece has all of a group from its first to its last place, whichever task reads which run."""
     from pyspark.sql import types as T
 
-    n_keys, head_words, most_texts, most_words = len(keys), HEAD, TEXTS, WORDS
-    lists = ("tokens", "resets", "head", "tail", "back", "back_head", "back_tail")
-    dealt = in_ranges(rows.select(*keys, order, F.substring("text", 1, LEAD).alias("lead"), digest().alias("digest"), "norm"), keys, order).select(*keys, "norm")
+    n_keys, head_words, most_texts, most_words, most_open = len(keys), HEAD, TEXTS, WORDS, OPEN
+    numbers = ("pos", "at", "last", "end", "words")
+    kind = {k: T.ArrayType(t) for k, t in (("resets", T.IntegerType()), ("tail", T.StringType()), ("back", T.IntegerType()), ("back_tail", T.StringType()))}
+    kind = {k: kind.get(k, T.StringType()) for k in ("resets", "head", "tail", "back", "back_head", "back_tail")}
+    of_key = [rows.schema["groups"].dataType.elementType[k].dataType for k in keys]
 
     def run(batches: Iterator) -> Iterator:
         import re
 
         import pyarrow as pa
-        from pyspark import TaskContext
 
-        word, number, kinds = re.compile(tx.WORD), TaskContext.get().partitionId() << 32, []
-        key, held, done, size = None, [], [], 0
+        word, kinds = re.compile(tx.WORD), []
+        of_words = {"resets": pa.list_(pa.int32()), "back": pa.list_(pa.int32()), "tail": pa.list_(pa.string()), "back_tail": pa.list_(pa.string())}
+        held, done, size, n_open, before = {}, [], 0, 0, None
 
-        def close() -> None:
-            nonlocal number, held, size
-            row = [*key, number, len(held), held]
-            for way in (held, held[::-1]):
+        def close(key: tuple) -> None:
+            nonlocal size, n_open
+            words, *places = held.pop(key)
+            row = [*key, *places, len(words)]
+            for way in (words, words[::-1]):
                 resets = scanned(way, threshold, [])[0]
-                row += (resets, way[:head_words], way[resets[-1] + 1 :] if resets else way)
+                row += (resets, " ".join(way[:head_words]), way[resets[-1] + 1 :] if resets else way)
+            if len(words) <= head_words:
+                row[-2] = None
             done.append(row)
-            number, size, held = number + 1, size + len(held), []
+            size, n_open = size + 2 * min(len(words), head_words), n_open - len(words)
 
         def flushed():
             nonlocal size
             columns = list(zip(*done))
             done.clear()
             size = 0
-            of_lists = [pa.array(c, pa.list_(pa.int32() if name in ("resets", "back") else pa.string())) for name, c in zip(lists, columns[n_keys + 2 :])]
-            return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns[:n_keys], kinds)), pa.array(columns[n_keys], pa.int64()), pa.array(columns[n_keys + 1], pa.int64()), *of_lists], names=[*keys, "piece", "words", *lists])
+            of_numbers = [pa.array(c, pa.int64()) for c in columns[n_keys : n_keys + len(numbers)]]
+            of_lists = [pa.array(c, of_words.get(name, pa.string())) for name, c in zip(kind, columns[n_keys + len(numbers) :])]
+            return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns[:n_keys], kinds)), *of_numbers, *of_lists], names=[*keys, *numbers, *kind])
 
         for whole in batches:
-            kinds = [whole.schema.field(i).type for i in range(n_keys)]
+            kinds = [whole.schema.field(1).type.value_type.field(i).type for i in range(n_keys)]
             for start in range(0, whole.num_rows, most_texts):
                 batch = whole.slice(start, most_texts)
-                names = list(zip(*(batch.column(i).to_pylist() for i in range(n_keys))))
-                for new, t in zip(names, batch.column(n_keys)):
-                    if new != key:
-                        if held:
-                            close()
-                        key = new
+                for place, groups, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                    if before is not None and place != before + 1 or n_open > most_open:
+                        for key in list(held):
+                            close(key)
+                    before = place
                     tokens = [x.lower() for x in word.findall(t.as_py() or "")]
-                    for at in range(0, len(tokens), piece):
-                        held += tokens[at : at + piece]
-                        if len(held) >= piece:
-                            close()
-                            if size > most_words:
-                                yield flushed()
+                    for group in groups:
+                        key, at = tuple(group.values()), 0
+                        while at < len(tokens):
+                            own = held.setdefault(key, [[], place, at, place, at])
+                            taken = tokens[at : at + piece - len(own[0])]
+                            own[0] += taken
+                            at, n_open = at + len(taken), n_open + len(taken)
+                            own[3:] = place, at
+                            if len(own[0]) == piece:
+                                close(key)
+                                if size > most_words:
+                                    yield flushed()
                     if size > most_words or len(done) > 5_000:
                         yield flushed()
-        if held:
-            close()
+        for key in list(held):
+            close(key)
         if done:
             yield flushed()
 
-    kind = {name: T.ArrayType(T.IntegerType() if name in ("resets", "back") else T.StringType()) for name in lists}
-    fields = [*(T.StructField(k, rows.schema[k].dataType) for k in keys), T.StructField("piece", T.LongType()), T.StructField("words", T.LongType()), *(T.StructField(k, v) for k, v in kind.items())]
-    return dealt.mapInArrow(run, T.StructType(fields))
+    fields = [*(T.StructField(k, t) for k, t in zip(keys, of_key)), *(T.StructField(k, T.LongType()) for k in numbers), *(T.StructField(k, v) for k, v in kind.items())]
+    return rows.select("place", "groups", "norm").mapInArrow(run, T.StructType(fields))
+
+
+def words_of(rows: DataFrame, some: DataFrame, keys: list[str]) -> DataFrame:
+    """(number, tokens): all words of some pieces in order, from the texts. rows: place, groups, norm; some: number, and as in
+    pieces() keys, pos, at, last and end. Between a piece's first and last place there are samples of other groups, too."""
+    each = some.select("number", F.struct(*keys).alias("group"), "pos", "at", "last", "end", F.explode(F.sequence("pos", "last")).alias("place"))
+    own = F.exists("groups", lambda g: g.eqNullSafe(F.col("group")))
+    both = each.join(rows.select("place", "groups", "norm"), "place").where(own).withColumn("words", tx.tokens(F.col("norm")))
+    start = F.when(F.col("place") == F.col("pos"), F.col("at")).otherwise(0).cast("int")
+    stop = F.when(F.col("place") == F.col("last"), F.col("end")).otherwise(F.size("words")).cast("int")
+    parts = both.select("number", "place", F.array_join(F.slice("words", start + 1, stop - start), " ").alias("part")).where("part <> ''")
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("place", "part"))), lambda x: x["part"])
+    return parts.groupBy("number").agg(F.split(F.array_join(in_order, " "), " ").alias("tokens"))
 
 
 def resumed(runs: DataFrame, keys: list[str], threshold: float) -> DataFrame:
-    """(keys, way, pos, words, found, tail, whole): runs (.., words, tokens, resets, tail, enter) scanned from the state
+    """(keys, way, pos, at, words, found, tail, whole): runs (.., words, tokens, resets, tail, enter) scanned from the state
     `enter`. tokens: the first words or all; not whole are those that would need more of them."""
     from pyspark.sql import types as T
 
-    ids = [*keys, "way", "pos"]
+    ids = [*keys, "way", "pos", "at"]
     place = len(ids)
 
     def run(batches: Iterator) -> Iterator:
@@ -287,39 +326,51 @@ def resumed(runs: DataFrame, keys: list[str], threshold: float) -> DataFrame:
     return runs.select(*ids, "words", "tokens", "resets", "tail", "enter").mapInArrow(run, T.StructType(fields))
 
 
-def diversity(rows: DataFrame, keys: list[str], order: str = "seq", threshold: float = metrics.MTLD_THRESHOLD, piece: int = PIECE) -> DataFrame:
-    """(keys, vocabulary_diversity): metrics.mtld_of() of all words of a group. rows: keys, order, text, norm. No task has
-    more of a group than a piece, or a range of its samples. A group without a word has no row."""
-    found = cut(pieces(rows, keys, order, threshold, piece), "pieces")
-    ids = [*keys, "way", "pos"]
-
-    def both_ways(head: Column, back_head: Column) -> DataFrame:
-        """(keys, way, pos, words, tokens, resets, tail) of the pieces, with their first words or all of them."""
-        way = lambda k, pos, tokens, resets, tail: F.struct(F.lit(k).alias("way"), pos.alias("pos"), tokens.alias("tokens"), F.col(resets).alias("ends"), F.col(tail).alias("left"))
-        ways = F.array(way(0, F.col("piece"), head, "resets", "tail"), way(1, -F.col("piece"), back_head, "back", "back_tail"))
-        return found.select(*keys, "words", F.inline(ways)).withColumnsRenamed({"ends": "resets", "left": "tail"})
-
-    runs, whole_runs = both_ways(F.col("head"), F.col("back_head")), both_ways(F.col("tokens"), F.reverse("tokens"))
-    state = cut(runs.select(*ids, "words", F.size("resets").cast("long").alias("found"), "tail", F.lit(True).alias("moved")), "states")
-    w = Window.partitionBy(*keys, "way").orderBy("pos")
+def diversity(rows: DataFrame, keys: list[str], order: str = "seq", threshold: float = metrics.MTLD_THRESHOLD, piece: int = PIECE, groups: Column | None = None) -> DataFrame:
+    """(keys, vocabulary_diversity): metrics.mtld_of() of all words of a group. rows: keys, order, text, norm. groups: of rows
+    that have a place already, the groups that each counts in, an array of keys; they are read once for all. No task has
+    more of a group than pieces, or a range of its samples. A group without a word has no row."""
+    folder = scratch(rows.sparkSession, "diversity")
+    kept = lambda df, name: cut_at(df, f"{folder}/{name}")
+    if groups is None:
+        groups, rows = F.array(F.struct(*keys)), kept(placed(rows.select(*keys, order, "text", "norm"), keys, order), "texts")
+    rows = rows.select("place", groups.alias("groups"), "norm")
+    found = kept(pieces(rows, keys, threshold, piece), "pieces")
+    ids = [*keys, "way", "pos", "at"]
+
+    way = lambda k, sign, head, resets, tail: F.struct(F.lit(k).alias("way"), (sign * F.col("pos")).alias("pos"), (sign * F.col("at")).alias("at"), head.alias("start"), F.col(resets).alias("ends"), F.col(tail).alias("left"))
+    ways = F.array(way(0, 1, F.col("head"), "resets", "tail"), way(1, -1, F.col("back_head"), "back", "back_tail"))
+    runs = found.select(*keys, "last", "end", "words", F.inline(ways), F.col("head").alias("ahead")).withColumnsRenamed({"ends": "resets", "left": "tail"})
+    started = F.split(F.coalesce("start", "ahead"), " ")
+    started = F.when(F.col("start").isNull(), F.reverse(started)).otherwise(started)  # of a piece of no more words the other way
+    state = kept(runs.select(*ids, "words", F.size("resets").cast("long").alias("found"), "tail", F.lit(True).alias("moved")), "states")
+    w, turn = Window.partitionBy(*keys, "way").orderBy("pos", "at"), 0
     while True:
+        turn += 1
         after = state.withColumns({"enter": F.lag("tail").over(w), "due": F.coalesce(F.lag("moved").over(w), F.lit(False))})
-        due = cut(after.where("due").select(*ids, "enter"), "due")
+        due = kept(after.where("due").select(*ids, "enter"), f"due-{turn}")
         if due.isEmpty():
             break
-        again = cut(resumed(joined(runs, due, ids), keys, threshold), "again")
+        first = joined(runs.withColumn("ahead", F.when(F.col("start").isNull(), F.col("ahead"))), due, ids)
+        again = kept(resumed(first.withColumn("tokens", started), keys, threshold), f"again-{turn}")
         late = again.where("not whole").select(*ids)
         if not late.isEmpty():
-            again = again.where("whole").unionByName(resumed(joined(whole_runs, joined(due, late, ids, "left_semi"), ids), keys, threshold))
+            some = joined(joined(runs.drop("start", "ahead"), due, ids), late, ids, "left_semi").withColumn("number", F.monotonically_increasing_id())
+            some = kept(some, f"late-{turn}")
+            tokens = words_of(rows, some.select("number", *keys, F.abs("pos").alias("pos"), F.abs("at").alias("at"), "last", "end"), keys)
+            turned = F.when(F.col("way") == 1, F.reverse("tokens")).otherwise(F.col("tokens"))
+            again = again.where("whole").unionByName(resumed(some.join(tokens, "number").withColumn("tokens", turned), keys, threshold))
         old = state.select(*ids, F.col("words").alias("w"), F.col("found").alias("f"), F.col("tail").alias("t"))
         new = again.drop("whole").withColumn("ran", F.lit(True))
         both_states = joined(old, new, ids, "left")
         ran = F.coalesce("ran", F.lit(False))
-        state = cut(both_states.select(*ids, F.coalesce("words", "w").alias("words"), F.coalesce("found", "f").alias("found"), F.when(ran, F.col("tail")).otherwise(F.col("t")).alias("tail"), (ran & (F.col("tail") != F.col("t"))).alias("moved")), "states")
+        state = kept(both_states.select(*ids, F.coalesce("words", "w").alias("words"), F.coalesce("found", "f").alias("found"), F.when(ran, F.col("tail")).otherwise(F.col("t")).alias("tail"), (ran & (F.col("tail") != F.col("t"))).alias("moved")), f"states-{turn}")
     n = F.size("tail")
     rest = F.when(n > 0, (1 - F.size(F.array_distinct("tail")) / n) / (1 - threshold)).otherwise(0.0)
-    passes = state.groupBy(*keys, "way").agg(F.sum("words").alias("words"), F.sum("found").alias("found"), F.max_by("tail", "pos").alias("tail"))
+    passes = state.groupBy(*keys, "way").agg(F.sum("words").alias("words"), F.sum("found").alias("found"), F.max_by("tail", F.struct("pos", "at")).alias("tail"))
     passes = passes.select(*keys, "words", (F.col("found") + rest).alias("factors"))
     passed = F.when(F.col("factors") > 0, F.col("words") / F.col("factors")).otherwise(F.col("words").cast("double"))
     each = passes.groupBy(*keys).agg(F.sum(passed).alias("sum"), F.max("words").alias("words"))
-    return each.select(*keys, F.when(F.col("words") < 10, 0.0).otherwise(rounded(F.col("sum") / 2, 2)).alias("vocabulary_diversity"))
+    told = cut(each.select(*keys, F.when(F.col("words") < 10, 0.0).otherwise(rounded(F.col("sum") / 2, 2)).alias("vocabulary_diversity")), "diverse")
+    removed(rows.sparkSession, folder)
+    return told
