@@ -193,12 +193,13 @@ def build(samples: DataFrame, verdicts: DataFrame | None = None, created_at: str
     corpus, results = at(corpora, 0).drop("context"), at(scores, 0).drop("context")
     own_code = at(code, 0).drop("context")
     lists_of = analysed.select("writer", "seq", "text", "norm", "tokens", F.lower("norm").alias("lower"))
-    counted = cut(vocabulary.terms(lists_of, keys, words, "seq", own, own_code), "terms")
+    used = cut(vocabulary.frequencies(lists_of, keys), "words")
+    counted = cut(vocabulary.terms(lists_of, keys, words, "seq", own, own_code, used), "terms")
     tops = vocabulary.top_lists(counted, keys).select("writer", "technical_terms", "colloquialisms")
     varied = scoring.contradictions(results, keys).groupBy("writer").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "dimension", "low", "high", "scatter"))), lambda x: F.struct(x["dimension"].alias("dimension"), x["low"].alias("low"), x["high"].alias("high"), x["scatter"].alias("scatter"))).alias("varies"))
     contexts = contexts_of(at(corpora, 1), at(scores, 1)).groupBy("writer").agg(F.array_sort(F.collect_list(F.struct("context", "style", F.struct("sample_count", "word_count").alias("metadata")))).alias("contexts"))
     out = joined(corpus, style(results, keys), keys)
-    for part in (tops, vocabulary.prefer(counted, keys), vocabulary.avoid(lists_of, keys, words), vocabulary.recurring_phrases(lists_of, keys, words, "seq", edges=own), varied, contexts):
+    for part in (tops, vocabulary.prefer(counted, keys), vocabulary.avoid(lists_of, keys, words, used), vocabulary.recurring_phrases(lists_of, keys, words, "seq", edges=own), varied, contexts):
         out = joined(out, part, keys, "left")
     if verdicts is not None:
         out = joined(out, chosen_words(verdicts), keys, "left")

@@ -173,7 +173,7 @@ def code_terms(rows: DataFrame, of: DataFrame, keys: list[str], order: str = "se
     main = F.when(F.col("closes"), F.substr(body, F.lit(1), F.greatest(F.length(body) - F.length(tail) - 1, F.lit(0)))).otherwise(body)
     piece = lambda keep, at, x: F.when(keep, F.struct(at.alias("at"), x.alias("piece")))
     pieces = F.array_compact(F.array(piece(F.col("entered"), F.col("at") - 1, F.substr("ticked", F.lit(1), first - 1)), piece(F.col("closes"), F.col("at"), tail)))
-    inside = r.select(*keys, F.explode(metrics.code_shapes(main)).alias("term"))
+    inside = r.select(*keys, F.explode_outer(metrics.code_shapes(main)).alias("term"))
     pieces = r.select(*keys, "place", F.inline(pieces))
     texts = rows.where(~F.contains("norm", F.lit("`"))).select(*keys, order, F.col("digest") if "digest" in rows.columns else digest().alias("digest"), before_blank_line().alias("norm"))
     within = cut(states.where("ticked is null and entered and closes").select(*keys, order, "digest", "place", "at"), "within")
@@ -182,10 +182,10 @@ def code_terms(rows: DataFrame, of: DataFrame, keys: list[str], order: str = "se
         found = joined(within, joined(texts, within, ids, "left_semi").dropDuplicates(ids), ids)
         pieces = pieces.unionByName(found.select(*keys, "place", "at", F.col("norm").alias("piece")))
         texts = joined(texts, within, ids, "left_anti")
-    plain = texts.select(*keys, F.explode(metrics.code_shapes(F.col("norm"))).alias("term"))
+    plain = texts.select(*keys, F.explode_outer(metrics.code_shapes(F.col("norm"))).alias("term"))
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "piece"))), lambda x: x["piece"]), SEPARATOR)
     spans = pieces.groupBy(*keys, "at").agg(F.lower(F.concat(F.lit("`"), whole, F.lit("`"))).alias("term"))
-    return plain.unionByName(inside).unionByName(spans.select(*keys, "term")).distinct()
+    return plain.unionByName(inside).where("term is not null").unionByName(spans.select(*keys, "term")).distinct()
 
 
 # --- lexical diversity -------------------------------------------------------------------------------------------
@@ -194,18 +194,17 @@ def code_terms(rows: DataFrame, of: DataFrame, keys: list[str], order: str = "se
 def scanned(tokens: list[str], threshold: float, before: list[str], meets: frozenset[int] | set[int] = frozenset()) -> tuple[list[int], int]:
     """Where the state is emptied (after which token), from the state that `before` left, and up to the first of `meets`;
     and where that is, or -1."""
-    seen, n, found = set(before), len(before), []
+    seen, start, found = set(before), -len(before), []
     for i, token in enumerate(tokens):
-        n += 1
         if token not in seen:
             seen.add(token)
             if threshold < 1:  # a new word lifts the ratio, so only a repeated one can end a factor
                 continue
-        if len(seen) / n <= threshold:
+        if len(seen) / (i + 1 - start) <= threshold:
             found.append(i)
             if i in meets:
                 return found, i
-            seen, n = set(), 0
+            seen, start = set(), i + 1
     return found, -1
 
 
@@ -264,7 +263,8 @@ def pieces(rows: DataFrame, keys: list[str], threshold: float, piece: int) -> Da
                         for key in list(held):
                             close(key)
                     before = place
-                    tokens = [x.lower() for x in word.findall(t.as_py() or "")]
+                    text = t.as_py() or ""
+                    tokens = word.findall(text.lower()) if text.isascii() else [x.lower() for x in word.findall(text)]
                     for group in groups:
                         key, at = tuple(group.values()), 0
                         while at < len(tokens):

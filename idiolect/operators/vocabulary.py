@@ -22,8 +22,9 @@ FIRST_PHRASES = 1_000
 
 
 def frequencies(measured: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, token, n)."""
-    return measured.select(*keys, F.explode("tokens").alias("token")).groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("n"))
+    """(keys, token, n). Arrays are exploded with a null for an empty one, here and below: before a plain explode() Spark
+    puts a filter on the array's size, which makes the array a second time."""
+    return measured.select(*keys, F.explode_outer("tokens").alias("token")).where("token is not null").groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("n"))
 
 
 def content(token: Column, words: lex.Lexicons = lex.DEFAULT) -> Column:
@@ -67,19 +68,20 @@ def phrase_rows(measured: DataFrame, keys: list[str], words: lex.Lexicons = lex.
     shapes = F.transform(metrics.shape_hits(F.col("norm"), words, order is None), lambda x: F.struct(F.lit("technical_terms").alias("list"), x.alias("term"), F.lit(1).cast("long").alias("n")))
     in_java = F.when(counting.odd(F.col("lower")), F.concat(*phrases)).otherwise(F.array().cast("array<struct<list: string, term: string, n: bigint>>"))
     plain = measured.select(*keys, "norm", "lower", counting.phrases_listed(F.col("lower"), by_list).alias("__phrases"))
-    rows = plain.select(*keys, F.inline(F.concat("__phrases", in_java, shapes)))
+    rows = plain.select(*keys, F.inline_outer(F.concat("__phrases", in_java, shapes))).where("list is not null")
     if order is not None:
         edges = spanning.edges(measured, keys, order) if edges is None else edges
         crossing = spanning.text_edges(edges, keys).withColumn("lower", F.lower("norm"))
-        rows = rows.unionByName(crossing.select(*keys, "sign", F.inline(F.concat(*phrases))).withColumn("n", F.col("n") * F.col("sign")).drop("sign"))
+        rows = rows.unionByName(crossing.select(*keys, "sign", F.inline_outer(F.concat(*phrases))).where("list is not null").withColumn("n", F.col("n") * F.col("sign")).drop("sign"))
         code = spanning.code_terms(measured, edges, keys, order) if code is None else code
         rows = rows.unionByName(code.select(*keys, F.lit("technical_terms").alias("list"), "term", F.lit(1).cast("long").alias("n")))
     return rows.groupBy(*keys, "list", "term").agg(F.sum("n").alias("n")).where("n > 0")
 
 
-def terms(measured: DataFrame, keys: list[str], words: lex.Lexicons = lex.DEFAULT, order: str | None = None, edges: DataFrame | None = None, code: DataFrame | None = None) -> DataFrame:
-    """(keys, list, term, n): every list's terms with their counts, words and phrases together."""
-    counted = frequencies(measured, keys)
+def terms(measured: DataFrame, keys: list[str], words: lex.Lexicons = lex.DEFAULT, order: str | None = None, edges: DataFrame | None = None, code: DataFrame | None = None, counted: DataFrame | None = None) -> DataFrame:
+    """(keys, list, term, n): every list's terms with their counts, words and phrases together. counted: frequencies(), if
+    they are there already."""
+    counted = frequencies(measured, keys) if counted is None else counted
     lists = F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in word_lists(F.col("token"), F.col("n"), words).items())))
     single = counted.select(*keys, F.explode(lists).alias("list"), F.col("token").alias("term"), "n")
     return single.unionByName(phrase_rows(measured, keys, words, order, edges, code)).groupBy(*keys, "list", "term").agg(F.sum("n").alias("n"))
@@ -107,18 +109,23 @@ def prefer(counted: DataFrame, keys: list[str]) -> DataFrame:
     return kept.groupBy(*keys).agg(F.slice(F.array_distinct(listed), 1, LIMIT).alias("prefer"))
 
 
-def avoid(measured: DataFrame, keys: list[str], words: lex.Lexicons = lex.DEFAULT) -> DataFrame:
+def avoid(measured: DataFrame, keys: list[str], words: lex.Lexicons = lex.DEFAULT, counted: DataFrame | None = None) -> DataFrame:
     """(keys, avoid): formal words that a group of 200 words or more never uses, though it uses their plain ones
     where they have any, at most eight; then unused phrases, twelve in all. Such a phrase has plain blanks, so none
-    spans two samples."""
+    spans two samples. counted: frequencies(), if they are there already."""
     plain = {c: p.split()[0] for c, p in words.formal_to_plain.items() if p}
     looked_for = list(dict.fromkeys([*words.avoid_candidates, *plain.values()]))
-    used = F.array_distinct(F.filter("tokens", lambda x: tx.one_of(x, looked_for)))
-    held = F.filter(F.array(*map(F.lit, words.avoid_phrases)), lambda p: F.contains("lower", p))
-    rows = measured.select(*keys, F.size("tokens").cast("long").alias("__n"), used.alias("__used"), held.alias("__held"))
-    found = rows.select(*keys, F.explode_outer(F.concat("__used", held_as(F.col("__held")))).alias("__term")).distinct().groupBy(*keys).agg(F.collect_list("__term").alias("__terms"))
-    marked = rows.groupBy(*keys).agg(F.sum("__n").alias("__n"))
-    marked = joined(marked, found, keys)
+    held = F.array_compact(F.array(*(F.when(F.contains("lower", F.lit(p)), F.lit(f" {p}")) for p in words.avoid_phrases)))  # no token has a blank
+    if counted is None:
+        used = F.array_distinct(F.filter("tokens", lambda x: tx.one_of(x, looked_for)))
+        rows = measured.select(*keys, F.size("tokens").cast("long").alias("__n"), used.alias("__used"), held.alias("__held"))
+        marked, heard = rows.groupBy(*keys).agg(F.sum("__n").alias("__n")), F.concat("__used", "__held")
+        found = rows.select(*keys, F.explode_outer(heard).alias("__term"))
+    else:
+        found = measured.select(*keys, F.explode_outer(held).alias("__term"))
+        marked = found.select(*keys, F.lit(0).cast("long").alias("n")).distinct().unionByName(counted.select(*keys, "n")).groupBy(*keys).agg(F.sum("n").alias("__n"))
+        found = found.unionByName(counted.where(tx.one_of(F.col("token"), looked_for)).select(*keys, F.col("token").alias("__term")))
+    marked = joined(marked, found.distinct().groupBy(*keys).agg(F.collect_list("__term").alias("__terms")), keys)
     single = []
     for c in words.avoid_candidates:
         good = ~F.array_contains("__terms", c)
@@ -129,24 +136,21 @@ def avoid(measured: DataFrame, keys: list[str], words: lex.Lexicons = lex.DEFAUL
     return marked.select(*keys, F.when(F.col("__n") >= AVOID_WORDS, both).otherwise(F.array().cast("array<string>")).alias("avoid"))
 
 
-def held_as(phrases: Column) -> Column:
-    """Phrases with a blank before them, which no token has."""
-    return F.transform(phrases, lambda p: F.concat(F.lit(" "), p))
-
-
 def phrase_counts(measured: DataFrame, keys: list[str], words: lex.Lexicons = lex.DEFAULT, order: str | None = None, edges: DataFrame | None = None) -> DataFrame:
     """(keys, phrase, n) of the two to four word runs that start with a seed word."""
     t = F.col("tokens")
 
-    def grams(size: int) -> Column:
-        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(t) - size + 1, F.lit(1))), lambda i: (i <= F.size(t) - size + 1) & F.try_element_at(t, i).isin(*words.phrase_seeds))
-        return F.transform(starts, lambda i: F.array_join(F.slice(t, i, F.lit(size)), " "))
+    def runs(of: DataFrame) -> DataFrame:
+        """of, a row for each of its runs instead of its tokens."""
+        starts = F.filter(F.transform(t, lambda x, i: F.when(x.isin(*words.phrase_seeds), i + 1)), lambda i: i.isNotNull())
+        grams = lambda size: F.transform(F.filter("__starts", lambda i: i <= F.size(t) - size + 1), lambda i: F.array_join(F.slice(t, i, F.lit(size)), " "))
+        found = F.explode_outer(F.concat(grams(4), grams(3), grams(2))).alias("phrase")
+        return of.withColumn("__starts", starts).select(*(c for c in of.columns if c != "tokens"), found).where("phrase is not null")
 
-    runs = F.explode(F.concat(grams(4), grams(3), grams(2))).alias("phrase")
     if order is None:
-        return measured.select(*keys, runs).groupBy(*keys, "phrase").agg(F.count(F.lit(1)).alias("n"))
+        return runs(measured.select(*keys, "tokens")).groupBy(*keys, "phrase").agg(F.count(F.lit(1)).alias("n"))
     edges = spanning.edges(measured, keys, order) if edges is None else edges
-    rows = measured.select(*keys, F.lit(1).cast("long").alias("sign"), runs).unionByName(spanning.token_edges(edges, keys).select(*keys, "sign", runs))
+    rows = runs(measured.select(*keys, F.lit(1).cast("long").alias("sign"), "tokens")).unionByName(runs(spanning.token_edges(edges, keys).select(*keys, "sign", "tokens")))
     return rows.groupBy(*keys, "phrase").agg(F.sum("sign").alias("n")).where("n > 0")
 
 
